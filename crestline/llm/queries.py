@@ -30,6 +30,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crestline.llm.minhash import MinHash, near_duplicates
+
+    out = near_duplicates(table(spark, sf_dir, "documents"), MinHash(words=3, percent=85))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
