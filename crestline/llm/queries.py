@@ -30,6 +30,13 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crestline.llm.embeddings import Cells, near_duplicate_vectors
+
+    out = near_duplicate_vectors(table(spark, sf_dir, "embeddings"), Cells(least=0.95))
+    return out.withColumnRenamed("id", "vec_id")
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crestline.llm.minhash import MinHash, near_duplicates
 
@@ -37,6 +44,12 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crestline.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), k=5, query_every=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
