@@ -50,6 +50,13 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), k=5, query_every=50)
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crestline.llm.warc import round_trip
+
+    out = round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
