@@ -57,6 +57,21 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crestline.llm.toxicity import Subwords, fit, score_toxicity
+
+    docs, how = table(spark, sf_dir, "documents"), Subwords()
+    return score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels"), how), how).withColumnRenamed("id", "doc_id")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crestline.llm.quality import Quality, fit, score_quality
+
+    docs, how = table(spark, sf_dir, "documents"), Quality()
+    model = fit(docs, table(spark, sf_dir, "labels"), how)
+    return score_quality(docs, model, how, F.col("source"), F.col("lang")).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
