@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from crestline.llm.common import table
 
 
-def vocabulary_path() -> str:
+def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,12 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("id", "doc_id")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crestline.llm.token_counts import token_counts
+
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from crestline.llm.topk import top_k
 
@@ -72,6 +78,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model, how, F.col("source"), F.col("lang")).withColumnRenamed("id", "doc_id")
 
 
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crestline.llm.html import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

@@ -2,7 +2,8 @@
 
 A word is itself and its character n-grams, hashed into buckets, so a spelling
 that was never seen shares most of its buckets with one that was. A text's
-vector is the mean over all its subwords. The trained model is linear in that
+vector is the mean over the subwords of its distinct words, so saying one thing
+again and again changes nothing. The trained model is linear in that
 mean, so it comes down to one number for each bucket: a text's log-odds are
 the mean of its subwords' numbers, and that is all the executors get.
 """
@@ -32,14 +33,14 @@ KEPT_WORDS = 500_000
 class Subwords:
     """sample: labelled documents that the model is fitted on, at most; the rest is the model's size and its training."""
 
-    sample: int = 6_000
+    sample: int = 8_000
     buckets: int = 1 << 18
-    dim: int = 8
+    dim: int = 4
     shortest: int = 3
     longest: int = 5
-    epochs: int = 12
+    steps: int = 400
     batch: int = 128
-    rate: float = 0.5
+    rate: float = 1.5
     seed: int = 3
 
 
@@ -51,24 +52,42 @@ def subwords(word: str, how: Subwords) -> list[int]:
 
 
 class WordTable:
-    """A number for each distinct word, and its buckets one after the other."""
+    """The buckets of each distinct word."""
 
     def __init__(self, how: Subwords):
-        self.how, self.number = how, {}
-        self.buckets: list[list[int]] = []
-
-    def numbers(self, text: str | None) -> np.ndarray:
-        words = WORD.findall((text or "").lower())
-        for w in set(words).difference(self.number):
-            self.number[w] = len(self.buckets)
-            self.buckets.append(subwords(w, self.how))
-        return np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
+        self.how, self.known = how, {}
+
+    def bag(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The buckets of a text's distinct words, and the weight of each in the mean over all their subwords."""
+        words = set(WORD.findall((text or "").lower()))
+        for w in words.difference(self.known):
+            self.known[w] = np.array(subwords(w, self.how), dtype=np.int32)
+        if not words:
+            return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32)
+        ids, n = np.unique(np.concatenate([self.known[w] for w in words]), return_counts=True)
+        return ids, (n / n.sum()).astype(np.float32)
+
+
+class Batch:
+    """Bags of some texts, laid out by text for the means and by bucket for the gradients."""
+
+    def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray):
+        sizes = np.array([len(ids) for ids, _ in bags])
+        self.labels, self.starts = labels, np.r_[0, np.cumsum(sizes)[:-1]]
+        self.ids, weights = np.concatenate([ids for ids, _ in bags]), np.concatenate([w for _, w in bags])
+        order = np.argsort(self.ids, kind="stable")
+        by_id = self.ids[order]
+        self.starts_by_id = np.flatnonzero(np.r_[True, by_id[1:] != by_id[:-1]])
+        self.touched = by_id[self.starts_by_id]
+        self.weights, self.weights_by_id = weights[:, None], weights[order][:, None]
+        self.doc_by_id = np.repeat(np.arange(len(bags), dtype=np.int32), sizes)[order]
 
 
 def train(texts: list[str], labels: np.ndarray, share: float, how: Subwords) -> np.ndarray:
     """For each bucket its part of the log-odds, and last the constant; share is that of label 1 among all labels.
 
     Embeddings and softmax are trained together by AdaGrad on shuffled batches.
+    A fifth of the texts is kept back to set the constant.
     Without both labels there is nothing to tell apart, and the constant is all.
     """
     prior = min(max(share, 1e-3), 1 - 1e-3)
@@ -76,54 +95,46 @@ def train(texts: list[str], labels: np.ndarray, share: float, how: Subwords) ->
     scores[-1] = math.log(prior / (1 - prior))
     if len(set(labels.tolist())) < 2:
         return scores
-    table = WordTable(how)
-    bags = []
-    for text in texts:  # a bag: its distinct words and the weight of each in the mean over all its subwords
-        word, n = np.unique(table.numbers(text), return_counts=True)
-        bags.append((word, n))
-    sizes = np.array([len(b) for b in table.buckets] or [0])
-    flat = np.concatenate([np.array(b, dtype=np.int64) for b in table.buckets] or [np.zeros(0, dtype=np.int64)])
-    ends = np.r_[0, np.cumsum(sizes)]
-    rng = np.random.default_rng(how.seed)
-    embed = rng.uniform(-1, 1, (how.buckets, how.dim)).astype(np.float32) / how.dim
-    soft, bias = np.zeros((how.dim, 2), dtype=np.float32), np.zeros(2, dtype=np.float32)
+    table, rng = WordTable(how), np.random.default_rng(how.seed)
+    bags = [table.bag(text) for text in texts]
+    usable = rng.permutation([i for i, (ids, _) in enumerate(bags) if len(ids)])
+    usable, kept_back = usable[len(usable) // 5 :], usable[: len(usable) // 5]
+    batches = [Batch([bags[i] for i in at], labels[at]) for at in np.array_split(usable, max(1, len(usable) // how.batch))]
+    embed = (rng.uniform(-1, 1, (how.buckets, how.dim)) / how.dim).astype(np.float32)
+    soft, bias = rng.normal(0, 0.1, (how.dim, 2)).astype(np.float32), np.zeros(2, dtype=np.float32)
     g_embed, g_soft, g_bias = np.full(how.buckets, 1e-12, dtype=np.float32), np.full((how.dim, 2), 1e-8, dtype=np.float32), np.full(2, 1e-8, dtype=np.float32)
-    soft += rng.normal(0, 0.1, soft.shape).astype(np.float32)
-    usable = np.array([i for i, (w, _) in enumerate(bags) if len(w)])
-    for _ in range(how.epochs):
-        for at in np.array_split(rng.permutation(usable), max(1, len(usable) // how.batch)):
-            doc = np.repeat(np.arange(len(at)), [len(bags[i][0]) for i in at])
-            word = np.concatenate([bags[i][0] for i in at])
-            weight = np.concatenate([bags[i][1] / (bags[i][1] * sizes[bags[i][0]]).sum() for i in at])
-            # The batch's distinct words once: mean of a text = sum over its words of weight times the sum of their buckets.
-            own, back = np.unique(word, return_inverse=True)
-            length = sizes[own]
-            begin = np.r_[0, np.cumsum(length)[:-1]]
-            ids = flat[np.repeat(ends[own] - begin, length) + np.arange(length.sum())]
-            of_word = np.add.reduceat(embed[ids], begin)
-            starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-            mean = np.add.reduceat(of_word[back] * weight[:, None].astype(np.float32), starts)
+    for _ in range(-(-how.steps // len(batches))):
+        for b in rng.permutation(len(batches)):
+            batch = batches[b]
+            mean = np.add.reduceat(embed[batch.ids] * batch.weights, batch.starts)
             z = mean @ soft + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(at)), labels[at]] -= 1
-            error = (p / len(at)).astype(np.float32)
-            d_mean = error @ soft.T
-            d_word = np.stack([np.bincount(back, weights=weight * d_mean[doc, k], minlength=len(own)) for k in range(how.dim)], axis=1)
-            touched, place = np.unique(ids, return_inverse=True)
-            row = np.repeat(np.arange(len(own)), length)
-            d_embed = np.stack([np.bincount(place, weights=d_word[row, k], minlength=len(touched)) for k in range(how.dim)], axis=1).astype(np.float32)
-            g_embed[touched] += (d_embed**2).mean(axis=1)
-            embed[touched] -= how.rate * d_embed / np.sqrt(g_embed[touched])[:, None]
+            p[np.arange(len(p)), batch.labels] -= 1
+            error = p / len(p)
+            d_embed = np.add.reduceat((error @ soft.T)[batch.doc_by_id] * batch.weights_by_id, batch.starts_by_id)
+            g_embed[batch.touched] += (d_embed**2).mean(axis=1)
+            embed[batch.touched] -= how.rate * d_embed / np.sqrt(g_embed[batch.touched])[:, None]
             for value, grad, seen in ((soft, mean.T @ error, g_soft), (bias, error.sum(axis=0), g_bias)):
                 seen += grad**2
                 value -= how.rate * 0.2 * grad / np.sqrt(seen)
     scores[:-1] = embed @ (soft[:, 1] - soft[:, 0])
-    even = min(max(labels.mean(), 1e-3), 1 - 1e-3)
-    scores[-1] += bias[1] - bias[0] - math.log(even / (1 - even))
+    odds = np.array([(scores[bags[i][0]] * bags[i][1]).sum() for i in kept_back])
+    scores[-1] = balanced_constant(odds, labels[kept_back], share) if len(set(labels[kept_back].tolist())) == 2 else bias[1] - bias[0]
     return scores
 
 
+def balanced_constant(odds: np.ndarray, labels: np.ndarray, share: float) -> float:
+    """The constant at which as many texts are wrongly flagged as missed, if share of all have label 1."""
+    order = np.argsort(-odds, kind="stable")
+    weight = np.where(labels == 1, share / (labels == 1).sum(), (1 - share) / (labels == 0).sum())[order]
+    wrong = np.cumsum(weight * (labels[order] == 0))
+    missed = share - np.cumsum(weight * (labels[order] == 1))
+    last = int(np.argmax(wrong >= missed))  # flags the texts up to here
+    following = odds[order][min(last + 1, len(order) - 1)]
+    return -(odds[order][last] + following) / 2
+
+
 class Scorer:
     """Scores texts with a trained model; keeps the sum and the number of subwords of each distinct word."""
 
@@ -148,8 +159,8 @@ class Scorer:
             self.counts = np.r_[self.counts, sizes]
 
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
-        words = [WORD.findall((t or "").lower()) for t in texts]
-        self.learn(list({w for ws in words for w in ws}))
+        words = [set(WORD.findall((t or "").lower())) for t in texts]
+        self.learn(list(set().union(*words)))
         out = np.empty(len(texts))
         for i, ws in enumerate(words):
             at = np.fromiter(map(self.number.__getitem__, ws), dtype=np.int64, count=len(ws))
@@ -181,3 +192,17 @@ def score_toxicity(docs: DataFrame, model: np.ndarray, how: Subwords, id_col: st
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, score double")
     return rows.select("id", F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, model: np.ndarray, how: Subwords, text_col: str = "text") -> DataFrame:
+    """The rows of docs, as they are, that score below 0.5. Each row is judged by its own text; nothing is shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model.astype(np.float32))
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        scorer = Scorer(shared.value.astype(np.float64), how)
+        for batch in batches:
+            for start, texts in slices(batch, at):
+                yield batch.slice(start, len(texts)).filter(pa.array(scorer.probabilities(texts) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
