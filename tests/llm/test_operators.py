@@ -1,0 +1,203 @@
+"""Each operator against a brute-force version, and on nulls, ties, repeats, empty tables and clashing columns."""
+
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from crestline.llm import bpe, components, embeddings, html, minhash, packing, quality, token_counts, topk, toxicity, warc
+from crestline.llm.queries import vocabulary_path
+
+TEXTS = ["The quick brown fox, again and again.", None, "", "   \n\t ", "x" * 5000, "Ärger im Büro; ΣΊΣΥΦΟΣ İstanbul! <|endoftext|> ok", "it's 12 o'clock… 😀", "The quick brown fox, again and again."]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "s", i) for i, t in enumerate(TEXTS)] + [(None, "no id", None, 1), (0, TEXTS[0], "s", 1)]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, id long").repartition(3)
+
+
+@pytest.fixture(scope="module")
+def no_docs(docs):
+    return docs.where("false")
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(vocabulary_path())
+
+
+def test_bpe_matches_the_library(tokenizer):
+    own = bpe.WordBpe(open(vocabulary_path(), "rb").read())
+    rng = random.Random(1)
+    alphabet = [*"abtheing THE'sΣσς İßéñ́\x1c\x85 ​　\n0٣½中文😀<|>/w_-!$.,", "<|endoftext|>", "</w>", "er", "ing "]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(0, 80))) for _ in range(3000)] + ["a" * 3000, "ab" * 500, "é" * 700]
+    for text, got in zip(texts, own.encode(texts), strict=True):
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(got, "<u4").tolist() == want, text
+        assert own.decode(got) == tokenizer.decode(want, skip_special_tokens=False)
+
+
+def test_bpe_rows(docs, no_docs, tokenizer):
+    out = bpe.encode_decode(docs, vocabulary_path()).collect()
+    assert len(out) == len(TEXTS) + 2
+    for r in out:
+        if r["id"] is not None:
+            assert r["ids"] == tokenizer.encode(TEXTS[r["id"]] or "", add_special_tokens=False).ids
+    assert bpe.encode_decode(no_docs, vocabulary_path()).count() == 0
+
+
+def test_packing_covers_each_id_once(docs, no_docs, tokenizer):
+    pieces = packing.pack(docs, vocabulary_path(), size=64).collect()
+    fills = {}
+    for r in sorted(pieces, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == fills.get(r["sequence_id"], 0)
+        assert r["length"] == len(r["ids"]) and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+        fills[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(fills.values()) <= 64
+    for i in range(1, len(TEXTS)):
+        own = sorted((r["start"], r["ids"]) for r in pieces if r["id"] == i)
+        ids = [x for _, part in own for x in part]
+        assert ids == tokenizer.encode(TEXTS[i] or "", add_special_tokens=False).ids + [1]
+    assert packing.pack(no_docs, vocabulary_path()).count() == 0
+
+
+def test_packing_wastes_little():
+    packer, rng = packing.SquaresPacker(100, most_open=50), random.Random(3)
+    for i in range(3000):
+        packer.add(i, bytes(4 * rng.choice([30, 60, 61, 120, 250])))
+    packer.settle(last=True)
+    fills = [sum(len(p[2]) // 4 for p in w) for w in packer.take()]
+    assert max(fills) == 100 and sum(f < 100 for f in fills) <= 1
+
+
+def brute_components(n, linked):
+    up = list(range(n))
+    for _ in range(n):
+        for i in range(n):
+            for j in range(n):
+                if linked(i, j):
+                    up[i] = up[j] = min(up[i], up[j])
+    return up
+
+
+def test_components(spark):
+    links = [(5, 3), (3, 9), (9, 9), (None, 2), (20, 21), (21, 22), (22, 23), (23, 20), (5, 3)]
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {3: 3, 5: 3, 9: 3, 20: 20, 21: 20, 22: 20, 23: 20}
+    chain = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
+    assert {r["component"] for r in components.connected_components(chain).collect()} == {0}
+    assert components.connected_components(chain.where("false")).count() == 0
+
+
+def test_minhash_is_brute_force(spark, docs, no_docs):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    base = [" ".join(rng.choices(words, k=120)) for _ in range(6)]
+    rows = []
+    for i in range(90):
+        w = rng.choice(base).split()
+        for _ in range(rng.choice([0, 1, 2, 4])):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        rows.append((i, " ".join(w)))
+    sets = [set(zip(*[t.split()[k:] for k in range(3)], strict=False)) for _, t in rows]
+    want = brute_components(90, lambda i, j: 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for how in (minhash.MinHash(), minhash.MinHash(block=7)):  # whole buckets, and pairs of small blocks
+        got = {r["id"]: (r["component_id"], r["n_shingles"]) for r in minhash.near_duplicates(df, how).collect()}
+        assert got == {i: (want[i], len(sets[i])) for i in range(90)}
+    odd = {(r["id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()}
+    assert (7, 0, False) in odd and (None, None, True) in odd and {(1, 1, True), (2, 2, True), (3, 3, True)} <= odd
+    assert minhash.near_duplicates(no_docs).count() == 0
+
+
+def test_vectors_are_brute_force(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 16))
+    x = np.concatenate([centres[rng.integers(0, 12, 300)] + rng.normal(scale=0.18, size=(300, 16)), centres[:1].repeat(20, axis=0)]).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (901, [0.0] * 16), (902, [float("nan")] * 16), (903, []), (None, x[0].tolist()), (904, [1.0, None]), (905, [1.0, 2.0]), (906, [2.0, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    linked = (u @ u.T >= 0.95) & ~np.eye(len(u), dtype=bool)
+    want = brute_components(len(u), lambda i, j: linked[i, j])
+    got = {r["id"]: r for r in embeddings.near_duplicate_vectors(df, embeddings.Cells(per_cell=15, block=8, sample=400)).collect()}
+    assert [got[i]["n_links"] for i in range(len(u))] == linked.sum(axis=1).tolist()
+    assert [got[i]["component_id"] for i in range(len(u))] == want
+    assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (900, 901, 902, 903, 904)) and got[906]["component_id"] == 905
+    assert embeddings.near_duplicate_vectors(df.where("false")).count() == 0
+
+    q = np.floor(256 * x.astype(float)).astype(int)
+    top = topk.top_k(df.where("vec_id < 900"), k=4, query_every=50, block=64, queries_at_once=3, few=8).collect()
+    for i in range(0, len(x), 50):
+        s = q @ q[i]
+        best = sorted((j for j in range(len(x)) if j != i), key=lambda j: (-s[j], j))[:4]
+        assert [(r["vec_id"], r["score"]) for r in sorted(top, key=lambda r: r["rank"]) if r["query_id"] == i] == [(j, s[j]) for j in best]
+    assert topk.top_k(df.where("false")).count() == 0
+
+
+def test_warc_round_trip(spark):
+    rows = [(1, "http://Blog.A.com/x?y#z", "<p>é\r\n\r\nx</p>"), (2, None, None), (3, "no url", ""), (4, "http://a.com:8080/", "same"), (9, "http://a.com/", "same"), (None, "http://b.org", "same"), (9, "http://a.com/", "same")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = sorted(((r["page_id"] or 0), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"] or 0) for r in warc.round_trip(pages).collect())
+    digest = lambda t: warc.base32_sha1((t or "").encode())
+    assert got == [(0, 4, digest("same"), "response", 0), (1, 14, digest(rows[0][2]), "response", 0), (2, 0, digest(""), "revisit", 3), (3, 0, digest(""), "response", 0), (4, 4, digest("same"), "revisit", 9)] + [(9, 4, digest("same"), "response", 0)] * 2
+    assert warc.round_trip(pages.where("false")).count() == 0
+    assert warc.url_key("http://Blog.x.com:80/a?b#c") == "com,x,blog)/a?b"
+
+
+def test_toxicity_learns_misspellings(spark, no_docs):
+    rng = random.Random(4)
+    words, bad = [f"{a}{b}{c}" for a in "bdfg" for b in "aeio" for c in ("rn", "lt", "sk")], ["wrethling", "snarkvile"]
+    rows = [(i, " ".join(rng.choices(words, k=30) + (rng.choices(bad, k=3) if i % 3 == 0 else []))) for i in range(300)]
+    docs = spark.createDataFrame([*rows, (999, " ".join(rng.choices(words, k=30) + ["wrethlling", "snarkville"])), (1000, None), (None, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(300)] + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    how = toxicity.Subwords(buckets=1 << 14, steps=150, batch=32)
+    out = {r["id"]: r for r in toxicity.score_toxicity(docs, toxicity.fit(docs, labels, how), how).collect()}
+    unseen = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([out[i]["predicted"] == int(i % 3 == 0) for i in unseen]) > 0.95 and all(out[i]["held_out"] for i in unseen)
+    assert out[999]["predicted"] == 1 and 0 <= out[1000]["score"] <= 1
+    assert toxicity.score_toxicity(no_docs, toxicity.fit(no_docs, labels.where("false"), how), how).count() == 0
+
+
+def test_quality_shrinks_small_sites(spark, no_docs):
+    rng = random.Random(6)
+    good = lambda: " ".join(rng.choices(["plain", "words", "make", "sentences", "here."], k=40))
+    bad = lambda: " ".join(f"{w}$$$" for w in rng.choices(["BUY", "NOW", "CHEAP"], k=40))
+    rows = [(i, bad() if i % 4 == 0 else good(), f"h{i % 2}", "p") for i in range(200)] + [(500, good(), None, None), (501, None, "h0", "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    how = quality.Quality()
+    out = {r["id"]: r for r in quality.score_quality(docs, quality.fit(docs, labels, how), how, F.col("source"), F.col("lang")).collect()}
+    assert len(out) == 202 and all(out[i]["keep"] == (i % 4 != 0) for i in range(200))
+    assert out[1]["p_host"] > out[2]["p_host"]
+    assert quality.score_quality(no_docs, np.zeros(21), how, F.col("source"), F.col("source")).count() == 0
+
+
+def test_html_consensus(spark):
+    page = lambda body: f"<html><head><title>t</title><script>var x='</p>'</script></head><body><nav><a href='/'>menu</a></nav><div class='post-12 entry'>{body}<div class='comments'>ugly &amp; loud</div></div><div id='sidebar'>more</div><footer>end</footer></body></html>"
+    rows = [(i, f"http://h.com/{i}", page(f"<h1>Head {i}</h1><p>One &amp; two<br>three<p><b>four </b>  five &#233;")) for i in range(4)] + [(9, "http://h.com/9", None), (10, None, "no markup at all"), (11, "http://[", ""), (12, "http://h.com/12", "<body><p>Only here</p></body>")]
+    out = {r["page_id"]: r["text"] for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert out[2] == "Head 2\nOne & two three\nfour five é"
+    assert out[9] == out[11] == "" and out[10] == "no markup at all" and out[12] == "Only here"
+    assert html.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_token_counts_are_the_best_segmentation(docs, no_docs):
+    costs = {"▁": 1.0, "a": 2.0, "ab": 2.5, "b": 2.0, "▁a": 1.5, "bab": 4.4}
+    trie = token_counts.PrefixTrie(costs)
+
+    def best(word):
+        if not word:
+            return 0.0, 0
+        options = [(c + best(word[len(p) :])[0], 1 + best(word[len(p) :])[1]) for p, c in costs.items() if word.startswith(p)]
+        n = len(word[0].encode())
+        return min([*options, (trie.byte_cost * n + best(word[1:])[0], n + best(word[1:])[1])])
+
+    for text in ["a", "ab", "abab", "bab abab é", "", None, "ababab"]:
+        assert trie.count([text])[1][0] == sum(best("▁" + w)[1] for w in (text or "").split())
+    assert token_counts.token_counts(docs, vocabulary_path("piece_bpe_32k.model")).count() == len(TEXTS) + 2
+    assert token_counts.token_counts(no_docs, vocabulary_path("piece_bpe_32k.model")).count() == 0
