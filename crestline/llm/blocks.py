@@ -10,17 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def dealt(rows: DataFrame, key: str, sizes: DataFrame, block: int) -> DataFrame:
+def dealt(rows: DataFrame, n: str, block: int) -> DataFrame:
     """rows with p and q, the pair of blocks that they are compared in, and mine, the block that they are of.
 
-    A key with more than block rows is split into blocks; each row goes to the
-    pairs that its block is part of, and no task gets more than two blocks.
-    sizes has key and n, for the keys that matter.
+    n names the column with the size of a row's group. A group of more than
+    block rows is split into blocks; each row goes to the pairs that its block
+    is part of, and no task gets more than two blocks.
     """
-    parts = F.ceil(F.col("n") / block).cast("int")
-    mine = F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int")
+    split = rows.withColumn("parts", F.ceil(F.col(n) / block).cast("int")).drop(n)
+    split = split.withColumn("mine", F.pmod(F.xxhash64("id", F.lit(7)), F.col("parts")).cast("int"))
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("mine")).alias("p"), F.greatest(o, F.col("mine")).alias("q"))))
-    split = rows.join(sizes.select(key, parts.alias("parts")), key).withColumn("mine", mine)
     return split.select("*", pairs.alias("pq")).select("*", "pq.p", "pq.q").drop("pq", "parts")
 
 

@@ -203,8 +203,8 @@ def near_duplicate_vectors(rows: DataFrame, how: Cells | None = None, id_col: st
     classes = written(linkable.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.first("dim").alias("dim"), F.first("unit").alias("unit")), "classes")
     centres = fit_centres(classes, classes.count(), how)
     cells = written(in_cells(classes, centres, how.least), "cells")
-    sizes = cells.groupBy("cell").agg(F.count("*").alias("n"))
-    found = written(_compared(dealt(cells.withColumnRenamed("n", "weight"), "cell", sizes, how.block).withColumnRenamed("weight", "n"), how.least), "found")
+    sizes = cells.groupBy("cell").agg(F.count("*").alias("size"))
+    found = written(_compared(dealt(cells.join(sizes, "cell"), "size", how.block), how.least), "found")
     counts = found.groupBy("digest").agg(F.sum("n_links").alias("n_links"))
     twins = linkable.join(classes.select("digest", F.col("id").alias("b")), "digest").where("id <> b").join(classes.select("id").distinct(), "id", "left_semi").select(F.col("id").alias("a"), "b")
     components = connected_components(found.select(F.col("id").alias("a"), "b").unionByName(twins)).withColumnRenamed("node", "id")

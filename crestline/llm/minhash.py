@@ -34,8 +34,7 @@ class MinHash:
     With the defaults a pair at similarity 0.85 shares no band with a chance
     of 2e-8, one at 0.8 of 3e-6. margin is how far below the least similarity
     two signatures may agree and still be confirmed on full sets: five
-    standard deviations at 96 minima. filter_bits bounds the bit map of
-    candidates, here to 1 MB; a hundred million of them want 1 << 30.
+    standard deviations at 96 minima.
     """
 
     words: int = 3
@@ -44,7 +43,6 @@ class MinHash:
     rows: int = 4
     margin: float = 0.2
     block: int = 1024
-    filter_bits: int = 1 << 23
     seed: int = 20240131
 
     @property
@@ -229,41 +227,19 @@ def _set_links(how: MinHash) -> Callable[[np.ndarray, list, np.ndarray], np.ndar
     return links
 
 
-def _candidate_sets(docs: DataFrame, ids: DataFrame, how: MinHash) -> DataFrame:
-    """id and shingles of the documents whose id is among ids, and of few others.
+def _candidate_sets(docs: DataFrame, clusters: DataFrame, how: MinHash) -> DataFrame:
+    """id, cluster, n (the cluster's size) and shingles of the documents in clusters.
 
-    A bit map of fixed size, from hashes of the ids, says in the scan which texts
-    can be needed, so the rest is neither hashed nor shuffled. It errs toward
-    keeping; a map too small for its ids costs shuffle, never a document.
+    Texts are what the join shuffles: they compress well, and hashes do not.
     """
 
-    def places(values: np.ndarray) -> np.ndarray:
-        x = values.astype(np.int64).view(np.uint64)
-        return np.stack([_mix(x + np.uint64(salt)) % np.uint64(how.filter_bits) for salt in (1, 2)])
-
-    def marked(batches):
-        for batch in batches:
-            at = np.unique(places(batch.column(0).to_numpy(zero_copy_only=False)))
-            words = (at // np.uint64(64)).astype(np.int64)
-            bits = np.left_shift(np.uint64(1), at % np.uint64(64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(bits)], names=["word", "bits"])
-
-    rows = ids.select("id").mapInArrow(marked, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
-    bits = np.zeros(-(-how.filter_bits // 64), dtype=np.int64)
-    bits[[r["word"] for r in rows]] = [r["bits"] for r in rows]
-    shared = docs.sparkSession.sparkContext.broadcast(bits.view(np.uint64))
-
     def run(batches):
         for batch in batches:
-            known = batch.filter(batch.column(0).is_valid())
-            at = places(known.column(0).to_numpy(zero_copy_only=False))
-            hit = (shared.value[(at // np.uint64(64)).astype(np.int64)] >> (at % np.uint64(64))) & np.uint64(1)
-            known = known.filter(pa.array(hit.all(axis=0)))
-            for start, texts in slices(known, 1):
+            for start, texts in slices(batch, 3):
                 sets = pa.array([shingles(t, how.words).tobytes() for t in texts], pa.binary())
-                yield pa.RecordBatch.from_arrays([known.column(0).slice(start, len(texts)), sets], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, len(texts)) for k in range(3)), sets], names=["id", "cluster", "n", "shingles"])
 
-    return docs.mapInArrow(run, "id long, shingles binary")
+    return docs.join(clusters, "id").select("id", "cluster", "n", "text").mapInArrow(run, "id long, cluster long, n long, shingles binary")
 
 
 def near_duplicates(docs: DataFrame, how: MinHash | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,13 +262,13 @@ def near_duplicates(docs: DataFrame, how: MinHash | None = None, id_col: str = "
     reps = written(linkable.join(first, ["digest", "id"], "left_semi").dropDuplicates(["id", "digest"]).select("id", "keys", "marks"), "representatives")
     in_bands = reps.select("id", F.explode("keys").alias("key"))
     buckets = in_bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = dealt(in_bands, "key", buckets, how.block).join(reps.select("id", "marks"), "id")
+    shared = dealt(in_bands.join(buckets, "key"), "n", how.block).join(reps.select("id", "marks"), "id")
     clusters = connected_components(_stars(shared, "key", "marks", _marks_links(how)))
     clusters = written(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "clusters")
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+    sizes = written(clusters.groupBy("cluster").agg(F.count("*").alias("n")), "sizes")
     # Only documents with a candidate bring their full sets.
-    sets = _candidate_sets(rows, clusters, how).join(clusters, "id")
-    confirmed = _stars(dealt(sets, "cluster", sizes, how.block), "cluster", "shingles", _set_links(how))
+    sets = _candidate_sets(rows, written(clusters.join(sizes, "cluster"), "members"), how)
+    confirmed = _stars(dealt(sets, "n", how.block), "cluster", "shingles", _set_links(how))
     # An id with several texts links their classes.
     of_class = linkable.join(classes, "digest").select("id", "rep")
     twins = of_class.groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b <> most")
