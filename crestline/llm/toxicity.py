@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -83,7 +84,7 @@ class Batch:
         self.doc_by_id = np.repeat(np.arange(len(bags), dtype=np.int32), sizes)[order]
 
 
-def train(texts: list[str], labels: np.ndarray, share: float, how: Subwords) -> np.ndarray:
+def train(texts: Iterable[str], labels: np.ndarray, share: float, how: Subwords) -> np.ndarray:
     """For each bucket its part of the log-odds, and last the constant; share is that of label 1 among all labels.
 
     Embeddings and softmax are trained together by AdaGrad on shuffled batches.
@@ -97,15 +98,17 @@ def train(texts: list[str], labels: np.ndarray, share: float, how: Subwords) ->
         return scores
     table, rng = WordTable(how), np.random.default_rng(how.seed)
     bags = [table.bag(text) for text in texts]
+    del table, texts
     usable = rng.permutation([i for i, (ids, _) in enumerate(bags) if len(ids)])
     usable, kept_back = usable[len(usable) // 5 :], usable[: len(usable) // 5]
-    batches = [Batch([bags[i] for i in at], labels[at]) for at in np.array_split(usable, max(1, len(usable) // how.batch))]
+    batches = np.array_split(usable, max(1, len(usable) // how.batch))
     embed = (rng.uniform(-1, 1, (how.buckets, how.dim)) / how.dim).astype(np.float32)
     soft, bias = rng.normal(0, 0.1, (how.dim, 2)).astype(np.float32), np.zeros(2, dtype=np.float32)
     g_embed, g_soft, g_bias = np.full(how.buckets, 1e-12, dtype=np.float32), np.full((how.dim, 2), 1e-8, dtype=np.float32), np.full(2, 1e-8, dtype=np.float32)
     for _ in range(-(-how.steps // len(batches))):
         for b in rng.permutation(len(batches)):
-            batch = batches[b]
+            # Laid out anew each time: all batches at once would take several times the bags' memory.
+            batch = Batch([bags[i] for i in batches[b]], labels[batches[b]])
             mean = np.add.reduceat(embed[batch.ids] * batch.weights, batch.starts)
             z = mean @ soft + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
@@ -172,7 +175,9 @@ def fit(docs: DataFrame, labels: DataFrame, how: Subwords, id_col: str = "doc_id
     """The trained model; it learns from at most how.sample labelled documents, none of them held out."""
     sample, share = labelled_sample(docs, labels, "toxic", how.sample, id_col, text_col)
     rows = sorted((r["id"], r["y"], r["text"] or "") for r in sample.select("id", "y", "text").collect())
-    return train([r[2] for r in rows], np.array([r[1] for r in rows], dtype=np.int64), share, how)
+    y = np.array([r[1] for r in rows], dtype=np.int64)
+    texts = (rows.pop(0)[2] for _ in range(len(rows)))  # each text goes once its bag is made
+    return train(texts, y, share, how)
 
 
 def score_toxicity(docs: DataFrame, model: np.ndarray, how: Subwords, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
