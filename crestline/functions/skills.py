@@ -53,19 +53,27 @@ def expand(tokens: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(tokens, variants)))
 
 
-def matched(wanted: Column, have: Column, have_expanded: Column) -> Column:
-    """Those of wanted that a candidate has: as it is, by a common expansion, or one inside the other where both are long enough."""
+def expand_each(tokens: Column) -> Column:
+    """The expansion of each token by itself."""
+    return F.transform(tokens, lambda t: expand(F.array(t)))
 
-    def has(w: Column) -> Column:
+
+def matched(wanted: Column, wanted_expanded: Column, have: Column, have_expanded: Column) -> Column:
+    """Those of wanted that a candidate has: as it is, by a common expansion, or one inside the other where both are long enough.
+
+    wanted_expanded is expand_each(wanted), made once for a job rather than for each pair.
+    """
+
+    def has(w: Column, i: Column) -> Column:
         inside = F.exists(have, lambda h: (F.length(h) >= LONG_ENOUGH) & (F.length(w) >= LONG_ENOUGH) & (F.contains(h, w) | F.contains(w, h)))
-        return F.array_contains(have, w) | F.arrays_overlap(expand(F.array(w)), have_expanded) | inside
+        return F.array_contains(have, w) | F.arrays_overlap(F.get(wanted_expanded, i), have_expanded) | inside
 
     return F.filter(wanted, has)
 
 
-def overlap(wanted: Column, have: Column, have_expanded: Column) -> Column:
+def overlap(wanted: Column, wanted_expanded: Column, have: Column, have_expanded: Column) -> Column:
     """Share of wanted that is matched; nothing wanted gives 0."""
-    return F.when(F.size(wanted) == 0, 0.0).otherwise(F.size(matched(wanted, have, have_expanded)) / F.size(wanted))
+    return F.when(F.size(wanted) == 0, 0.0).otherwise(F.size(matched(wanted, wanted_expanded, have, have_expanded)) / F.size(wanted))
 
 
 def weighted_coverage(wanted: Column, have: Column) -> Column:

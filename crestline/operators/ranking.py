@@ -63,11 +63,11 @@ def saved_rankings(rankings: DataFrame, k: int) -> DataFrame:
 
 def pair_scores(pairs: DataFrame, jobs: DataFrame, candidates: DataFrame) -> DataFrame:
     """job_id, candidate_id and all parts of the weak score, for given pairs. Skills are parsed and expanded once on each side."""
-    j = jobs.select("job_id", "min_experience", "education_required", skills.parse_skills(F.col("skills")).alias("job_skills"))
+    j = jobs.select("job_id", "min_experience", "education_required", skills.parse_skills(F.col("skills")).alias("job_skills")).withColumn("job_expanded", skills.expand_each(F.col("job_skills")))
     c = candidates.select("candidate_id", "years", "degree", skills.parse_skills(F.col("skills")).alias("cand_skills")).withColumn("cand_expanded", skills.expand(F.col("cand_skills")))
     both = pairs.select("job_id", "candidate_id").distinct().join(j, "job_id").join(c, "candidate_id")
     scored = both.withColumns({
-        "skill": skills.overlap(F.col("job_skills"), F.col("cand_skills"), F.col("cand_expanded")),
+        "skill": skills.overlap(F.col("job_skills"), F.col("job_expanded"), F.col("cand_skills"), F.col("cand_expanded")),
         "exp": scoring.exp_score(F.col("years"), F.col("min_experience")),
         "band": scoring.experience_band(F.col("years"), F.col("min_experience"), F.lit(None).cast("double")),
         "edu": scoring.edu_score(F.col("degree"), F.col("education_required")),

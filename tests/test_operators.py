@@ -25,8 +25,9 @@ def test_parse_skills(spark, raw, want):
 
 def test_overlap_knows_synonyms(spark):
     wanted, have = skills.parse_skills(F.lit("kafka, aws, sql")), skills.parse_skills(F.lit("message queues, ec2"))
-    assert value(spark, skills.overlap(wanted, have, skills.expand(have))) == pytest.approx(2 / 3)
-    assert value(spark, skills.overlap(skills.parse_skills(F.lit("")), have, skills.expand(have))) == 0.0
+    assert value(spark, skills.overlap(wanted, skills.expand_each(wanted), have, skills.expand(have))) == pytest.approx(2 / 3)
+    none = skills.parse_skills(F.lit(""))
+    assert value(spark, skills.overlap(none, skills.expand_each(none), have, skills.expand(have))) == 0.0
 
 
 @pytest.mark.parametrize(("years", "least", "want"), [(None, 2.0, 0.4), (2.0, 2.0, 1.0), (9.0, 2.0, 0.9), (1.0, 2.0, 0.7), (0.0, 2.0, 0.4), (3.0, None, 0.7)])
