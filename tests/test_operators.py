@@ -1,6 +1,7 @@
 """Operators and expressions on small tables: edges that the fixture tables do not hold."""
 
 import datetime
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,3 +85,12 @@ def test_windows_are_alike_on_a_stream(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(availableNow=True).start()
     assert query.awaitTermination(120)
     assert sorted(map(tuple, spark.table("windows").collect())) == sorted(map(tuple, activity.windowed_counts(events).collect()))
+
+
+def test_split_goes_by_the_id_alone(spark):
+    ids = [*range(300), *range(0, 300, 3), None, None]
+    rows = ranking.split_by_id(spark.createDataFrame([(i, n) for n, i in enumerate(ids)], "id long, n long"), "id").collect()
+    want = lambda i: "test" if i is None else [*["train"] * 8, "val", "test"][zlib.crc32(str(i).encode()) % 10]
+    assert len(rows) == len(ids)
+    assert all(r["split"] == want(r["id"]) for r in rows)
+    assert {r["split"] for r in rows} == {"train", "val", "test"}
