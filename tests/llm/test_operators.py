@@ -186,6 +186,23 @@ def test_html_consensus(spark):
     assert html.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def html_texts(spark, pages):
+    rows = [(i, url, page) for i, (url, page) in enumerate(pages)]
+    out = html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r["text"] for r in sorted(out, key=lambda r: r["page_id"])]
+
+
+def test_html_leaves_out_no_part_of_an_article(spark):
+    lead = "<html><body>\n<nav>menu</nav>\n<div class='lead'><p>A short lead.</p></div>\n<div class='story'><p>" + "The long story goes on. " * 3 + "</p></div>\n</body></html>"
+    section = "<body><main><article><p>First half of it.</p></article>\n<section><p>Second half.</p></section></main><footer>end</footer></body>"
+    links = "<body><div class='list'><p><a href='/1'>One</a></p><p><a href='/2'>Two</a></p></div></body>"
+    pages = [(f"http://{host}.com/{i}", page) for host, page in (("a", lead), ("b", section), ("c", links)) for i in range(3)]
+    want = ["A short lead.\n" + ("The long story goes on. " * 3).strip(), "First half of it.\nSecond half.", "One\nTwo"]
+    assert html_texts(spark, pages) == [text for text in want for _ in range(3)]
+    elements = html.parse("<body>\n<div>\n<article><h1>a</h1> <p>b</p></article>\n</div>\n<aside>c</aside></body>")
+    assert html.best_container(elements).tag == "article"  # the smallest, white space not counted
+
+
 def test_token_counts_are_the_best_segmentation(docs, no_docs):
     costs = {"▁": 1.0, "a": 2.0, "ab": 2.5, "b": 2.0, "▁a": 1.5, "bab": 4.4}
     trie = token_counts.PrefixTrie(costs)
