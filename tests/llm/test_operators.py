@@ -203,6 +203,14 @@ def test_html_leaves_out_no_part_of_an_article(spark):
     assert html.best_container(elements).tag == "article"  # the smallest, white space not counted
 
 
+def test_html_of_a_host_with_two_templates(spark):
+    common = "<body><article><p>Post {}.</p></article></body>"
+    other = "<body><article>Teaser</article><div class='text'><p>The page's own text, a long one.</p></div></body>"
+    want = [f"Post {i}." for i in range(3)] + ["Teaser\nThe page's own text, a long one."]
+    for urls in (["http://h.com/1"] * 4, [None, "http://[", "", None]):  # a host, and the pages without one
+        assert html_texts(spark, list(zip(urls, [common.format(i) for i in range(3)] + [other], strict=True))) == want
+
+
 def test_token_counts_are_the_best_segmentation(docs, no_docs):
     costs = {"▁": 1.0, "a": 2.0, "ab": 2.5, "b": 2.0, "▁a": 1.5, "bab": 4.4}
     trie = token_counts.PrefixTrie(costs)
