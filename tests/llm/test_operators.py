@@ -211,6 +211,17 @@ def test_html_of_a_host_with_two_templates(spark):
         assert html_texts(spark, list(zip(urls, [common.format(i) for i in range(3)] + [other], strict=True))) == want
 
 
+def test_html_keeps_layout_wrappers(spark):
+    wrappers = ["<div class='layout with-sidebar'>{}</div>", "<div class=no-sidebar>{}</div>", "<section class='has-banner'>{}</section>", "<div id='content-share'>{}</div>", "<div class='menu-open'>{}</div>", "<article class='post related-open'>{}</article>", "<article class='related'>{}</article>", "<div class='sidebar'>{}</div>"]
+    body = "<p>An article that has to stay.</p><div class='site-footer'>foot</div><div class='x comments'>loud</div><div id='ad-2'>buy</div><div class='cookie-notice'>ok</div>"
+    pages = [(f"http://w{i}.com/", f"<body>{w.format(body)}</body>") for i, w in enumerate(wrappers)]
+    # A small wrapper of that kind, beside more text, stays too.
+    pages += [(f"http://s{i}.com/", f"<body>{w.format('<p>Brief.</p>')}<div>{'Much more text. ' * 9}</div></body>") for i, w in enumerate(wrappers[:-1])]
+    texts = html_texts(spark, pages)
+    assert texts[: len(wrappers)] == ["An article that has to stay."] * len(wrappers)
+    assert all(t.startswith("Brief.\nMuch more") for t in texts[len(wrappers) :])
+
+
 def test_token_counts_are_the_best_segmentation(docs, no_docs):
     costs = {"▁": 1.0, "a": 2.0, "ab": 2.5, "b": 2.0, "▁a": 1.5, "bab": 4.4}
     trie = token_counts.PrefixTrie(costs)
