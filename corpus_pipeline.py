@@ -23,23 +23,24 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def poor_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose quality, seen with their site's, is too low; rows that share an id, or have none, stay or go together."""
+    """Drops documents whose quality, seen with their site's, is too low. Each row is judged by its own text, whatever its id."""
     how = quality.Quality()
     model = quality.fit(docs, table(spark, sf_dir, "labels"), how)
-    scores = written(quality.score_quality(docs, model, how, F.col("source"), F.col("lang")), "quality")
-    rejected = scores.where("not keep").select("id")
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["id"]), "left_anti")
+    return quality.without_poor(docs, model, how, F.col("source"), F.col("lang"))
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
-    found = written(minhash.near_duplicates(docs, minhash.MinHash(words=5, percent=80)), "near_duplicates")
-    dropped = found.where("not kept").select("id").distinct()
-    kept = docs.join(dropped, docs["doc_id"] == dropped["id"], "left_anti")
-    # An id that occurs again is one document; only such rows are dealt out for it.
-    again = written(found.where("kept and id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
-    once = kept.join(again, kept["doc_id"] == again["id"], "left_anti")
-    return once.unionByName(kept.join(again, kept["doc_id"] == again["id"], "left_semi").dropDuplicates(["doc_id"]))
+    """Keeps one row of each group of near duplicates, that with the smallest id: five-word shingles, similarity 0.8 or more.
+
+    Rows are told apart by a key that is written with them: ids may be null or
+    repeated, and rows that share one are documents of their own.
+    """
+    keyed = written(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("key")), "keyed")
+    found = written(minhash.near_duplicates(keyed, minhash.MinHash(words=5, percent=80), "key", "row.text").select(F.col("id").alias("key"), "component_id"), "near_duplicates")
+    named = found.join(keyed.select("key", F.col("row.doc_id").alias("doc_id")), "key")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("first")).select("first.key")
+    dropped = written(found.join(first, "key", "left_anti").select("key"), "dropped")
+    return keyed.join(dropped, "key", "left_anti").select("row.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from crestline.llm.bpe import slices
 from crestline.llm.common import written
@@ -123,18 +124,10 @@ def _strength(groups: DataFrame, how: Quality) -> float:
     return how.strongest if between <= 1 / (how.strongest + 1) else max(how.weakest, 1 / between - 1)
 
 
-def score_quality(docs: DataFrame, model: np.ndarray, how: Quality, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, p_document, p_host, p_path, score, keep of each row of docs.
-
-    host and path name a document's site and its part of it; null is a site of
-    its own. A null text counts as empty. Each row counts as one document, also
-    if its id is null or repeated. A group's other documents are its evidence
-    about a document, so one alone on its path gets its host's mean.
-    """
+def _scored(seen: DataFrame, how: Quality) -> DataFrame:
+    """seen, a written table with host, path and p, with p_host, p_path and score of each row beside its other columns."""
     logit = lambda c: F.log(c / (1 - c))
     bounded = lambda c: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), c))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.col(text_col).cast("string").alias("text"))
-    seen = written(_evidence(rows, model), "evidence")
     paths = written(seen.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     n, s = hosts.agg(F.sum("n"), F.sum("s")).first()
@@ -149,4 +142,35 @@ def score_quality(docs: DataFrame, model: np.ndarray, how: Quality, host: Column
     p_path = (F.col("s") - F.col("p") + k_path * F.col("p_host")) / (F.col("n") - 1 + k_path)
     out = seen.join(sites, ["host", "path"]).withColumn("p_host", bounded(p_host)).withColumn("p_path", bounded(p_path))
     score = 1 / (1 + F.exp(-(logit(bounded(F.col("p"))) + logit(F.col("p_path")) - math.log(overall / (1 - overall)))))
-    return out.withColumn("score", score).select("id", F.col("p").alias("p_document"), "p_host", "p_path", "score", (F.col("score") >= how.least).alias("keep"))
+    return out.withColumn("score", score)
+
+
+def score_quality(docs: DataFrame, model: np.ndarray, how: Quality, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, p_document, p_host, p_path, score, keep of each row of docs.
+
+    host and path name a document's site and its part of it; null is a site of
+    its own. A null text counts as empty. Each row counts as one document, also
+    if its id is null or repeated. A group's other documents are its evidence
+    about a document, so one alone on its path gets its host's mean.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.col(text_col).cast("string").alias("text"))
+    out = _scored(written(_evidence(rows, model), "evidence"), how)
+    return out.select("id", F.col("p").alias("p_document"), "p_host", "p_path", "score", (F.col("score") >= how.least).alias("keep"))
+
+
+def without_poor(docs: DataFrame, model: np.ndarray, how: Quality, host: Column, path: Column, text_col: str = "text") -> DataFrame:
+    """The rows of docs, as they are, that score_quality would keep. Each row is judged by its own text and site; ids play no part."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            row = batch.column(0)
+            texts = pa.RecordBatch.from_arrays([row.field(at)], names=["text"])
+            for start, part in slices(texts, 0):
+                z = _expanded(np.array([features(t) for t in part])) @ model
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(start, len(part)) for k in range(3)] + [pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["row", "host", "path", "p"])
+
+    # The row goes along as one column, so that none of its names meets one made here.
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"))
+    seen = written(rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("p", DoubleType())])), "evidence")
+    return _scored(seen, how).where(F.col("score") >= how.least).select("row.*")
