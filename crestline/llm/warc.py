@@ -36,14 +36,14 @@ SHARD_CAPTURES = 50_000
 
 
 def url_key(url: str | None) -> str:
-    """The URL with its host reversed: http://Blog.x.com:80/a?b#c is com,x,blog)/a?b. Null and what is no URL sort first, as they are."""
+    """The URL with its host reversed: http://Blog.x.com:80/a?b#c is com,x,blog)/a?b. Null and what is no URL are left as they are, but that a newline is %0A: the index holds a key a line."""
     try:
         parts = urlsplit(url or "")
         host, port = parts.hostname, parts.port
     except ValueError:
-        return url or ""
+        return (url or "").replace("\n", "%0A")
     if not host:
-        return url or ""
+        return (url or "").replace("\n", "%0A")
     shown = "" if port in (None, {"http": 80, "https": 443}.get(parts.scheme)) else f":{port}"
     return ",".join(reversed(host.split("."))) + shown + ")" + (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
 
@@ -158,7 +158,7 @@ def build_index(captures: DataFrame) -> Archive:
         shard, held = TaskContext.get().partitionId(), []
 
         def block(lines: list[tuple]) -> tuple:
-            text = "\n".join("\t".join([*(str(x) for x in line[1:]), line[0].replace("\n", "%0A")]) for line in lines)
+            text = "\n".join("\t".join([*(str(x) for x in line[1:]), line[0]]) for line in lines)
             return shard, lines[0][0], lines[0][1], len(lines), zlib.compress(text.encode(), 6)
 
         def batch_of(blocks: list[tuple]) -> pa.RecordBatch:
@@ -203,7 +203,7 @@ def look_up(index: Archive, wanted: DataFrame, url_col: str = "url", id_col: str
             return opened[i]
 
         found = []
-        for k in sorted(set(zip((x.replace("\n", "%0A") for x in asked["key"]), asked["id"], strict=True))):
+        for k in sorted(set(zip(asked["key"], asked["id"], strict=True))):
             i = max(0, bisect.bisect_left(directory, k) - 1)  # the same key may begin in the block before
             while i < len(directory) and (directory[i] <= k or not i):
                 keys, lines = block(i)

@@ -149,6 +149,12 @@ def test_warc_round_trip(spark):
     assert warc.url_key("http://Blog.x.com:80/a?b#c") == "com,x,blog)/a?b"
 
 
+def test_warc_finds_urls_with_a_newline(spark):
+    rows = [(1, "a\nb", "x"), (2, "a b", "y"), (3, "a%0Ab", "z"), (4, "a!b", "v"), (5, "http://[\n", "w")]
+    out = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted(r["page_id"] for r in out) == [1, 2, 3, 4, 5]
+
+
 def test_toxicity_learns_misspellings(spark, no_docs):
     rng = random.Random(4)
     words, bad = [f"{a}{b}{c}" for a in "bdfg" for b in "aeio" for c in ("rn", "lt", "sk")], ["wrethling", "snarkvile"]
