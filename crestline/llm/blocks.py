@@ -46,3 +46,42 @@ def _starts(parts: list[pa.RecordBatch], n_keys: int) -> Iterator[tuple[pa.Recor
         whole = pa.Table.from_batches(parts).combine_chunks().to_batches(max_chunksize=rows)[0]
         keys = [whole.column(k).to_numpy() for k in range(n_keys)]
         yield whole, np.r_[0, np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1]
+
+
+def meetings(batches: Iterator[pa.RecordBatch], n_keys: int, guest: int, most: int) -> Iterator[tuple[str, pa.RecordBatch | None]]:
+    """Groups of home rows and the guests that come by, from batches sorted by their first n_keys columns and the column guest (0 at home, 1 not).
+
+    ("open", all home rows), ("guests", at most `most` rows) any number of
+    times, and ("close", None) for each group; only the home rows are held. A
+    group without home rows is left out.
+    """
+    key, home, parts = None, False, []
+
+    def opened():
+        return "open", pa.Table.from_batches(parts).combine_chunks().to_batches(max_chunksize=sum(p.num_rows for p in parts))[0]
+
+    for batch in batches:
+        columns = [batch.column(k).to_numpy() for k in (*range(n_keys), guest)]
+        change = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+        for i, j in zip([0, *change], [*change, batch.num_rows], strict=True):
+            if i == j:
+                continue
+            if (here := tuple(c[i] for c in columns[:-1])) != key:
+                if parts:
+                    if not home:
+                        yield opened()
+                    yield "close", None
+                key, home, parts = here, False, []
+            part = batch.slice(i, j - i)
+            if not columns[-1][i]:
+                parts.append(part)
+            elif parts:
+                if not home:
+                    home = True
+                    yield opened()
+                for lo in range(0, j - i, most):
+                    yield "guests", part.slice(lo, most)
+    if parts:
+        if not home:
+            yield opened()
+        yield "close", None

@@ -130,6 +130,33 @@ def test_vectors_are_brute_force(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["kept"] for i in (900, 901, 902, 903, 904)) and got[906]["component_id"] == 905
     assert embeddings.near_duplicate_vectors(df.where("false")).count() == 0
 
+
+def test_vectors_of_a_hot_cell_and_clashing_columns(spark):
+    """One cell of many blocks and parts of guests; columns that are called like the operator's own."""
+    rng = np.random.default_rng(8)
+    near = lambda n, d, spread: np.eye(8)[d] + rng.normal(scale=spread, size=(n, 8))
+    x = np.concatenate([near(150, 0, 0.11), near(20, 3, 0.3), near(10, 5, 0.02)])
+    rows = [(i, v.tolist(), 1, "x") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id int, digest string")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (u @ u.T >= 0.95) & ~np.eye(len(u), dtype=bool)
+    want = brute_components(len(u), lambda i, j: linked[i, j])
+    for how in (embeddings.Cells(per_cell=1000, block=16, guests=40), embeddings.Cells(per_cell=60, block=16, guests=40, sample=200)):
+        got = {r["id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicate_vectors(df, how).collect()}
+        assert got == {i: (n, want[i]) for i, n in enumerate(linked.sum(axis=1).tolist())}
+
+
+def test_vectors_with_repeated_ids_hang_together(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(3, a), (5, b), (7, a), (7, b), (8, [1e-170, 0.0, 0.0]), (9, [1e200, 1e199, 0.0]), (11, c), (11, c)]
+    out = embeddings.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r["id"], r["n_links"], r["component_id"]) for r in out) == [(3, 3, 3), (5, 1, 3), (7, 1, 3), (7, 3, 3), (8, 3, 3), (9, 3, 3), (11, 1, 11), (11, 1, 11)]
+
+
+def test_top_k_is_brute_force(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(320, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)], "vec_id long, embedding array<float>").repartition(4)
     q = np.floor(256 * x.astype(float)).astype(int)
     top = topk.top_k(df.where("vec_id < 900"), k=4, query_every=50, block=64, queries_at_once=3, few=8).collect()
     for i in range(0, len(x), 50):
