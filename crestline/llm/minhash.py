@@ -26,6 +26,8 @@ from crestline.llm.blocks import bounded_groups, dealt
 from crestline.llm.bpe import slices
 from crestline.llm.common import written
 from crestline.llm.components import connected_components
+from crestline.llm.membership import Sieve
+
 
 @dataclass(frozen=True)
 class MinHash:
@@ -230,7 +232,8 @@ def _set_links(how: MinHash) -> Callable[[np.ndarray, list, np.ndarray], np.ndar
 def _candidate_sets(docs: DataFrame, clusters: DataFrame, how: MinHash) -> DataFrame:
     """id, cluster, n (the cluster's size) and shingles of the documents in clusters.
 
-    Texts are what the join shuffles: they compress well, and hashes do not.
+    Texts are what the join shuffles: they compress well, and hashes do not. A
+    Bloom filter of the clusters' ids keeps the other texts out of the shuffle.
     """
 
     def run(batches):
@@ -239,7 +242,9 @@ def _candidate_sets(docs: DataFrame, clusters: DataFrame, how: MinHash) -> DataF
                 sets = pa.array([shingles(t, how.words).tobytes() for t in texts], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(start, len(texts)) for k in range(3)), sets], names=["id", "cluster", "n", "shingles"])
 
-    return docs.join(clusters, "id").select("id", "cluster", "n", "text").mapInArrow(run, "id long, cluster long, n long, shingles binary")
+    # A merge at every size: what the shuffle carries grows in proportion.
+    near = docs.where(Sieve(clusters.select("id"), "id").may_hold(F.col("id"))).join(clusters.hint("merge"), "id")
+    return near.select("id", "cluster", "n", "text").mapInArrow(run, "id long, cluster long, n long, shingles binary")
 
 
 def near_duplicates(docs: DataFrame, how: MinHash | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,12 +262,11 @@ def near_duplicates(docs: DataFrame, how: MinHash | None = None, id_col: str = "
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketch = written(sketches(rows, how), "sketches")
     linkable = sketch.where("id is not null and digest is not null")
-    classes = written(linkable.groupBy("digest").agg(F.min("id").alias("rep")), "classes")
-    first = classes.select("digest", F.col("rep").alias("id"))
-    reps = written(linkable.join(first, ["digest", "id"], "left_semi").dropDuplicates(["id", "digest"]).select("id", "keys", "marks"), "representatives")
-    in_bands = reps.select("id", F.explode("keys").alias("key"))
+    # The one shuffle of keys and marks; copies are dropped before it.
+    classes = written(linkable.groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("marks").alias("marks")), "classes")
+    in_bands = classes.select("id", F.explode("keys").alias("key"))
     buckets = in_bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = dealt(in_bands.join(buckets, "key"), "n", how.block).join(reps.select("id", "marks"), "id")
+    shared = dealt(in_bands.join(buckets, "key"), "n", how.block).join(classes.select("id", "marks"), "id")
     clusters = connected_components(_stars(shared, "key", "marks", _marks_links(how)))
     clusters = written(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "clusters")
     sizes = written(clusters.groupBy("cluster").agg(F.count("*").alias("n")), "sizes")
@@ -270,10 +274,11 @@ def near_duplicates(docs: DataFrame, how: MinHash | None = None, id_col: str = "
     sets = _candidate_sets(rows, written(clusters.join(sizes, "cluster"), "members"), how)
     confirmed = _stars(dealt(sets, "n", how.block), "cluster", "shingles", _set_links(how))
     # An id with several texts links their classes.
-    of_class = linkable.join(classes, "digest").select("id", "rep")
-    twins = of_class.groupBy("id").agg(F.min("rep").alias("b"), F.max("rep").alias("most")).where("b <> most")
-    twins = of_class.join(twins, "id").select(F.col("rep").alias("a"), "b")
-    components = connected_components(confirmed.unionByName(twins)).withColumnRenamed("node", "rep")
-    named = classes.join(components, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
+    several = linkable.groupBy("id").agg(F.min(F.xxhash64("digest")).alias("one"), F.max(F.xxhash64("digest")).alias("other")).where("one <> other").select("id")
+    of_class = linkable.join(several, "id", "left_semi").join(classes.select("digest", F.col("id").alias("rep")), "digest").select("id", "rep")
+    least = of_class.groupBy("id").agg(F.min("rep").alias("b"))
+    twins = of_class.join(least, "id").where("rep <> b").select(F.col("rep").alias("a"), "b")
+    components = connected_components(confirmed.unionByName(twins)).withColumnRenamed("node", "id")
+    named = classes.select("digest", "id").join(components, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     own = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "id")).cast("long")
     return sketch.join(named, "digest", "left").select("id", "n_shingles", own.alias("component_id"), F.coalesce(own == F.col("id"), F.lit(True)).alias("kept"))
