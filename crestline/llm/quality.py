@@ -124,10 +124,28 @@ def _strength(groups: DataFrame, how: Quality) -> float:
     return how.strongest if between <= 1 / (how.strongest + 1) else max(how.weakest, 1 / between - 1)
 
 
-def _scored(seen: DataFrame, how: Quality) -> DataFrame:
-    """seen, a written table with host, path and p, with p_host, p_path and score of each row beside its other columns."""
-    logit = lambda c: F.log(c / (1 - c))
-    bounded = lambda c: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), c))
+@dataclass(frozen=True)
+class Sites:
+    """table: host, path, n, s (sum of p), host_n, host_s. overall: the mean of p. k_host, k_path: prior counts."""
+
+    table: DataFrame
+    overall: float
+    k_host: float
+    k_path: float
+
+    def score(self, seen: DataFrame) -> DataFrame:
+        """seen, with host, path and p, with p_host, p_path and score of each row beside its other columns."""
+        logit = lambda c: F.log(c / (1 - c))
+        bounded = lambda c: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), c))
+        # Without the document itself, on either level.
+        p_host = (F.col("host_s") - F.col("p") + self.k_host * self.overall) / (F.col("host_n") - 1 + self.k_host)
+        p_path = (F.col("s") - F.col("p") + self.k_path * F.col("p_host")) / (F.col("n") - 1 + self.k_path)
+        out = seen.join(self.table, ["host", "path"]).withColumn("p_host", bounded(p_host)).withColumn("p_path", bounded(p_path))
+        return out.withColumn("score", 1 / (1 + F.exp(-(logit(bounded(F.col("p"))) + logit(F.col("p_path")) - math.log(self.overall / (1 - self.overall))))))
+
+
+def sites_of(seen: DataFrame, how: Quality) -> Sites:
+    """The groups of seen, with host, path and p; summed before the shuffle, so that a hot host is a row of each task."""
     paths = written(seen.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("p").alias("s")), "paths")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     n, s = hosts.agg(F.sum("n"), F.sum("s")).first()
@@ -136,13 +154,7 @@ def _scored(seen: DataFrame, how: Quality) -> DataFrame:
     hosts = written(hosts.select("host", F.col("n").alias("host_n"), F.col("s").alias("host_s"), ((F.col("s") + k_host * overall) / (F.col("n") + k_host)).alias("m")), "hosts")
     sites = paths.join(hosts, "host")
     k_path = _strength(sites, how)
-    sites = written(sites.select("host", "path", "n", "s", "host_n", "host_s"), "sites")
-    # Without the document itself, on either level.
-    p_host = (F.col("host_s") - F.col("p") + k_host * overall) / (F.col("host_n") - 1 + k_host)
-    p_path = (F.col("s") - F.col("p") + k_path * F.col("p_host")) / (F.col("n") - 1 + k_path)
-    out = seen.join(sites, ["host", "path"]).withColumn("p_host", bounded(p_host)).withColumn("p_path", bounded(p_path))
-    score = 1 / (1 + F.exp(-(logit(bounded(F.col("p"))) + logit(F.col("p_path")) - math.log(overall / (1 - overall)))))
-    return out.withColumn("score", score)
+    return Sites(written(sites.select("host", "path", "n", "s", "host_n", "host_s"), "sites"), overall, k_host, k_path)
 
 
 def score_quality(docs: DataFrame, model: np.ndarray, how: Quality, host: Column, path: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,12 +166,18 @@ def score_quality(docs: DataFrame, model: np.ndarray, how: Quality, host: Column
     about a document, so one alone on its path gets its host's mean.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"), F.col(text_col).cast("string").alias("text"))
-    out = _scored(written(_evidence(rows, model), "evidence"), how)
+    seen = written(_evidence(rows, model), "evidence")
+    out = sites_of(seen, how).score(seen)
     return out.select("id", F.col("p").alias("p_document"), "p_host", "p_path", "score", (F.col("score") >= how.least).alias("keep"))
 
 
 def without_poor(docs: DataFrame, model: np.ndarray, how: Quality, host: Column, path: Column, text_col: str = "text") -> DataFrame:
-    """The rows of docs, as they are, that score_quality would keep. Each row is judged by its own text and site; ids play no part."""
+    """The rows of docs, as they are, that score_quality would keep. Each row is judged by its own text and site; ids play no part.
+
+    Texts are read twice, for the sites' sums and for the scores, and stay
+    where they are as long as the table of sites is one that Spark broadcasts.
+    """
+    of = [F.coalesce(c.cast("string"), F.lit("")).alias(name) for name, c in (("host", host), ("path", path))]
     at = docs.columns.index(text_col)
 
     def run(batches):
@@ -170,7 +188,9 @@ def without_poor(docs: DataFrame, model: np.ndarray, how: Quality, host: Column,
                 z = _expanded(np.array([features(t) for t in part])) @ model
                 yield pa.RecordBatch.from_arrays([batch.column(k).slice(start, len(part)) for k in range(3)] + [pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], names=["row", "host", "path", "p"])
 
+    sums = _evidence(docs.select(F.lit(None).cast("long").alias("id"), *of, F.col(text_col).cast("string").alias("text")), model)
+    sites = sites_of(sums, how)
     # The row goes along as one column, so that none of its names meets one made here.
-    rows = docs.select(F.struct("*").alias("row"), F.coalesce(host.cast("string"), F.lit("")).alias("host"), F.coalesce(path.cast("string"), F.lit("")).alias("path"))
-    seen = written(rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("p", DoubleType())])), "evidence")
-    return _scored(seen, how).where(F.col("score") >= how.least).select("row.*")
+    rows = docs.select(F.struct("*").alias("row"), *of)
+    seen = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("p", DoubleType())]))
+    return sites.score(seen).where(F.col("score") >= how.least).select("row.*")
