@@ -12,8 +12,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, i
     """(id, text, label) of at most `most` labelled documents that are not held out, and the share of label 1 among all such labels.
 
     At most half come from either label, by the smallest hashes of the ids.
-    A repeated id has label 1 if any of its rows has; null ids and labels are
-    left out. `most` is what bounds the sample, and the ids that are broadcast.
+    A repeated id has label 1 if any of its labels is, and brings one text, that
+    with the smallest hash; null ids and labels are left out. `most` is what
+    bounds the sample, and the ids that are broadcast.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     known = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
@@ -22,4 +23,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, i
     half = [known.where(F.col("y") == v).orderBy(order, "id").limit(most // 2) for v in (0, 1)]
     chosen = half[0].unionByName(half[1])
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.join(F.broadcast(chosen), "id"), float(share or 0.0)
+    one = rows.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first"))
+    return one.select("id", "first.text", "y"), float(share or 0.0)

@@ -32,15 +32,19 @@ KEPT_WORDS = 500_000
 
 @dataclass(frozen=True)
 class Subwords:
-    """sample: labelled documents that the model is fitted on, at most; the rest is the model's size and its training."""
+    """sample: labelled documents that the model is fitted on, at most, and of each at most sample_words distinct words, those with the smallest hashes.
+
+    The rest is the model's size and its training.
+    """
 
     sample: int = 8_000
+    sample_words: int = 4_096
     buckets: int = 1 << 18
     dim: int = 4
     shortest: int = 3
     longest: int = 5
-    steps: int = 400
-    batch: int = 128
+    steps: int = 200
+    batch: int = 256
     rate: float = 1.5
     seed: int = 3
 
@@ -52,40 +56,57 @@ def subwords(word: str, how: Subwords) -> list[int]:
     return sorted(zlib.crc32(g.encode("utf-8", "surrogatepass")) % how.buckets for g in grams)
 
 
-class WordTable:
-    """The buckets of each distinct word."""
+def distinct_words(text: str | None) -> set[str]:
+    return set(WORD.findall((text or "").lower()))
 
-    def __init__(self, how: Subwords):
-        self.how, self.known = how, {}
 
-    def bag(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """The buckets of a text's distinct words, and the weight of each in the mean over all their subwords."""
-        words = set(WORD.findall((text or "").lower()))
-        for w in words.difference(self.known):
-            self.known[w] = np.array(subwords(w, self.how), dtype=np.int32)
-        if not words:
-            return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32)
-        ids, n = np.unique(np.concatenate([self.known[w] for w in words]), return_counts=True)
-        return ids, (n / n.sum()).astype(np.float32)
+class Bags:
+    """Texts as the numbers of their distinct words, and the buckets of each word once."""
 
+    def __init__(self, texts: Iterable[Iterable[str]], how: Subwords):
+        number: dict[str, int] = {}
+        self.words = [np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int32) for words in texts]
+        buckets = [np.array(subwords(w, how), dtype=np.int32) for w in number]
+        self.sizes = np.array([len(b) for b in buckets], dtype=np.int64)
+        self.starts = np.r_[0, np.cumsum(self.sizes)]
+        self.flat = np.concatenate([np.zeros(0, dtype=np.int32), *buckets])
 
-class Batch:
-    """Bags of some texts, laid out by text for the means and by bucket for the gradients."""
+    def laid_out(self, texts: np.ndarray) -> "Batch":
+        """The given texts, each of which has a word."""
+        return Batch(self, [self.words[i] for i in texts])
 
-    def __init__(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray):
-        sizes = np.array([len(ids) for ids, _ in bags])
-        self.labels, self.starts = labels, np.r_[0, np.cumsum(sizes)[:-1]]
-        self.ids, weights = np.concatenate([ids for ids, _ in bags]), np.concatenate([w for _, w in bags])
-        order = np.argsort(self.ids, kind="stable")
-        by_id = self.ids[order]
-        self.starts_by_id = np.flatnonzero(np.r_[True, by_id[1:] != by_id[:-1]])
-        self.touched = by_id[self.starts_by_id]
-        self.weights, self.weights_by_id = weights[:, None], weights[order][:, None]
-        self.doc_by_id = np.repeat(np.arange(len(bags), dtype=np.int32), sizes)[order]
 
-
-def train(texts: Iterable[str], labels: np.ndarray, share: float, how: Subwords) -> np.ndarray:
-    """For each bucket its part of the log-odds, and last the constant; share is that of label 1 among all labels.
+class Batch:
+    """Some texts by their words, and each distinct word of them once by its buckets."""
+
+    def __init__(self, bags: Bags, texts: list[np.ndarray]):
+        words, self.word_at = np.unique(np.concatenate(texts), return_inverse=True)
+        self.lengths = np.array([len(t) for t in texts])
+        self.text_starts = np.r_[0, np.cumsum(self.lengths)[:-1]]
+        self.sizes = bags.sizes[words]
+        ends = np.cumsum(self.sizes)
+        self.word_starts = ends - self.sizes
+        self.buckets = bags.flat[np.arange(ends[-1]) + np.repeat(bags.starts[words] - self.word_starts, self.sizes)]
+        self.n = np.add.reduceat(self.sizes[self.word_at], self.text_starts)
+
+    def mean(self, embed: np.ndarray) -> np.ndarray:
+        """For each text the mean over the buckets of its words."""
+        by_word = np.add.reduceat(embed[self.buckets], self.word_starts)
+        sums = np.add.reduceat(by_word[self.word_at], self.text_starts)
+        return (sums.T / self.n).T
+
+    def gradient(self, of_mean: np.ndarray, n_buckets: int) -> np.ndarray:
+        """The gradient of the buckets, given that of the texts' means."""
+        by_text = of_mean / self.n[:, None]
+        out = []
+        for part in by_text.T:
+            by_word = np.bincount(self.word_at, np.repeat(part, self.lengths), len(self.sizes))
+            out.append(np.bincount(self.buckets, np.repeat(by_word, self.sizes), n_buckets))
+        return np.stack(out, axis=1)
+
+
+def train(texts: Iterable[Iterable[str]], labels: np.ndarray, share: float, how: Subwords) -> np.ndarray:
+    """For each bucket its part of the log-odds, and last the constant; texts are their distinct words, share is that of label 1 among all labels.
 
     Embeddings and softmax are trained together by AdaGrad on shuffled batches.
     A fifth of the texts is kept back to set the constant.
@@ -96,33 +117,33 @@ def train(texts: Iterable[str], labels: np.ndarray, share: float, how: Subwords)
     scores[-1] = math.log(prior / (1 - prior))
     if len(set(labels.tolist())) < 2:
         return scores
-    table, rng = WordTable(how), np.random.default_rng(how.seed)
-    bags = [table.bag(text) for text in texts]
-    del table, texts
-    usable = rng.permutation([i for i, (ids, _) in enumerate(bags) if len(ids)])
+    bags, rng = Bags(texts, how), np.random.default_rng(how.seed)
+    usable = rng.permutation([i for i, words in enumerate(bags.words) if len(words)])
     usable, kept_back = usable[len(usable) // 5 :], usable[: len(usable) // 5]
     batches = np.array_split(usable, max(1, len(usable) // how.batch))
-    embed = (rng.uniform(-1, 1, (how.buckets, how.dim)) / how.dim).astype(np.float32)
-    soft, bias = rng.normal(0, 0.1, (how.dim, 2)).astype(np.float32), np.zeros(2, dtype=np.float32)
-    g_embed, g_soft, g_bias = np.full(how.buckets, 1e-12, dtype=np.float32), np.full((how.dim, 2), 1e-8, dtype=np.float32), np.full(2, 1e-8, dtype=np.float32)
+    embed = rng.uniform(-1, 1, (how.buckets, how.dim)) / how.dim
+    soft, bias = rng.normal(0, 0.1, (how.dim, 2)), np.zeros(2)
+    g_embed, g_soft, g_bias = np.full(how.buckets, 1e-12), np.full((how.dim, 2), 1e-8), np.full(2, 1e-8)
     for _ in range(-(-how.steps // len(batches))):
         for b in rng.permutation(len(batches)):
-            # Laid out anew each time: all batches at once would take several times the bags' memory.
-            batch = Batch([bags[i] for i in batches[b]], labels[batches[b]])
-            mean = np.add.reduceat(embed[batch.ids] * batch.weights, batch.starts)
+            batch = bags.laid_out(batches[b])
+            mean = batch.mean(embed)
             z = mean @ soft + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(p)), batch.labels] -= 1
+            p[np.arange(len(p)), labels[batches[b]]] -= 1
             error = p / len(p)
-            d_embed = np.add.reduceat((error @ soft.T)[batch.doc_by_id] * batch.weights_by_id, batch.starts_by_id)
-            g_embed[batch.touched] += (d_embed**2).mean(axis=1)
-            embed[batch.touched] -= how.rate * d_embed / np.sqrt(g_embed[batch.touched])[:, None]
+            d_embed = batch.gradient(error @ soft.T, how.buckets)
+            touched = np.flatnonzero(d_embed.any(axis=1))
+            g_embed[touched] += (d_embed[touched] ** 2).mean(axis=1)
+            embed[touched] -= how.rate * d_embed[touched] / np.sqrt(g_embed[touched])[:, None]
             for value, grad, seen in ((soft, mean.T @ error, g_soft), (bias, error.sum(axis=0), g_bias)):
                 seen += grad**2
                 value -= how.rate * 0.2 * grad / np.sqrt(seen)
     scores[:-1] = embed @ (soft[:, 1] - soft[:, 0])
-    odds = np.array([(scores[bags[i][0]] * bags[i][1]).sum() for i in kept_back])
+    odds = np.zeros(len(kept_back))
+    for lo in range(0, len(kept_back), how.batch):
+        odds[lo : lo + how.batch] = bags.laid_out(kept_back[lo : lo + how.batch]).mean(scores)
     scores[-1] = balanced_constant(odds, labels[kept_back], share) if len(set(labels[kept_back].tolist())) == 2 else bias[1] - bias[0]
     return scores
 
@@ -162,7 +183,7 @@ class Scorer:
             self.counts = np.r_[self.counts, sizes]
 
     def probabilities(self, texts: list[str | None]) -> np.ndarray:
-        words = [set(WORD.findall((t or "").lower())) for t in texts]
+        words = [distinct_words(t) for t in texts]
         self.learn(list(set().union(*words)))
         out = np.empty(len(texts))
         for i, ws in enumerate(words):
@@ -172,12 +193,23 @@ class Scorer:
 
 
 def fit(docs: DataFrame, labels: DataFrame, how: Subwords, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """The trained model; it learns from at most how.sample labelled documents, none of them held out."""
+    """The trained model; it learns from at most how.sample labelled documents, none of them held out.
+
+    Executors turn the texts into their distinct words, of which the driver gets
+    at most how.sample_words each: what it holds is bounded, however long texts are.
+    """
     sample, share = labelled_sample(docs, labels, "toxic", how.sample, id_col, text_col)
-    rows = sorted((r["id"], r["y"], r["text"] or "") for r in sample.select("id", "y", "text").collect())
-    y = np.array([r[1] for r in rows], dtype=np.int64)
-    texts = (rows.pop(0)[2] for _ in range(len(rows)))  # each text goes once its bag is made
-    return train(texts, y, share, how)
+
+    def run(batches):
+        for batch in batches:
+            for start, texts in slices(batch, 2):
+                words = [sorted(distinct_words(t)) for t in texts]
+                words = [w if len(w) <= how.sample_words else sorted(w, key=lambda x: (zlib.crc32(x.encode()), x))[: how.sample_words] for w in words]
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(start, len(texts)) for k in (0, 1)] + [pa.array(words, pa.list_(pa.string()))], names=["id", "y", "words"])
+
+    rows = sample.select("id", "y", "text").mapInArrow(run, "id long, y int, words array<string>").toArrow().sort_by("id")
+    y = rows.column("y").to_numpy().astype(np.int64)
+    return train((words.as_py() for words in rows.column("words")), y, share, how)
 
 
 def score_toxicity(docs: DataFrame, model: np.ndarray, how: Subwords, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
