@@ -29,10 +29,11 @@ from crestline.llm.common import scratch_path, written
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: An archive is closed once it has so many bytes.
 ARCHIVE_BYTES = 256 << 20
-#: Records of one archive within so many bytes are read by one task.
-READ_BYTES = 16 << 20
+#: Records of one archive within so many bytes are read together, and as many tasks read as all bytes ask for.
+READ_BYTES = 4 << 20
 BLOCK_LINES = 256
-SHARD_CAPTURES = 50_000
+#: A shard has at least so many captures, and there are at most so many shards: the directory's first level is bounded.
+SHARD_CAPTURES, MOST_SHARDS = 50_000, 20_000
 
 
 def url_key(url: str | None) -> str:
@@ -93,11 +94,12 @@ def gzip_member(data: bytes) -> bytes:
 
 @dataclass(frozen=True)
 class Archive:
-    """captures: url_key, page_id, file, start, size of each record. blocks: the index, by shard."""
+    """captures: url_key, page_id, file, start, size of each record. blocks: the index, by shard. bounds: the first key of each shard. size: bytes of all records."""
 
     captures: DataFrame
     blocks: DataFrame
     bounds: list[tuple[str, int]]
+    size: int
 
 
 def write_archives(pages: DataFrame, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -148,7 +150,8 @@ def build_index(captures: DataFrame) -> Archive:
     A null id sorts before all others of its URL, as the least 64-bit number.
     """
     spark = captures.sparkSession
-    shards = max(1, -(-captures.count() // SHARD_CAPTURES))
+    n, size = captures.agg(F.count("*"), F.sum("size")).first()
+    shards = max(1, min(-(-n // SHARD_CAPTURES), MOST_SHARDS))
     keyed = captures.withColumn("id", F.coalesce("page_id", F.lit(-(2**63))))
     ranged = keyed.select("url_key", "id", "file", "start", "size").repartitionByRange(shards, "url_key", "id").sortWithinPartitions("url_key", "id", "file", "start")
 
@@ -176,7 +179,7 @@ def build_index(captures: DataFrame) -> Archive:
 
     blocks = written(ranged.mapInArrow(run, "shard int, first_key string, first_id long, n int, data binary"), "index")
     firsts = blocks.groupBy("shard").agg(F.min(F.struct("first_key", "first_id")).alias("first")).orderBy("shard").collect()
-    return Archive(captures, blocks, [(r["first"]["first_key"], r["first"]["first_id"]) for r in firsts])
+    return Archive(captures, blocks, [(r["first"]["first_key"], r["first"]["first_id"]) for r in firsts], size or 0)
 
 
 def look_up(index: Archive, wanted: DataFrame, url_col: str = "url", id_col: str = "page_id") -> DataFrame:
@@ -217,12 +220,14 @@ def look_up(index: Archive, wanted: DataFrame, url_col: str = "url", id_col: str
     return routed.groupBy("shard").cogroup(index.blocks.groupBy("shard")).applyInPandas(search, "file string, start long, size long")
 
 
-def read_records(places: DataFrame) -> DataFrame:
+def read_records(places: DataFrame, size: int) -> DataFrame:
     """page_id, url, record_type, refers_to, payload_digest, payload_bytes, payload of the records at (file, start, size).
 
     A revisit's payload and payload_bytes are null here; resolve() adds them.
+    size is about how many bytes they have together. Places take few bytes
+    themselves, so the number of tasks is told and not left to Spark.
     """
-    dealt = places.repartition("file", F.floor(F.col("start") / READ_BYTES)).sortWithinPartitions("file", "start")
+    dealt = places.repartition(max(1, min(-(-size // READ_BYTES), 100_000)), "file", F.floor(F.col("start") / READ_BYTES)).sortWithinPartitions("file", "start")
 
     def run(batches):
         name, source = None, None
@@ -256,4 +261,4 @@ def round_trip(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     Pages whose url and id are both repeated come back once for each record.
     """
     index = build_index(write_archives(pages, min_bytes))
-    return resolve(read_records(look_up(index, pages)))
+    return resolve(read_records(look_up(index, pages), index.size))
