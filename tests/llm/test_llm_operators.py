@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, and on nulls, ties, repeats, empty tables and clashing columns."""
 
 import random
+import time
 import zlib
 
 import numpy as np
@@ -153,19 +154,43 @@ def test_vectors_with_repeated_ids_hang_together(spark):
     assert sorted((r["id"], r["n_links"], r["component_id"]) for r in out) == [(3, 3, 3), (5, 1, 3), (7, 1, 3), (7, 3, 3), (8, 3, 3), (9, 3, 3), (11, 1, 11), (11, 1, 11)]
 
 
+def best_by_hand(rows, every, k, scale=256):
+    ints = [(i, [topk.floored(float(c), scale) for c in v]) for i, v in rows if i is not None and v and all(c is not None and np.isfinite(c) for c in v)]
+    out = {}
+    for q, a in sorted(ints, reverse=True):
+        if q % every == 0:
+            scores = [(-min(topk.MOST_SCORE, max(topk.LEAST_SCORE, sum(x * y for x, y in zip(a, b, strict=True)))), j) for j, b in ints if j != q and len(a) == len(b)]
+            out[q] = [(j, -s) for s, j in sorted(scores)[:k]]
+    return out
+
+
+def top_k_of(df, **how):
+    got = {}
+    for r in sorted(topk.top_k(df, **how).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    return got
+
+
 def test_top_k_is_brute_force(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(320, 16)).astype(np.float32)
-    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(900, None)], "vec_id long, embedding array<float>").repartition(4)
-    q = np.floor(256 * x.astype(float)).astype(int)
-    top = topk.top_k(df.where("vec_id < 900"), k=4, query_every=50, block=64, queries_at_once=3, few=8).collect()
-    for i in range(0, len(x), 50):
-        s = q @ q[i]
-        best = sorted((j for j in range(len(x)) if j != i), key=lambda j: (-s[j], j))[:4]
-        assert [(r["vec_id"], r["score"]) for r in sorted(top, key=lambda r: r["rank"]) if r["query_id"] == i] == [(j, s[j]) for j in best]
+    x[40:60] = x[40]  # ties
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, None), (950, [float("inf")] * 16), (None, x[0].tolist()), (1000, [1.0, 2.0]), (1001, [3.0, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("x")).withColumn("dim", F.lit("y")).repartition(4)
+    want = {q: best for q, best in best_by_hand(rows, 50, 4).items() if best}
+    for how in ({"block": 64, "queries_at_once": 3, "few": 8}, {}):
+        assert top_k_of(df, k=4, query_every=50, **how) == want
     assert topk.top_k(df.where("false")).count() == 0
 
 
+def test_top_k_of_large_components_and_repeated_ids(spark):
+    rows = [(0, [5000.0, 1.0]), (1, [5000.0, -1.0]), (2, [0.5, 0.25]), (3, [1e300, 0.0]), (4, [-1e300, 2.0]), (5, [1.7e308, 1.7e308]), (6, [0.001, 0.002]), (50, [0.1, -0.1]), (7, [0.5, 0.25]), (7, [0.25, 0.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert top_k_of(df, k=5, query_every=50) == best_by_hand(rows, 50, 5)
+    again = spark.createDataFrame([(0, [1.0, 2.0]), (0, [1.0, 3.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r["query_id"], r["vec_id"]) for r in topk.top_k(again).collect()] == [(0, 1)]
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://Blog.A.com/x?y#z", "<p>é\r\n\r\nx</p>"), (2, None, None), (3, "no url", ""), (4, "http://a.com:8080/", "same"), (9, "http://a.com/", "same"), (None, "http://b.org", "same"), (9, "http://a.com/", "same")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
@@ -182,6 +207,20 @@ def test_warc_finds_urls_with_a_newline(spark):
     assert sorted(r["page_id"] for r in out) == [1, 2, 3, 4, 5]
 
 
+def test_warc_of_long_payloads_clashing_columns_and_many_tasks(spark, monkeypatch):
+    rng = random.Random(9)
+    long_ = "".join(rng.choices("abcdefghijklmnop<>\n", k=2_000_000))
+    rows = [(i, f"http://h{i % 7}.com/{i}", long_ if i in (3, 60) else f"page {i % 40}", 1, "x", "y") for i in range(80)] + [(90, "http://a.com/\nline", "break", 1, "x", "y")]
+    monkeypatch.setattr(warc, "READ_BYTES", 1 << 10)
+    monkeypatch.setattr(warc, "SHARD_CAPTURES", 30)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, size int, file string, sha string").repartition(5)
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.round_trip(pages).collect()}
+    last = {}
+    for i, _, html_, *_ in rows:
+        last[html_] = max(i, last.get(html_, 0))
+    assert got == {i: (len(h), "response" if last[h] == i else "revisit", None if last[h] == i else last[h]) for i, _, h, *_ in rows}
+
+
 def test_toxicity_learns_misspellings(spark, no_docs):
     rng = random.Random(4)
     words, bad = [f"{a}{b}{c}" for a in "bdfg" for b in "aeio" for c in ("rn", "lt", "sk")], ["wrethling", "snarkvile"]
@@ -236,6 +275,28 @@ def test_html_leaves_out_no_part_of_an_article(spark):
     assert html.best_container(elements).tag == "article"  # the smallest, white space not counted
 
 
+def test_html_of_broken_markup_takes_time_by_length():
+    stray = "".join(f"<p title='it\"s{i}>text" for i in range(8_000)) + '<a ">"' * 20_000
+    deep = "<b>" * 100_000 + "end" + "</i>" * 50_000 + "<hr>" * 20_000
+    lists = "<ul><li>" * 30_000 + "<p>x" * 30_000 + "<div" * 50_000
+    names = "<div " + "a" * 500_000 + " b=" * 100_000 + ">x</div>" + "<!" * 100_000 + "<title>" * 30_000
+    nested = "<div class=sidebar>x" * 30_000 + "y" * 100_000
+    for page in (stray, deep, lists, names, nested):
+        began = time.process_time()
+        elements = html.parse(page)
+        html.main_text([html.best_container(elements) or elements[0]])
+        assert time.process_time() - began < 12  # two seconds on a machine that isn't slow
+
+
+def test_html_quotes_and_names_by_hand():
+    shown = lambda page: html.main_text([html.best_container(html.parse(page))])
+    assert shown("<p title='a>b'>one</p><p title=\"x>y\" hidden>no</p><p>two") == "one\ntwo"
+    assert shown("<p title='open>one</p><p>two</p>") == "one\ntwo"
+    assert shown("<p data-x=hidden>one</p><article class='post comment-open'>two &lt;b&gt;</article> a < b") == "one\ntwo <b>\na < b"
+    assert shown("<ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>1<td>2<tr><td>3</table>") == "a\nb\nc\nd\n1\n2\n3"
+    assert shown("<script>x('</p>')</script>a<!-- no --><textarea>t</textarea><br>b<![CDATA[x]]>") == "a b"
+
+
 def test_html_of_a_host_with_two_templates(spark):
     common = "<body><article><p>Post {}.</p></article></body>"
     other = "<body><article>Teaser</article><div class='text'><p>The page's own text, a long one.</p></div></body>"
