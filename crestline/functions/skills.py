@@ -19,7 +19,31 @@ SYNONYMS = {
     "distributed systems": ["distributed systems", "microservices"],
     "rest apis": ["rest apis", "rest", "api", "apis", "restful"],
 }
-GENERIC = "communication,communications,teamwork,leadership,problem solving,problem-solving,reporting,documentation,ms office,microsoft office,excel,powerpoint,word,presentation,time management,multitasking,customer service,interpersonal skills,stakeholder management,collaboration,attention to detail".split(",")
+# Skills that say little about a job.
+GENERIC = [
+    "communication",
+    "communications",
+    "teamwork",
+    "leadership",
+    "problem solving",
+    "problem-solving",
+    "reporting",
+    "documentation",
+    "ms office",
+    "microsoft office",
+    "excel",
+    "powerpoint",
+    "word",
+    "presentation",
+    "time management",
+    "multitasking",
+    "customer service",
+    "interpersonal skills",
+    "stakeholder management",
+    "collaboration",
+    "attention to detail",
+]
+# What is cut off a token's ends, and from which length one token may lie in another.
 EDGES = " .:;!?'\"`~[]{}<>|"
 LONG_ENOUGH = 4
 
@@ -37,7 +61,7 @@ def token(c: Column) -> Column:
 
 def parse_skills(c: Column) -> Column:
     """A delimited string as the array of its distinct tokens; null and empty give an empty array."""
-    parts = F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"[()/]", ","), r"[,|\n;]")
+    parts = F.split(F.regexp_replace(F.coalesce(c, F.lit("")), r"[()/\\]", ","), r"[,|\n;]")
     return F.array_distinct(F.filter(F.transform(parts, token), lambda x: x != ""))
 
 
@@ -58,22 +82,22 @@ def expand_each(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: expand(F.array(t)))
 
 
-def matched(wanted: Column, wanted_expanded: Column, have: Column, have_expanded: Column) -> Column:
-    """Those of wanted that a candidate has: as it is, by a common expansion, or one inside the other where both are long enough.
+def matched(wanted: Column, wanted_expanded: Column, have_expanded: Column) -> Column:
+    """Those of wanted that a candidate's expanded skills hold: by a common expansion, or one inside the other where both are long enough.
 
     wanted_expanded is expand_each(wanted), made once for a job rather than for each pair.
     """
 
     def has(w: Column, i: Column) -> Column:
-        inside = F.exists(have, lambda h: (F.length(h) >= LONG_ENOUGH) & (F.length(w) >= LONG_ENOUGH) & (F.contains(h, w) | F.contains(w, h)))
-        return F.array_contains(have, w) | F.arrays_overlap(F.get(wanted_expanded, i), have_expanded) | inside
+        inside = F.exists(have_expanded, lambda h: (F.length(h) >= LONG_ENOUGH) & (F.length(w) >= LONG_ENOUGH) & (F.contains(h, w) | F.contains(w, h)))
+        return F.arrays_overlap(F.get(wanted_expanded, i), have_expanded) | inside
 
     return F.filter(wanted, has)
 
 
-def overlap(wanted: Column, wanted_expanded: Column, have: Column, have_expanded: Column) -> Column:
+def overlap(wanted: Column, wanted_expanded: Column, have_expanded: Column) -> Column:
     """Share of wanted that is matched; nothing wanted gives 0."""
-    return F.when(F.size(wanted) == 0, 0.0).otherwise(F.size(matched(wanted, wanted_expanded, have, have_expanded)) / F.size(wanted))
+    return F.when(F.size(wanted) == 0, 0.0).otherwise(F.size(matched(wanted, wanted_expanded, have_expanded)) / F.size(wanted))
 
 
 def weighted_coverage(wanted: Column, have: Column) -> Column:

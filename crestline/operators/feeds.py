@@ -6,6 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: A training label and the actions that stand for it.
+FEEDBACK_LABELS = {1.0: ["selected", "hired", "hired_interest", "hire", "yes"], 0.85: ["shortlisted", "shortlist"], 0.0: ["rejected", "reject", "not_a_fit", "no", "dismissed"]}
+
+
+def feedback_status(action: Column) -> Column:
+    """The status that feedback gives a candidate: rejections by any name, the core three as they are, else the action's letters, digits, - and _, at most 64."""
+    a = F.lower(F.trim(F.coalesce(action, F.lit(""))))
+    a = F.when(a.isin("not_a_fit", "not a fit", "reject"), "rejected").otherwise(a)
+    plain = F.btrim(F.regexp_replace(a, r"[^\p{L}\p{N}_-]", "_"), F.lit("_"))
+    return F.when(a == "", "new").when(plain == "", "reviewed").otherwise(F.substring(plain, 1, 64))
+
+
 def activity_feed(events: DataFrame, feedback: DataFrame, workspace: int, event_cap: int = 40, feedback_cap: int = 25, limit: int = 50) -> DataFrame:
     """The newest of two sources, each with its own cap, for one workspace. Both have at, kind, ref and workspace_id."""
     newest = lambda df, cap: df.where(F.col("workspace_id") == workspace).orderBy(F.desc("at"), "ref").limit(cap).select("at", "kind", "ref")
@@ -27,9 +39,11 @@ def ingestion_rollup(queue: DataFrame, now: Column, stale_minutes: int = 20) ->
 
 
 def latest_feedback(feedback: DataFrame) -> DataFrame:
-    """The last event of each pair as a training label; actions without a label drop the pair."""
-    last = feedback.groupBy("job_id", "candidate_id").agg(F.max(F.struct("created_at", "action")).alias("x")).select("job_id", "candidate_id", F.lower(F.trim("x.action")).alias("action"))
-    label = F.when(F.col("action").isin("selected", "yes") | F.col("action").startswith("hired"), 1.0).when(F.col("action").startswith("shortlist"), 0.85).when(F.col("action").startswith("reject") | F.col("action").isin("not_a_fit", "no", "dismissed"), 0.0)
+    """The last event of each pair as a training label, spaces in its action being underscores; actions without a label drop the pair."""
+    last = feedback.groupBy("job_id", "candidate_id").agg(F.max(F.struct("created_at", "action")).alias("x")).select("job_id", "candidate_id", F.replace(F.lower(F.trim("x.action")), F.lit(" "), F.lit("_")).alias("action"))
+    label = F.lit(None).cast("double")
+    for value, actions in FEEDBACK_LABELS.items():
+        label = F.when(F.col("action").isin(actions), value).otherwise(label)
     return last.withColumn("label", label).where("label is not null")
 
 

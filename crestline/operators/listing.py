@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,6 +17,45 @@ def contains_any(columns: list[str], needle: str) -> Column:
     return out
 
 
+#: Other names of a job's status, and the statuses that one stands for.
+JOB_STATUS_NAMES = {"inactive": "on_hold", "on-hold": "on_hold"}
+JOB_STATUS_MEMBERS = {"on_hold": ["on_hold", "inactive"], "active": ["active"], "completed": ["completed"], "cancelled": ["cancelled"]}
+#: The forms in which a bound of a range of dates may come.
+DATE_FORMS = ("%Y-%m-%d", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%dT%H:%M:%S.%f")
+
+
+def has_job_status(status: Column, wanted: str) -> Column:
+    """Whether a job's status is the wanted one, by any of its names; an unknown one is an error."""
+    name = (wanted or "").strip().lower()
+    name = JOB_STATUS_NAMES.get(name, name)
+    if name not in JOB_STATUS_MEMBERS:
+        raise ValueError(f"status must be one of {', '.join(sorted(JOB_STATUS_MEMBERS))}")
+    return status.isin(JOB_STATUS_MEMBERS[name])
+
+
+def date_bound(raw: str | None) -> datetime | None:
+    """A bound as a time; what has none of the known forms is no bound."""
+    for form in DATE_FORMS:
+        try:
+            return datetime.strptime((raw or "")[:26], form)
+        except ValueError:
+            continue
+    return None
+
+
+def within_dates(at: Column, since: str | None, until: str | None) -> Column:
+    """Whether at lies between two bounds, both of them included."""
+    out = F.lit(True)
+    for bound, inside in ((date_bound(since), at.__ge__), (date_bound(until), at.__le__)):
+        if bound is not None:
+            out = out & inside(F.lit(bound.isoformat(" ")).cast("timestamp_ntz"))
+    return out
+
+
+def jobs_filtered(jobs: DataFrame, status: str, since: str | None, until: str | None) -> DataFrame:
+    return jobs.where(has_job_status(F.col("status"), status) & within_dates(F.col("created_at"), since, until))
+
+
 def paged(df: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
     """The rows of a page, and in each the number of all rows. Order has to be total."""
     total = df.agg(F.count(F.lit(1)).alias("total"))

@@ -27,15 +27,32 @@ def percentiles(df: DataFrame, columns: list[str]) -> DataFrame:
     return df
 
 
+#: What a degree's text has to hold for each level, the highest first.
+EDUCATION = [
+    (5.0, r"\b(ph\.?\s*d|doctorate|doctoral)\b"),
+    (4.5, r"\b(m\.?\s*phil|mphil)\b"),
+    (4.0, r"\b(m\.?\s*s|m\.?\s*sc|master|mba|m\.?\s*eng)\b"),
+    (3.0, r"\b(b\.?\s*s|b\.?\s*sc|bachelor|be\b|beng|b\.?\s*a|undergraduate)\b"),
+    (2.0, r"\b(intermediate|associate|diploma|a[-\s]?level)\b"),
+    (1.0, r"\b(high school|matric|ssc|o[-\s]?level|ged)\b"),
+]
+#: What a candidate's title adds to the blended score, the first that it holds.
+TITLE_BOOSTS = [("backend", 0.03), ("full stack", 0.015), ("fullstack", 0.015)]
+
+
 def education_ordinal(degree: Column) -> Column:
-    d = F.lower(F.trim(F.coalesce(degree, F.lit(""))))
-    return F.when(d == "", 0.0).when(d == "phd", 5.0).when(d == "masters", 4.0).when(d == "bachelors", 3.0).when(d == "intermediate", 2.0).otherwise(0.5)
+    """The level of a degree's text: 0 for none, 0.5 for what no pattern knows."""
+    d = F.trim(F.regexp_replace(F.lower(F.coalesce(degree, F.lit(""))), r"\s+", " "))
+    out = F.when(d == "", 0.0)
+    for level, pattern in EDUCATION:
+        out = out.when(d.rlike(pattern), level)
+    return out.otherwise(0.5)
 
 
 def profile_scores(candidates: DataFrame) -> DataFrame:
     """candidate_id, profile_score: percentiles within the cohort, weighted."""
     pieces = F.filter(F.split("skills", "[,;|]"), lambda x: F.trim(x) != "")
-    base = candidates.select("candidate_id", F.coalesce("years", F.lit(0.0)).alias("years"), F.size(pieces).cast("double").alias("n_skills"), education_ordinal(F.col("degree")).alias("education"), F.when(F.trim("certifications") != "", 1.0).otherwise(0.0).alias("certified"))
+    base = candidates.select("candidate_id", F.greatest(F.coalesce("years", F.lit(0.0)), F.lit(0.0)).alias("years"), F.size(pieces).cast("double").alias("n_skills"), education_ordinal(F.col("degree")).alias("education"), F.when(F.trim("certifications") != "", 1.0).otherwise(0.0).alias("certified"))
     ranked = percentiles(base, list(PROFILE_WEIGHTS))
     total = sum((F.lit(w) * F.col(f"{c}_pct") for c, w in PROFILE_WEIGHTS.items()), F.lit(0.0))
     return ranked.select("candidate_id", F.bround(F.least(F.lit(100.0), F.greatest(F.lit(0.0), total)), 2).alias("profile_score"))
@@ -61,19 +78,27 @@ def saved_rankings(rankings: DataFrame, k: int) -> DataFrame:
     return rankings.withColumn("place", place).where(F.col("place") <= k).select("job_id", F.col("place").cast("int").alias("place"), "candidate_id", F.bround("score", 4).alias("score"))
 
 
+def skill_scores(strings: DataFrame) -> DataFrame:
+    """wanted and had, two skill strings, with skill, raw_overlap, coverage and missing of each row. Each string is parsed and expanded once."""
+    wanted = strings.select("wanted").distinct().withColumn("job_skills", skills.parse_skills(F.col("wanted")))
+    wanted = wanted.withColumn("job_expanded", skills.expand_each(F.col("job_skills")))
+    had = strings.select("had").distinct().withColumn("cand_skills", skills.parse_skills(F.col("had")))
+    had = had.withColumn("cand_expanded", skills.expand(F.col("cand_skills")))
+    return strings.join(wanted, "wanted").join(had, "had").select(
+        "wanted", "had", skills.overlap(F.col("job_skills"), F.col("job_expanded"), F.col("cand_expanded")).alias("skill"), skills.jaccard(F.col("job_skills"), F.col("cand_skills")).alias("raw_overlap"),
+        skills.weighted_coverage(F.col("job_skills"), F.col("cand_skills")).alias("coverage"), F.slice(F.array_sort(F.array_except("job_skills", "cand_skills")), 1, 30).alias("missing"),
+    )
+
+
 def pair_scores(pairs: DataFrame, jobs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """job_id, candidate_id and all parts of the weak score, for given pairs. Skills are parsed and expanded once on each side."""
-    j = jobs.select("job_id", "min_experience", "education_required", skills.parse_skills(F.col("skills")).alias("job_skills")).withColumn("job_expanded", skills.expand_each(F.col("job_skills")))
-    c = candidates.select("candidate_id", "years", "degree", skills.parse_skills(F.col("skills")).alias("cand_skills")).withColumn("cand_expanded", skills.expand(F.col("cand_skills")))
+    """job_id, candidate_id and all parts of the weak score, for given pairs. Skill strings that meet more than once are compared once."""
+    j = jobs.select("job_id", "min_experience", "education_required", F.coalesce("skills", F.lit("")).alias("wanted"))
+    c = candidates.select("candidate_id", "years", "degree", F.coalesce("skills", F.lit("")).alias("had"))
     both = pairs.select("job_id", "candidate_id").distinct().join(j, "job_id").join(c, "candidate_id")
-    scored = both.withColumns({
-        "skill": skills.overlap(F.col("job_skills"), F.col("job_expanded"), F.col("cand_skills"), F.col("cand_expanded")),
+    scored = both.join(skill_scores(both.select("wanted", "had").distinct()), ["wanted", "had"]).withColumns({
         "exp": scoring.exp_score(F.col("years"), F.col("min_experience")),
         "band": scoring.experience_band(F.col("years"), F.col("min_experience"), F.lit(None).cast("double")),
         "edu": scoring.edu_score(F.col("degree"), F.col("education_required")),
-        "raw_overlap": skills.jaccard(F.col("job_skills"), F.col("cand_skills")),
-        "coverage": skills.weighted_coverage(F.col("job_skills"), F.col("cand_skills")),
-        "missing": F.slice(F.array_sort(F.array_except("job_skills", "cand_skills")), 1, 30),
     })
     return scored.withColumn("weak", scoring.weak_score(F.col("skill"), F.col("exp"), F.col("edu")))
 
@@ -94,10 +119,32 @@ def hypothetical_rank(rankings: DataFrame, scores: list[float]) -> DataFrame:
     return rankings.select("job_id", "score", wanted.alias("x")).groupBy("job_id", "x").agg((F.count_if(F.col("score") > F.col("x")) + 1).alias("place"), F.count(F.lit(1)).alias("pool"))
 
 
-def ensemble(rankings: DataFrame, weak: DataFrame) -> DataFrame:
-    """0.2 weak + 0.3 lexical + 0.5 model score; what is missing counts 0."""
-    out = rankings.join(weak.select("job_id", "candidate_id", "weak"), ["job_id", "candidate_id"], "left").na.fill({"weak": 0.0})
-    return out.select("job_id", "candidate_id", F.bround(0.2 * F.col("weak") + 0.3 * F.col("similarity") + 0.5 * F.col("score"), 4).alias("final_score"))
+def title_boost(title: Column) -> Column:
+    t, out = F.lower(F.coalesce(title, F.lit(""))), F.lit(0.0)
+    for part, boost in reversed(TITLE_BOOSTS):
+        out = F.when(F.contains(t, F.lit(part)), boost).otherwise(out)
+    return out
+
+
+def ensemble(rankings: DataFrame, weak: DataFrame, candidates: DataFrame) -> DataFrame:
+    """0.2 weak + 0.3 lexical + 0.5 model score and the title's boost; what is missing counts 0."""
+    out = rankings.join(weak.select("job_id", "candidate_id", "weak"), ["job_id", "candidate_id"], "left").join(candidates.select("candidate_id", "title"), "candidate_id", "left").na.fill({"weak": 0.0})
+    return out.select("job_id", "candidate_id", F.bround(0.2 * F.col("weak") + 0.3 * F.col("similarity") + 0.5 * F.col("score") + title_boost(F.col("title")), 4).alias("final_score"))
+
+
+def pool_rank(candidates: DataFrame, score: Column, preview: float, cap: int = 400, least_text: int = 30) -> DataFrame:
+    """Where a score would stand among the newest candidates: rank, ranked, capped and considered, in one row.
+
+    The pool is the cap (50 to 5000) newest rows, ties to the smaller id; those
+    whose text is shorter than least_text are considered but not ranked.
+    candidates has candidate_id, created_at and text.
+    """
+    cap = max(50, min(cap, 5000))
+    pool = candidates.orderBy(F.desc("created_at"), "candidate_id").limit(cap)
+    enough = F.length(F.trim(F.coalesce("text", F.lit("")))) >= least_text
+    return pool.select(enough.alias("enough"), score.alias("score")).agg(
+        (F.count_if(F.col("enough") & (F.col("score") > preview)) + 1).alias("position"), F.count_if("enough").alias("ranked"), (F.count(F.lit(1)) >= cap).alias("capped"), F.count(F.lit(1)).alias("considered")
+    )
 
 
 def ranking_metrics(df: DataFrame, k: int = 10, relevant: float = 0.5) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from crestline.sources.scratch import stored
+
 #: Words that never count as terms.
 STOP_WORDS = "a an and are as at be by for from has he in is it its of on or that the this to was were will with".split()
 
@@ -25,35 +29,58 @@ def tfidf_top_k(queries: DataFrame, docs: DataFrame, k: int, min_df: int = 2, ma
     """query_id, rank, doc_id, score: cosine of smoothed TF-IDF vectors over both sides.
 
     queries and docs have id and text. Terms in under min_df texts or over
-    max_share of them are left out before the terms meet, which also bounds
-    how many rows a term can bring together. Documents that share no term have
-    no row. Ties go to the smaller id.
+    max_share of them are left out before the terms meet. Documents that share
+    no term have no row. Ties go to the smaller id. Texts are taken apart once,
+    into a written table, and of the documents only the queries' terms meet; a
+    term that nearly all texts hold still brings each query and document together.
     """
     sides = queries.select(F.lit(0).alias("side"), "id", "text").unionByName(docs.select(F.lit(1).alias("side"), "id", "text"))
     counts = sides.select("side", "id", words(F.col("text")).alias("w")).select("side", "id", F.explode(with_pairs(F.col("w"))).alias("term")).groupBy("side", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = stored(counts, "terms")
     n = sides.agg(F.count(F.lit(1)).alias("n"))
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(n).where((F.col("df") >= min_df) & (F.col("df") <= max_share * F.col("n")))  # n is one row
     idf = df.select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1).alias("idf"))
     weights = counts.join(idf, "term").select("side", "id", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norms = weights.groupBy("side", "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = weights.join(norms, ["side", "id"]).select("side", "id", "term", (F.col("w") / F.col("norm")).alias("w"))
-    q = unit.where("side = 0").select(F.col("id").alias("query_id"), "term", F.col("w").alias("qw"))
-    d = unit.where("side = 1").select(F.col("id").alias("doc_id"), "term", "w")
-    scores = d.join(q, "term").groupBy("query_id", "doc_id").agg(F.bround(F.sum(F.col("qw") * F.col("w")), 4).alias("score"))
+    q = weights.where("side = 0").select(F.col("id").alias("query_id"), "term", F.col("w").alias("qw"))
+    d = weights.where("side = 1").select(F.col("id").alias("doc_id"), "term", "w")
+    norm = lambda side, name: norms.where(F.col("side") == side).select(F.col("id").alias(name), F.col("norm").alias(f"{name}_norm"))
+    dots = d.join(q, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
+    scores = dots.join(norm(0, "query_id"), "query_id").join(norm(1, "doc_id"), "doc_id").select("query_id", "doc_id", F.bround(F.col("dot") / (F.col("query_id_norm") * F.col("doc_id_norm")), 4).alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda acc, v: acc + v)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + 1e-12)
-
+def cosine_top_k(vectors: DataFrame, query_every: int, k: int, block: int = 8_192, at_once: int = 1_024) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest of all other vectors for each whose id query_every divides.
 
-def cosine_top_k(vectors: DataFrame, n_queries: int, k: int) -> DataFrame:
-    """The k nearest vectors of a stated, small set of queries: ids below n_queries, which bounds the broadcast."""
-    v = vectors.select(F.col("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    q = v.where(F.col("vec_id") < n_queries).select(F.col("vec_id").alias("query_id"), F.col("v").alias("qv"))
-    scored = v.where(F.col("vec_id") >= n_queries).crossJoin(F.broadcast(q)).select("query_id", "vec_id", F.bround(cosine(F.col("v"), F.col("qv")), 4).alias("score"))
+    Queries meet vectors in blocks of bounded size, and each block gives its k
+    best. The score is the cosine to four digits, ties go to the smaller id.
+    Vectors that are null, empty or hold a null or NaN component take no part,
+    and only vectors of equal length are compared.
+    """
+    sound = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)) & (F.size("v") > 0)
+    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & sound)
+    asked = v.where(F.pmod("vec_id", F.lit(query_every)) == 0)
+    blocks, turns = max(1, -(-v.count() // block)), max(1, -(-asked.count() // at_once))
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    one_of = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
+    left = v.select("vec_id", "v", F.size("v").alias("dim"), one_of(blocks).alias("block"), every(turns).alias("turn"))
+    right = asked.select("vec_id", "v", F.size("v").alias("dim"), every(blocks).alias("block"), one_of(turns).alias("turn"))
+
+    def best(key, corpus: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        found = {"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)}
+        if len(corpus) and len(queries):
+            corpus = corpus.sort_values("vec_id", ignore_index=True)
+            a, q = np.stack(corpus["v"]), np.stack(queries["v"])
+            scores = np.round(q @ a.T / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(a, axis=1) + 1e-12), 4)
+            scores[queries["vec_id"].to_numpy()[:, None] == corpus["vec_id"].to_numpy()] = -np.inf
+            at = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+            found = {"query_id": np.repeat(queries["vec_id"].to_numpy(), at.shape[1]), "vec_id": corpus["vec_id"].to_numpy()[at].ravel(), "score": np.take_along_axis(scores, at, axis=1).ravel()}
+        return pd.DataFrame(found)
+
+    keys = ["dim", "block", "turn"]
+    scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, "query_id long, vec_id long, score double").where("score > -2")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 #: All relative times are measured from here.
 NOW = datetime(2001, 9, 1)
 #: Candidates are 0 to 399 days old.
-TITLES = ["Data Analyst", "Frontend Developer", "Backend Engineer", "DevOps Engineer", "UX Designer", "Machine Learning Engineer"]
-JOB_SKILLS = ["python, kafka, aws", "react/typescript, rest apis", "ci/cd, docker; kubernetes", "figma | communication", "postgresql, microservices, excel"]
-CANDIDATE_SKILLS = ["python, message queues, ec2", "react, typescript", "docker, kubernetes, cicd", "figma, teamwork", "postgres, distributed systems", "excel, python", ""]
-DEGREES = ["bachelors", "masters", "phd", "intermediate", ""]
+TITLES = ["Data Analyst", "Frontend Developer", "Backend Engineer", "DevOps Engineer", "UX Designer", "Machine Learning Engineer", "Full Stack Developer", "QA Tester"]
+JOB_SKILLS = ["python, kafka, aws", "react/typescript, rest apis", "ci/cd, docker; kubernetes", "figma | communication", "postgresql, microservices, excel", "distributed, c\\go | excel"]
+CANDIDATE_SKILLS = ["python, message queues, ec2", "react, typescript", "docker, kubernetes, cicd", "figma, teamwork", "postgres, distributed systems", "excel, python", "", "microservices; c, Go (selenium)"]
+DEGREES = ["bachelors", "masters", "phd", "intermediate", "", "BSc  Physics", "MBA", "M. Phil", "diploma", "High School", "Ph.D"]
 REQUIRED = ["any", "bachelors", "masters", "phd"]
+DESCRIPTIONS = ["Minimum 3 years, bachelor's degree", "5-7 yrs of backend work; MSc preferred", "at least 2+ years", "10+ years of experience, PhD", "1 year of sql or 4 years of java", "No experience asked", ""]
+ACTIONS = ["selected", "hire", "Not a fit", "shortlist", "rejection", "hired_x", "on hold", "dismissed", "Yes ", "hired interest", "!!", ""]
 STATUSES = ["new", "screened", "shortlisted", "selected", "interviewing", "hired", "declined"]
 
 
@@ -43,7 +45,7 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("job_id"), F.col("o_custkey").alias("client_id"), pick(TITLES, F.col("o_orderkey")).alias("title"), pick(JOB_SKILLS, F.col("o_orderkey")).alias("skills"),
         F.when(F.col("o_orderstatus") == "O", "active").when(F.col("o_orderstatus") == "F", "completed").otherwise("on_hold").alias("status"),
         F.when(F.substring("o_orderpriority", 1, 1).isin("1", "2"), "high").when(F.col("o_orderpriority").startswith("3"), "medium").when(F.col("o_orderpriority").startswith("5"), "low").otherwise("").alias("urgency"),
-        F.pmod("o_orderkey", F.lit(11)).cast("double").alias("min_experience"), pick(REQUIRED, F.col("o_orderkey")).alias("education_required"), F.col("o_orderdate").alias("created_at"),
+        F.pmod("o_orderkey", F.lit(11)).cast("double").alias("min_experience"), pick(REQUIRED, F.col("o_orderkey")).alias("education_required"), F.col("o_orderdate").alias("created_at"), pick(DESCRIPTIONS, F.col("o_orderkey")).alias("description"),
     )
     return orders.join(clients(spark, sf_dir).select("client_id", "workspace_id"), "client_id")
 

@@ -190,7 +190,7 @@ def shortlist_compose(rankings, applicants):
 
 @_relations("rankings", "applicants", "jobs", "candidates")
 def final_ensemble(rankings, applicants, jobs, candidates):
-    return ranking.ensemble(rankings, _pairs(applicants, jobs, candidates))
+    return ranking.ensemble(rankings, _pairs(applicants, jobs, candidates), candidates)
 
 
 @_relations("rankings")
@@ -218,12 +218,42 @@ def regression_metrics(rankings):
 @_relations("labels")
 def feedback_labels_latest(labels):
     """Labels as feedback; every other document has a later event that takes it back."""
-    action = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "selected").when(F.col("quality") == 1, "shortlisted").when(F.col("toxic") == 0, "rejected").otherwise("on hold")
-    first = labels.select((F.col("doc_id") % 40).alias("job_id"), F.col("doc_id").alias("candidate_id"), action.alias("action"), F.col("doc_id").alias("created_at"))
+    first = labels.select((F.col("doc_id") % 40).alias("job_id"), F.col("doc_id").alias("candidate_id"), b.pick(b.ACTIONS, F.col("doc_id")).alias("action"), F.col("doc_id").alias("created_at"))
     later = first.where("candidate_id % 2 = 0").select("job_id", "candidate_id", F.lit("not_a_fit").alias("action"), (F.col("created_at") + 1000000).alias("created_at"))
     return feeds.latest_feedback(first.unionByName(later))
 
 
+@_relations("labels")
+def feedback_status(labels):
+    return labels.select("doc_id", feeds.feedback_status(b.pick(b.ACTIONS, F.col("doc_id"))).alias("status"))
+
+
+@_relations("jobs")
+def jobs_filtered(jobs):
+    return listing.jobs_filtered(jobs, " Inactive ", "1995-03-01", "1996-06-30T23:59:59").select("job_id", "status", "title")
+
+
+@_relations("jobs")
+def job_requirements(jobs):
+    return jobs.select("job_id", text.years_asked(F.col("description")).alias("min_years"), text.degree_asked(F.col("description")).alias("degree"))
+
+
+@_relations("candidates")
+def role_fine(candidates):
+    return candidates.select("candidate_id", text.role_fine(F.col("title"), F.col("skills"), F.col("role_label")).alias("role"), text.title_from_skills(F.col("skills")).alias("title_from_skills"))
+
+
+@_relations("documents")
+def resume_text(documents):
+    return documents.select("doc_id", F.md5(text.resume_text(text.mended(F.col("text")))).alias("clean_md5"))
+
+
+@_relations("candidates")
+def pool_rank(candidates):
+    texts = candidates.where(F.col("workspace_id") == WORKSPACE).select("candidate_id", "created_at", "years", F.concat_ws(" ", "full_name", "title", "skills").alias("text"))
+    return ranking.pool_rank(texts, F.col("years") / 50, 0.75, 60)
+
+
 @_relations("applicants")
 def split_leakfree(applicants):
     return ranking.split_by_id(applicants, "candidate_id").groupBy("split").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("candidate_id").alias("people"))
@@ -236,7 +266,7 @@ def tfidf_top_k(benchmark, documents):
 
 @_relations("embeddings")
 def cosine_top_k(embeddings):
-    return retrieval.cosine_top_k(embeddings, 10, 5)
+    return retrieval.cosine_top_k(embeddings, 100, 5)
 
 
 @_relations("documents")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from crestline.functions import skills as sk
 from crestline.functions import text as tx
+from crestline.operators import ranking as rk
 from crestline.plans import bindings as b
 
 NOW = f"TIMESTAMP '{b.NOW.isoformat(' ')}'"
@@ -26,7 +27,7 @@ VIEWS = {
     "jobs": f"""SELECT o_orderkey AS job_id, o_custkey AS client_id, c_nationkey AS workspace_id, {_pick(b.TITLES, 'o_orderkey')} AS title, {_pick(b.JOB_SKILLS, 'o_orderkey')} AS skills,
         CASE o_orderstatus WHEN 'O' THEN 'active' WHEN 'F' THEN 'completed' ELSE 'on_hold' END AS status,
         CASE WHEN o_orderpriority[1] IN ('1','2') THEN 'high' WHEN o_orderpriority[1] = '3' THEN 'medium' WHEN o_orderpriority[1] = '5' THEN 'low' ELSE '' END AS urgency,
-        (o_orderkey % 11)::DOUBLE AS min_experience, {_pick(b.REQUIRED, 'o_orderkey')} AS education_required, o_orderdate AS created_at FROM orders JOIN customer ON o_custkey = c_custkey""",
+        (o_orderkey % 11)::DOUBLE AS min_experience, {_pick(b.REQUIRED, 'o_orderkey')} AS education_required, o_orderdate AS created_at, {_pick(b.DESCRIPTIONS, 'o_orderkey')} AS description FROM orders JOIN customer ON o_custkey = c_custkey""",
     "candidates": f"""SELECT p_partkey AS candidate_id, p_name AS full_name, {_pick(b.TITLES, 'p_partkey + p_partkey // 6')} AS title, lower(p_type) AS role_label, {_pick(b.CANDIDATE_SKILLS, 'p_partkey')} AS skills,
         p_size::DOUBLE AS years, {_pick(b.DEGREES, 'p_partkey')} AS degree, CASE WHEN p_partkey % 3 = 0 THEN 'aws certified' ELSE '' END AS certifications, {_pick(b.STATUSES, 'p_partkey')} AS status,
         CASE WHEN p_size > 25 THEN (p_partkey % 25)::INT END AS workspace_id, {NOW} - to_days((p_partkey % 400)::INT) AS created_at FROM part""",
@@ -51,9 +52,9 @@ R4 = "round_even({0}, 4)".format
 
 # Skills: tokens, their expansion, overlap.
 MAP = "MAP {" + ", ".join(f"{_q(k)}: {_list(v)}" for k, v in sk.closure().items()) + "}"
-TOKENS = "list_distinct(list_filter(list_transform(string_split_regex(regexp_replace(coalesce({0}, ''), '[()/]', ',', 'g'), '[,|\\n;]'), lambda x: trim(regexp_replace(trim(lower(x)), '\\s+', ' ', 'g'), ' .:;!?''\"`~[]{{}}<>|')), lambda x: x <> ''))".format
+TOKENS = "list_distinct(list_filter(list_transform(string_split_regex(regexp_replace(coalesce({0}, ''), '[()/\\\\]', ',', 'g'), '[,|\\n;]'), lambda x: trim(regexp_replace(trim(lower(x)), '\\s+', ' ', 'g'), ' .:;!?''\"`~[]{{}}<>|')), lambda x: x <> ''))".format
 EXPAND = ("list_distinct(flatten(list_transform({0}, lambda t: list_concat([t, replace(t, '.', ''), CASE WHEN t = 'postgresql' THEN 'postgres' ELSE t END], coalesce((" + MAP.replace("{", "{{").replace("}", "}}") + ")[t], [t])))))").format
-HAS = f"(list_contains(cs, w) OR list_has_any({EXPAND('[w]')}, ce) OR len(list_filter(cs, lambda h: length(h) >= 4 AND length(w) >= 4 AND (contains(h, w) OR contains(w, h)))) > 0)"
+HAS = f"(list_has_any({EXPAND('[w]')}, ce) OR len(list_filter(ce, lambda h: length(h) >= 4 AND length(w) >= 4 AND (contains(h, w) OR contains(w, h)))) > 0)"
 DEGREE = "CASE lower(trim({0})) WHEN 'intermediate' THEN 1 WHEN 'bachelors' THEN 2 WHEN 'masters' THEN 3 WHEN 'phd' THEN 4 END".format
 WEIGHT = f"list_sum(list_transform({{0}}, lambda t: CASE WHEN list_contains({_list(sk.GENERIC)}, t) THEN 0.25 ELSE 1.0 END))".format
 CLAMP = "least(1.0, greatest(0.0, {0}))".format
@@ -83,13 +84,42 @@ def _matches(bucket: str, hay: str) -> str:
     return f"CASE WHEN {bucket} = 'other' OR {hay} = '' THEN true " + " ".join(f"WHEN {bucket} = '{k}' THEN {'NOT ' + _any(hay, tx.REJECTED[k]) + ' AND ' if k in tx.REJECTED else ''}{_any(hay, a)}" for k, a in tx.ALLOWED.items()) + " ELSE true END"
 
 
+def _contains_any(column: str, needles: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({column}, {_q(n)})" for n in needles) + ")"
+
+
+def _counts(rules: dict[str, list[str]]) -> str:
+    """For each rule how many of its parts lie in any of the list h."""
+    return "[" + ", ".join(" + ".join(f"(len(list_filter(h, lambda x: contains(x, {_q(p)}))) > 0)::INT" for p in parts) for parts in rules.values()) + "]"
+
+
+def _mended(c: str) -> str:
+    for wrong, right in tx.MENDED.items():
+        c = f"replace({c}, {_q(wrong)}, {_q(right)})"
+    return c
+
+
+def _spaced(c: str) -> str:
+    c = f"replace(replace(coalesce({c}, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))"
+    c = f"regexp_replace({c}, '[\u00a0\u2007\u202f]', ' ', 'g')"
+    c = f"regexp_replace({c}, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')"
+    return f"regexp_replace(regexp_replace({c}, '\\n{{4,}}', chr(10) || chr(10) || chr(10), 'g'), '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g')"
+
+
+def _joined(c: str) -> str:
+    """Words that share a letter are joined by two passes."""
+    return f"regexp_replace({c}, '([\\p{{L}}\\p{{M}}\\p{{Nd}}_])-\\s*\\n\\s*([\\p{{L}}\\p{{M}}\\p{{Nd}}_])', '\\1\\2', 'g')"
+
+
 def _pii(c: str) -> str:
     url = tx.URL.replace("'", "''")
     return f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce({c}, ''), {_q(tx.EMAIL)}, ' [EMAIL] ', 'g'), {_q(tx.PHONE)}, ' [PHONE] ', 'g'), '{url}', ' [URL] ', 'g'), '\\s+', ' ', 'g'))"
 
 
 PCT = "CASE WHEN count(*) OVER () = 1 THEN 50.0 ELSE 100.0 * (rank() OVER (ORDER BY {0}) - 1 + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0) / (count(*) OVER () - 1) END".format
-PROFILE = f"""base AS (SELECT candidate_id, coalesce(years, 0.0) AS y, len(list_filter(string_split_regex(skills, '[,;|]'), lambda x: trim(x) <> ''))::DOUBLE AS s, CASE degree WHEN '' THEN 0.0 WHEN 'phd' THEN 5.0 WHEN 'masters' THEN 4.0 WHEN 'bachelors' THEN 3.0 WHEN 'intermediate' THEN 2.0 ELSE 0.5 END AS e, CASE WHEN trim(certifications) <> '' THEN 1.0 ELSE 0.0 END AS c FROM candidates),
+_DEGREE_TEXT = "trim(regexp_replace(lower(coalesce(degree, '')), '\\s+', ' ', 'g'))"
+EDUCATION = f"CASE WHEN {_DEGREE_TEXT} = '' THEN 0.0 " + " ".join(f"WHEN regexp_matches({_DEGREE_TEXT}, {_q(p)}) THEN {level}" for level, p in rk.EDUCATION) + " ELSE 0.5 END"
+PROFILE = f"""base AS (SELECT candidate_id, greatest(coalesce(years, 0.0), 0.0) AS y, len(list_filter(string_split_regex(skills, '[,;|]'), lambda x: trim(x) <> ''))::DOUBLE AS s, {EDUCATION} AS e, CASE WHEN trim(certifications) <> '' THEN 1.0 ELSE 0.0 END AS c FROM candidates),
     profile AS (SELECT candidate_id, round_even(({PCT('y')}) * 0.32 + ({PCT('s')}) * 0.32 + ({PCT('e')}) * 0.24 + ({PCT('c')}) * 0.12, 2) AS profile_score FROM base)"""
 STOP = _list(__import__("crestline.operators.retrieval", fromlist=["x"]).STOP_WORDS)
 
@@ -126,13 +156,19 @@ def oracle_sql() -> dict[str, str]:
         "ranking_explanations": _with("applicants jobs candidates", f"+{_scored('applicants')} SELECT job_id, candidate_id, {R4('raw_overlap')} AS skills_match_ratio, {R4('coverage')} AS coverage, {R4('band')} AS experience_match, {R4('edu')} AS education_match, missing AS missing_skills FROM scored"),
         "smart_filter_pool": _with("rankings jobs candidates", f"+near AS (SELECT * FROM rankings WHERE similarity >= 0.05), {_scored('near')}, t AS (SELECT job_id, skill, {_bucket('lower(j.title)')} AS bucket, lower(c.title || ' ' || c.role_label) AS hay FROM scored JOIN jobs j USING (job_id) JOIN candidates c USING (candidate_id) WHERE skill >= 0.2) SELECT job_id, bucket, count(*) AS kept, {avg4('skill')} AS avg_skill FROM t WHERE {_matches('bucket', 'hay')} GROUP BY ALL"),
         "shortlist_compose": _with("rankings applicants", "+t AS (SELECT job_id, candidate_id, similarity, false AS forced FROM rankings WHERE similarity >= 0.2 QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY similarity DESC, candidate_id) <= 2), f AS (SELECT DISTINCT a.job_id, a.candidate_id, r.similarity, true AS forced FROM applicants a LEFT JOIN rankings r USING (job_id, candidate_id) WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.job_id = a.job_id AND t.candidate_id = a.candidate_id)) SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY forced, similarity DESC NULLS LAST, candidate_id)::INT AS place, candidate_id, forced, round_even(similarity, 4) AS similarity FROM (FROM t UNION ALL FROM f)"),
-        "final_ensemble": _with("rankings applicants jobs candidates", f"+{_scored('applicants')} SELECT job_id, candidate_id, round_even(0.2 * coalesce(weak, 0) + 0.3 * similarity + 0.5 * score, 4) AS final_score FROM rankings LEFT JOIN scored USING (job_id, candidate_id)"),
+        "final_ensemble": _with("rankings applicants jobs candidates", f"+{_scored('applicants')} SELECT job_id, candidate_id, round_even(0.2 * coalesce(weak, 0) + 0.3 * similarity + 0.5 * score + CASE WHEN contains(lower(coalesce(title, '')), 'backend') THEN 0.03 WHEN contains(lower(coalesce(title, '')), 'full stack') OR contains(lower(coalesce(title, '')), 'fullstack') THEN 0.015 ELSE 0 END::DOUBLE, 4) AS final_score FROM rankings LEFT JOIN scored USING (job_id, candidate_id) LEFT JOIN (SELECT candidate_id, title FROM candidates) USING (candidate_id)"),
         "hypothetical_rank": _with("rankings", "SELECT job_id, x, count(*) FILTER (score > x) + 1 AS place, count(*) AS pool FROM rankings, (SELECT unnest([0.25::DOUBLE, 0.5, 0.75]) AS x) GROUP BY ALL"),
         "ranking_metrics": _with("rankings", "+r AS (SELECT candidate_id AS q, job_id AS i, score AS t, similarity AS p, row_number() OVER (PARTITION BY candidate_id ORDER BY similarity DESC, job_id) AS place, rank() OVER (PARTITION BY candidate_id ORDER BY score) + (count(*) OVER (PARTITION BY candidate_id, score) - 1) / 2.0 AS rt, rank() OVER (PARTITION BY candidate_id ORDER BY similarity) + (count(*) OVER (PARTITION BY candidate_id, similarity) - 1) / 2.0 AS rp, (score >= 0.5)::INT AS hit FROM rankings), s AS (SELECT *, place <= 10 AS top, row_number() OVER (PARTITION BY q, place <= 10 ORDER BY t DESC, i) AS ideal, sum(hit) OVER (PARTITION BY q ORDER BY place) / place AS ph FROM r), e AS (SELECT q, corr(rt, rp) AS spearman, sum(t / log2(place + 1)) FILTER (top) / nullif(sum(t / log2(ideal + 1)) FILTER (top), 0) AS ndcg, coalesce(sum(hit) FILTER (top), 0) / least(10, count(*)) AS precision, coalesce(sum(hit) FILTER (top), 0) / nullif(sum(hit), 0) AS recall, sum(hit * ph) / nullif(sum(hit), 0) AS ap FROM s GROUP BY q) SELECT count(*) AS queries, round_even(avg(spearman) FILTER (NOT isnan(spearman)), 4) AS spearman, round_even(avg(coalesce(ndcg, 0)), 4) AS ndcg, round_even(avg(precision), 4) AS precision, round_even(avg(coalesce(recall, 0)), 4) AS recall, round_even(avg(coalesce(ap, 0)), 4) AS ap FROM e"),
         "classification_report": _with("rankings", "+d AS (SELECT floor(least(score, 0.99) * 3)::INT AS t, floor(least(similarity, 0.99) * 3)::INT AS p FROM rankings), l AS (SELECT t AS label FROM d UNION SELECT p FROM d), n AS (SELECT label, (SELECT count(*) FROM d WHERE t = label) AS support, (SELECT count(*) FROM d WHERE p = label) AS said, (SELECT count(*) FROM d WHERE t = label AND p = label) AS hit FROM l), m AS (SELECT label, support, coalesce(hit / nullif(said, 0), 0) AS p, coalesce(hit / nullif(support, 0), 0) AS r FROM n) SELECT label, support, round_even(p, 4) AS precision, round_even(r, 4) AS recall, round_even(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1 FROM m"),
         "regression_metrics": _with("rankings", "SELECT count(*) AS n, round_even(avg((similarity - score) * (similarity - score)), 4) AS mse, round_even(avg(abs(similarity - score)), 4) AS mae FROM rankings"),
-        "feedback_labels_latest": "WITH f AS (SELECT doc_id % 40 AS job_id, doc_id AS candidate_id, CASE WHEN doc_id % 2 = 0 THEN 'not_a_fit' WHEN quality = 1 AND toxic = 0 THEN 'selected' WHEN quality = 1 THEN 'shortlisted' WHEN toxic = 0 THEN 'rejected' ELSE 'on hold' END AS action FROM labels) SELECT *, CASE action WHEN 'selected' THEN 1.0 WHEN 'shortlisted' THEN 0.85 ELSE 0.0 END::DOUBLE AS label FROM f WHERE action <> 'on hold'",
-        "cosine_top_k": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, d.vec_id, round_even(list_inner_product(d.v, q.v) / (sqrt(list_inner_product(d.v, d.v)) * sqrt(list_inner_product(q.v, q.v)) + 1e-12), 4) AS score FROM v d, v q WHERE q.vec_id < 10 AND d.vec_id >= 10) SELECT query_id, row_number() OVER w::INT AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5",
+        "feedback_labels_latest": f"WITH f AS (SELECT doc_id % 40 AS job_id, doc_id AS candidate_id, replace(lower(trim(CASE WHEN doc_id % 2 = 0 THEN 'not_a_fit' ELSE {_pick(b.ACTIONS, 'doc_id')} END)), ' ', '_') AS action FROM labels) SELECT *, CASE WHEN action IN ('selected', 'hired', 'hired_interest', 'hire', 'yes') THEN 1.0 WHEN action IN ('shortlisted', 'shortlist') THEN 0.85 ELSE 0.0 END::DOUBLE AS label FROM f WHERE action IN ('selected', 'hired', 'hired_interest', 'hire', 'yes', 'shortlisted', 'shortlist', 'rejected', 'reject', 'not_a_fit', 'no', 'dismissed')",
+        "feedback_status": f"WITH a AS (SELECT doc_id, lower(trim({_pick(b.ACTIONS, 'doc_id')})) AS a FROM labels), r AS (SELECT doc_id, CASE WHEN a IN ('not_a_fit', 'not a fit', 'reject') THEN 'rejected' ELSE a END AS a FROM a), p AS (SELECT doc_id, a, trim(regexp_replace(a, '[^\\p{{L}}\\p{{N}}_-]', '_', 'g'), '_') AS p FROM r) SELECT doc_id, CASE WHEN a = '' THEN 'new' WHEN p = '' THEN 'reviewed' ELSE p[1:64] END AS status FROM p",
+        "jobs_filtered": _with("jobs", "SELECT job_id, status, title FROM jobs WHERE status IN ('on_hold', 'inactive') AND created_at >= TIMESTAMP '1995-03-01' AND created_at <= TIMESTAMP '1996-06-30 23:59:59'"),
+        "job_requirements": _with("jobs", f"SELECT job_id, coalesce({', '.join(f'nullif(regexp_extract(lower(description), {_q(p)}, {g}), {_q('')})::INT' for p, g in tx.YEARS_ASKED)}, list_min(list_transform(regexp_extract_all(lower(description), {_q(tx.ANY_YEARS)}, 1), lambda x: x::INT))) AS min_years, CASE {' '.join(f'WHEN regexp_matches(lower(description), {_q(p)}) THEN {_q(n)}' for n, p in tx.DEGREE_ASKED)} ELSE 'any' END AS degree FROM jobs"),
+        "role_fine": _with("candidates", f"+b AS (SELECT candidate_id, lower(title) AS t, lower(skills) || ' ' || lower(role_label) AS st, list_transform(string_split(skills, ','), lambda x: trim(lower(x))) AS h FROM candidates), w AS (SELECT *, t || ' ' || st AS w FROM b), n AS (SELECT candidate_id, {_counts(tx.TITLE_SKILLS)} AS n, * EXCLUDE candidate_id FROM w) SELECT candidate_id, CASE WHEN regexp_matches(t, {_q(tx.QA_WORK)}) THEN 'qa' WHEN regexp_matches(st, {_q(tx.BACKEND_WORK)}) AND regexp_matches(st, {_q(tx.FRONTEND_WORK)}) THEN 'fullstack' WHEN regexp_matches(st, {_q(tx.BACKEND_WORK)}) THEN 'backend' WHEN regexp_matches(st, {_q(tx.FRONTEND_WORK)}) THEN 'frontend' WHEN {_contains_any('t', tx.SOFTWARE_TITLES)} THEN 'software' WHEN regexp_matches(w, {_q(tx.DATA_WORK)}) THEN 'data' WHEN regexp_matches(w, {_q(tx.MOBILE_WORK)}) THEN 'software' WHEN regexp_matches(st, {_q(tx.QA_WORK)}) THEN 'qa' ELSE 'other' END AS role, CASE WHEN list_max(n) = 0 THEN 'unknown' ELSE ({_list(list(tx.TITLE_SKILLS))})[list_position(n, list_max(n))] END AS title_from_skills FROM n"),
+        "resume_text": f"WITH m AS (SELECT doc_id, {_mended('text')} AS t FROM documents), a AS (SELECT doc_id, {_spaced('t')} AS t FROM m), j AS (SELECT doc_id, {_joined(_joined('t'))} AS t FROM a) SELECT doc_id, md5({_spaced('t')}) AS clean_md5 FROM j",
+        "pool_rank": _with("candidates", "+p AS (SELECT years / 50 AS score, length(trim(concat_ws(' ', full_name, title, skills))) >= 30 AS enough FROM candidates WHERE workspace_id = 7 ORDER BY created_at DESC, candidate_id LIMIT 60) SELECT count(*) FILTER (enough AND score > 0.75) + 1 AS position, count(*) FILTER (enough) AS ranked, count(*) >= 60 AS capped, count(*) AS considered FROM p"),
+        "cosine_top_k": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, d.vec_id, round_even(list_inner_product(d.v, q.v) / (sqrt(list_inner_product(d.v, d.v)) * sqrt(list_inner_product(q.v, q.v)) + 1e-12), 4) AS score FROM v d, v q WHERE q.vec_id % 100 = 0 AND d.vec_id <> q.vec_id) SELECT query_id, row_number() OVER w::INT AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5",
         "tfidf_top_k": f"WITH sides AS (SELECT 0 AS side, item_id AS id, text FROM benchmark UNION ALL SELECT 1, doc_id, text FROM documents), w AS (SELECT side, id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{Nd}}_]{{2,}}'), lambda x: NOT list_contains({STOP}, x)) AS w FROM sides), t AS (SELECT side, id, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END)) AS term FROM w), c AS (SELECT side, id, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(*) AS n FROM sides), idf AS (SELECT term, ln((1.0 + n) / (1.0 + count(*))) + 1 AS idf FROM c, n GROUP BY term, n HAVING count(*) >= 2 AND count(*) <= 0.95 * n), x AS (SELECT side, id, term, tf * idf AS x FROM c JOIN idf USING (term)), u AS (SELECT side, id, term, x / sqrt(sum(x * x) OVER (PARTITION BY side, id)) AS x FROM x), s AS (SELECT q.id AS query_id, d.id AS doc_id, round_even(sum(q.x * d.x), 4) AS score FROM u q JOIN u d ON q.term = d.term AND q.side = 0 AND d.side = 1 GROUP BY ALL) SELECT query_id, row_number() OVER v::INT AS rank, doc_id, score FROM s WINDOW v AS (PARTITION BY query_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER v <= 5",
         "skill_vocab": "WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS word FROM documents) SELECT word, count(*) AS doc_freq FROM w GROUP BY word HAVING count(*) >= 12 ORDER BY doc_freq DESC, word LIMIT 4000",
         "ngram_discovery": "WITH w AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), g AS (SELECT 2 AS n, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS ngram FROM w UNION ALL SELECT 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w), c AS (SELECT n, ngram, count(*) AS freq FROM g GROUP BY ALL) SELECT n, ngram, freq FROM c QUALIFY row_number() OVER (PARTITION BY n ORDER BY freq DESC, ngram) <= CASE n WHEN 2 THEN 600 ELSE 400 END",

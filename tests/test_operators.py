@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crestline.functions import scoring, skills, status, text
-from crestline.operators import feeds, ranking, retrieval
+from crestline.operators import feeds, listing, ranking, retrieval
 from crestline.sources import tables
 from crestline.streaming import activity
 
@@ -26,9 +26,9 @@ def test_parse_skills(spark, raw, want):
 
 def test_overlap_knows_synonyms(spark):
     wanted, have = skills.parse_skills(F.lit("kafka, aws, sql")), skills.parse_skills(F.lit("message queues, ec2"))
-    assert value(spark, skills.overlap(wanted, skills.expand_each(wanted), have, skills.expand(have))) == pytest.approx(2 / 3)
+    assert value(spark, skills.overlap(wanted, skills.expand_each(wanted), skills.expand(have))) == pytest.approx(2 / 3)
     none = skills.parse_skills(F.lit(""))
-    assert value(spark, skills.overlap(none, skills.expand_each(none), have, skills.expand(have))) == 0.0
+    assert value(spark, skills.overlap(none, skills.expand_each(none), skills.expand(have))) == 0.0
 
 
 @pytest.mark.parametrize(("years", "least", "want"), [(None, 2.0, 0.4), (2.0, 2.0, 1.0), (9.0, 2.0, 0.9), (1.0, 2.0, 0.7), (0.0, 2.0, 0.4), (3.0, None, 0.7)])
@@ -94,3 +94,87 @@ def test_split_goes_by_the_id_alone(spark):
     assert len(rows) == len(ids)
     assert all(r["split"] == want(r["id"]) for r in rows)
     assert {r["split"] for r in rows} == {"train", "val", "test"}
+
+
+def test_overlap_looks_into_expanded_skills(spark):
+    wanted, have = skills.parse_skills(F.lit("distributed, c\\go")), skills.parse_skills(F.lit("microservices"))
+    assert value(spark, wanted) == ["distributed", "c", "go"]
+    assert value(spark, skills.overlap(wanted, skills.expand_each(wanted), skills.expand(have))) == pytest.approx(1 / 3)
+
+
+@pytest.mark.parametrize(
+    ("degree", "level"),
+    [(None, 0.0), ("  ", 0.0), ("Ph. D", 5.0), ("MPhil", 4.5), ("M.Phil Physics", 4.5), ("MSc", 4.0), ("MBA", 4.0), ("BSc", 3.0), ("Bachelor of Arts", 3.0), ("diploma", 2.0), ("A-Level", 2.0), ("High  School", 1.0), ("something", 0.5)],
+)
+def test_education_ordinal(spark, degree, level):
+    assert value(spark, ranking.education_ordinal(F.lit(degree).cast("string"))) == level
+
+
+@pytest.mark.parametrize(("title", "boost"), [("Backend Engineer", 0.03), ("Full Stack Dev", 0.015), ("fullstack backend", 0.03), (None, 0.0), ("QA", 0.0)])
+def test_title_boost(spark, title, boost):
+    assert value(spark, ranking.title_boost(F.lit(title).cast("string"))) == boost
+
+
+def test_feedback_labels_know_whole_words(spark):
+    rows = [(1, i, action, 1) for i, action in enumerate(["hire", "Not a fit", "rejection", "hired_x", "shortlist_removed", "hired interest", "shortlist", None])]
+    got = {r["candidate_id"]: r["label"] for r in feeds.latest_feedback(spark.createDataFrame(rows, "job_id int, candidate_id int, action string, created_at int")).collect()}
+    assert got == {0: 1.0, 1: 0.0, 5: 1.0, 6: 0.85}
+
+
+@pytest.mark.parametrize(("action", "want"), [(None, "new"), (" ", "new"), ("Not a fit", "rejected"), ("reject", "rejected"), ("Selected", "selected"), ("on hold!", "on_hold"), ("!!", "reviewed"), ("x" * 80, "x" * 64)])
+def test_feedback_status(spark, action, want):
+    assert value(spark, feeds.feedback_status(F.lit(action).cast("string"))) == want
+
+
+def test_date_bounds_and_job_status(spark):
+    when = datetime.datetime(2024, 1, 2, 3, 4, 5)
+    assert listing.date_bound("2024-01-02T03:04:05") == when and listing.date_bound("2024-01-02T03:04:05.5") == when.replace(microsecond=500000)
+    assert listing.date_bound("2024-01-02") == datetime.datetime(2024, 1, 2) and listing.date_bound("02.01.2024") is None and listing.date_bound(None) is None
+    rows = [("on_hold", datetime.datetime(2024, 1, 1)), ("inactive", datetime.datetime(2024, 1, 3)), ("active", datetime.datetime(2024, 1, 2))]
+    jobs = spark.createDataFrame(rows, "status string, created_at timestamp_ntz")
+    assert sorted(r["status"] for r in listing.jobs_filtered(jobs, "On-Hold", "2024-01-01", "nothing").collect()) == ["inactive", "on_hold"]
+    assert [r["status"] for r in listing.jobs_filtered(jobs, "inactive", None, "2024-01-01").collect()] == ["on_hold"]
+    with pytest.raises(ValueError):
+        listing.has_job_status(F.lit("x"), "unheard of")
+
+
+@pytest.mark.parametrize(
+    ("raw", "years"),
+    [("3-5 years", 3), ("5 to 7 yrs", 5), ("minimum 2 years or 1 year", 2), ("at least 4+ years", 4), ("6+ years of experience, 2 years lead", 6), ("3 years java, 2 years sql", 2), ("none", None), (None, None)],
+)
+def test_years_asked(spark, raw, years):
+    assert value(spark, text.years_asked(F.lit(raw).cast("string"))) == years
+
+
+@pytest.mark.parametrize(
+    ("title", "have", "role", "named"),
+    [
+        ("SQA Engineer", "python", "qa", "data scientist"), ("Engineer", "react, node.js", "fullstack", "full stack developer"), ("Engineer", "django", "backend", "backend developer"), ("X", "css", "frontend", "frontend developer"),
+        ("Developer", "", "software", "unknown"), ("Analyst", "machine learning", "data", "data scientist"), ("X", "kotlin", "software", "unknown"), ("X", "selenium", "qa", "qa engineer"), ("X", "cooking", "other", "unknown"), ("", "", "unknown", "unknown"),
+    ],
+)
+def test_roles(spark, title, have, role, named):
+    assert value(spark, text.role_fine(F.lit(title), F.lit(have), F.lit(None).cast("string"))) == role
+    assert value(spark, text.title_from_skills(F.lit(have))) == named
+
+
+def test_resume_text(spark):
+    raw = "  Skil-\nled in a-\nb-\n c\r\nx\x07y\n\n\n\n\nend \n"
+    assert value(spark, text.resume_text(F.lit(raw))) == "Skilled in abc\nxy\n\n\nend"
+    assert value(spark, text.resume_text(F.lit(None).cast("string"))) == ""
+    assert value(spark, text.mended(F.lit("2019 â€“ 2020 itâ€™s"))) == "2019 – 2020 it’s"
+
+
+def test_cosine_top_k_in_blocks(spark):
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)] + [(100, [1.0, 2.0]), (101, [2.0, 4.0]), (102, None), (103, [float("nan"), 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = sorted(map(tuple, retrieval.cosine_top_k(df, 10, 4).collect()))
+    assert whole == sorted(map(tuple, retrieval.cosine_top_k(df, 10, 4, block=9, at_once=2).collect()))
+    assert (100, 1, 101, 1.0) in whole and (20, 1, 41, 1.0) in whole
+
+
+def test_pool_rank(spark):
+    rows = [(i, i, float(i), "long enough " * 3 if i % 2 else "short") for i in range(80)]
+    df = spark.createDataFrame(rows, "candidate_id int, created_at int, score double, text string")
+    assert tuple(ranking.pool_rank(df, F.col("score"), 70.0, 60).first()) == (6, 30, True, 60)
+    assert tuple(ranking.pool_rank(df.where("false"), F.col("score"), 70.0).first()) == (1, 0, False, 0)
