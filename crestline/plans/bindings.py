@@ -17,6 +17,18 @@ DEGREES = ["bachelors", "masters", "phd", "intermediate", "", "BSc  Physics", "M
 REQUIRED = ["any", "bachelors", "masters", "phd"]
 DESCRIPTIONS = ["Minimum 3 years, bachelor's degree", "5-7 yrs of backend work; MSc preferred", "at least 2+ years", "10+ years of experience, PhD", "1 year of sql or 4 years of java", "No experience asked", ""]
 ACTIONS = ["selected", "hire", "Not a fit", "shortlist", "rejection", "hired_x", "on hold", "dismissed", "Yes ", "hired interest", "!!", ""]
+HEADS = ["Ann Lee\nE-mail: ann.lee@mail.org\nPhone +44 20 7946 0958", "Bo Chan | noreply@site.com\nbo . chan @ web.net", "Contact me: cy [at] host [dot] io", "Dee Ray\nwww.dee.dev", "Summary: 7+ years of experience in software at example.org\nmailto:e.f@corp.co.uk", "zed99gmail.com\n\nAbout me\nI enjoy building tools"]
+BODIES = [
+    "Work Experience\nBackend Engineer at Acme Inc\nJan 2015 - Mar 2018\n03/2017 - 06/2019\nSkills: python, sql",
+    "EXPERIENCE\nDeveloper 2010 - 2014\nAnalyst 2012 to 2016\nEducation\nBachelor of Science, State University 2004 - 2008",
+    "Engineer, Solutions Ltd, 2 0 0 5 - 2 0 0 9\nSchool 1999-2003",
+    "Projects\nShop 2018 - 2020\nSkills\nreact, node\n\n12 endorsements",
+    "Over 4 years at university. 13 years related to your experience with ads",
+    "Certifications\nAWS Solutions Architect Associate\nCertified Scrum Master\n\nLanguages\nFrench",
+    "Full-time manager at Bolt, 2016/02 - present relevant work experience Lead 2019 - 2020 Education MSc",
+    "",
+]
+TAILS = ["\nMaster of Arts, MBA", "\n\nMay 2020 award of the faculty", "\nCISSP", "\nMatric, O-levels\n\nReferences on request", " ", "\nPMP credential\n5 years as a designer", "\nPh.D thesis"]
 STATUSES = ["new", "screened", "shortlisted", "selected", "interviewing", "hired", "declined"]
 
 
@@ -78,3 +90,9 @@ def hidden(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("kind"), F.col("ts").alias("created_at"), "user_id", F.pmod("user_id", F.lit(25)).cast("int").alias("workspace_id"), "value")
+
+
+def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text for each candidate, put together from parts."""
+    key = F.col("p_partkey")
+    return raw(spark, sf_dir, "part").select(key.alias("candidate_id"), F.concat(pick(HEADS, key), F.lit("\n"), pick(BODIES, F.floor(key / 6)), pick(TAILS, key)).alias("text"))

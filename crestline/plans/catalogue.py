@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crestline.functions import matching as names
+from crestline.functions import resume as cv
 from crestline.functions import scoring, text
-from crestline.operators import feeds, funnel, listing, ranking, reports, retrieval, visibility
+from crestline.operators import feeds, funnel, listing, matching, ranking, reports, resume, retrieval, visibility
 from crestline.plans import bindings as b
 from crestline.streaming import activity
 
@@ -243,6 +245,73 @@ def role_fine(candidates):
     return candidates.select("candidate_id", text.role_fine(F.col("title"), F.col("skills"), F.col("role_label")).alias("role"), text.title_from_skills(F.col("skills")).alias("title_from_skills"))
 
 
+@_relations("rankings", "jobs", "candidates")
+def smart_filter_pairs(rankings, jobs, candidates):
+    return matching.smart_filter(rankings, jobs, candidates, 0.05, 0.2).withColumn("overlap", F.bround("overlap", 4))
+
+
+@_relations("rankings")
+def low_match_warnings(rankings):
+    return matching.low_matches(rankings, 0.4)
+
+
+@_relations("candidates")
+def role_labels(candidates):
+    label = names.role_label(F.col("title"))
+    return candidates.select("candidate_id", label.alias("label"), names.role_label(F.col("title"), names.ENGINEERING_LABELS, "fullstack").alias("engineering_label"))
+
+
+@_relations("jobs")
+def job_department(jobs):
+    return jobs.select("job_id", names.department(F.col("title"), F.col("description")).alias("department"))
+
+
+@_relations("documents")
+def core_skills(documents):
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]{3,}"), F.lit(0)))
+    return documents.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("doc_freq")).where(names.core_skill(F.col("word")))
+
+
+@_relations("candidates")
+def clean_titles(candidates):
+    """Titles with a firm, a sentence or a sign behind them."""
+    added = b.pick([" @ Acme Solutions Ltd", "", ", seeking work", " – II"], F.col("candidate_id"))
+    return candidates.select("candidate_id", names.clean_title(F.concat("title", added)).alias("title"))
+
+
+@_relations("candidates")
+def profile_fallback(candidates):
+    score = names.fallback_score(F.col("years"), F.col("skills"), F.col("degree"), F.col("certifications"))
+    return candidates.select("candidate_id", names.experience_bucket(F.col("years")).alias("bucket"), score.alias("score"))
+
+
+@_relations("resumes")
+def resume_certifications(resumes):
+    lined = resumes.select("candidate_id", "text", cv.lines(F.col("text")).alias("lines"))
+    return lined.select("candidate_id", cv.highest_degree(F.col("text")).alias("degree"), cv.certifications(F.col("lines")).alias("certifications"))
+
+
+@_relations("resumes")
+def chunk_roles(resumes):
+    cut = resumes.select("candidate_id", F.posexplode(cv.chunks(F.col("text"))).alias("place", "chunk"))
+    return cut.select("candidate_id", (F.col("place") + 1).alias("place"), cv.chunk_role(F.col("chunk")).alias("role"))
+
+
+@_relations("resumes")
+def pii_keep_lines(resumes):
+    return resumes.select("candidate_id", cv.strip_pii_lines(F.col("text")).alias("clean"))
+
+
+@_relations("resumes")
+def email_extract(resumes):
+    return resume.primary_email(resumes.withColumnRenamed("candidate_id", "id"))
+
+
+@_relations("resumes")
+def years_experience(resumes):
+    return resume.years_experience(resumes.withColumnRenamed("candidate_id", "id"), b.NOW.year + 20)
+
+
 @_relations("documents")
 def resume_text(documents):
     return documents.select("doc_id", F.md5(text.resume_text(text.mended(F.col("text")))).alias("clean_md5"))
