@@ -14,18 +14,22 @@ def smart_filter(pairs: DataFrame, jobs: DataFrame, candidates: DataFrame, least
 
     A job without skills asks for none. The title is not looked at where the
     job's role is unknown or the overlap is half as much again as needed. Each
-    pair of skill lists is compared once, however many pairs of rows share it.
+    pair of skill lists and each pair of titles is compared once, however many
+    pairs of rows share it.
     """
-    asked = jobs.select("job_id", F.coalesce("skills", F.lit("")).alias("wanted"), F.col("title").alias("job_title"))
-    own = candidates.select("candidate_id", F.coalesce("skills", F.lit("")).alias("have"), "title", "role_label")
+    text_of = lambda c: F.coalesce(c, F.lit(""))
+    asked = jobs.select("job_id", text_of("skills").alias("wanted"), text_of("title").alias("job_title"), text.role_bucket(F.col("title")).alias("bucket"))
+    own = candidates.select("candidate_id", text_of("skills").alias("have"), text_of("title").alias("title"), text_of("role_label").alias("role_label"))
     near = pairs.where(F.col("similarity") >= least_similarity).select("job_id", "candidate_id").join(asked, "job_id").join(own, "candidate_id")
-    lists = near.select("wanted", "have").distinct().select("wanted", "have", m.spelled(m.phrases(F.col("wanted"))).alias("w"), m.bag(m.phrases(F.col("have"))).alias("h"))
+    # Compared are aggregates rather than keys, as a filter on keys would be carried out for each row before the grouping.
+    lists = near.groupBy("wanted", "have").agg(m.spelled(m.phrases(F.min("wanted"))).alias("w"), m.bag(m.phrases(F.min("have"))).alias("h"))
     compared = lists.select("wanted", "have", (F.size("w") > 0).alias("asks"), m.alias_overlap(F.col("w"), F.col("h")).alias("overlap"))
-    bucket = text.role_bucket(F.col("job_title"))
+    names = ["bucket", "job_title", "title", "role_label"]
+    role, guard = text.matches_role(F.col("b"), F.col("t"), F.col("l")), m.title_guard(F.col("j"), F.col("t"), F.col("l"))
+    titled = near.groupBy(*names).agg(*[F.min(n).alias(n[0]) for n in ("bucket", "job_title", "title")], F.min("role_label").alias("l")).where(role).select(*names, ((F.col("b") == "other") | guard).alias("near_title"))
     strong = F.col("asks") & (F.col("overlap") >= least_overlap * 1.5)
-    titled = (bucket == "other") | strong | m.title_guard(F.col("job_title"), F.col("title"), F.col("role_label"))
-    passed = (~F.col("asks") | (F.col("overlap") >= least_overlap)) & text.matches_role(bucket, F.col("title"), F.col("role_label")) & titled
-    return near.join(compared, ["wanted", "have"]).where(passed).select("job_id", "candidate_id", "overlap")
+    enough = compared.where(~F.col("asks") | (F.col("overlap") >= least_overlap))
+    return near.join(enough, ["wanted", "have"]).join(titled, names).where(strong | F.col("near_title")).select("job_id", "candidate_id", "overlap")
 
 
 def low_matches(rankings: DataFrame, threshold: float) -> DataFrame:

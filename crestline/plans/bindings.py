@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crestline.sources.spread import spread
+
 #: All relative times are measured from here.
 NOW = datetime(2001, 9, 1)
 #: Candidates are 0 to 399 days old.
@@ -92,7 +94,11 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("kind"), F.col("ts").alias("created_at"), "user_id", F.pmod("user_id", F.lit(25)).cast("int").alias("workspace_id"), "value")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(raw(spark, sf_dir, "documents"))
+
+
 def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text for each candidate, put together from parts."""
     key = F.col("p_partkey")
-    return raw(spark, sf_dir, "part").select(key.alias("candidate_id"), F.concat(pick(HEADS, key), F.lit("\n"), pick(BODIES, F.floor(key / 6)), pick(TAILS, key)).alias("text"))
+    return spread(raw(spark, sf_dir, "part")).select(key.alias("candidate_id"), F.concat(pick(HEADS, key), F.lit("\n"), pick(BODIES, F.floor(key / 6)), pick(TAILS, key)).alias("text"))

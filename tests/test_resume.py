@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from crestline.functions import matching as m
 from crestline.functions import resume as cv
 from crestline.operators import matching, resume
+from crestline.sources.spread import spread
 
 
 def value(spark, column):
@@ -149,3 +150,12 @@ def test_smart_filter(spark):
     assert got == {(1, 1), (1, 4), (2, 1), (2, 2), (2, 3), (2, 4)}
     low = matching.low_matches(spark.createDataFrame([(1, 0.9, 0.1), (2, None, 0.1), (2, None, None)], "job_id int, score double, similarity double"), 0.5)
     assert [tuple(r) for r in low.collect()] == [(2, 2)]
+
+
+def test_small_tables_are_spread(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert spread(df).count() == 100
+    assert spread(df, most_bytes=1) is df
+    assert spread(spark.range(3)).count() == 3
