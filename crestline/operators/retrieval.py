@@ -30,9 +30,9 @@ def tfidf_top_k(queries: DataFrame, docs: DataFrame, k: int, min_df: int = 2, ma
 
     queries and docs have id and text. Terms in under min_df texts or over
     max_share of them are left out before the terms meet. Documents that share
-    no term have no row. Ties go to the smaller id. Texts are taken apart once,
-    into a written table, and of the documents only the queries' terms meet; a
-    term that nearly all texts hold still brings each query and document together.
+    no term have no row. Ties go to the smaller id. Texts are taken apart and
+    weighed once, into written tables, and of the documents only the queries'
+    terms meet; a term that nearly all texts hold still brings each query and document together.
     """
     sides = queries.select(F.lit(0).alias("side"), "id", "text").unionByName(docs.select(F.lit(1).alias("side"), "id", "text"))
     counts = sides.select("side", "id", words(F.col("text")).alias("w")).select("side", "id", F.explode(with_pairs(F.col("w"))).alias("term")).groupBy("side", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -40,7 +40,7 @@ def tfidf_top_k(queries: DataFrame, docs: DataFrame, k: int, min_df: int = 2, ma
     n = sides.agg(F.count(F.lit(1)).alias("n"))
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(n).where((F.col("df") >= min_df) & (F.col("df") <= max_share * F.col("n")))  # n is one row
     idf = df.select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1).alias("idf"))
-    weights = counts.join(idf, "term").select("side", "id", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    weights = stored(counts.join(idf, "term").select("side", "id", "term", (F.col("tf") * F.col("idf")).alias("w")), "weights")
     norms = weights.groupBy("side", "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     q = weights.where("side = 0").select(F.col("id").alias("query_id"), "term", F.col("w").alias("qw"))
     d = weights.where("side = 1").select(F.col("id").alias("doc_id"), "term", "w")
