@@ -107,6 +107,16 @@ def weighted_coverage(wanted: Column, have: Column) -> Column:
     return F.when(F.size(wanted) == 0, 0.0).otherwise(total(F.array_intersect(wanted, have)) / total(wanted))
 
 
+def covered(wanted: Column, have: Column) -> Column:
+    """Share of wanted that is among have as it is; nothing wanted gives 0."""
+    return F.when(F.size(wanted) == 0, 0.0).otherwise(F.size(F.array_intersect(wanted, have)) / F.size(wanted))
+
+
+def critical(wanted: Column) -> Column:
+    """Those of wanted that say something about a job."""
+    return F.filter(wanted, lambda t: ~t.isin(GENERIC))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)

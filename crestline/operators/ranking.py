@@ -78,15 +78,21 @@ def saved_rankings(rankings: DataFrame, k: int) -> DataFrame:
     return rankings.withColumn("place", place).where(F.col("place") <= k).select("job_id", F.col("place").cast("int").alias("place"), "candidate_id", F.bround("score", 4).alias("score"))
 
 
+#: Fixed value: how many missing skills an explanation lists.
+MOST_MISSING = 30
+
+
 def skill_scores(strings: DataFrame) -> DataFrame:
-    """wanted and had, two skill strings, with skill, raw_overlap, coverage and missing of each row. Each string is parsed and expanded once."""
+    """wanted and had, two skill strings, with what they have in common and what lacks. Each string is parsed and expanded once."""
     wanted = strings.select("wanted").distinct().withColumn("job_skills", skills.parse_skills(F.col("wanted")))
     wanted = wanted.withColumn("job_expanded", skills.expand_each(F.col("job_skills")))
     had = strings.select("had").distinct().withColumn("cand_skills", skills.parse_skills(F.col("had")))
     had = had.withColumn("cand_expanded", skills.expand(F.col("cand_skills")))
+    asked, own = F.col("job_skills"), F.col("cand_skills")
+    lacks = lambda a: F.slice(F.array_sort(F.array_except(a, own)), 1, MOST_MISSING)
     return strings.join(wanted, "wanted").join(had, "had").select(
-        "wanted", "had", skills.overlap(F.col("job_skills"), F.col("job_expanded"), F.col("cand_expanded")).alias("skill"), skills.jaccard(F.col("job_skills"), F.col("cand_skills")).alias("raw_overlap"),
-        skills.weighted_coverage(F.col("job_skills"), F.col("cand_skills")).alias("coverage"), F.slice(F.array_sort(F.array_except("job_skills", "cand_skills")), 1, 30).alias("missing"),
+        "wanted", "had", skills.covered(asked, own).alias("ratio"), skills.covered(skills.critical(asked), own).alias("critical_coverage"), lacks(skills.critical(asked)).alias("missing_critical"), skills.overlap(asked, F.col("job_expanded"), F.col("cand_expanded")).alias("skill"),
+        skills.weighted_coverage(asked, own).alias("coverage"), lacks(asked).alias("missing"),
     )
 
 
@@ -103,6 +109,24 @@ def pair_scores(pairs: DataFrame, jobs: DataFrame, candidates: DataFrame) -> Dat
     return scored.withColumn("weak", scoring.weak_score(F.col("skill"), F.col("exp"), F.col("edu")))
 
 
+def explanations(rankings: DataFrame, jobs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Why each ranked pair scores as it does: shares and scores to four digits, missing skills in order of the alphabet."""
+    scored = pair_scores(rankings, jobs, candidates).join(rankings.select("job_id", "candidate_id", "score", "similarity"), ["job_id", "candidate_id"])
+    final = scoring.adjusted_match(F.col("score"), F.col("similarity"), F.col("skill"), F.col("band"))
+    parts = {
+        "skills_match_ratio": F.col("ratio"),
+        "normalized_skill_overlap": F.col("skill"),
+        "total_skill_coverage": F.col("coverage"),
+        "critical_skill_coverage": F.col("critical_coverage"),
+        "experience_match": F.col("exp"),
+        "education_match": F.col("edu"),
+        "heuristic_weak_score": F.col("weak"),
+        "score_raw": F.col("score"),
+        "score": final,
+    }
+    return scored.select("job_id", "candidate_id", *[F.bround(c, 4).alias(n) for n, c in parts.items()], F.col("missing").alias("missing_skills"), F.col("missing_critical").alias("missing_critical_skills"))
+
+
 def shortlist(rankings: DataFrame, applicants: DataFrame, least: float, k: int) -> DataFrame:
     """The k most similar of each job above a threshold, and its applicants whatever they score, each once, numbered."""
     scored = rankings.select("job_id", "candidate_id", "similarity")

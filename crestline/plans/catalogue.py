@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from crestline.functions import matching as names
 from crestline.functions import resume as cv
 from crestline.functions import scoring, text
-from crestline.operators import feeds, funnel, listing, matching, ranking, reports, resume, retrieval, visibility
+from crestline.operators import feeds, funnel, insight, listing, matching, ranking, reports, resume, retrieval, visibility
 from crestline.plans import bindings as b
 from crestline.streaming import activity
 
@@ -169,10 +169,22 @@ def adjusted_scores(rankings, jobs, candidates):
     return s.select("job_id", "candidate_id", F.bround(final, 4).alias("final"), F.bround(blend, 4).alias("blend"), scoring.match_label(F.bround(100 * final, 4)).alias("label"))
 
 
-@_relations("applicants", "jobs", "candidates")
-def ranking_explanations(applicants, jobs, candidates):
-    s = _pairs(applicants, jobs, candidates)
-    return s.select("job_id", "candidate_id", F.bround("raw_overlap", 4).alias("skills_match_ratio"), F.bround("coverage", 4).alias("coverage"), F.bround("band", 4).alias("experience_match"), F.bround("edu", 4).alias("education_match"), F.array_join("missing", "|").alias("missing_skills"))
+@_relations("rankings", "jobs", "candidates")
+def ranking_explanations(rankings, jobs, candidates):
+    listed = {c: F.array_join(c, "|") for c in ("missing_skills", "missing_critical_skills")}
+    return ranking.explanations(rankings, jobs, candidates).withColumns(listed)
+
+
+@_relations("rankings", "applicants", "jobs", "candidates")
+def top_candidate_insight(rankings, applicants, jobs, candidates):
+    """Among a job's shortlisted candidates where it has any, else among all."""
+    pool = insight.still_shortlisted(rankings, applicants.where("status = 'shortlisted'"))
+    return insight.top_insight(pool, jobs, candidates).withColumn("insight", F.md5("insight"))
+
+
+@_relations("rankings", "applicants")
+def insight_keys(rankings, applicants):
+    return insight.insight_keys(insight.still_shortlisted(rankings, applicants.where("status = 'shortlisted'")))
 
 
 @_relations("rankings", "jobs", "candidates")

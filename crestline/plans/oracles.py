@@ -58,15 +58,17 @@ EXPAND = ("list_distinct(flatten(list_transform({0}, lambda t: list_concat([t, r
 HAS = f"(list_has_any({EXPAND('[w]')}, ce) OR len(list_filter(ce, lambda h: length(h) >= 4 AND length(w) >= 4 AND (contains(h, w) OR contains(w, h)))) > 0)"
 DEGREE = "CASE lower(trim({0})) WHEN 'intermediate' THEN 1 WHEN 'bachelors' THEN 2 WHEN 'masters' THEN 3 WHEN 'phd' THEN 4 END".format
 WEIGHT = f"list_sum(list_transform({{0}}, lambda t: CASE WHEN list_contains({_list(sk.GENERIC)}, t) THEN 0.25 ELSE 1.0 END))".format
+CRITICAL = f"list_filter(js, lambda w: NOT list_contains({_list(sk.GENERIC)}, w))"
 CLAMP = "least(1.0, greatest(0.0, {0}))".format
 
 
 def _scored(pairs: str) -> str:
     return f"""pairs AS (SELECT DISTINCT job_id, candidate_id FROM {pairs}), js AS (SELECT *, {TOKENS('skills')} AS js FROM jobs), c1 AS (SELECT *, {TOKENS('skills')} AS cs FROM candidates), c2 AS (SELECT *, {EXPAND('cs')} AS ce FROM c1),
     combos AS (SELECT DISTINCT js.skills AS s1, c2.skills AS s2, js, cs, ce FROM (SELECT DISTINCT skills, js FROM js) js, (SELECT DISTINCT skills, cs, ce FROM c2) c2),
-    measured AS (SELECT s1, s2, CASE WHEN len(js) = 0 THEN 0.0 ELSE len(list_filter(js, lambda w: {HAS}))::DOUBLE / len(js) END AS skill, CASE WHEN len(list_distinct(list_concat(js, cs))) = 0 THEN 0.0 ELSE len(list_intersect(js, cs))::DOUBLE / len(list_distinct(list_concat(js, cs))) END AS raw_overlap,
-        CASE WHEN len(js) = 0 THEN 0.0 ELSE (coalesce({WEIGHT('list_intersect(js, cs)')}, 0) / {WEIGHT('js')})::DOUBLE END AS coverage, array_to_string(list_sort(list_filter(js, lambda w: NOT list_contains(cs, w))), '|') AS missing FROM combos),
-    parts AS (SELECT job_id, candidate_id, skill, raw_overlap, coverage, missing, CASE WHEN min_experience IS NULL THEN 0.5 WHEN years IS NULL THEN 0.0 WHEN min_experience <= 0 THEN 1.0 ELSE least(1.0, years / min_experience) END AS exp,
+    measured AS (SELECT s1, s2, CASE WHEN len(js) = 0 THEN 0.0 ELSE len(list_filter(js, lambda w: {HAS}))::DOUBLE / len(js) END AS skill, CASE WHEN len(js) = 0 THEN 0.0 ELSE len(list_intersect(js, cs))::DOUBLE / len(js) END AS ratio, CASE WHEN len({CRITICAL}) = 0 THEN 0.0 ELSE len(list_intersect({CRITICAL}, cs))::DOUBLE / len({CRITICAL}) END AS critical_coverage,
+        list_sort(list_filter({CRITICAL}, lambda w: NOT list_contains(cs, w))) AS lacks_critical,
+        CASE WHEN len(js) = 0 THEN 0.0 ELSE (coalesce({WEIGHT('list_intersect(js, cs)')}, 0) / {WEIGHT('js')})::DOUBLE END AS coverage, list_sort(list_filter(js, lambda w: NOT list_contains(cs, w))) AS lacks FROM combos),
+    parts AS (SELECT job_id, candidate_id, skill, ratio, critical_coverage, coverage, lacks, lacks_critical, CASE WHEN min_experience IS NULL THEN 0.5 WHEN years IS NULL THEN 0.0 WHEN min_experience <= 0 THEN 1.0 ELSE least(1.0, years / min_experience) END AS exp,
         CASE WHEN years IS NULL THEN 0.4 WHEN years >= min_experience AND years <= min_experience + 2 THEN 1.0 WHEN years >= min_experience + 2 THEN 0.9 WHEN years >= min_experience - 1 THEN 0.7 ELSE 0.4 END AS band,
         CASE WHEN {DEGREE('education_required')} IS NULL THEN 0.5 WHEN {DEGREE('degree')} IS NULL THEN 0.0 WHEN {DEGREE('degree')} >= {DEGREE('education_required')} THEN 1.0 ELSE 0.0 END AS edu
         FROM pairs JOIN jobs USING (job_id) JOIN candidates USING (candidate_id) JOIN measured ON jobs.skills = s1 AND candidates.skills = s2), scored AS (SELECT *, {CLAMP('0.70 * skill + 0.20 * exp + 0.10 * edu')} AS weak FROM parts)"""
@@ -125,6 +127,39 @@ PROFILE = f"""base AS (SELECT candidate_id, greatest(coalesce(years, 0.0), 0.0)
 STOP = _list(__import__("crestline.operators.retrieval", fromlist=["x"]).STOP_WORDS)
 
 
+BOOSTED = CLAMP("1 - pow(1 - " + CLAMP("greatest(score, 0.4 * score + 0.3 * similarity + 0.2 * skill + 0.1 * band)") + ", 2)")
+EXPLAINED = f"{{0}}, explained AS (SELECT job_id, candidate_id, lacks, lacks_critical, {R4('ratio')} AS ratio, {R4('skill')} AS skill, {R4('coverage')} AS coverage, {R4('critical_coverage')} AS critical, {R4('exp')} AS exp, {R4('edu')} AS edu, {R4('weak')} AS weak, {R4('score')} AS raw, {R4(BOOSTED)} AS final FROM scored JOIN rankings USING (job_id, candidate_id))"
+POOL = "listed AS (SELECT DISTINCT job_id, candidate_id FROM applicants WHERE status = 'shortlisted'), pool AS (SELECT * FROM rankings r WHERE EXISTS (SELECT 1 FROM listed l WHERE l.job_id = r.job_id AND l.candidate_id = r.candidate_id) OR NOT EXISTS (SELECT 1 FROM listed l WHERE l.job_id = r.job_id))"
+
+
+def insight_sql() -> dict[str, str]:
+    pct = "round_even(100 * least(1.0, greatest(0.0, {0})), 0)::BIGINT::VARCHAR".format
+    years = lambda c: f"CASE WHEN {c} = floor({c}) THEN {c}::BIGINT::VARCHAR ELSE format('{{:g}}', {c}) END"
+    phrases = "list_filter(list_transform(string_split_regex(j.skills, '[,;\\n]+'), lambda x: trim(x)), lambda x: x <> '')"
+    named = "list_filter(phrases, lambda x: list_contains(list_intersect(wanted, had), lower(x)))[1:6]"
+    said = [
+        f"a_name || ' is ranked #1 for ' || opening || ' because their overall match score is highest among shortlisted candidates (' || {pct('a_score')} || '%), with a ' || CASE WHEN a_score >= 0.78 THEN 'high' WHEN a_score >= 0.62 THEN 'medium' ELSE 'low' END || ' strength rating from the ranking model, supported by structured signals on skills coverage (' || {pct('a_ratio')} || '% of the job’s listed requirement tags found in their résumé skills), experience fit versus the role minimum (' || {pct('a_exp')} || '%), and education alignment (' || {pct('a_edu')} || '%).'",
+        "CASE WHEN len(named) > 0 THEN 'Concrete alignment shows up in overlapping requirement areas such as ' || array_to_string(named, ', ') || ', drawn directly from the job’s stated skills and their résumé.' WHEN len(phrases) > 0 THEN 'Keyword-level tag overlap is not dominant in the parsed skills lists; the top rank is driven mainly by the full job description versus full résumé scoring, where this profile still separates from peers.' END",
+        "'Their headline profile (' || title || ' / ' || role_label || ') reinforces domain relevance for this opening.'",
+        f"CASE WHEN years + 1e-6 >= min_experience THEN 'They report about ' || {years('years')} || ' years of experience, meeting or exceeding the role’s stated minimum of ' || {years('min_experience')} || ' years, which supports depth expectations for delivery.' ELSE 'They report about ' || {years('years')} || ' years of experience in the structured profile fields used for screening.' END",
+        "CASE WHEN degree <> '' THEN 'Education signals include ' || replace(degree, '_', ' ') || ' as the recorded highest degree.' END",
+        "CASE WHEN certifications <> '' THEN 'Certifications/credentials on file include: ' || certifications END",
+        f"'Compared with ' || b_name || ' at rank #2 (match score ' || {pct('b_score')} || '%, tagged skills coverage ' || {pct('b_ratio')} || '%), ' || a_name || ' leads on the model score gap and shows fewer uncovered requirement tags in the parsed job-versus-résumé view (' || a_lacks || ' missing vs ' || b_lacks || ' for #2), which is consistent with placing them ahead for this requisition.'",
+        "'Overall, ' || a_name || ' combines the strongest automated match score with the most favorable structured overlap and experience/education signals in this shortlist, so they are positioned as the highest-impact choice for advancing ' || opening || '.'",
+    ]
+    top = "top AS (SELECT job_id, candidate_id, score, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, similarity DESC, candidate_id) AS place FROM pool QUALIFY place <= 2)"
+    rows = "r AS (SELECT top.*, ratio, e.exp, e.edu, least(30, len(lacks)) AS lacks, full_name FROM top JOIN explained e USING (job_id, candidate_id) JOIN candidates USING (candidate_id))"
+    both = f"""x AS (SELECT a.job_id, a.candidate_id, a.full_name AS a_name, a.score AS a_score, a.ratio AS a_ratio, a.exp AS a_exp, a.edu AS a_edu, a.lacks AS a_lacks, b.full_name AS b_name, b.score AS b_score, b.ratio AS b_ratio, b.lacks AS b_lacks,
+        j.title AS opening, c.title, trim(c.role_label) AS role_label, c.years, trim(c.degree) AS degree, c.certifications, min_experience, {phrases} AS phrases, {TOKENS('j.skills')} AS wanted, {TOKENS('c.skills')} AS had
+        FROM r a LEFT JOIN r b ON a.job_id = b.job_id AND b.place = 2 JOIN jobs j ON j.job_id = a.job_id JOIN candidates c ON c.candidate_id = a.candidate_id WHERE a.place = 1), y AS (SELECT *, {named} AS named FROM x)"""
+    body = f"+{POOL}, {EXPLAINED.format(_scored('rankings'))}, {top}, {rows}, {both} SELECT job_id, candidate_id, md5(concat_ws(' ', {', '.join(said)})) AS insight FROM y"
+    keys = "sha256(concat_ws('|', count(*), sum(('0x' || left(md5(candidate_id::VARCHAR), 12))::BIGINT)::VARCHAR, epoch(max(run_at))::BIGINT))"
+    return {
+        "top_candidate_insight": _with("rankings applicants jobs candidates", body),
+        "insight_keys": _with("rankings applicants", f"+{POOL} SELECT job_id, {keys} AS insight_key FROM pool GROUP BY job_id"),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     avg4 = lambda c: f"round_even(avg({c}), 4)"
     return {
@@ -154,7 +189,8 @@ def oracle_sql() -> dict[str, str]:
         "compare_candidates": _with("candidates clients rankings applicants jobs", "+best AS (SELECT candidate_id, job_id AS best_job_id, round_even(100 * least(1.0, greatest(0.0, score)), 4) AS best_score FROM rankings r WHERE EXISTS (SELECT 1 FROM applicants a WHERE a.job_id = r.job_id AND a.candidate_id = r.candidate_id) QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY score DESC, job_id) = 1) SELECT candidate_id, full_name, years, degree, best_job_id, best_score, j.title AS job_title, c.name AS client_name FROM candidates LEFT JOIN best USING (candidate_id) LEFT JOIN jobs j ON j.job_id = best_job_id LEFT JOIN clients c USING (client_id) WHERE candidate_id IN (1, 2, 3, 4, 5, 6)"),
         "pair_weak_scores": _with("applicants jobs candidates", f"+{_scored('applicants')} SELECT job_id, candidate_id, {R4('skill')} AS skill, {R4('exp')} AS exp, {R4('edu')} AS edu, {R4('weak')} AS weak FROM scored"),
         "adjusted_scores": _with("rankings jobs candidates", f"+{_scored('rankings')}, f AS (SELECT job_id, candidate_id, {CLAMP('greatest(score, 0.4 * score + 0.3 * similarity + 0.2 * skill + 0.1 * band)')} AS x, {CLAMP('0.5 * similarity + 0.3 * skill + 0.2 * band')} AS blend FROM scored JOIN rankings USING (job_id, candidate_id)), g AS (SELECT *, {CLAMP('1 - pow(1 - x, 2)')} AS y FROM f) SELECT job_id, candidate_id, {R4('y')} AS final, {R4('blend')} AS blend, CASE WHEN {R4('100 * y')} >= 70 THEN 'Strong' WHEN {R4('100 * y')} >= 45 THEN 'Medium' ELSE 'Low' END AS label FROM g"),
-        "ranking_explanations": _with("applicants jobs candidates", f"+{_scored('applicants')} SELECT job_id, candidate_id, {R4('raw_overlap')} AS skills_match_ratio, {R4('coverage')} AS coverage, {R4('band')} AS experience_match, {R4('edu')} AS education_match, missing AS missing_skills FROM scored"),
+        "ranking_explanations": _with("rankings jobs candidates", f"+{EXPLAINED.format(_scored('rankings'))} SELECT job_id, candidate_id, ratio AS skills_match_ratio, skill AS normalized_skill_overlap, coverage AS total_skill_coverage, critical AS critical_skill_coverage, exp AS experience_match, edu AS education_match, weak AS heuristic_weak_score, raw AS score_raw, final AS score, array_to_string(lacks[1:30], '|') AS missing_skills, array_to_string(lacks_critical[1:30], '|') AS missing_critical_skills FROM explained"),
+        **insight_sql(),
         "smart_filter_pool": _with("rankings jobs candidates", f"+near AS (SELECT * FROM rankings WHERE similarity >= 0.05), {_scored('near')}, t AS (SELECT job_id, skill, {_bucket('lower(j.title)')} AS bucket, lower(c.title || ' ' || c.role_label) AS hay FROM scored JOIN jobs j USING (job_id) JOIN candidates c USING (candidate_id) WHERE skill >= 0.2) SELECT job_id, bucket, count(*) AS kept, {avg4('skill')} AS avg_skill FROM t WHERE {_matches('bucket', 'hay')} GROUP BY ALL"),
         "shortlist_compose": _with("rankings applicants", "+t AS (SELECT job_id, candidate_id, similarity, false AS forced FROM rankings WHERE similarity >= 0.2 QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY similarity DESC, candidate_id) <= 2), f AS (SELECT DISTINCT a.job_id, a.candidate_id, r.similarity, true AS forced FROM applicants a LEFT JOIN rankings r USING (job_id, candidate_id) WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.job_id = a.job_id AND t.candidate_id = a.candidate_id)) SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY forced, similarity DESC NULLS LAST, candidate_id)::INT AS place, candidate_id, forced, round_even(similarity, 4) AS similarity FROM (FROM t UNION ALL FROM f)"),
         "final_ensemble": _with("rankings applicants jobs candidates", f"+{_scored('applicants')} SELECT job_id, candidate_id, round_even(0.2 * coalesce(weak, 0) + 0.3 * similarity + 0.5 * score + CASE WHEN contains(lower(coalesce(title, '')), 'backend') THEN 0.03 WHEN contains(lower(coalesce(title, '')), 'full stack') OR contains(lower(coalesce(title, '')), 'fullstack') THEN 0.015 ELSE 0 END::DOUBLE, 4) AS final_score FROM rankings LEFT JOIN scored USING (job_id, candidate_id) LEFT JOIN (SELECT candidate_id, title FROM candidates) USING (candidate_id)"),
