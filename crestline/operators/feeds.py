@@ -18,13 +18,6 @@ def feedback_status(action: Column) -> Column:
     return F.when(a == "", "new").when(plain == "", "reviewed").otherwise(F.substring(plain, 1, 64))
 
 
-def activity_feed(events: DataFrame, feedback: DataFrame, workspace: int, event_cap: int = 40, feedback_cap: int = 25, limit: int = 50) -> DataFrame:
-    """The newest of two sources, each with its own cap, for one workspace. Both have at, kind, ref and workspace_id."""
-    newest = lambda df, cap: df.where(F.col("workspace_id") == workspace).orderBy(F.desc("at"), "ref").limit(cap).select("at", "kind", "ref")
-    both = newest(events, event_cap).unionByName(newest(feedback, feedback_cap))
-    return both.orderBy(F.desc("at"), "kind", "ref").limit(limit)
-
-
 def threads(messages: DataFrame) -> DataFrame:
     """Per conversation: messages, those from the user, the last turn and who spoke then."""
     return messages.groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages"), F.count_if(F.col("role") == "user").alias("incoming"), F.max("turn").alias("last_turn"), F.max(F.struct("turn", "role"))["role"].alias("last_role"))

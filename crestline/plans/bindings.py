@@ -11,6 +11,8 @@ from crestline.sources.spread import spread
 
 #: All relative times are measured from here.
 NOW = datetime(2001, 9, 1)
+#: When the inbox is looked at, near the newest jobs.
+INBOX_NOW = datetime(1998, 8, 1)
 #: Candidates are 0 to 399 days old.
 TITLES = ["Data Analyst", "Frontend Developer", "Backend Engineer", "DevOps Engineer", "UX Designer", "Machine Learning Engineer", "Full Stack Developer", "QA Tester"]
 JOB_SKILLS = ["python, kafka, aws", "react/typescript, rest apis", "ci/cd, docker; kubernetes", "figma | communication", "postgresql, microservices, excel", "distributed, c\\go | excel"]
@@ -18,6 +20,9 @@ CANDIDATE_SKILLS = ["python, message queues, ec2", "react, typescript", "docker,
 DEGREES = ["bachelors", "masters", "phd", "intermediate", "", "BSc  Physics", "MBA", "M. Phil", "diploma", "High School", "Ph.D"]
 REQUIRED = ["any", "bachelors", "masters", "phd"]
 DESCRIPTIONS = ["Minimum 3 years, bachelor's degree", "5-7 yrs of backend work; MSc preferred", "at least 2+ years", "10+ years of experience, PhD", "1 year of sql or 4 years of java", "No experience asked", ""]
+MESSAGES = [" Ann added to the pool ", "Upload queued: cv.pdf", "", "Client saved", "Processing Upload: a.docx", "Resume upload (3 files)", "Job closed"]
+SUBJECTS = ["", " Hello ", "Offer"]
+CHAT_SCOPES = ["general", "Candidates ", "clients", "pool", ""]
 ACTIONS = ["selected", "hire", "Not a fit", "shortlist", "rejection", "hired_x", "on hold", "dismissed", "Yes ", "hired interest", "!!", ""]
 HEADS = ["Ann Lee\nE-mail: ann.lee@mail.org\nPhone +44 20 7946 0958", "Bo Chan | noreply@site.com\nbo . chan @ web.net", "Contact me: cy [at] host [dot] io", "Dee Ray\nwww.dee.dev", "Summary: 7+ years of experience in software at example.org\nmailto:e.f@corp.co.uk", "zed99gmail.com\n\nAbout me\nI enjoy building tools"]
 BODIES = [
@@ -102,3 +107,49 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text for each candidate, put together from parts."""
     key = F.col("p_partkey")
     return spread(raw(spark, sf_dir, "part")).select(key.alias("candidate_id"), F.concat(pick(HEADS, key), F.lit("\n"), pick(BODIES, F.floor(key / 6)), pick(TAILS, key)).alias("text"))
+
+
+def inbox_now() -> Column:
+    return F.lit(INBOX_NOW.isoformat(" ")).cast("timestamp")
+
+
+def logged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The activity log: errors are uploads, and every third entry has a link."""
+    return activity(spark, sf_dir).select("event_id", F.when(F.col("kind") == "error", "upload").otherwise(F.col("kind")).alias("kind"), pick(MESSAGES, F.col("event_id")).alias("message"), F.when(F.col("event_id") % 3 == 0, " /pool ").alias("href"), "created_at", "workspace_id")
+
+
+def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One event for each applied pair, when the application last changed."""
+    last = applicants(spark, sf_dir).groupBy("job_id", "candidate_id").agg(F.max("updated_at").alias("created_at"))
+    return last.select((F.col("job_id") * 1000000 + F.col("candidate_id")).alias("feedback_id"), "job_id", "candidate_id", pick(ACTIONS, F.col("job_id") + F.col("candidate_id")).alias("action"), "created_at")
+
+
+def _address(number: Column) -> Column:
+    return F.concat(F.lit("user"), number.cast("string"), F.lit("@mail.org"))
+
+
+def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    return raw(spark, sf_dir, "customer").select(key.alias("user_id"), F.initcap(_address(key)).alias("email"), F.when(key % 3 == 0, " ").otherwise(F.col("c_name")).alias("full_name"))
+
+
+def client_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients share twenty addresses; the newest number came first."""
+    key = F.col("client_id")
+    name, firm = F.when(key % 4 == 0, "").otherwise(F.col("name")), F.when(key % 8 == 0, "").otherwise(F.col("company_name"))
+    return clients(spark, sf_dir).select(key.alias("id"), _address(key % 20).alias("email"), (-key).alias("created_at"), F.array(name, firm).alias("names"))
+
+
+def candidate_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("candidate_id")
+    return candidates(spark, sf_dir).select(key.alias("id"), _address(key % 25).alias("email"), "created_at", F.array("full_name", "title").alias("names"))
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of conversations as messages between user 7 and others."""
+    conv, turn, mine = F.col("conv_id"), F.col("turn"), F.col("role") != "user"
+    other = F.pmod(conv, F.lit(30)) + 1
+    return raw(spark, sf_dir, "conversations").select(
+        (conv * 1000 + turn).alias("message_id"), F.when(mine, 7).otherwise(other).alias("sender_id"), F.when(mine, other).otherwise(7).alias("recipient_id"), pick(SUBJECTS, conv + turn).alias("subject"), F.col("text").alias("body"),
+        pick(CHAT_SCOPES, conv).alias("chat_scope"), F.timestamp_seconds(1704067200 + F.pmod(conv, F.lit(5000)) * 7200 + turn * 60).alias("created_at"), F.when(turn % 4 == 0, F.lit(1)).alias("read_at"), (conv % 7 == 0).alias("hidden_for_sender"), (conv % 5 == 0).alias("hidden_for_recipient"),
+    )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from crestline.functions import matching as names
 from crestline.functions import resume as cv
 from crestline.functions import scoring, text
-from crestline.operators import feeds, funnel, insight, listing, matching, ranking, reports, resume, retrieval, visibility
+from crestline.operators import feeds, funnel, inbox, insight, listing, matching, ranking, reports, resume, retrieval, visibility
 from crestline.plans import bindings as b
 from crestline.streaming import activity
 
@@ -389,13 +389,18 @@ def ingestion_rollup(events):
     return feeds.ingestion_rollup(queue, F.lit("2024-01-30 12:00:00").cast("timestamp"))
 
 
-@_relations("activity", "applicants", "jobs")
-def activity_feed(events, applicants, jobs):
-    at = lambda c: F.unix_timestamp(c).alias("at")
-    shown = events.where("kind <> 'error'").select(at("created_at"), "kind", F.col("event_id").alias("ref"), "workspace_id")
-    feedback = applicants.where("status = 'hired'").join(jobs.select("job_id", "workspace_id"), "job_id").groupBy("job_id", "candidate_id", "workspace_id").agg(F.max("updated_at").alias("t"))
-    feedback = feedback.select(at("t"), F.lit("hired").alias("kind"), (F.col("job_id") * 1000000 + F.col("candidate_id")).alias("ref"), "workspace_id")
-    return feeds.activity_feed(shown, feedback, WORKSPACE)
+@_relations("logged", "jobs", "rankings", "feedback", "candidates")
+def activity_feed(logged, jobs, rankings, feedback, candidates):
+    return inbox.notifications(logged, jobs, rankings, feedback, candidates, WORKSPACE, b.inbox_now())
+
+
+@_relations("logged", "jobs", "rankings", "feedback", "candidates", "messages", "client_contacts", "candidate_contacts", "users")
+def inbox_rows(logged, jobs, rankings, feedback, candidates, messages, client_contacts, candidate_contacts, users):
+    """Every other event has been read."""
+    read = logged.where("event_id % 2 = 0").select(F.concat(F.lit("event-"), F.col("event_id").cast("string")).alias("item_key"))
+    activity = inbox.notifications(logged, jobs, rankings, feedback, candidates, WORKSPACE, b.inbox_now())
+    rows = inbox.inbox(activity, read, messages, client_contacts, candidate_contacts, users, WORKSPACE)
+    return rows.withColumns({f"in_{tab}": F.coalesce(inbox.in_tab(tab), F.lit(False)) for tab in ("alerts", "candidates")})
 
 
 @_relations("activity")

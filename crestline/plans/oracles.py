@@ -6,7 +6,7 @@ from crestline.functions import skills as sk
 from crestline.functions import text as tx
 from crestline.operators import ranking as rk
 from crestline.plans import bindings as b
-from crestline.plans import resume_oracles
+from crestline.plans import inbox_oracles, resume_oracles
 
 NOW = f"TIMESTAMP '{b.NOW.isoformat(' ')}'"
 
@@ -214,6 +214,6 @@ def oracle_sql() -> dict[str, str]:
         "interval_union_years": "WITH r AS (SELECT l_partkey AS key, year(l_shipdate) AS s, year(l_shipdate) + l_linenumber % 3 AS e FROM lineitem), y AS (SELECT DISTINCT key, unnest(range(s, e)) AS y FROM r) SELECT key, least(40, count(y)) AS years FROM (SELECT DISTINCT key FROM r) LEFT JOIN y USING (key) GROUP BY key",
         "inbox_threads": "SELECT conv_id, count(*) AS messages, count(*) FILTER (role = 'user') AS incoming, max(turn) AS last_turn, arg_max(role, (turn, role)) AS last_role FROM conversations GROUP BY conv_id",
         "ingestion_rollup": _with("activity", "+q AS (SELECT created_at::DATE::VARCHAR AS batch_id, CASE WHEN kind IN ('signup','click') THEN 'queued' WHEN kind = 'view' THEN CASE WHEN created_at <= TIMESTAMP '2024-01-30 11:40:00' THEN 'failed' ELSE 'processing' END WHEN kind = 'purchase' THEN 'done' ELSE 'failed' END AS s FROM activity) SELECT batch_id, count(*) AS total, count(*) FILTER (s = 'queued') AS queued, count(*) FILTER (s = 'processing') AS processing, count(*) FILTER (s = 'done') AS done, count(*) FILTER (s = 'failed') AS failed FROM q GROUP BY batch_id"),
-        "activity_feed": _with("activity applicants jobs", """+a AS (SELECT floor(epoch(created_at))::BIGINT AS "at", kind, event_id AS ref FROM activity WHERE kind <> 'error' AND workspace_id = 7 ORDER BY "at" DESC, ref LIMIT 40), h AS (SELECT floor(epoch(max(a.updated_at)))::BIGINT AS "at", 'hired' AS kind, job_id * 1000000 + candidate_id AS ref FROM applicants a JOIN jobs j USING (job_id) WHERE a.status = 'hired' AND j.workspace_id = 7 GROUP BY job_id, candidate_id ORDER BY "at" DESC, ref LIMIT 25) SELECT * FROM (FROM a UNION ALL FROM h) ORDER BY "at" DESC, kind, ref LIMIT 50"""),
+        **inbox_oracles.oracle_sql(VIEWS),
         "stream_activity_windows": _with("activity", "SELECT epoch(date_trunc('day', created_at))::BIGINT AS window_start, kind, count(*) AS n, round_even(sum(value), 4) AS value FROM activity GROUP BY ALL"),
     } | resume_oracles.oracle_sql(VIEWS, _bucket, _matches)
