@@ -92,6 +92,17 @@ def vocabulary(docs: DataFrame, min_df: int, top: int) -> DataFrame:
     return counts.orderBy(F.desc("doc_freq"), "word").limit(top)
 
 
+def known_words(docs: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """id, words: of each text the first words, by the alphabet, that are known, each once; none gives an empty array.
+
+    known is a vocabulary with a row for each word, so a text gathers no more
+    than it holds.
+    """
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]{3,}"), F.lit(0)))
+    found = docs.select("id", F.explode(words).alias("word")).join(known.select("word"), "word", "left_semi").groupBy("id").agg(F.slice(F.array_sort(F.collect_set("word")), 1, most).alias("words"))
+    return docs.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
+
+
 def _windows(words: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
 

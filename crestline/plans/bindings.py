@@ -20,6 +20,9 @@ CANDIDATE_SKILLS = ["python, message queues, ec2", "react, typescript", "docker,
 DEGREES = ["bachelors", "masters", "phd", "intermediate", "", "BSc  Physics", "MBA", "M. Phil", "diploma", "High School", "Ph.D"]
 REQUIRED = ["any", "bachelors", "masters", "phd"]
 DESCRIPTIONS = ["Minimum 3 years, bachelor's degree", "5-7 yrs of backend work; MSc preferred", "at least 2+ years", "10+ years of experience, PhD", "1 year of sql or 4 years of java", "No experience asked", ""]
+PASTED_TOPS = ["People also viewed", "Ann Lee\nFigma (Software)", "Ad Choices.\nCommunity Guidelines", "Skills: python, not relevant", "12 endorsements\nJ Smith\nMary Jones", "Senior engineer · On-site", ""]
+PASTED_MIDDLES = ["ACME!\nTurning clicks into customers", "5+ years in web design\nBoom! Sales went up", "I\u2019ve seen the same ad too often", "Adobe  XD\nWeb design.", "Led the team (on-site) for 3 years", "Our clients include Acme", " Sign in \nAbout!", "Tools: Not relevant, sql\r\nQA: and many more\n\nend  \n", "IBM\nAdobe Photoshop", " "]
+PASTED_ENDS = ["https://www.linkedin.com/in/x", "Privacy Policy", "Python and sql, careers", "Don\u2019t want to see this", "Similar profiles", "Questions?\n", "\tCareers"]
 MESSAGES = [" Ann added to the pool ", "Upload queued: cv.pdf", "", "Client saved", "Processing Upload: a.docx", "Resume upload (3 files)", "Job closed"]
 SUBJECTS = ["", " Hello ", "Offer"]
 CHAT_SCOPES = ["general", "Candidates ", "clients", "pool", ""]
@@ -153,3 +156,9 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         (conv * 1000 + turn).alias("message_id"), F.when(mine, 7).otherwise(other).alias("sender_id"), F.when(mine, other).otherwise(7).alias("recipient_id"), pick(SUBJECTS, conv + turn).alias("subject"), F.col("text").alias("body"),
         pick(CHAT_SCOPES, conv).alias("chat_scope"), F.timestamp_seconds(1704067200 + F.pmod(conv, F.lit(5000)) * 7200 + turn * 60).alias("created_at"), F.when(turn % 4 == 0, F.lit(1)).alias("read_at"), (conv % 7 == 0).alias("hidden_for_sender"), (conv % 5 == 0).alias("hidden_for_recipient"),
     )
+
+
+def pasted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profile pages pasted with their menus, put together from parts."""
+    key = F.col("p_partkey")
+    return spread(raw(spark, sf_dir, "part")).select(key.alias("id"), F.concat(pick(PASTED_TOPS, key), F.lit("\n"), pick(PASTED_MIDDLES, F.floor(key / 7)), F.lit("\n"), pick(PASTED_ENDS, F.floor(key / 3))).alias("text"))

@@ -324,6 +324,18 @@ def years_experience(resumes):
     return resume.years_experience(resumes.withColumnRenamed("candidate_id", "id"), b.NOW.year + 20)
 
 
+@_relations("pasted")
+def page_chrome_filter(pasted):
+    return resume.without_page_chrome(pasted)
+
+
+@_relations("documents")
+def document_skills(documents):
+    texts = documents.select(F.col("doc_id").alias("id"), "text")
+    found = retrieval.known_words(texts, retrieval.vocabulary(documents, 12, 4000), 80)
+    return found.select(F.col("id").alias("doc_id"), F.array_join("words", "|").alias("skills"))
+
+
 @_relations("documents")
 def resume_text(documents):
     return documents.select("doc_id", F.md5(text.resume_text(text.mended(F.col("text")))).alias("clean_md5"))

@@ -208,6 +208,7 @@ def oracle_sql() -> dict[str, str]:
         "cosine_top_k": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, d.vec_id, round_even(list_inner_product(d.v, q.v) / (sqrt(list_inner_product(d.v, d.v)) * sqrt(list_inner_product(q.v, q.v)) + 1e-12), 4) AS score FROM v d, v q WHERE q.vec_id % 100 = 0 AND d.vec_id <> q.vec_id) SELECT query_id, row_number() OVER w::INT AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5",
         "tfidf_top_k": f"WITH sides AS (SELECT 0 AS side, item_id AS id, text FROM benchmark UNION ALL SELECT 1, doc_id, text FROM documents), w AS (SELECT side, id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{Nd}}_]{{2,}}'), lambda x: NOT list_contains({STOP}, x)) AS w FROM sides), t AS (SELECT side, id, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END)) AS term FROM w), c AS (SELECT side, id, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(*) AS n FROM sides), idf AS (SELECT term, ln((1.0 + n) / (1.0 + count(*))) + 1 AS idf FROM c, n GROUP BY term, n HAVING count(*) >= 2 AND count(*) <= 0.95 * n), x AS (SELECT side, id, term, tf * idf AS x FROM c JOIN idf USING (term)), u AS (SELECT side, id, term, x / sqrt(sum(x * x) OVER (PARTITION BY side, id)) AS x FROM x), s AS (SELECT q.id AS query_id, d.id AS doc_id, round_even(sum(q.x * d.x), 4) AS score FROM u q JOIN u d ON q.term = d.term AND q.side = 0 AND d.side = 1 GROUP BY ALL) SELECT query_id, row_number() OVER v::INT AS rank, doc_id, score FROM s WINDOW v AS (PARTITION BY query_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER v <= 5",
         "skill_vocab": "WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS word FROM documents) SELECT word, count(*) AS doc_freq FROM w GROUP BY word HAVING count(*) >= 12 ORDER BY doc_freq DESC, word LIMIT 4000",
+        "document_skills": "WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS word FROM documents), v AS (SELECT word FROM w GROUP BY word HAVING count(*) >= 12 ORDER BY count(*) DESC, word LIMIT 4000), f AS (SELECT doc_id, array_to_string(list_sort(list(word))[1:80], '|') AS skills FROM w SEMI JOIN v USING (word) GROUP BY doc_id) SELECT doc_id, coalesce(skills, '') AS skills FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN f USING (doc_id)",
         "ngram_discovery": "WITH w AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), g AS (SELECT 2 AS n, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS ngram FROM w UNION ALL SELECT 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w), c AS (SELECT n, ngram, count(*) AS freq FROM g GROUP BY ALL) SELECT n, ngram, freq FROM c QUALIFY row_number() OVER (PARTITION BY n ORDER BY freq DESC, ngram) <= CASE n WHEN 2 THEN 600 ELSE 400 END",
         "pii_strip": f"SELECT doc_id, md5({_pii('text')}) AS clean_md5 FROM documents",
         "pii_audit": f"SELECT lang, count(*) AS texts, count(*) FILTER (regexp_matches(text, {_q(tx.EMAIL)}) OR regexp_matches(text, {_q(tx.PHONE)}) OR regexp_matches(text, {_q(tx.URL)})) AS with_pii FROM documents GROUP BY lang",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from crestline.functions import chrome as ch
 from crestline.functions import matching as mt
 from crestline.functions import resume as rs
 from crestline.functions import text as tx
@@ -202,6 +203,26 @@ def years(year: int) -> str:
     SELECT candidate_id AS id, round_even(coalesce(list_max(stated), nullif({covered('ws')}, 0.0), nullif({covered('an')}, 0.0), least(5.0, {covered('ps')})), 1) AS years, len(stated) > 0 AS spelled_out FROM e"""
 
 
+def any_of(c: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains({c}, {q(w)})" for w in words) + ")"
+
+
+def page_chrome() -> str:
+    """Line by line with row numbers."""
+    low = lambda c: f"lower(translate({c}, {q(ch.QUOTES)}, {q(ch.PLAIN_QUOTES)}))"
+    own = has("alone", ch.SECTION)
+    dropped = f"""(menu IN {tuple(ch.MENU)} OR {has('low', ch.ON_SITE)} OR (contains(low, 'on-site') AND length(raw) <= {ch.SHORT_LINE}) OR {any_of('low', ch.FOOTER)} OR ({any_of('low', ch.ADVERT)} AND NOT {own}) OR contains(low, 'clients include')
+        OR (pasted AND (contains(low, 'boom!') OR {has('raw', ch.ADVERTISER)} OR chip IN {tuple(ch.CHIPS)} OR bare IN {tuple(ch.CHIPS)} OR plain IN {tuple(ch.CHIPS)} OR (NOT {own} AND ({has('alone', ch.PERSON)} OR {has('alone', ch.BRAND)})))))"""
+    signs = " + ".join(f"contains({low('text')}, {q(w)})::INT" for w in ch.PASTED_PAIR)
+    bare, plain = sub("chip", r"\s*\(software\)\s*$", ""), sub("bare", r"\s*\(ued\)\s*$", "")
+    menu, chip = sub(trimmed("low"), r"[\s\.!?]+$", ""), sub(sub(trimmed("low"), r"\s+", " "), r"[.!?]+$", "")
+    return f"""WITH t AS (SELECT p_partkey AS id, {pick(b.PASTED_TOPS, 'p_partkey')} || {NL} || {pick(b.PASTED_MIDDLES, 'p_partkey // 7')} || {NL} || {pick(b.PASTED_ENDS, 'p_partkey // 3')} AS text FROM part),
+        k AS (SELECT DISTINCT text, {any_of(low('text'), ch.PASTED)} OR {signs} >= 2 AS pasted, string_split({sub(unix('text'), chr(92) + 'n' + chr(92) + 'z', '')}, {NL}) AS ls FROM t),
+        l AS (SELECT text, pasted, unnest(ls) AS line, generate_subscripts(ls, 1) AS place FROM k), r AS (SELECT *, {sub('line', r'\s+$', '')} AS raw FROM l), w AS (SELECT *, {low('raw')} AS low, {trimmed('raw')} AS alone FROM r),
+        c AS (SELECT *, {menu} AS menu, {chip} AS chip FROM w), d AS (SELECT *, {bare} AS bare FROM c), e AS (SELECT *, {plain} AS plain FROM d), f AS (SELECT text, string_agg(raw, {NL} ORDER BY place) AS clean FROM e WHERE alone = '' OR NOT {dropped} GROUP BY text)
+        SELECT id, coalesce(clean, '') AS clean FROM t LEFT JOIN f USING (text)"""
+
+
 def oracle_sql(views: dict[str, str], bucket, matches) -> dict[str, str]:
     """views are the relations' SQL by name, bucket and matches the SQL of a title's role bucket and of who matches it."""
     with_ = lambda names, body: "WITH " + ", ".join([f"{n} AS ({views[n]})" for n in names.split()]) + body
@@ -216,6 +237,7 @@ def oracle_sql(views: dict[str, str], bucket, matches) -> dict[str, str]:
         "clean_titles": with_("candidates", f", raws AS (SELECT candidate_id, title || CASE candidate_id % 4 WHEN 0 THEN ' @ Acme Solutions Ltd' WHEN 1 THEN '' WHEN 2 THEN ', seeking work' ELSE ' – II' END AS raw FROM candidates) {CLEAN_TITLE}"),
         "profile_fallback": with_("candidates", " SELECT candidate_id, CASE WHEN years < 1 THEN '<1' WHEN years < 3 THEN '1-3' WHEN years < 5 THEN '3-5' ELSE '5+' END AS bucket, least(100, floor(least(20, greatest(0, years)) * 4 + least(30, len(list_filter(string_split(skills, ','), lambda x: trim(x) <> ''))) * 1.6 + CASE WHEN trim(degree) <> '' THEN 6 ELSE 0 END + CASE WHEN trim(certifications) <> '' THEN 4 ELSE 0 END + 0.5))::INT AS score FROM candidates"),
         "resume_certifications": f"{own}, items AS (SELECT candidate_id, {lines('text')} AS l FROM resumes), {CERTS} SELECT candidate_id, {DEGREE} AS degree, coalesce(certifications, '') AS certifications FROM resumes LEFT JOIN certs USING (candidate_id)",
+        "page_chrome_filter": page_chrome(),
         "chunk_roles": f"{own}, {CHUNK_ROLES}",
         "pii_keep_lines": f"{own} SELECT candidate_id, {trimmed(KEEP)} AS clean FROM resumes",
         "email_extract": f"{own}, s AS (SELECT candidate_id, {scannable('text')} AS t FROM resumes) SELECT candidate_id AS id, coalesce(({EMAILS})[1], '') AS email FROM s",
