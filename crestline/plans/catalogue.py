@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from crestline.functions import matching as names
 from crestline.functions import resume as cv
 from crestline.functions import scoring, text
-from crestline.operators import feeds, funnel, inbox, insight, listing, matching, ranking, reports, resume, retrieval, visibility
+from crestline.operators import backfill, feeds, funnel, inbox, insight, listing, matching, ranking, reports, resume, retrieval, visibility
 from crestline.plans import bindings as b
 from crestline.streaming import activity
 
@@ -415,6 +415,41 @@ def inbox_rows(logged, jobs, rankings, feedback, candidates, messages, client_co
     return rows.withColumns({f"in_{tab}": F.coalesce(inbox.in_tab(tab), F.lit(False)) for tab in ("alerts", "candidates")})
 
 
+@_relations("candidates", "applicants", "rankings", "jobs")
+def workspace_backfill(candidates, applicants, rankings, jobs):
+    return backfill.workspace_backfill(candidates, [applicants.where("status = 'hired'"), rankings, applicants], jobs)
+
+
+@_relations("rankings", "jobs")
+def workspace_best_jobs(rankings, jobs):
+    return backfill.workspace_best_jobs(rankings, jobs, WORKSPACE)
+
+
+@_relations("rankings", "applicants")
+def best_job_changes(rankings, applicants):
+    """Of the stored values a third is as computed, a third a little off, and the rest has another job or is missing."""
+    best, key = ranking.best_jobs(rankings, applicants), F.col("candidate_id")
+    stored = best.where(key % 7 != 0).withColumns({"best_score": F.col("best_score") + F.when(key % 3 == 1, 0.5).when(key % 3 == 2, 0.001).otherwise(0.0), "best_job_id": F.col("best_job_id") + (key % 5 == 0).cast("int")})
+    return backfill.changed_best(best, stored)
+
+
+@_relations("feedback", "rankings", "jobs", "candidates")
+def feedback_export(feedback, rankings, jobs, candidates):
+    """Every ninth candidate is gone."""
+    noted = feedback.withColumn("notes", b.pick(b.BODIES, F.col("feedback_id"))).join(rankings.select("job_id", "candidate_id", F.bround("score", 4).alias("score")), ["job_id", "candidate_id"], "left")
+    return backfill.feedback_export(noted, jobs, candidates.where("candidate_id % 9 <> 0"))
+
+
+@_relations("rankings")
+def pairs_sample(rankings):
+    return backfill.sample_by_group(rankings.select("job_id", "candidate_id"), "candidate_id", "job_id", 3)
+
+
+@_relations("jobs", "clients", "applicants")
+def job_board(jobs, clients, applicants):
+    return backfill.job_board(jobs, clients, applicants, CANDIDATE, "engineer", 0, 50)
+
+
 @_relations("activity")
 def stream_activity_windows(events):
     return activity.windowed_counts(events)

@@ -1,9 +1,9 @@
-"""Notifications and the inbox as DuckDB SQL."""
+"""Notifications, the inbox and backfills as DuckDB SQL."""
 
 from __future__ import annotations
 
 from crestline.plans import bindings as b
-from crestline.plans.resume_oracles import pick, trimmed
+from crestline.plans.resume_oracles import NL, pick, trimmed
 
 SINCE = f"TIMESTAMP '{b.INBOX_NOW.isoformat(' ')}' - INTERVAL 14 DAY"
 
@@ -53,7 +53,14 @@ def oracle_sql(views: dict[str, str]) -> dict[str, str]:
     known = views | VIEWS
     with_ = lambda names, body: "WITH " + ", ".join(f"{n} AS ({known[n]})" for n in names.split()) + ", " + body
     fed = "activity logged jobs applicants feedback rankings candidates"
+    best = "best AS (SELECT candidate_id, job_id AS best_job_id, round_even(100 * least(1.0, greatest(0.0, score)), 4) AS best_score FROM rankings r WHERE EXISTS (SELECT 1 FROM applicants a WHERE a.job_id = r.job_id AND a.candidate_id = r.candidate_id) QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY score DESC, job_id) = 1)"
     return {
+        "workspace_backfill": with_("candidates applicants rankings jobs", "l AS (SELECT 0 AS p, job_id, candidate_id FROM applicants WHERE status = 'hired' UNION ALL SELECT 1, job_id, candidate_id FROM rankings UNION ALL SELECT 2, job_id, candidate_id FROM applicants) SELECT c.candidate_id, arg_min(j.workspace_id, (p, l.job_id)) AS workspace_id FROM candidates c JOIN l USING (candidate_id) JOIN jobs j ON j.job_id = l.job_id WHERE c.workspace_id IS NULL GROUP BY 1"),
+        "workspace_best_jobs": with_("rankings jobs", "o AS (SELECT r.* FROM rankings r JOIN jobs USING (job_id) WHERE workspace_id = 7) SELECT candidate_id, job_id AS best_job_id, round_even(least(100.0, 100 * score), 4) AS best_score FROM o QUALIFY row_number() OVER (PARTITION BY candidate_id ORDER BY score DESC, job_id) = 1"),
+        "best_job_changes": with_("rankings applicants", f"{best} SELECT * FROM best WHERE candidate_id % 7 = 0 OR candidate_id % 3 = 1 OR candidate_id % 5 = 0"),
+        "feedback_export": with_("applicants feedback rankings candidates", f"n AS (SELECT *, {pick(b.BODIES, 'feedback_id')} AS note FROM feedback) SELECT feedback_id, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created_at, job_id::VARCHAR AS job, CASE WHEN candidate_id % 9 <> 0 THEN candidate_id::VARCHAR ELSE '' END AS candidate, action, round_even(score, 4) AS score, replace(note, {NL}, ' ')[:500] AS notes FROM n LEFT JOIN rankings USING (job_id, candidate_id)"),
+        "pairs_sample": with_("rankings", "s AS (SELECT job_id, candidate_id, row_number() OVER (PARTITION BY candidate_id ORDER BY md5(job_id::VARCHAR), job_id) AS p FROM rankings) SELECT job_id, candidate_id FROM s WHERE p <= 3"),
+        "job_board": with_("jobs clients applicants", "f AS (SELECT *, count(*) OVER () AS total FROM jobs WHERE status = 'active' AND (title ILIKE '%engineer%' OR skills ILIKE '%engineer%' OR description ILIKE '%engineer%') ORDER BY created_at DESC, job_id LIMIT 50) SELECT job_id, title, company_name AS firm, total, EXISTS (SELECT 1 FROM applicants a WHERE a.job_id = f.job_id AND a.candidate_id = 11) AS applied FROM f JOIN clients USING (client_id)"),
         "activity_feed": with_(fed, f"{FEED} SELECT * FROM feed"),
         "inbox_rows": with_(f"{fed} clients users messages", f"{FEED}, {ROWS}"),
     }
