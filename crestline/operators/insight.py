@@ -103,8 +103,9 @@ def top_insight(rankings: DataFrame, jobs: DataFrame, candidates: DataFrame, sco
 def still_shortlisted(rankings: DataFrame, shortlist: DataFrame) -> DataFrame:
     """The ranked pairs that are on their job's shortlist, and all pairs of jobs that have none."""
     listed = shortlist.select("job_id", "candidate_id").distinct()
-    without = rankings.join(listed.select("job_id").distinct(), "job_id", "left_anti")
-    return rankings.join(listed, ["job_id", "candidate_id"], "left_semi").unionByName(without)
+    marked = rankings.join(listed.withColumn("on_list", F.lit(True)), ["job_id", "candidate_id"], "left")
+    marked = marked.join(listed.select("job_id").distinct().withColumn("has_list", F.lit(True)), "job_id", "left")
+    return marked.where(F.col("on_list").isNotNull() | F.col("has_list").isNull()).select(*rankings.columns)
 
 
 def insight_keys(rankings: DataFrame) -> DataFrame:
