@@ -84,7 +84,33 @@ SELECT page_id, payload_bytes,
 FROM facts JOIN parts USING (page_id)
 """
 
+OP11_FILTER_AUDIT = r"""
+WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+words AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS later FROM texts),
+docs AS (
+    SELECT part, coalesce(quality, 0) = 1 AS good, coalesce(toxic, 0) = 1 AS toxic,
+           [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text), regexp_matches(text, '[#$%&*|]'), later] AS fails
+    FROM words LEFT JOIN labels USING (doc_id)
+),
+f AS (SELECT unnest(range(1, 6)) AS k),
+orders AS (
+    SELECT [a.k, b.k, c.k, d.k, e.k] AS ks FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5
+),
+-- The step of an order that removes the document, 6 if none does.
+gone AS (SELECT ks, docs.*, coalesce(list_position([fails[k] FOR k IN ks], true), 6) AS at FROM docs, orders),
+counted AS (
+    SELECT part, ks, step, ks[step] AS k,
+           count(*) FILTER (WHERE at > step) AS kept, count(*) FILTER (WHERE at = step) AS removed, count(*) FILTER (WHERE at < step AND fails[ks[step]]) AS redundant,
+           count(*) FILTER (WHERE fails[ks[step]] AND len([x FOR x IN fails IF x]) = 1) AS unique_fails,
+           count(*) FILTER (WHERE at = step AND good) AS good_lost, count(*) FILTER (WHERE at = step AND toxic) AS toxic_lost
+    FROM gone, (SELECT k AS step FROM f) GROUP BY part, ks, step
+)
+SELECT part, array_to_string([['A', 'B', 'C', 'D', 'E'][i] FOR i IN ks], '') AS filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, k))::BIGINT AS shapley
+FROM counted
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    """Tokenizers, trained models and page markup can't be expressed in SQL; these four can."""
-    return {"op3_embeddings": OP3_EMBEDDINGS, "op4_minhash": OP4_MINHASH, "op6_topk": OP6_TOPK, "op7_warc": OP7_WARC}
+    """Tokenizers, trained models and page markup can't be expressed in SQL; these five can."""
+    return {"op3_embeddings": OP3_EMBEDDINGS, "op4_minhash": OP4_MINHASH, "op6_topk": OP6_TOPK, "op7_warc": OP7_WARC, "op11_filter_audit": OP11_FILTER_AUDIT}
