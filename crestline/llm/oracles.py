@@ -97,12 +97,12 @@ orders AS (
     SELECT [a.k, b.k, c.k, d.k, e.k] AS ks FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5
 ),
 -- The step of an order that removes the document, 6 if none does.
-gone AS (SELECT ks, docs.*, coalesce(list_position([fails[k] FOR k IN ks], true), 6) AS at FROM docs, orders),
+gone AS (SELECT ks, docs.*, coalesce(list_position([fails[k] FOR k IN ks], true), 6) AS nth FROM docs, orders),
 counted AS (
     SELECT part, ks, step, ks[step] AS k,
-           count(*) FILTER (WHERE at > step) AS kept, count(*) FILTER (WHERE at = step) AS removed, count(*) FILTER (WHERE at < step AND fails[ks[step]]) AS redundant,
+           count(*) FILTER (WHERE nth > step) AS kept, count(*) FILTER (WHERE nth = step) AS removed, count(*) FILTER (WHERE nth < step AND fails[ks[step]]) AS redundant,
            count(*) FILTER (WHERE fails[ks[step]] AND len([x FOR x IN fails IF x]) = 1) AS unique_fails,
-           count(*) FILTER (WHERE at = step AND good) AS good_lost, count(*) FILTER (WHERE at = step AND toxic) AS toxic_lost
+           count(*) FILTER (WHERE nth = step AND good) AS good_lost, count(*) FILTER (WHERE nth = step AND toxic) AS toxic_lost
     FROM gone, (SELECT k AS step FROM f) GROUP BY part, ks, step
 )
 SELECT part, array_to_string([['A', 'B', 'C', 'D', 'E'][i] FOR i IN ks], '') AS filter_order, step::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
