@@ -98,6 +98,13 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
 
 
+def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from crestline.llm.passages import Passages, without_passages
+
+    out = without_passages(table(spark, sf_dir, "documents"), Passages(words=13))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
