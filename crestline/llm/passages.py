@@ -104,8 +104,10 @@ def _unpack(packed: bytes) -> list[np.ndarray]:
 
 def _ranges(columns: list[np.ndarray], shift: int) -> list[tuple[int, bytes]]:
     """(range, packed rows) of columns sorted by the first; a range is named by the bits of that above shift."""
+    if not len(columns[0]):
+        return []
     which = (columns[0] >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(columns[0]), dtype=np.int64)
-    starts = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(which) else []
+    starts = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
     return [(int(which[i]), _pack([c[i:j] for c in columns])) for i, j in zip(starts, [*starts[1:], len(which)], strict=True)]
 
 

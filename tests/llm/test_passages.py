@@ -80,3 +80,8 @@ def test_runs_of_bits():
     assert list(passages._runs(0b1011, 0, how)) == [(0, 1), (3, 3)]
     assert list(passages._runs(1 << 62, 1 | 1 << 62, how)) == [(62, 63), (125, 125)]
     assert list(passages._runs(0, 0, how)) == []
+
+
+def test_documents_without_a_repeat(spark):
+    df = spark.range(300).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(1, 40), x -> concat(id, '-', x))) as text").repartition(4)
+    assert {(r["n_words"], r["n_removed"]) for r in passages.without_passages(df, passages.Passages(range_chars=3000)).collect()} == {(40, 0)}
