@@ -7,23 +7,34 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from crestline.functions import scoring, skills
+from crestline.operators.positions import numbered, running
+from crestline.sources.scratch import stored
 
 #: Fixed value: weights of years, skills, education and certificates in a profile score.
 PROFILE_WEIGHTS = {"years": 0.32, "n_skills": 0.32, "education": 0.24, "certified": 0.12}
 
 
-def percentiles(df: DataFrame, columns: list[str]) -> DataFrame:
-    """For each column v a column v_pct: 100 times the mean rank, ties sharing it, over n - 1; alone it is 50.
+def mean_ranks(df: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
+    """column, value, mean_rank (from 0, ties sharing it) of the distinct values of each column, as doubles, and the number of rows.
 
-    Ranks are taken over a column's distinct values, so no window holds the rows themselves.
+    The values of all columns are counted and then ranked together, range by
+    range; no task holds a column's values, and no window the rows.
     """
-    n = df.agg(F.count(F.lit(1)).alias("n_rows"))
-    for c in columns:
-        values = df.groupBy(F.col(c).alias("v")).agg(F.count(F.lit(1)).alias("k"))
-        below = F.sum("k").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, -1))
-        ranked = values.select("v", (F.coalesce(below, F.lit(0)) + (F.col("k") - 1) / 2.0).alias("mean_rank")).crossJoin(n)  # n is one row
-        pct = ranked.select(F.col("v").alias(c), F.when(F.col("n_rows") == 1, 50.0).otherwise(100.0 * F.col("mean_rank") / F.nullif(F.col("n_rows") - 1, F.lit(0))).alias(f"{c}_pct"))
-        df = df.join(pct, c)
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("column"), F.col(c).cast("double").alias("value")) for i, c in enumerate(columns)]))
+    counts = df.select(each.alias("x")).groupBy("x.column", "x.value").agg(F.count(F.lit(1)).alias("k"))
+    n = df.count()
+    # Each column's counts sum to n.
+    below = running(counts, "k", F.col("column"), F.col("value"), name="below")
+    return below.select("column", "value", (F.col("below") - n * F.col("column") + (F.col("k") - 1) / 2.0).alias("mean_rank")), n
+
+
+def percentiles(df: DataFrame, columns: list[str]) -> DataFrame:
+    """For each column v a column v_pct: 100 times the mean rank, ties sharing it, over n - 1; alone it is 50."""
+    ranks, n = mean_ranks(df, columns)
+    ranks = stored(ranks, "ranks")
+    for i, c in enumerate(columns):
+        pct = F.lit(50.0) if n == 1 else 100.0 * F.col("mean_rank") / (n - 1)
+        df = df.join(ranks.where(F.col("column") == i).select(F.col("value").alias(c), pct.alias(f"{c}_pct")), c)
     return df
 
 
@@ -206,6 +217,57 @@ def regression_metrics(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), F.bround(F.avg(d * d), 4).alias("mse"), F.bround(F.avg(F.abs(d)), 4).alias("mae"))
 
 
+def classification_summary(df: DataFrame) -> DataFrame:
+    """One row: n, accuracy, macro means of precision, recall and F1 over all classes that occur, micro F1; df has truth and predicted.
+
+    A class that is never said, or never true, counts with 0. Each row has one
+    class, so micro F1 is the accuracy. Rows with a null on either side are left out.
+    """
+    cells = df.where("truth is not null and predicted is not null").groupBy("truth", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    hit = F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)
+    sides = F.explode(F.array(F.struct(F.col("truth").alias("label"), F.col("n").alias("support"), F.lit(0).cast("long").alias("said"), hit.alias("hit")), F.struct(F.col("predicted").alias("label"), F.lit(0).cast("long").alias("support"), F.col("n").alias("said"), F.lit(0).cast("long").alias("hit"))))
+    sums = cells.select(sides.alias("x")).select("x.*").groupBy("label").agg(*[F.sum(c).alias(c) for c in ("support", "said", "hit")])
+    share = lambda part, whole: F.coalesce(F.try_divide(part, whole), F.lit(0.0))
+    p, r = share(F.col("hit"), F.col("said")), share(F.col("hit"), F.col("support"))
+    mean = lambda c, name: F.bround(F.avg(c), 4).alias(name)
+    accuracy = F.bround(F.try_divide(F.sum("hit"), F.sum("support")), 4)
+    return sums.agg(F.coalesce(F.sum("support"), F.lit(0)).alias("n"), accuracy.alias("accuracy"), mean(p, "macro_precision"), mean(r, "macro_recall"), mean(share(2 * p * r, p + r), "macro_f1"), accuracy.alias("micro_f1"))
+
+
+def confusion_matrix(df: DataFrame) -> DataFrame:
+    """truth, predicted, n for each pair of classes that occur on either side, zeros included; the classes are few and known to the reader."""
+    cells = df.where("truth is not null and predicted is not null").groupBy("truth", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    labels = cells.select("truth").unionByName(cells.select(F.col("predicted").alias("truth"))).distinct()
+    rows = labels.agg(F.sort_array(F.collect_list("truth")).alias("all")).select(F.explode("all").alias("truth"), "all").select("truth", F.explode("all").alias("predicted"))
+    return rows.join(cells, ["truth", "predicted"], "left").na.fill(0, ["n"])
+
+
+def spearman(df: DataFrame) -> DataFrame:
+    """One row: n and the correlation of the mean ranks of truth and predicted; null if either is constant. Rows with a null are left out."""
+    whole = df.where("truth is not null and predicted is not null").select(F.col("truth").cast("double").alias("truth"), F.col("predicted").cast("double").alias("predicted"))
+    ranks, _ = mean_ranks(whole, ["truth", "predicted"])
+    ranks = stored(ranks, "ranks")
+    for i, c in enumerate(["truth", "predicted"]):
+        whole = whole.join(ranks.where(F.col("column") == i).select(F.col("value").alias(c), F.col("mean_rank").alias(f"{c}_rank")), c)
+    rho = F.corr("truth_rank", "predicted_rank")
+    return whole.agg(F.count(F.lit(1)).alias("n"), F.bround(F.when(~F.isnan(rho), rho), 4).alias("spearman"))
+
+
+def split_stratified(df: DataFrame, id_col: str, by: str) -> DataFrame:
+    """train, val or test by place within each stratum, in the order of the ids' hashes: 80, 10 and 10 of a hundred, rounded down.
+
+    A stratum is numbered over ranges, so it may hold a third of all rows. Null strata are one.
+    """
+    order = F.xxhash64(F.col(id_col).cast("string"), F.lit(20))
+    placed = numbered(df, F.col(by).asc_nulls_first(), order, F.col(id_col), name="_place")
+    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = running(sizes, "_n", F.col(by).asc_nulls_first(), name="_below").withColumnRenamed(by, "_by")
+    out = placed.join(sizes, F.col(by).eqNullSafe(F.col("_by")))
+    share = F.col("_place") - F.col("_below") - 1
+    train, val = F.floor(0.8 * F.col("_n")), F.floor(0.9 * F.col("_n"))
+    return out.withColumn("split", F.when(share < train, "train").when(share < val, "val").otherwise("test")).drop("_place", "_by", "_n", "_below")
+
+
 def split_by_id(df: DataFrame, id_col: str) -> DataFrame:
     """train, val or test by the id alone, 80 to 10 to 10, so no id is in two of them."""
     bucket = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(10))

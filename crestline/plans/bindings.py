@@ -162,3 +162,34 @@ def pasted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profile pages pasted with their menus, put together from parts."""
     key = F.col("p_partkey")
     return spread(raw(spark, sf_dir, "part")).select(key.alias("id"), F.concat(pick(PASTED_TOPS, key), F.lit("\n"), pick(PASTED_MIDDLES, F.floor(key / 7)), F.lit("\n"), pick(PASTED_ENDS, F.floor(key / 3))).alias("text"))
+
+
+#: What an event says of an ingestion.
+INGESTION_KINDS = {"view": "start", "click": "finish", "error": "error", "purchase": "retry", "signup": "submit"}
+#: Uploads come in two batches, those of even numbers first; this lies between their times.
+SECOND_BATCH = 10**12
+
+
+def ingestion_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as those of five ingestions."""
+    kind = F.col("event_type")
+    return raw(spark, sf_dir, "events").select(
+        "event_id", (F.col("user_id") * 5 + F.col("event_id") % 5).alias("ingestion_id"), F.create_map(*[F.lit(x) for pair in INGESTION_KINDS.items() for x in pair])[kind].alias("kind"),
+        F.when(kind == "error", F.concat(F.lit("no text in "), F.col("event_id").cast("string"))).otherwise("").alias("error"), F.col("ts").alias("created_at"),
+    )
+
+
+def uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as uploaded texts; every third belongs to no workspace, every fourth brings no address."""
+    key = F.col("doc_id")
+    return documents(spark, sf_dir).select(
+        key.alias("upload_id"), (key % 2 * SECOND_BATCH + key).alias("at"), F.col("text").alias("content"), F.concat(F.lit("Name "), key.cast("string")).alias("full_name"), pick(TITLES, key).alias("title"),
+        F.when(key % 4 == 0, "").otherwise(_address(key)).alias("contact_email"), F.when(key % 3 != 0, key % 25).cast("int").alias("workspace_id"),
+    )
+
+
+def hidden_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workspaces hid each candidate between the batches, or after them."""
+    key = F.col("doc_id")
+    external = F.concat(F.lit("u_"), F.substring(F.sha2("text", 256), 1, 14))
+    return documents(spark, sf_dir).select((key % 25).cast("int").alias("workspace_id"), external.alias("external_id"), F.when(key % 5 == 0, 3 * SECOND_BATCH).otherwise(SECOND_BATCH).alias("at")).distinct()

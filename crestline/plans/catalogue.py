@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from crestline.functions import matching as names
 from crestline.functions import resume as cv
 from crestline.functions import scoring, text
-from crestline.operators import backfill, feeds, funnel, inbox, insight, listing, matching, ranking, reports, resume, retrieval, visibility
+from crestline.operators import backfill, feeds, funnel, inbox, insight, listing, matching, ranking, refresh, reports, resume, retrieval, visibility
 from crestline.plans import bindings as b
-from crestline.streaming import activity
+from crestline.sources.scratch import scratch_path
+from crestline.streaming import activity, ingestion
+from crestline.streaming import uploads as up
+from crestline.streaming.versions import Versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: The workspace and the candidate that single-tenant queries ask about, and the page they show.
@@ -455,5 +458,40 @@ def stream_activity_windows(events):
     return activity.windowed_counts(events)
 
 
+@_relations("ingestion_events")
+def ingestion_states(events):
+    return ingestion.states(events, F.lit("2024-01-30 23:00:00").cast("timestamp"))
+
+
+@_relations("uploads")
+def candidate_upserts(uploads):
+    """All uploads in two batches, the first of which comes again after both."""
+    spark = uploads.sparkSession
+    table = Versions(spark, scratch_path(spark, "candidates"), up.CANDIDATES, "external_id", up.upserted, buckets=8)
+    batches = [uploads.where(F.col("at") < b.SECOND_BATCH), uploads.where(F.col("at") >= b.SECOND_BATCH)]
+    for number in (0, 1, 0):
+        table.apply(up.identified(batches[number]), number)
+    return table.rows()
+
+
+@_relations("hidden_uploads", "uploads")
+def hidden_candidates(hidden, uploads):
+    return up.still_hidden(hidden, uploads)
+
+
+@_relations("rankings", "jobs", "candidates")
+def refreshed_rankings(rankings, jobs, candidates):
+    """Rankings as saved before the newest runs and some changes of jobs and candidates, then refreshed where these matter."""
+    spark = rankings.sparkSession
+    old_jobs = jobs.withColumn("min_experience", F.col("min_experience") + (F.col("job_id") % 50 == 0).cast("int"))
+    old_candidates = candidates.withColumn("years", F.col("years") + (F.col("candidate_id") % 40 == 0).cast("int"))
+    old_rankings = rankings.where("run_at < timestamp'1998-01-01'")
+    saved = refresh.SavedRankings(spark, scratch_path(spark, "saved"))
+    saved.write(old_rankings, old_jobs, old_candidates)
+    gone = [refresh.changed(old_jobs, jobs, ["job_id"]), refresh.changed(old_candidates, candidates, ["candidate_id"]), refresh.changed(old_rankings, rankings, ["job_id", "candidate_id"])]
+    saved.refresh(refresh.affected_jobs(rankings, *gone), rankings, jobs, candidates)
+    return saved.rows()
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if callable(f) and getattr(f, "__qualname__", "").startswith("_relations.")}

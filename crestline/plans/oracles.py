@@ -7,6 +7,7 @@ from crestline.functions import text as tx
 from crestline.operators import ranking as rk
 from crestline.plans import bindings as b
 from crestline.plans import inbox_oracles, resume_oracles
+from crestline.streaming import ingestion
 
 NOW = f"TIMESTAMP '{b.NOW.isoformat(' ')}'"
 
@@ -152,7 +153,7 @@ def insight_sql() -> dict[str, str]:
     both = f"""x AS (SELECT a.job_id, a.candidate_id, a.full_name AS a_name, a.score AS a_score, a.ratio AS a_ratio, a.exp AS a_exp, a.edu AS a_edu, a.lacks AS a_lacks, b.full_name AS b_name, b.score AS b_score, b.ratio AS b_ratio, b.lacks AS b_lacks,
         j.title AS opening, c.title, trim(c.role_label) AS role_label, c.years, trim(c.degree) AS degree, c.certifications, min_experience, {phrases} AS phrases, {TOKENS('j.skills')} AS wanted, {TOKENS('c.skills')} AS had
         FROM r a LEFT JOIN r b ON a.job_id = b.job_id AND b.place = 2 JOIN jobs j ON j.job_id = a.job_id JOIN candidates c ON c.candidate_id = a.candidate_id WHERE a.place = 1), y AS (SELECT *, {named} AS named FROM x)"""
-    body = f"+{POOL}, {EXPLAINED.format(_scored('rankings'))}, {top}, {rows}, {both} SELECT job_id, candidate_id, md5(concat_ws(' ', {', '.join(said)})) AS insight FROM y"
+    body = f"+{POOL}, {top}, {EXPLAINED.format(_scored('top'))}, {rows}, {both} SELECT job_id, candidate_id, md5(concat_ws(' ', {', '.join(said)})) AS insight FROM y"
     keys = "sha256(concat_ws('|', count(*), sum(('0x' || left(md5(candidate_id::VARCHAR), 12))::BIGINT)::VARCHAR, epoch(max(run_at))::BIGINT))"
     return {
         "top_candidate_insight": _with("rankings applicants jobs candidates", body),
@@ -160,6 +161,23 @@ def insight_sql() -> dict[str, str]:
     }
 
 
+def ingestion_sql() -> dict[str, str]:
+    kind = "CASE event_type " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in b.INGESTION_KINDS.items()) + " END"
+    last = "row_number() OVER (PARTITION BY ingestion_id ORDER BY created_at DESC, event_id DESC) = 1"
+    late = f"s.status = 'processing' AND s.updated_at <= TIMESTAMP '2024-01-30 23:00:00' - INTERVAL {ingestion.STALE_MINUTES} MINUTE"
+    external = "'u_' || left(sha256(text), 14)"
+    uploads = f"""u AS (SELECT doc_id, doc_id % 2 * {b.SECOND_BATCH} + doc_id AS said, {external} AS external_id, {_pick(b.TITLES, 'doc_id')} AS title, CASE WHEN doc_id % 4 = 0 THEN '' ELSE 'user' || doc_id || '@mail.org' END AS email, CASE WHEN doc_id % 3 <> 0 THEN (doc_id % 25)::INT END AS workspace_id FROM documents WHERE text IS NOT NULL)"""
+    return {
+        "ingestion_states": f"""WITH e AS (SELECT event_id, user_id * 5 + event_id % 5 AS ingestion_id, {kind} AS kind, CASE event_type WHEN 'error' THEN 'no text in ' || event_id ELSE '' END AS error, ts AS created_at FROM events),
+            w AS (SELECT * FROM e WHERE kind IN ('start', 'finish', 'error') QUALIFY {last}), r AS (SELECT * FROM e WHERE kind IN ('submit', 'retry') QUALIFY {last}),
+            t AS (SELECT ingestion_id, w.kind AS kind, w.error AS error, w.created_at AS told, r.created_at AS asked_at, w.event_id IS NULL OR coalesce((r.created_at, r.event_id) > (w.created_at, w.event_id), false) AS asked FROM w FULL JOIN r USING (ingestion_id)),
+            s AS (SELECT *, CASE WHEN kind = 'finish' THEN 'done' WHEN asked THEN 'queued' WHEN kind = 'start' THEN 'processing' ELSE 'failed' END AS status, CASE WHEN asked AND kind IS DISTINCT FROM 'finish' THEN asked_at ELSE told END AS updated_at FROM t)
+            SELECT ingestion_id, CASE WHEN {late} THEN 'failed' ELSE status END AS status, CASE WHEN {late} THEN {_q(ingestion.INTERRUPTED)} WHEN status = 'failed' THEN error ELSE '' END AS error, updated_at FROM s""",
+        "candidate_upserts": f"WITH {uploads} SELECT external_id, arg_max('Name ' || doc_id, said) AS full_name, arg_max(title, said) AS title, coalesce(arg_max(email, said) FILTER (email <> ''), '') AS contact_email, 'new' AS status, arg_min(workspace_id, said) FILTER (workspace_id IS NOT NULL) AS workspace_id, count(*) AS n_uploads FROM u GROUP BY external_id",
+        "hidden_candidates": f"WITH {uploads}, h AS (SELECT DISTINCT (doc_id % 25)::INT AS workspace_id, {external} AS external_id, CASE WHEN doc_id % 5 = 0 THEN {3 * b.SECOND_BATCH} ELSE {b.SECOND_BATCH} END AS at FROM documents) SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.workspace_id = h.workspace_id AND u.external_id = h.external_id AND u.said >= h.at)",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     avg4 = lambda c: f"round_even(avg({c}), 4)"
     return {
@@ -216,5 +234,7 @@ def oracle_sql() -> dict[str, str]:
         "inbox_threads": "SELECT conv_id, count(*) AS messages, count(*) FILTER (role = 'user') AS incoming, max(turn) AS last_turn, arg_max(role, (turn, role)) AS last_role FROM conversations GROUP BY conv_id",
         "ingestion_rollup": _with("activity", "+q AS (SELECT created_at::DATE::VARCHAR AS batch_id, CASE WHEN kind IN ('signup','click') THEN 'queued' WHEN kind = 'view' THEN CASE WHEN created_at <= TIMESTAMP '2024-01-30 11:40:00' THEN 'failed' ELSE 'processing' END WHEN kind = 'purchase' THEN 'done' ELSE 'failed' END AS s FROM activity) SELECT batch_id, count(*) AS total, count(*) FILTER (s = 'queued') AS queued, count(*) FILTER (s = 'processing') AS processing, count(*) FILTER (s = 'done') AS done, count(*) FILTER (s = 'failed') AS failed FROM q GROUP BY batch_id"),
         **inbox_oracles.oracle_sql(VIEWS),
+        **ingestion_sql(),
+        "refreshed_rankings": _with("rankings jobs candidates", f"+{_scored('rankings')}, f AS (SELECT workspace_id, job_id, candidate_id, round_even({BOOSTED}, 9) AS score, similarity FROM scored JOIN rankings USING (job_id, candidate_id) JOIN jobs USING (job_id)) SELECT workspace_id, job_id, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, similarity DESC, candidate_id)::INT AS place, candidate_id, score, similarity FROM f"),
         "stream_activity_windows": _with("activity", "SELECT epoch(date_trunc('day', created_at))::BIGINT AS window_start, kind, count(*) AS n, round_even(sum(value), 4) AS value FROM activity GROUP BY ALL"),
     } | resume_oracles.oracle_sql(VIEWS, _bucket, _matches)

@@ -5,20 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet under spark.checkpoint.dir and read again, so that no part of a plan computes it anew.
-
-    Without that setting a local session uses a temporary folder; elsewhere it has to be there.
-    """
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir. Without that setting a local session uses a temporary one; elsewhere it has to be there."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="crestline-")
-    path = f"{folder.rstrip('/')}/crestline/{uuid.uuid4().hex}/{name}"
+    return f"{folder.rstrip('/')}/crestline/{uuid.uuid4().hex}/{name}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once as Parquet in a new scratch folder and read again, so that no part of a plan computes it anew."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
