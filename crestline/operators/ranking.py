@@ -249,8 +249,8 @@ def spearman(df: DataFrame) -> DataFrame:
     ranks = stored(ranks, "ranks")
     for i, c in enumerate(["truth", "predicted"]):
         whole = whole.join(ranks.where(F.col("column") == i).select(F.col("value").alias(c), F.col("mean_rank").alias(f"{c}_rank")), c)
-    rho = F.corr("truth_rank", "predicted_rank")
-    return whole.agg(F.count(F.lit(1)).alias("n"), F.bround(F.when(~F.isnan(rho), rho), 4).alias("spearman"))
+    rho = F.try_divide(F.covar_pop("truth_rank", "predicted_rank"), F.stddev_pop("truth_rank") * F.stddev_pop("predicted_rank"))
+    return whole.agg(F.count(F.lit(1)).alias("n"), F.bround(rho, 4).alias("spearman"))
 
 
 def split_stratified(df: DataFrame, id_col: str, by: str) -> DataFrame:

@@ -232,6 +232,26 @@ def regression_metrics(rankings):
     return ranking.regression_metrics(rankings.select(F.col("score").alias("truth"), F.col("similarity").alias("predicted")))
 
 
+def _banded(rankings: DataFrame) -> DataFrame:
+    band = lambda c: F.floor(F.least(F.col(c), F.lit(0.99)) * 3).cast("int")
+    return rankings.select(band("score").alias("truth"), band("similarity").alias("predicted"))
+
+
+@_relations("rankings")
+def classification_summary(rankings):
+    return ranking.classification_summary(_banded(rankings))
+
+
+@_relations("rankings")
+def confusion_matrix(rankings):
+    return ranking.confusion_matrix(_banded(rankings))
+
+
+@_relations("rankings")
+def rank_correlation(rankings):
+    return ranking.spearman(rankings.select(F.col("score").alias("truth"), F.col("similarity").alias("predicted")))
+
+
 @_relations("labels")
 def feedback_labels_latest(labels):
     """Labels as feedback; every other document has a later event that takes it back."""
@@ -355,6 +375,11 @@ def split_leakfree(applicants):
     return ranking.split_by_id(applicants, "candidate_id").groupBy("split").agg(F.count(F.lit(1)).alias("pairs"), F.count_distinct("candidate_id").alias("people"))
 
 
+@_relations("documents")
+def split_stratified(documents):
+    return ranking.split_stratified(documents.select("doc_id", "lang"), "doc_id", "lang").groupBy("lang", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
 @_relations("benchmark", "documents")
 def tfidf_top_k(benchmark, documents):
     return retrieval.tfidf_top_k(benchmark.select(F.col("item_id").alias("id"), "text"), documents.select(F.col("doc_id").alias("id"), "text"), 5)

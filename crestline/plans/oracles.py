@@ -161,6 +161,9 @@ def insight_sql() -> dict[str, str]:
     }
 
 
+BANDS = "d AS (SELECT floor(least(score, 0.99) * 3)::INT AS t, floor(least(similarity, 0.99) * 3)::INT AS p FROM rankings)"
+
+
 def ingestion_sql() -> dict[str, str]:
     kind = "CASE event_type " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in b.INGESTION_KINDS.items()) + " END"
     last = "row_number() OVER (PARTITION BY ingestion_id ORDER BY created_at DESC, event_id DESC) = 1"
@@ -216,6 +219,10 @@ def oracle_sql() -> dict[str, str]:
         "ranking_metrics": _with("rankings", "+r AS (SELECT candidate_id AS q, job_id AS i, score AS t, similarity AS p, row_number() OVER (PARTITION BY candidate_id ORDER BY similarity DESC, job_id) AS place, rank() OVER (PARTITION BY candidate_id ORDER BY score) + (count(*) OVER (PARTITION BY candidate_id, score) - 1) / 2.0 AS rt, rank() OVER (PARTITION BY candidate_id ORDER BY similarity) + (count(*) OVER (PARTITION BY candidate_id, similarity) - 1) / 2.0 AS rp, (score >= 0.5)::INT AS hit FROM rankings), s AS (SELECT *, place <= 10 AS top, row_number() OVER (PARTITION BY q, place <= 10 ORDER BY t DESC, i) AS ideal, sum(hit) OVER (PARTITION BY q ORDER BY place) / place AS ph FROM r), e AS (SELECT q, corr(rt, rp) AS spearman, sum(t / log2(place + 1)) FILTER (top) / nullif(sum(t / log2(ideal + 1)) FILTER (top), 0) AS ndcg, coalesce(sum(hit) FILTER (top), 0) / least(10, count(*)) AS precision, coalesce(sum(hit) FILTER (top), 0) / nullif(sum(hit), 0) AS recall, sum(hit * ph) / nullif(sum(hit), 0) AS ap FROM s GROUP BY q) SELECT count(*) AS queries, round_even(avg(spearman) FILTER (NOT isnan(spearman)), 4) AS spearman, round_even(avg(coalesce(ndcg, 0)), 4) AS ndcg, round_even(avg(precision), 4) AS precision, round_even(avg(coalesce(recall, 0)), 4) AS recall, round_even(avg(coalesce(ap, 0)), 4) AS ap FROM e"),
         "classification_report": _with("rankings", "+d AS (SELECT floor(least(score, 0.99) * 3)::INT AS t, floor(least(similarity, 0.99) * 3)::INT AS p FROM rankings), l AS (SELECT t AS label FROM d UNION SELECT p FROM d), n AS (SELECT label, (SELECT count(*) FROM d WHERE t = label) AS support, (SELECT count(*) FROM d WHERE p = label) AS said, (SELECT count(*) FROM d WHERE t = label AND p = label) AS hit FROM l), m AS (SELECT label, support, coalesce(hit / nullif(said, 0), 0) AS p, coalesce(hit / nullif(support, 0), 0) AS r FROM n) SELECT label, support, round_even(p, 4) AS precision, round_even(r, 4) AS recall, round_even(coalesce(2 * p * r / nullif(p + r, 0), 0), 4) AS f1 FROM m"),
         "regression_metrics": _with("rankings", "SELECT count(*) AS n, round_even(avg((similarity - score) * (similarity - score)), 4) AS mse, round_even(avg(abs(similarity - score)), 4) AS mae FROM rankings"),
+        "classification_summary": _with("rankings", f"+{BANDS}, l AS (SELECT t AS label FROM d UNION SELECT p FROM d), c AS (SELECT label, (SELECT count(*) FROM d WHERE t = label) AS support, (SELECT count(*) FROM d WHERE p = label) AS said, (SELECT count(*) FROM d WHERE t = label AND p = label) AS hit FROM l), m AS (SELECT coalesce(hit / nullif(said, 0), 0) AS p, coalesce(hit / nullif(support, 0), 0) AS r FROM c), a AS (SELECT {avg4('(t = p)::INT')} AS a FROM d) SELECT (SELECT count(*) FROM d) AS n, (FROM a) AS accuracy, {avg4('p')} AS macro_precision, {avg4('r')} AS macro_recall, {avg4('coalesce(2 * p * r / nullif(p + r, 0), 0)')} AS macro_f1, (FROM a) AS micro_f1 FROM m"),
+        "confusion_matrix": _with("rankings", f"+{BANDS}, l AS (SELECT t AS label FROM d UNION SELECT p FROM d) SELECT a.label AS truth, b.label AS predicted, (SELECT count(*) FROM d WHERE t = a.label AND p = b.label) AS n FROM l a, l b"),
+        "rank_correlation": _with("rankings", "+r AS (SELECT rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS t, rank() OVER (ORDER BY similarity) + (count(*) OVER (PARTITION BY similarity) - 1) / 2.0 AS p FROM rankings) SELECT count(*) AS n, round_even(corr(t, p), 4) AS spearman FROM r"),
+        "split_stratified": "WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang), s AS (SELECT lang, unnest(['train', 'val', 'test']) AS split, unnest([floor(0.8 * n)::BIGINT, floor(0.9 * n)::BIGINT - floor(0.8 * n)::BIGINT, n - floor(0.9 * n)::BIGINT]) AS n FROM n) SELECT * FROM s WHERE n > 0",
         "feedback_labels_latest": f"WITH f AS (SELECT doc_id % 40 AS job_id, doc_id AS candidate_id, replace(lower(trim(CASE WHEN doc_id % 2 = 0 THEN 'not_a_fit' ELSE {_pick(b.ACTIONS, 'doc_id')} END)), ' ', '_') AS action FROM labels) SELECT *, CASE WHEN action IN ('selected', 'hired', 'hired_interest', 'hire', 'yes') THEN 1.0 WHEN action IN ('shortlisted', 'shortlist') THEN 0.85 ELSE 0.0 END::DOUBLE AS label FROM f WHERE action IN ('selected', 'hired', 'hired_interest', 'hire', 'yes', 'shortlisted', 'shortlist', 'rejected', 'reject', 'not_a_fit', 'no', 'dismissed')",
         "feedback_status": f"WITH a AS (SELECT doc_id, lower(trim({_pick(b.ACTIONS, 'doc_id')})) AS a FROM labels), r AS (SELECT doc_id, CASE WHEN a IN ('not_a_fit', 'not a fit', 'reject') THEN 'rejected' ELSE a END AS a FROM a), p AS (SELECT doc_id, a, trim(regexp_replace(a, '[^\\p{{L}}\\p{{N}}_-]', '_', 'g'), '_') AS p FROM r) SELECT doc_id, CASE WHEN a = '' THEN 'new' WHEN p = '' THEN 'reviewed' ELSE p[1:64] END AS status FROM p",
         "jobs_filtered": _with("jobs", "SELECT job_id, status, title FROM jobs WHERE status IN ('on_hold', 'inactive') AND created_at >= TIMESTAMP '1995-03-01' AND created_at <= TIMESTAMP '1996-06-30 23:59:59'"),
