@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from crestline.functions import matching as names
 from crestline.functions import resume as cv
 from crestline.functions import scoring, text
-from crestline.operators import backfill, feeds, funnel, inbox, insight, listing, matching, ranking, refresh, reports, resume, retrieval, visibility
+from crestline.operators import all_pairs, backfill, feeds, funnel, inbox, insight, listing, matching, ranking, refresh, reports, resume, retrieval, visibility
 from crestline.plans import bindings as b
 from crestline.sources.scratch import scratch_path
 from crestline.streaming import activity, ingestion
@@ -483,6 +483,17 @@ def stream_activity_windows(events):
     return activity.windowed_counts(events)
 
 
+@_relations("jobs", "candidates")
+def best_candidates(jobs, candidates):
+    """The five best of all candidates for each job."""
+    return all_pairs.best_candidates(jobs, candidates, 5).select("job_id", "place", "candidate_id", *[F.bround(c, 4).alias(c) for c in ("skill", "exp", "edu", "weak")])
+
+
+@_relations("jobs", "candidates")
+def mean_job_scores(jobs, candidates):
+    return all_pairs.mean_scores(jobs, candidates)
+
+
 @_relations("ingestion_events")
 def ingestion_states(events):
     return ingestion.states(events, F.lit("2024-01-30 23:00:00").cast("timestamp"))

@@ -161,6 +161,12 @@ def insight_sql() -> dict[str, str]:
     }
 
 
+#: Each candidate with each distinct requirement, and how many jobs have it.
+ALL_PAIRS = f"""asks AS (SELECT skills AS wanted, min_experience AS least, education_required AS need, count(*) AS n FROM jobs GROUP BY ALL), js AS (SELECT DISTINCT wanted, {TOKENS('wanted')} AS js FROM asks), c1 AS (SELECT DISTINCT skills, {TOKENS('skills')} AS cs FROM candidates), c2 AS (SELECT *, {EXPAND('cs')} AS ce FROM c1),
+    measured AS (SELECT wanted, c2.skills AS skills, CASE WHEN len(js) = 0 THEN 0.0 ELSE len(list_filter(js, lambda w: {HAS}))::DOUBLE / len(js) END AS skill FROM js, c2),
+    parts AS (SELECT a.*, candidate_id, skill, CASE WHEN least IS NULL THEN 0.5 WHEN years IS NULL THEN 0.0 WHEN least <= 0 THEN 1.0 ELSE least(1.0, years / least) END AS exp, CASE WHEN {DEGREE('need')} IS NULL THEN 0.5 WHEN {DEGREE('degree')} IS NULL THEN 0.0 WHEN {DEGREE('degree')} >= {DEGREE('need')} THEN 1.0 ELSE 0.0 END AS edu
+        FROM asks a, candidates c JOIN measured m ON m.wanted = a.wanted AND m.skills = c.skills),
+    scored AS (SELECT *, round_even({CLAMP('0.70 * skill + 0.20 * exp + 0.10 * edu')}, 9) AS weak FROM parts)"""
 BANDS = "d AS (SELECT floor(least(score, 0.99) * 3)::INT AS t, floor(least(similarity, 0.99) * 3)::INT AS p FROM rankings)"
 
 
@@ -242,6 +248,8 @@ def oracle_sql() -> dict[str, str]:
         "ingestion_rollup": _with("activity", "+q AS (SELECT created_at::DATE::VARCHAR AS batch_id, CASE WHEN kind IN ('signup','click') THEN 'queued' WHEN kind = 'view' THEN CASE WHEN created_at <= TIMESTAMP '2024-01-30 11:40:00' THEN 'failed' ELSE 'processing' END WHEN kind = 'purchase' THEN 'done' ELSE 'failed' END AS s FROM activity) SELECT batch_id, count(*) AS total, count(*) FILTER (s = 'queued') AS queued, count(*) FILTER (s = 'processing') AS processing, count(*) FILTER (s = 'done') AS done, count(*) FILTER (s = 'failed') AS failed FROM q GROUP BY batch_id"),
         **inbox_oracles.oracle_sql(VIEWS),
         **ingestion_sql(),
+        "best_candidates": _with("jobs candidates", f"+{ALL_PAIRS}, t AS (SELECT wanted, least, need, candidate_id, skill, exp, edu, weak, row_number() OVER (PARTITION BY wanted, least, need ORDER BY weak DESC, candidate_id)::INT AS place FROM scored QUALIFY place <= 5) SELECT job_id, place, candidate_id, {R4('t.skill')} AS skill, {R4('exp')} AS exp, {R4('edu')} AS edu, {R4('weak')} AS weak FROM jobs j JOIN t ON j.skills = wanted AND j.min_experience = least AND j.education_required = need"),
+        "mean_job_scores": _with("jobs candidates", f"+{ALL_PAIRS} SELECT candidate_id, round_even(sum(weak * n) / sum(n), 6) AS mean_score FROM scored GROUP BY candidate_id"),
         "refreshed_rankings": _with("rankings jobs candidates", f"+{_scored('rankings')}, f AS (SELECT workspace_id, job_id, candidate_id, round_even({BOOSTED}, 9) AS score, similarity FROM scored JOIN rankings USING (job_id, candidate_id) JOIN jobs USING (job_id)) SELECT workspace_id, job_id, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, similarity DESC, candidate_id)::INT AS place, candidate_id, score, similarity FROM f"),
         "stream_activity_windows": _with("activity", "SELECT epoch(date_trunc('day', created_at))::BIGINT AS window_start, kind, count(*) AS n, round_even(sum(value), 4) AS value FROM activity GROUP BY ALL"),
     } | resume_oracles.oracle_sql(VIEWS, _bucket, _matches)
