@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -193,3 +194,45 @@ def hidden_uploads(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("doc_id")
     external = F.concat(F.lit("u_"), F.substring(F.sha2("text", 256), 1, 14))
     return documents(spark, sf_dir).select((key % 25).cast("int").alias("workspace_id"), external.alias("external_id"), F.when(key % 5 == 0, 3 * SECOND_BATCH).otherwise(SECOND_BATCH).alias("at")).distinct()
+
+
+#: Parts of skill lists that stand somewhere in a document's text.
+SKILL_PARTS = [
+    "Skills: Python, React.js (hooks) | c; go  \u2022 Node.js / end-to-end",
+    "Senior python java SQL react docker aws kafka c++ stack",
+    "python java sql and little more",
+    "Tools: Don\u2019t want to see this, react, R, of, 12345, oracle, www.site.org",
+    "We use asp.net, github-actions and user-friendly ci-cd; see host.com or fast.ai, C# and .NET",
+    "testing :  selenium , jira-cloud , qa",
+    "People also viewed\nAnn Lee\nACME!\nLanguages: Java, C",
+    "",
+]
+SKILL_TOOLS = ["python", "java", "sql", "react", "docker", "aws", "kafka", "c++", "c#", "node.js", "github actions", "jira", "fast.ai"]
+SKILL_SPELLINGS = {"jira-cloud": "jira", "golang": "go", "ci-cd": "kafka", "fast.ai": "fast.ai"}
+
+
+def skill_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a skill list put in somewhere between their words."""
+    key, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    at = F.pmod(key * 7919, F.length(text) + 1).cast("int")
+    part = F.concat(F.lit("\n"), pick(SKILL_PARTS, key), F.lit("\n"))
+    return documents(spark, sf_dir).select(key.alias("id"), F.concat(F.substring(text, F.lit(1), at), part, F.substring(text, at + 1, F.length(text))).alias("text"))
+
+
+def skill_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word pairs of the benchmark as phrases, most of them skills, some with another spelling; skills fall to domains by their length."""
+    words = F.split(F.lower("text"), " ")
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))
+    found = raw(spark, sf_dir, "benchmark").select(words.alias("w")).where("size(w) > 1").select(F.explode(pairs).alias("form")).distinct()
+    # Of such a pair the first word has an even and the second an odd number of letters, so no two overlap.
+    found = found.where(F.col("form").rlike("^([a-z][a-z])+ [a-z]([a-z][a-z])*$"))
+    other = F.replace("form", F.lit(" "), F.lit("_"))
+    skill = F.when(F.length("form") % 5 == 0, other).otherwise(F.col("form"))
+    kept = found.where(F.length("form") % 3 != 0).select(skill.alias("form"))
+    fixed = spark.createDataFrame([("tool", t, None) for t in SKILL_TOOLS] + [("spelling", k, v) for k, v in SKILL_SPELLINGS.items()], "kind string, form string, value string")
+    tools = fixed.where("kind = 'tool'").select("form").unionByName(kept)
+    parts = [
+        found.select(F.lit("phrase").alias("kind"), "form", F.lit(None).cast("string").alias("value")), found.where(F.length("form") % 5 == 0).select(F.lit("spelling").alias("kind"), "form", other.alias("value")),
+        kept.select(F.lit("tool").alias("kind"), "form", F.lit(None).cast("string").alias("value")), tools.select(F.lit("domain").alias("kind"), "form", F.concat(F.lit("domain "), (F.length("form") % 4).cast("string")).alias("value")), fixed,
+    ]
+    return reduce(DataFrame.unionByName, parts)

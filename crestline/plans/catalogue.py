@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from crestline.functions import matching as names
 from crestline.functions import resume as cv
 from crestline.functions import scoring, text
-from crestline.operators import all_pairs, backfill, feeds, funnel, inbox, insight, listing, matching, ranking, refresh, reports, resume, retrieval, visibility
+from crestline.operators import all_pairs, backfill, feeds, funnel, inbox, insight, listing, matching, ranking, refresh, reports, resume, retrieval, skill_mining, visibility
 from crestline.plans import bindings as b
 from crestline.sources.scratch import scratch_path
 from crestline.streaming import activity, ingestion
@@ -483,6 +483,12 @@ def stream_activity_windows(events):
     return activity.windowed_counts(events)
 
 
+@_relations("skill_texts", "skill_lexicon")
+def mined_skills(texts, lexicon):
+    found = skill_mining.mined_skills(texts, lexicon)
+    return found.select(F.col("id").alias("doc_id"), *[F.array_join(c, "|").alias(c) for c in ("skills", "domains")])
+
+
 @_relations("jobs", "candidates")
 def best_candidates(jobs, candidates):
     """The five best of all candidates for each job."""

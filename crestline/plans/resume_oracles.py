@@ -7,6 +7,7 @@ from crestline.functions import matching as mt
 from crestline.functions import resume as rs
 from crestline.functions import text as tx
 from crestline.operators import resume as ry
+from crestline.operators import skill_mining as sm
 from crestline.plans import bindings as b
 
 NL = "chr(10)"
@@ -207,8 +208,8 @@ def any_of(c: str, words: list[str]) -> str:
     return "(" + " OR ".join(f"contains({c}, {q(w)})" for w in words) + ")"
 
 
-def page_chrome() -> str:
-    """Line by line with row numbers."""
+def page_chrome(texts: str) -> str:
+    """Line by line with row numbers; texts is SQL for id and text."""
     low = lambda c: f"lower(translate({c}, {q(ch.QUOTES)}, {q(ch.PLAIN_QUOTES)}))"
     own = has("alone", ch.SECTION)
     dropped = f"""(menu IN {tuple(ch.MENU)} OR {has('low', ch.ON_SITE)} OR (contains(low, 'on-site') AND length(raw) <= {ch.SHORT_LINE}) OR {any_of('low', ch.FOOTER)} OR ({any_of('low', ch.ADVERT)} AND NOT {own}) OR contains(low, 'clients include')
@@ -216,13 +217,45 @@ def page_chrome() -> str:
     signs = " + ".join(f"contains({low('text')}, {q(w)})::INT" for w in ch.PASTED_PAIR)
     bare, plain = sub("chip", r"\s*\(software\)\s*$", ""), sub("bare", r"\s*\(ued\)\s*$", "")
     menu, chip = sub(trimmed("low"), r"[\s\.!?]+$", ""), sub(sub(trimmed("low"), r"\s+", " "), r"[.!?]+$", "")
-    return f"""WITH t AS (SELECT p_partkey AS id, {pick(b.PASTED_TOPS, 'p_partkey')} || {NL} || {pick(b.PASTED_MIDDLES, 'p_partkey // 7')} || {NL} || {pick(b.PASTED_ENDS, 'p_partkey // 3')} AS text FROM part),
+    return f"""WITH t AS ({texts}),
         k AS (SELECT DISTINCT text, {any_of(low('text'), ch.PASTED)} OR {signs} >= 2 AS pasted, string_split({sub(unix('text'), chr(92) + 'n' + chr(92) + 'z', '')}, {NL}) AS ls FROM t),
         l AS (SELECT text, pasted, unnest(ls) AS line, generate_subscripts(ls, 1) AS place FROM k), r AS (SELECT *, {sub('line', r'\s+$', '')} AS raw FROM l), w AS (SELECT *, {low('raw')} AS low, {trimmed('raw')} AS alone FROM r),
         c AS (SELECT *, {menu} AS menu, {chip} AS chip FROM w), d AS (SELECT *, {bare} AS bare FROM c), e AS (SELECT *, {plain} AS plain FROM d), f AS (SELECT text, string_agg(raw, {NL} ORDER BY place) AS clean FROM e WHERE alone = '' OR NOT {dropped} GROUP BY text)
         SELECT id, coalesce(clean, '') AS clean FROM t LEFT JOIN f USING (text)"""
 
 
+def mined() -> str:
+    """Skills found by line, place and number, and a lexicon of pairs of words."""
+    at = "(doc_id * 7919 % (length(text) + 1))::INT"
+    texts = f"SELECT doc_id AS id, substring(text, 1, {at}) || {NL} || {pick(b.SKILL_PARTS, 'doc_id')} || {NL} || substring(text, {at} + 1) AS text FROM documents"
+    one = sub(trimmed(sub(f"lower({trimmed('x')})", "(?i)" + sm.URL, " ")), r"\s+", " ")
+    edges = "' ' || chr(9) || chr(10) || chr(13) || " + q(sm.ENTRY_EDGES.replace(" ", "").replace("\t", "").replace("\n", "").replace("\r", ""))
+    table = lambda d: "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in d.items()) + "}"
+    plain = f"translate(y, {q(ch.QUOTES)}, {q(ch.PLAIN_QUOTES)})"
+    # Word by word: none of the entry, none with a bad part.
+    skill = f"y <> '' AND y NOT IN {tuple([*sm.STOP, *sm.COMMON, *sm.BRANDS])} AND y[1] <> '-' AND y[-1] <> '-' AND NOT {has('y', sm.DOMAIN_NAME)} AND NOT regexp_full_match(y, {q(sm.MISREAD)}) AND NOT {any_of(plain, [*sm.SELF_PRAISE, *ch.ADVERT])}"
+    heavy = "(?i)" + r"\b(" + "|".join(w.replace("+", r"\+") for w in sm.HEAVY) + r")\b"
+    word = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
+    return f"""{page_chrome(texts).replace("SELECT id, coalesce(clean, '') AS clean FROM t LEFT JOIN f USING (text)", "")}, doc AS (SELECT id, coalesce(clean, '') AS clean FROM t LEFT JOIN f USING (text)),
+        bw AS (SELECT string_split(lower(text), ' ') AS w FROM benchmark), pairs AS (SELECT DISTINCT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS form FROM bw),
+        phrases AS (SELECT form FROM pairs WHERE regexp_full_match(form, '([a-z][a-z])+ [a-z]([a-z][a-z])*')), tools AS (SELECT DISTINCT CASE WHEN length(form) % 5 = 0 THEN replace(form, ' ', '_') ELSE form END AS tool FROM phrases WHERE length(form) % 3 <> 0 UNION SELECT unnest({items(b.SKILL_TOOLS)})),
+        spelled AS (SELECT form, replace(form, ' ', '_') AS value FROM phrases WHERE length(form) % 5 = 0 UNION ALL SELECT unnest({items(list(b.SKILL_SPELLINGS))}), unnest({items(list(b.SKILL_SPELLINGS.values()))})),
+        rows_ AS (SELECT id, unnest(string_split(clean, {NL})) AS raw_, generate_subscripts(string_split(clean, {NL}), 1) AS no FROM doc), stripped AS (SELECT id, no, {trimmed('raw_')} AS line FROM rows_),
+        listed AS (SELECT id, no, string_split_regex(replace(replace(regexp_extract(line, {q(ch.SECTION)}, 2), '(', ', '), ')', ' '), {q(sm.LIST_SPLIT)}) AS xs FROM stripped WHERE {has('line', ch.SECTION)}),
+        full_ AS (SELECT id, no, regexp_extract_all(line, {q(sm.HEAVY_TOKEN)}) AS xs FROM stripped WHERE length(line) >= {sm.HEAVY_CHARS} AND {has('line', heavy)}),
+        low AS (SELECT id, {sub(f"lower(translate(clean, {q(ch.QUOTES)}, {q(ch.PLAIN_QUOTES)}))", "(?i)" + sm.URL, " ")} AS t FROM doc), ws AS (SELECT id, regexp_extract_all(t, {q(word)}) AS w, regexp_extract_all(t, {q(sm.TECH)}) AS tech FROM low),
+        said AS (SELECT id, 1 AS src, no, unnest(xs) AS x, generate_subscripts(xs, 1) AS i FROM listed UNION ALL SELECT id, 2, no, unnest(xs), generate_subscripts(xs, 1) FROM full_
+            UNION ALL SELECT id, 3, 0, p, i FROM (SELECT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || w[i + 1] || w[i + 2])) AS p, unnest(range(1, len(w) - 1)) AS i FROM ws) SEMI JOIN phrases ON p = form
+            UNION ALL SELECT id, 4, 0, unnest(tech), generate_subscripts(tech, 1) FROM ws),
+        cut AS (SELECT id, src, no, i, trim({one}, {edges}) AS z FROM said), own AS (SELECT * EXCLUDE z, coalesce(({table(sm.SPELLINGS)})[z], z) AS z FROM cut),
+        entries AS (SELECT id, src, no, i, trim(coalesce(s.value, z)) AS y FROM own LEFT JOIN spelled s ON s.form = z),
+        good AS (SELECT e.*, tool IS NOT NULL AS tool FROM entries e LEFT JOIN tools ON tool = y WHERE {skill}),
+        known AS (SELECT *, count(*) FILTER (src = 2 AND (tool OR regexp_matches(y, '[.+#]'))) OVER (PARTITION BY id, no) AS n FROM good),
+        kept AS (SELECT id, y, min((src, no, i)) AS place FROM known WHERE CASE src WHEN 1 THEN length(y) > 2 OR y IN {tuple(sm.SHORT_IN_LISTS)} WHEN 2 THEN n >= {sm.HEAVY_LEAST} AND (tool OR regexp_matches(y, '[.+#]')) ELSE tool OR contains(y, '.') END GROUP BY id, y),
+        found AS (SELECT id, string_agg(y, '|' ORDER BY place) AS skills FROM kept GROUP BY id), domains AS (SELECT id, array_to_string(list_sort(list(DISTINCT 'domain ' || length(y) % 4)), '|') AS domains FROM kept SEMI JOIN tools ON tool = y GROUP BY id)
+        SELECT id AS doc_id, coalesce(skills, '') AS skills, coalesce(domains, '') AS domains FROM doc LEFT JOIN found USING (id) LEFT JOIN domains USING (id)"""
+
+
 def oracle_sql(views: dict[str, str], bucket, matches) -> dict[str, str]:
     """views are the relations' SQL by name, bucket and matches the SQL of a title's role bucket and of who matches it."""
     with_ = lambda names, body: "WITH " + ", ".join([f"{n} AS ({views[n]})" for n in names.split()]) + body
@@ -237,7 +270,8 @@ def oracle_sql(views: dict[str, str], bucket, matches) -> dict[str, str]:
         "clean_titles": with_("candidates", f", raws AS (SELECT candidate_id, title || CASE candidate_id % 4 WHEN 0 THEN ' @ Acme Solutions Ltd' WHEN 1 THEN '' WHEN 2 THEN ', seeking work' ELSE ' – II' END AS raw FROM candidates) {CLEAN_TITLE}"),
         "profile_fallback": with_("candidates", " SELECT candidate_id, CASE WHEN years < 1 THEN '<1' WHEN years < 3 THEN '1-3' WHEN years < 5 THEN '3-5' ELSE '5+' END AS bucket, least(100, floor(least(20, greatest(0, years)) * 4 + least(30, len(list_filter(string_split(skills, ','), lambda x: trim(x) <> ''))) * 1.6 + CASE WHEN trim(degree) <> '' THEN 6 ELSE 0 END + CASE WHEN trim(certifications) <> '' THEN 4 ELSE 0 END + 0.5))::INT AS score FROM candidates"),
         "resume_certifications": f"{own}, items AS (SELECT candidate_id, {lines('text')} AS l FROM resumes), {CERTS} SELECT candidate_id, {DEGREE} AS degree, coalesce(certifications, '') AS certifications FROM resumes LEFT JOIN certs USING (candidate_id)",
-        "page_chrome_filter": page_chrome(),
+        "page_chrome_filter": page_chrome(f"SELECT p_partkey AS id, {pick(b.PASTED_TOPS, 'p_partkey')} || {NL} || {pick(b.PASTED_MIDDLES, 'p_partkey // 7')} || {NL} || {pick(b.PASTED_ENDS, 'p_partkey // 3')} AS text FROM part"),
+        "mined_skills": mined(),
         "chunk_roles": f"{own}, {CHUNK_ROLES}",
         "pii_keep_lines": f"{own} SELECT candidate_id, {trimmed(KEEP)} AS clean FROM resumes",
         "email_extract": f"{own}, s AS (SELECT candidate_id, {scannable('text')} AS t FROM resumes) SELECT candidate_id AS id, coalesce(({EMAILS})[1], '') AS email FROM s",
