@@ -61,17 +61,28 @@ def lowered(c: Column) -> Column:
 
 def is_pasted(text: Column) -> Column:
     """Whether a text looks like a page with its menus rather than a résumé."""
-    low = lowered(text)
-    signs = sum((F.contains(low, F.lit(w)).cast("int") for w in PASTED_PAIR), F.lit(0))
-    return _any(low, PASTED) | (signs >= 2)
+    low = F.transform(F.array(lowered(text)), lambda t: _any(t, PASTED) | (sum((F.contains(t, F.lit(w)).cast("int") for w in PASTED_PAIR), F.lit(0)) >= 2))
+    return low[0]
 
 
-def is_chrome(raw: Column, pasted: Column) -> Column:
-    """Whether a line, without white space behind, is the page's and not the résumé's; a blank line never is."""
-    low, alone = lowered(raw), trimmed(raw)
+def line_views(lines: Column) -> Column:
+    """Of each line, without white space behind, what is_chrome() looks at: made once for it, step by step, as a lambda's parts are computed where they stand."""
+    first = F.transform(lines, lambda x: F.struct(x.alias("raw"), lowered(x).alias("low"), trimmed(x).alias("alone")))
+    lowers = F.transform(first, lambda v: F.struct(v["raw"].alias("raw"), v["low"].alias("low"), v["alone"].alias("alone"), trimmed(v["low"]).alias("bare_low")))
+    chips = F.transform(
+        lowers,
+        lambda v: F.struct(
+            v["raw"].alias("raw"), v["low"].alias("low"), v["alone"].alias("alone"), F.regexp_replace(v["bare_low"], r"[\s\.!?]+$", "").alias("menu"),
+            F.regexp_replace(F.regexp_replace(v["bare_low"], r"\s+", " "), r"[.!?]+$", "").alias("chip"),
+        ),
+    )
+    return chips
+
+
+def is_chrome(view: Column, pasted: Column) -> Column:
+    """Whether a line, as one of line_views(), is the page's and not the résumé's; a blank line never is."""
+    raw, low, alone, menu, chip = (view[c] for c in ("raw", "low", "alone", "menu", "chip"))
     own = alone.rlike(SECTION)
-    menu = F.regexp_replace(trimmed(low), r"[\s\.!?]+$", "")
-    chip = F.regexp_replace(F.regexp_replace(trimmed(low), r"\s+", " "), r"[.!?]+$", "")
     bare = trimmed(F.regexp_replace(chip, r"\s*\(software\)\s*$", ""))
     plain = trimmed(F.regexp_replace(bare, r"\s*\(ued\)\s*$", ""))
     anywhere = menu.isin(MENU) | low.rlike(ON_SITE) | (F.contains(low, F.lit("on-site")) & (F.length(raw) <= SHORT_LINE)) | _any(low, FOOTER) | (_any(low, ADVERT) & ~own) | F.contains(low, F.lit("clients include"))
