@@ -107,3 +107,19 @@ def latest_runs(rankings: DataFrame) -> DataFrame:
     """Each job's last run: its time, its size and its first candidate by score."""
     last = rankings.withColumn("last", F.max("run_at").over(W.partitionBy("job_id"))).where(F.col("run_at") == F.col("last"))
     return last.groupBy("job_id").agg(F.unix_timestamp(F.first("last")).alias("run_at"), F.count(F.lit(1)).alias("ranked"), F.min(F.struct((-F.col("score")).alias("s"), "candidate_id"))["candidate_id"].alias("top_candidate"))
+
+
+def application_scores(applicants: DataFrame, jobs: DataFrame, clients: DataFrame, rankings: DataFrame) -> DataFrame:
+    """Each application with its job, its client's name and the preferred ranking's score in percent: the job's own workspace's, else the highest.
+
+    rankings has job_id, candidate_id, workspace_id and score; the preferred one
+    is aggregated, so a pair may have any number. Applications without a
+    ranking have no score, jobs without a client no company.
+    """
+    own = jobs.select("job_id", "title", "client_id", F.col("workspace_id").alias("_own"))
+    ranked = rankings.join(own.select("job_id", "_own"), "job_id")
+    best = ranked.groupBy("job_id", "candidate_id").agg(F.max(F.struct(F.coalesce(F.col("workspace_id") == F.col("_own"), F.lit(False)).alias("mine"), F.coalesce("score", F.lit(0.0)).alias("score"))).alias("b"))
+    company = F.trim(F.coalesce(F.nullif(F.col("company_name"), F.lit("")), "name", F.lit("")))
+    firms = clients.select("client_id", company.alias("company"))
+    out = applicants.join(own, "job_id").join(firms, "client_id", "left").join(best, ["job_id", "candidate_id"], "left")
+    return out.select("job_id", "candidate_id", F.trim("title").alias("title"), F.coalesce("company", F.lit("")).alias("company"), F.trim(F.coalesce("status", F.lit("new"))).alias("status"), F.bround(F.col("b.score") * 100, 1).alias("match_score"), F.col("b.mine").alias("own_ranking"))

@@ -236,3 +236,37 @@ def skill_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
         kept.select(F.lit("tool").alias("kind"), "form", F.lit(None).cast("string").alias("value")), tools.select(F.lit("domain").alias("kind"), "form", F.concat(F.lit("domain "), (F.length("form") % 4).cast("string")).alias("value")), fixed,
     ]
     return reduce(DataFrame.unionByName, parts)
+
+
+#: How a row of a profile writes its dates: S and E stand for month and year of its start and end, A and B for the years.
+DATE_FORMS = ["S \u2013 E", "A - B", "S - Present", "S,E\u2014E \u00b7 2 yrs 3 mos", "3 yrs 2 mos", "since A", "13 years related A-B", "", "E - S", "1 yr"]
+SCHOOL_FORMS = ["  S-E", "A  \u2014 B", "S - present", "S \u2013 E"]
+ROLES = ["Engineer", "Bachelor's degree", "PhD student", "Analyst", "Teacher"]
+COMPANIES = ["Acme", "State University", "Polytechnic of Ulm", "Bolt Academy", "M.Sc. at the college"]
+
+
+def _dated(form: Column) -> Column:
+    """A form filled in for a line that begins when it ships and lasts as many months as it has pieces."""
+    start, end = F.col("l_shipdate").cast("date"), F.add_months(F.col("l_shipdate").cast("date"), F.col("l_quantity").cast("int"))
+    for letter, value in {"S": F.date_format(start, "MMM yyyy"), "E": F.date_format(end, "MMMM yyyy"), "A": F.date_format(start, "yyyy"), "B": F.date_format(end, "yyyy")}.items():
+        form = F.when(form == "", "").otherwise(F.regexp_replace(form, F.lit(rf"\b{letter}\b"), value))
+    return form
+
+
+def profile_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's lines as the jobs in a person's profile."""
+    key = F.col("l_partkey") + F.col("l_linenumber")
+    return raw(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("person"), F.col("l_linenumber").alias("row"), _dated(pick(DATE_FORMS, key)).alias("dates"), pick(ROLES, key).alias("role"), pick(COMPANIES, F.col("l_suppkey")).alias("company"))
+
+
+def profile_schools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every second line again as a school, its dates written another way."""
+    return raw(spark, sf_dir, "lineitem").where("l_linenumber % 2 = 1").select(F.col("l_orderkey").alias("person"), _dated(pick(SCHOOL_FORMS, F.col("l_suppkey"))).alias("dates"))
+
+
+def workspace_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rankings by another workspace, and for every third job also by its own, with a lower score."""
+    own = jobs(spark, sf_dir).where("job_id % 3 = 0").select("job_id", "workspace_id")
+    all_ = rankings(spark, sf_dir)
+    other = all_.select("job_id", "candidate_id", "score", (100 + F.pmod("candidate_id", F.lit(5))).cast("int").alias("workspace_id"))
+    return other.unionByName(all_.join(own, "job_id").select("job_id", "candidate_id", (F.col("score") / 2).alias("score"), F.col("workspace_id").cast("int").alias("workspace_id")))

@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crestline.functions import dates
 from crestline.functions import matching as names
 from crestline.functions import resume as cv
 from crestline.functions import scoring, text
-from crestline.operators import all_pairs, backfill, feeds, funnel, inbox, insight, listing, matching, ranking, refresh, reports, resume, retrieval, skill_mining, visibility
+from crestline.operators import all_pairs, backfill, feeds, funnel, inbox, insight, listing, matching, profile_rows, ranking, refresh, reports, resume, retrieval, shortlisting, skill_mining, visibility
 from crestline.plans import bindings as b
 from crestline.sources.scratch import scratch_path
 from crestline.streaming import activity, ingestion
@@ -483,6 +484,44 @@ def stream_activity_windows(events):
     return activity.windowed_counts(events)
 
 
+@_relations("profile_jobs", "profile_schools")
+def jobs_alone(jobs, schools):
+    """Rows of jobs that are no school's by their dates, how long they lasted, and whether they read as a school's."""
+    kept = profile_rows.jobs_alone(jobs, schools, b.now())
+    return kept.select("person", "row", dates.months(F.col("dates"), b.now()).alias("months"), dates.is_study(F.col("role"), F.col("company"), F.lit("")).alias("is_study"))
+
+
+@_relations("rankings", "jobs", "candidates", "applicants")
+def shortlist_refresh(rankings, jobs, candidates, applicants):
+    """Each job's two best that pass the filter and its applicants, with the counters of the whole refresh on each row."""
+    pairs = rankings.withColumn("similarity", F.when(F.col("candidate_id") % 11 != 0, F.col("similarity")))
+    found, counts = shortlisting.refreshed_shortlist(pairs, jobs, candidates, applicants, 0.05, 0.2, 2)
+    return found.select("job_id", "place", "candidate_id", F.bround("similarity", 4).alias("similarity"), "forced", *[F.lit(n).alias(f"n_{c}") for c, n in counts.items()])
+
+
+@_relations("applicants", "candidates", "rankings")
+def shortlist_changes(applicants, candidates, rankings):
+    """Applications after the best ranked are shortlisted and every fifth pair is taken off."""
+    pairs = applicants.groupBy("job_id", "candidate_id").agg(F.max("status").alias("status"))
+    listed = pairs.where("status = 'shortlisted'")
+    _, after, _ = shortlisting.changed_shortlist(listed, pairs, candidates, rankings.where("score >= 0.9"), listed.where("(job_id + candidate_id) % 5 = 0"))
+    return after
+
+
+@_relations("candidates", "rankings")
+def pool_shown(candidates, rankings):
+    """The best forty engineers of the public pool by match, of the rankings of all jobs."""
+    best = rankings.groupBy("candidate_id").agg(F.max("score").alias("score"), F.max("similarity").alias("similarity"), F.min("job_id").alias("rank"))
+    pool = candidates.select("candidate_id", F.col("full_name").alias("name"), "title", F.col("role_label").alias("role"), "skills", F.col("workspace_id").isNull().alias("is_public")).join(best.select("candidate_id", "similarity"), "candidate_id", "left")
+    shown = shortlisting.shown_pool(pool, best, "match_desc", 40, "Engineer ", 60, "public")
+    return shown.select("place", "candidate_id", F.bround("score", 4).alias("score"))
+
+
+@_relations("applicants", "jobs", "clients", "workspace_rankings")
+def application_scores(applicants, jobs, clients, rankings):
+    return listing.application_scores(applicants, jobs, clients, rankings).groupBy("job_id", "candidate_id", "title", "company", "match_score", "own_ranking").agg(F.count(F.lit(1)).alias("n"), F.max("status").alias("status"))
+
+
 @_relations("skill_texts", "skill_lexicon")
 def mined_skills(texts, lexicon):
     found = skill_mining.mined_skills(texts, lexicon)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from crestline.functions import dates as dt
 from crestline.functions import skills as sk
 from crestline.functions import text as tx
 from crestline.operators import ranking as rk
@@ -170,6 +171,49 @@ ALL_PAIRS = f"""asks AS (SELECT skills AS wanted, min_experience AS least, educa
 BANDS = "d AS (SELECT floor(least(score, 0.99) * 3)::INT AS t, floor(least(similarity, 0.99) * 3)::INT AS p FROM rankings)"
 
 
+def _dated(forms: list[str], number: str) -> str:
+    out = _pick(forms, number)
+    for letter, value in {"S": "strftime(l_shipdate, '%b %Y')", "E": "strftime(ends, '%B %Y')", "A": "year(l_shipdate)::VARCHAR", "B": "year(ends)::VARCHAR"}.items():
+        out = f"regexp_replace({out}, '\\b{letter}\\b', {value}, 'g')"
+    return out
+
+
+def profile_sql() -> str:
+    """Rows of jobs and schools; months and ranges of their dates by hand."""
+    cut = lambda c: f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+    has = lambda c, p: f"regexp_matches({c}, {_q(p)})"
+    group = lambda c, p, g: f"nullif(regexp_extract({c}, {_q(p)}, {g}), '')::INT"
+    month = lambda c: f"list_position({_list(dt.MONTHS)}, lower(left(regexp_extract({c}, {_q(dt.MONTH_YEAR)}, 1), 3)))"
+    index = lambda c: f"CASE WHEN {has(c, dt.NOW)} THEN {b.NOW.year * 12 + b.NOW.month - 1} WHEN {month(c)} > 0 THEN {group(c, dt.MONTH_YEAR, 2)} * 12 + {month(c)} - 1 ELSE {group(c, dt.YEAR, 1)} * 12 END"
+    parts = f"list_transform(string_split_regex(dates, {_q(dt.DASH)}), lambda x: {cut('x')})"
+    ranged = lambda t: f"SELECT *, CASE WHEN e >= s THEN s || ':' || e END AS span FROM (SELECT *, {index('p[1]')} AS s, {index('p[2]')} AS e, lower({cut(chr(34) + 'k' + chr(34))}) AS key FROM (SELECT *, list_filter(ps, lambda x: x <> '') AS p, regexp_replace(regexp_replace(dates, '[–—]', '-', 'g'), '\\s+', ' ', 'g') AS k FROM (SELECT *, {parts} AS ps FROM {t})))"
+    lines = "l AS (SELECT *, l_shipdate::DATE + to_months(l_quantity::INT) AS ends FROM lineitem)"
+    jobs = f"j0 AS (SELECT l_orderkey AS person, l_linenumber AS row, {_dated(b.DATE_FORMS, 'l_partkey + l_linenumber')} AS dates, {_pick(b.ROLES, 'l_partkey + l_linenumber')} AS role, {_pick(b.COMPANIES, 'l_suppkey')} AS company FROM l)"
+    schools = f"s0 AS (SELECT l_orderkey AS person, {_dated(b.SCHOOL_FORMS, 'l_suppkey')} AS dates FROM l WHERE l_linenumber % 2 = 1)"
+    spelled = f"CASE WHEN {has('dates', dt.YEARS_MONTHS)} THEN coalesce({group('dates', dt.YEARS_MONTHS, 1)}, 0) * 12 + coalesce({group('dates', dt.YEARS_MONTHS, 2)}, 0) ELSE coalesce({group('dates', dt.YEARS, 1)}, 0) * 12 END"
+    months = f"CASE WHEN {has('lower(dates)', dt.NO_DURATION)} THEN 0 WHEN len(ps) >= 2 AND e2 >= s2 THEN e2 - s2 ELSE {spelled} END"
+    study = f"{has('lower(role || chr(10) || company)', dt.STUDY)} OR ({has('lower(role || chr(10) || company)', dt.DEGREE)} AND {has('lower(role || chr(10) || company)', dt.SCHOOL)}) OR {has('role', dt.DEGREE_ROLE)} OR ({has('role', dt.STUDENT)} AND {has('lower(role || chr(10) || company)', dt.SCHOOL)})"
+    return f"""WITH {lines}, {jobs}, {schools}, j AS ({ranged('j0')}), s AS ({ranged('s0')}),
+        kept AS (SELECT *, {index('ps[1]')} AS s2, {index('ps[2]')} AS e2 FROM j WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.person = j.person AND s.key <> '' AND s.key = j.key) AND NOT EXISTS (SELECT 1 FROM s WHERE s.person = j.person AND s.span = j.span))
+        SELECT person, row, {months} AS months, {study} AS is_study FROM kept"""
+
+
+def shortlist_sql(smart: str) -> dict[str, str]:
+    listed = "p AS (SELECT job_id, candidate_id, max(status) AS status FROM applicants GROUP BY ALL), l AS (SELECT * FROM p WHERE status = 'shortlisted'), kept AS (SELECT * FROM l WHERE (job_id + candidate_id) % 5 <> 0)"
+    fresh = "a AS (SELECT DISTINCT job_id, candidate_id FROM rankings WHERE score >= 0.9 AND candidate_id IN (SELECT candidate_id FROM candidates)), n AS (SELECT * FROM a ANTI JOIN kept USING (job_id, candidate_id))"
+    views = {k: v for k, v in VIEWS.items() if k in ("jobs", "candidates", "applicants")}
+    ranked = VIEWS["rankings"].replace("max(l_tax) * 10 AS similarity", "max(CASE WHEN l_partkey % 11 <> 0 THEN l_tax END) * 10 AS similarity")
+    named = ", ".join(f"{k} AS ({v})" for k, v in {**views, "rankings": ranked}.items())
+    return {
+        "shortlist_changes": _with("applicants candidates rankings", f"+{listed}, {fresh} SELECT job_id, candidate_id, CASE WHEN n.job_id IS NOT NULL AND status IN ('new', 'screened') THEN 'shortlisted' ELSE status END AS status FROM p LEFT JOIN n USING (job_id, candidate_id) UNION ALL SELECT job_id, candidate_id, 'shortlisted' FROM n ANTI JOIN p USING (job_id, candidate_id)"),
+        "shortlist_refresh": f"""WITH {named}, f AS (SELECT job_id, candidate_id FROM (WITH {smart})), t AS (SELECT job_id, candidate_id, similarity, false AS forced FROM f JOIN rankings USING (job_id, candidate_id) QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY similarity DESC, candidate_id) <= 2),
+            o AS (SELECT job_id, candidate_id, coalesce(similarity, 0.0) AS similarity, true AS forced FROM (SELECT DISTINCT job_id, candidate_id FROM applicants) ANTI JOIN t USING (job_id, candidate_id) LEFT JOIN rankings USING (job_id, candidate_id)), both_ AS (SELECT * FROM t UNION ALL SELECT * FROM o)
+            SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY forced, similarity DESC, candidate_id)::INT AS place, candidate_id, round_even(similarity, 4) AS similarity, forced, (SELECT count(*) FROM rankings) AS n_pool, (SELECT count(similarity) FROM rankings) AS n_with_similarity, (SELECT count(*) FROM f) AS n_passed, (SELECT count(*) FROM o) AS n_forced, (SELECT count(similarity) FROM rankings) - (SELECT count(*) FROM f) AS n_filtered_out FROM both_""",
+        "pool_shown": _with("candidates rankings", "+b AS (SELECT candidate_id, max(score) AS score, max(similarity) AS similarity FROM rankings GROUP BY 1), s AS (SELECT candidate_id, score, row_number() OVER (ORDER BY score DESC, similarity DESC, candidate_id)::INT AS place FROM candidates JOIN b USING (candidate_id) WHERE workspace_id IS NULL AND contains(lower(concat_ws(' ', full_name, title, role_label, skills)), 'engineer') AND floor(score * 100 + 0.5) >= 60) SELECT place, candidate_id, round_even(score, 4) AS score FROM s WHERE place <= 40"),
+        "application_scores": _with("rankings jobs clients applicants", "+w AS (SELECT job_id, candidate_id, score, 100 + candidate_id % 5 AS workspace_id FROM rankings UNION ALL SELECT job_id, candidate_id, score / 2, j.workspace_id FROM rankings JOIN jobs j USING (job_id) WHERE job_id % 3 = 0), r AS (SELECT job_id, candidate_id, score, w.workspace_id = j.workspace_id AS mine FROM w JOIN jobs j USING (job_id) QUALIFY row_number() OVER (PARTITION BY job_id, candidate_id ORDER BY mine DESC, score DESC) = 1) SELECT job_id, candidate_id, j.title, coalesce(c.company_name, '') AS company, round_even(score * 100, 1) AS match_score, mine AS own_ranking, count(*) AS n, max(a.status) AS status FROM applicants a JOIN jobs j USING (job_id) LEFT JOIN clients c USING (client_id) LEFT JOIN r USING (job_id, candidate_id) GROUP BY ALL"),
+    }
+
+
 def ingestion_sql() -> dict[str, str]:
     kind = "CASE event_type " + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in b.INGESTION_KINDS.items()) + " END"
     last = "row_number() OVER (PARTITION BY ingestion_id ORDER BY created_at DESC, event_id DESC) = 1"
@@ -248,6 +292,8 @@ def oracle_sql() -> dict[str, str]:
         "ingestion_rollup": _with("activity", "+q AS (SELECT created_at::DATE::VARCHAR AS batch_id, CASE WHEN kind IN ('signup','click') THEN 'queued' WHEN kind = 'view' THEN CASE WHEN created_at <= TIMESTAMP '2024-01-30 11:40:00' THEN 'failed' ELSE 'processing' END WHEN kind = 'purchase' THEN 'done' ELSE 'failed' END AS s FROM activity) SELECT batch_id, count(*) AS total, count(*) FILTER (s = 'queued') AS queued, count(*) FILTER (s = 'processing') AS processing, count(*) FILTER (s = 'done') AS done, count(*) FILTER (s = 'failed') AS failed FROM q GROUP BY batch_id"),
         **inbox_oracles.oracle_sql(VIEWS),
         **ingestion_sql(),
+        **shortlist_sql(resume_oracles.smart(_bucket("lower(jt)"), _matches("bucket", "hay"))),
+        "jobs_alone": profile_sql(),
         "best_candidates": _with("jobs candidates", f"+{ALL_PAIRS}, t AS (SELECT wanted, least, need, candidate_id, skill, exp, edu, weak, row_number() OVER (PARTITION BY wanted, least, need ORDER BY weak DESC, candidate_id)::INT AS place FROM scored QUALIFY place <= 5) SELECT job_id, place, candidate_id, {R4('t.skill')} AS skill, {R4('exp')} AS exp, {R4('edu')} AS edu, {R4('weak')} AS weak FROM jobs j JOIN t ON j.skills = wanted AND j.min_experience = least AND j.education_required = need"),
         "mean_job_scores": _with("jobs candidates", f"+{ALL_PAIRS} SELECT candidate_id, round_even(sum(weak * n) / sum(n), 6) AS mean_score FROM scored GROUP BY candidate_id"),
         "refreshed_rankings": _with("rankings jobs candidates", f"+{_scored('rankings')}, f AS (SELECT workspace_id, job_id, candidate_id, round_even({BOOSTED}, 9) AS score, similarity FROM scored JOIN rankings USING (job_id, candidate_id) JOIN jobs USING (job_id)) SELECT workspace_id, job_id, row_number() OVER (PARTITION BY job_id ORDER BY score DESC, similarity DESC, candidate_id)::INT AS place, candidate_id, score, similarity FROM f"),
