@@ -36,7 +36,8 @@ class MinHash:
     With the defaults a pair at similarity 0.85 shares no band with a chance
     of 2e-8, one at 0.8 of 3e-6. margin is how far below the least similarity
     two signatures may agree and still be confirmed on full sets: five
-    standard deviations at 96 minima.
+    standard deviations at 96 minima. block bounds the documents that a task
+    compares at once, and block_shingles about what their full sets hold.
     """
 
     words: int = 3
@@ -45,6 +46,7 @@ class MinHash:
     rows: int = 4
     margin: float = 0.2
     block: int = 1024
+    block_shingles: int = 4_000_000
     seed: int = 20240131
 
     @property
@@ -263,13 +265,15 @@ def near_duplicates(docs: DataFrame, how: MinHash | None = None, id_col: str = "
     sketch = written(sketches(rows, how), "sketches")
     linkable = sketch.where("id is not null and digest is not null")
     # The one shuffle of keys and marks; copies are dropped before it.
-    classes = written(linkable.groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("marks").alias("marks")), "classes")
+    classes = written(linkable.groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"), F.first("marks").alias("marks"), F.first("n_shingles").alias("n_shingles")), "classes")
     in_bands = classes.select("id", F.explode("keys").alias("key"))
     buckets = in_bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = dealt(in_bands.join(buckets, "key"), "n", how.block).join(classes.select("id", "marks"), "id")
     clusters = connected_components(_stars(shared, "key", "marks", _marks_links(how)))
     clusters = written(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "clusters")
-    sizes = written(clusters.groupBy("cluster").agg(F.count("*").alias("n")), "sizes")
+    # A cluster of long documents counts as one of more: its blocks are bounded by what they hold.
+    long = F.ceil(F.sum("n_shingles") * how.block / how.block_shingles)
+    sizes = written(clusters.join(classes.select("id", "n_shingles"), "id").groupBy("cluster").agg(F.greatest(F.count("*"), long).cast("long").alias("n")), "sizes")
     # Only documents with a candidate bring their full sets.
     sets = _candidate_sets(rows, written(clusters.join(sizes, "cluster"), "members"), how)
     confirmed = _stars(dealt(sets, "n", how.block), "cluster", "shingles", _set_links(how))

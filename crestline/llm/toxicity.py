@@ -32,13 +32,9 @@ KEPT_WORDS = 500_000
 
 @dataclass(frozen=True)
 class Subwords:
-    """sample: labelled documents that the model is fitted on, at most, and of each at most sample_words distinct words, those with the smallest hashes.
-
-    The rest is the model's size and its training.
-    """
+    """sample: labelled documents that the model is fitted on, at most, each with all of its words. The rest is the model's size and its training."""
 
     sample: int = 8_000
-    sample_words: int = 4_096
     buckets: int = 1 << 18
     dim: int = 4
     shortest: int = 3
@@ -195,8 +191,8 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame, how: Subwords, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
     """The trained model; it learns from at most how.sample labelled documents, none of them held out.
 
-    Executors turn the texts into their distinct words, of which the driver gets
-    at most how.sample_words each: what it holds is bounded, however long texts are.
+    Executors turn the texts into their distinct words; what the driver gets is
+    bounded in documents.
     """
     sample, share = labelled_sample(docs, labels, "toxic", how.sample, id_col, text_col)
 
@@ -204,10 +200,9 @@ def fit(docs: DataFrame, labels: DataFrame, how: Subwords, id_col: str = "doc_id
         for batch in batches:
             for start, texts in slices(batch, 2):
                 words = [sorted(distinct_words(t)) for t in texts]
-                words = [w if len(w) <= how.sample_words else sorted(w, key=lambda x: (zlib.crc32(x.encode()), x))[: how.sample_words] for w in words]
-                yield pa.RecordBatch.from_arrays([batch.column(k).slice(start, len(texts)) for k in (0, 1)] + [pa.array(words, pa.list_(pa.string()))], names=["id", "y", "words"])
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(start, len(texts)) for k in (0, 1, 3)] + [pa.array(words, pa.list_(pa.string()))], names=["id", "y", "row", "words"])
 
-    rows = sample.select("id", "y", "text").mapInArrow(run, "id long, y int, words array<string>").toArrow().sort_by("id")
+    rows = sample.select("id", "y", "text", "row").mapInArrow(run, "id long, y int, row long, words array<string>").toArrow().sort_by([("id", "ascending"), ("row", "ascending")])
     y = rows.column("y").to_numpy().astype(np.int64)
     return train((words.as_py() for words in rows.column("words")), y, share, how)
 
