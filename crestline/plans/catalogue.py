@@ -302,7 +302,7 @@ def job_department(jobs):
     return jobs.select("job_id", names.department(F.col("title"), F.col("description")).alias("department"))
 
 
-@_relations("documents")
+@_relations("skill_texts")
 def core_skills(documents):
     words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]{3,}"), F.lit(0)))
     return documents.select(F.explode(words).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("doc_freq")).where(names.core_skill(F.col("word")))

@@ -224,10 +224,14 @@ def page_chrome(texts: str) -> str:
         SELECT id, coalesce(clean, '') AS clean FROM t LEFT JOIN f USING (text)"""
 
 
+def skill_texts() -> str:
+    at = "(doc_id * 7919 % (length(text) + 1))::INT"
+    return f"SELECT doc_id AS id, substring(text, 1, {at}) || {NL} || {pick(b.SKILL_PARTS, 'doc_id')} || {NL} || substring(text, {at} + 1) AS text FROM documents"
+
+
 def mined() -> str:
     """Skills found by line, place and number, and a lexicon of pairs of words."""
-    at = "(doc_id * 7919 % (length(text) + 1))::INT"
-    texts = f"SELECT doc_id AS id, substring(text, 1, {at}) || {NL} || {pick(b.SKILL_PARTS, 'doc_id')} || {NL} || substring(text, {at} + 1) AS text FROM documents"
+    texts = skill_texts()
     one = sub(trimmed(sub(f"lower({trimmed('x')})", "(?i)" + sm.URL, " ")), r"\s+", " ")
     edges = "' ' || chr(9) || chr(10) || chr(13) || " + q(sm.ENTRY_EDGES.replace(" ", "").replace("\t", "").replace("\n", "").replace("\r", ""))
     table = lambda d: "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in d.items()) + "}"
@@ -266,7 +270,7 @@ def oracle_sql(views: dict[str, str], bucket, matches) -> dict[str, str]:
         "low_match_warnings": with_("rankings", " SELECT job_id, count(*) FILTER (coalesce(score, similarity, 0) < 0.4) AS low FROM rankings GROUP BY 1 HAVING low > 0"),
         "role_labels": with_("candidates", f" SELECT candidate_id, {labels(mt.ROLE_LABELS, 'other')} AS label, {labels(mt.ENGINEERING_LABELS, 'fullstack')} AS engineering_label FROM candidates"),
         "job_department": with_("jobs", f" SELECT job_id, {DEPARTMENT} AS department FROM (SELECT job_id, lower(title || ' ' || description) AS blob FROM jobs)"),
-        "core_skills": f"WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS word FROM documents) SELECT word, count(*) AS doc_freq FROM w WHERE NOT {CORE('word', mt.NOT_CORE)} AND {CORE('word', ['.', '+', '#', *mt.CORE])} GROUP BY word",
+        "core_skills": f"WITH t AS ({skill_texts()}), w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(text), '[a-z]{{3,}}')) AS word FROM t) SELECT word, count(*) AS doc_freq FROM w WHERE NOT {CORE('word', mt.NOT_CORE)} AND {CORE('word', ['.', '+', '#', *mt.CORE])} GROUP BY word",
         "clean_titles": with_("candidates", f", raws AS (SELECT candidate_id, title || CASE candidate_id % 4 WHEN 0 THEN ' @ Acme Solutions Ltd' WHEN 1 THEN '' WHEN 2 THEN ', seeking work' ELSE ' – II' END AS raw FROM candidates) {CLEAN_TITLE}"),
         "profile_fallback": with_("candidates", " SELECT candidate_id, CASE WHEN years < 1 THEN '<1' WHEN years < 3 THEN '1-3' WHEN years < 5 THEN '3-5' ELSE '5+' END AS bucket, least(100, floor(least(20, greatest(0, years)) * 4 + least(30, len(list_filter(string_split(skills, ','), lambda x: trim(x) <> ''))) * 1.6 + CASE WHEN trim(degree) <> '' THEN 6 ELSE 0 END + CASE WHEN trim(certifications) <> '' THEN 4 ELSE 0 END + 0.5))::INT AS score FROM candidates"),
         "resume_certifications": f"{own}, items AS (SELECT candidate_id, {lines('text')} AS l FROM resumes), {CERTS} SELECT candidate_id, {DEGREE} AS degree, coalesce(certifications, '') AS certifications FROM resumes LEFT JOIN certs USING (candidate_id)",
