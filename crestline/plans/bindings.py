@@ -40,6 +40,16 @@ BODIES = [
     "",
 ]
 TAILS = ["\nMaster of Arts, MBA", "\n\nMay 2020 award of the faculty", "\nCISSP", "\nMatric, O-levels\n\nReferences on request", " ", "\nPMP credential\n5 years as a designer", "\nPh.D thesis"]
+#: What stands before and behind a document in a résumé; {first} and {second} are words of the document, {f} and {s} the same by letters.
+NAME_TOPS = [
+    "Full Name: {first} {second}\nQA Engineer\n", "{first} {second} | Senior QA Engineer | +92 300 0000000\n", "{SECOND}, {FIRST}\nSoftware Engineer\n", "Time management\nDr. {first} {second} (she/her)\n",
+    "{first} {second}  Email: {first}.{second}@mail.org\n", "{f}   {s}\nData Analyst\n", "Senior Software Engineer | {first} {second} | Karachi, Pakistan | x@mail.org\n", "", "Finance Analyst Name: {first} {second} | City: Lahore\n",
+    "RESUME\n{first} {second} Lahore\n", "{first} {second} +92-317-4497371\n", "Certified {first} {second}\n", "Software Engineer\r\nPython, AWS\r\n\r\n",
+]
+NAME_TAILS = ["", "", "\nThis resume belongs to: \u2014 {second} {first} \u2014", "", "\nprepared by {first} and {second}\nend", "", ""]
+NAME_MAILS = ["{first}.{second}@mail.org", "support@site.org", "{second}7+jobs@web.net", "", "{first}_{second}9@corp.co.uk", "{first}-data-analyst@x.org"]
+NAME_FILES = ["{first}_{second}", "up/{first}_{second}_Resume.pdf", "{FIRST}-{SECOND}-final2.docx", "My_Resume", "{second} Finance.txt", "12_{first}_{second}"]
+NAME_SLUGS = ["{first}-{second}-1a2b3c4d", "{first}-{second}", "{first}+{second}-abcdef12", "%C3%89lo-{second}-b12345"]
 STATUSES = ["new", "screened", "shortlisted", "selected", "interviewing", "hired", "declined"]
 
 
@@ -113,6 +123,24 @@ def resumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(raw(spark, sf_dir, "part")).select(key.alias("candidate_id"), F.concat(pick(HEADS, key), F.lit("\n"), pick(BODIES, F.floor(key / 6)), pick(TAILS, key)).alias("text"))
 
 
+def _filled(values: list[str], number: Column) -> Column:
+    """The value that a number falls on, with the first two capitalised words of a text in it."""
+    words = F.regexp_extract_all("text", F.lit("[A-Z][a-z]{2,}"), F.lit(0))
+    first, second = (F.coalesce(F.get(words, F.lit(i)), F.lit(w)) for i, w in enumerate(["Ada", "Byron"]))
+    spaced = lambda w: F.array_join(F.filter(F.split(w, ""), lambda x: x != ""), " ")
+    out = pick(values, number)
+    for mark, word in {"{first}": first, "{second}": second, "{FIRST}": F.upper(first), "{SECOND}": F.upper(second), "{f}": spaced(first), "{s}": spaced(second)}.items():
+        out = F.replace(out, F.lit(mark), word)
+    return out
+
+
+def named_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a résumé with an address, a file's name and a profile link, made with words of its own."""
+    key = F.col("doc_id")
+    text = F.concat(_filled(NAME_TOPS, key), F.coalesce("text", F.lit("")), _filled(NAME_TAILS, F.floor(key / 13)))
+    return documents(spark, sf_dir).select("doc_id", text.alias("text"), F.lower(_filled(NAME_MAILS, F.floor(key / 5))).alias("email"), _filled(NAME_FILES, key).alias("file_name"), _filled(NAME_SLUGS, key).alias("slug"))
+
+
 def inbox_now() -> Column:
     return F.lit(INBOX_NOW.isoformat(" ")).cast("timestamp")
 

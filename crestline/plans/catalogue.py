@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from crestline.functions import dates
 from crestline.functions import matching as names
+from crestline.functions import names as nm
 from crestline.functions import resume as cv
 from crestline.functions import scoring, text
 from crestline.operators import all_pairs, backfill, feeds, funnel, inbox, insight, listing, matching, profile_rows, ranking, refresh, reports, resume, retrieval, shortlisting, skill_mining, visibility
+from crestline.operators import names as naming
 from crestline.plans import bindings as b
 from crestline.sources.scratch import scratch_path
 from crestline.streaming import activity, ingestion
@@ -574,5 +576,16 @@ def refreshed_rankings(rankings, jobs, candidates):
     return saved.rows()
 
 
+@_relations("named_texts")
+def resume_names(texts):
+    return naming.resolved_names(texts).select("doc_id", "name", "name_source")
+
+
+@_relations("named_texts")
+def file_names(texts):
+    shown = nm.from_file_name(F.col("file_name"))
+    return texts.select("doc_id", shown.alias("shown"), nm.from_file_stem(F.regexp_replace(F.regexp_replace("file_name", "^.*/", ""), r"\.[^.]+$", "")).alias("name"), nm.from_profile_slug(F.col("slug")).alias("profile_name"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if callable(f) and getattr(f, "__qualname__", "").startswith("_relations.")}

@@ -134,7 +134,7 @@ def prepared(c: str) -> str:
     for wrong, right in tx.MENDED.items():
         c = f"replace({c}, {q(wrong)}, {q(right)})"
     c = sub(sub(c, "[   ]", " "), r"(^|[^\d])(\d)\s+(\d)\s+(\d)\s+(\d)($|[^\d])", r"\1\2\3\4\5\6")
-    for phrase in ry.BREAKS:
+    for phrase in ry.WORK_BREAKS:
         c = sub(c, rf"(?i)\s+({phrase})\b", "\n\\1")
     c = sub(sub(c, r"\s+(EXPERIENCE)\b", "\n\\1"), r"\s+(Experience\s+[A-Z])", "\n\\1")
     for phrase in ry.STUDY_BREAKS:
