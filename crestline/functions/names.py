@@ -222,6 +222,11 @@ def mended_lines(lines: Column) -> Column:
     return F.transform(lines, lambda x, i: F.when(i < SPACED_LINES, _unspaced(x)).otherwise(x))
 
 
+def has_contact(c: Column) -> Column:
+    """Whether there is an address or a telephone; lines without any character of one are told by a glance."""
+    return (c.rlike("@|\\[|(?i:http|\\.com)") & c.rlike(_u(CONTACT))) | (c.rlike(r"\[|\p{Nd}") & c.rlike(_u(PHONE)))
+
+
 def before_contact(c: Column) -> Column:
     """What stands before an address, its label, a profile link or a telephone: the first of these that leaves 3 to 120 characters."""
     edge = r"\s,|•–-"
@@ -250,20 +255,19 @@ def labelled(lines: Column) -> Column:
 def in_parts(lines: Column) -> Column:
     """Guesses by the parts of header lines; a part with an address counts by what stands before that."""
 
-    def parts(x: Column, i: Column) -> Column:
-        cut = F.filter(F.transform(F.split(x, PART_END), lambda p: _strip(p)), lambda p: p != "")
-        with_place = F.transform(cut, lambda p, j: F.struct(p.alias("part"), (PART_SCORE - 2 * i + F.greatest(F.lit(0), PLACE_BONUS - 2 * j)).alias("score"), reaches(x).alias("header")))
-        return F.when(x.rlike(_u(NO_NAME_LINE)), F.filter(with_place, lambda p: F.lit(False))).otherwise(with_place)
+    def parts(x: Column) -> Column:
+        cut = F.filter(F.transform(F.split(x["line"], PART_END), lambda p: _strip(p)), lambda p: p != "")
+        return F.transform(cut, lambda p, j: F.struct(p.alias("part"), (x["score"] + F.greatest(F.lit(0), PLACE_BONUS - 2 * j)).alias("score")))
 
-    def reaches(x: Column) -> Column:
-        return x.rlike(_u(CONTACT)) | x.rlike(_u(PHONE))
+    def line(x: Column, i: Column) -> Column:
+        return F.struct(x.alias("line"), (PART_SCORE - 2 * i + F.when(has_contact(x), CONTACT_BONUS).otherwise(0)).alias("score"))
 
     def guess(x: Column) -> Column:
-        bonus = F.when(x["header"], CONTACT_BONUS).otherwise(0)
         prefix = before_contact(x["part"])
-        return F.when(reaches(x["part"]), _guess(x["score"] + bonus + PREFIX_BONUS, F.when(F.length(prefix) <= 100, prefix).otherwise(""))).otherwise(_guess(x["score"] + bonus, x["part"]))
+        return F.when(has_contact(x["part"]), _guess(x["score"] + PREFIX_BONUS, F.when(F.length(prefix) <= 100, prefix).otherwise(""))).otherwise(_guess(x["score"], x["part"]))
 
-    found = F.flatten(F.transform(F.slice(lines, 1, PART_LINES), parts))
+    header = F.filter(F.transform(F.slice(lines, 1, PART_LINES), line), lambda x: ~x["line"].rlike(_u(NO_NAME_LINE)))
+    found = F.flatten(F.transform(header, parts))
     wide = lambda p: F.contains(p, F.lit("@")) | F.contains(F.lower(p), F.lit("mail"))
     return F.transform(F.filter(found, lambda x: F.length(x["part"]) <= F.when(wide(x["part"]), LONGEST_CONTACT_PART).otherwise(LONGEST_PART)), guess)
 
