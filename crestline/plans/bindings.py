@@ -50,6 +50,13 @@ NAME_TAILS = ["", "", "\nThis resume belongs to: \u2014 {second} {first} \u2014"
 NAME_MAILS = ["{first}.{second}@mail.org", "support@site.org", "{second}7+jobs@web.net", "", "{first}_{second}9@corp.co.uk", "{first}-data-analyst@x.org"]
 NAME_FILES = ["{first}_{second}", "up/{first}_{second}_Resume.pdf", "{FIRST}-{SECOND}-final2.docx", "My_Resume", "{second} Finance.txt", "12_{first}_{second}"]
 NAME_SLUGS = ["{first}-{second}-1a2b3c4d", "{first}-{second}", "{first}+{second}-abcdef12", "%C3%89lo-{second}-b12345"]
+SCHOOL_TOPS = [
+    "Education\nBachelor of {second}\n{first} University\n", "EDUCATION\n{first} University \u2014 BS {second} | 2022 \u2013 2026 |\u200b Technical Skills | \u25cf JavaScript\n", "",
+    "Education\n{first} College, MSc\nGrade: pass\nJun 2010 - Nov 2012\nsports\nSkills\npython\n", "Engineer\n{first} School 2010\nx of {second} Institute, Projects: many\nMIT graduate\n",
+    "Qualifications\nx oe University of {first} | 2010 | ab cd ef gh | {second}\nMaster of Arts \u2022 2014 \u2014 {second} degree\nAcademic\n", "Education\n{first} University ab c de fg hi\nDiploma / devops and more\nProjects\n",
+    "Education\n{first} Academy\nMBA\n{second} School\nPhD\nBSc in {second}\nAwards\n", "Education\nMaster of {first} at the University 2012 technical skills python, react\n\n\u00b7 BSc 2010 \u00b7 \u25cf React\n",
+]
+SCHOOL_TAILS = ["", "\nEducation\n{second} Polytechnic, diploma", "\n{first} College 1999", " Education MSc", "\nLanguages\n{first} School of skills and arts"]
 STATUSES = ["new", "screened", "shortlisted", "selected", "interviewing", "hired", "declined"]
 
 
@@ -141,6 +148,12 @@ def named_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", text.alias("text"), F.lower(_filled(NAME_MAILS, F.floor(key / 5))).alias("email"), _filled(NAME_FILES, key).alias("file_name"), _filled(NAME_SLUGS, key).alias("slug"))
 
 
+def schooled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a résumé with lines of education, made with words of its own."""
+    key = F.col("doc_id")
+    return documents(spark, sf_dir).select("doc_id", F.concat(_filled(SCHOOL_TOPS, key), F.coalesce("text", F.lit("")), _filled(SCHOOL_TAILS, F.floor(key / 9))).alias("text"))
+
+
 def inbox_now() -> Column:
     return F.lit(INBOX_NOW.isoformat(" ")).cast("timestamp")
 

@@ -587,5 +587,10 @@ def file_names(texts):
     return texts.select("doc_id", shown.alias("shown"), nm.from_file_stem(F.regexp_replace(F.regexp_replace("file_name", "^.*/", ""), r"\.[^.]+$", "")).alias("name"), nm.from_profile_slug(F.col("slug")).alias("profile_name"))
 
 
+@_relations("schooled_texts")
+def education_lines(texts):
+    return resume.education(texts).select("doc_id", "education")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if callable(f) and getattr(f, "__qualname__", "").startswith("_relations.")}

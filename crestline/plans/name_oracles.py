@@ -15,9 +15,9 @@ def filled(values: list[str], number: str) -> str:
     return out
 
 
-TEXTS = f"""own AS (SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]{{2,}}') AS w FROM documents),
-    named AS (SELECT doc_id, body, coalesce(w[1], 'Ada') AS first, coalesce(w[2], 'Byron') AS second FROM own),
-    texts AS (SELECT doc_id, {filled(b.NAME_TOPS, 'doc_id')} || body || {filled(b.NAME_TAILS, 'doc_id // 13')} AS text, lower({filled(b.NAME_MAILS, 'doc_id // 5')}) AS email,
+OWN_WORDS = """own AS (SELECT doc_id, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]{2,}') AS w FROM documents),
+    named AS (SELECT doc_id, body, coalesce(w[1], 'Ada') AS first, coalesce(w[2], 'Byron') AS second FROM own)"""
+TEXTS = f"""{OWN_WORDS}, texts AS (SELECT doc_id, {filled(b.NAME_TOPS, 'doc_id')} || body || {filled(b.NAME_TAILS, 'doc_id // 13')} AS text, lower({filled(b.NAME_MAILS, 'doc_id // 5')}) AS email,
         {filled(b.NAME_FILES, 'doc_id')} AS file_name, {filled(b.NAME_SLUGS, 'doc_id')} AS slug FROM named)"""
 
 
