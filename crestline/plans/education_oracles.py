@@ -6,11 +6,17 @@ from crestline.functions import education as ed
 from crestline.functions import resume as rs
 from crestline.plans import bindings as b
 from crestline.plans.name_oracles import OWN_WORDS, filled
-from crestline.plans.resume_oracles import NL, has, items, prepared, q, sub, trimmed
+from crestline.plans.resume_oracles import NL, items, prepared, q, sub, trimmed
+from crestline.plans.resume_oracles import has as has_ascii
 
 TEXTS = f"{OWN_WORDS}, texts AS (SELECT doc_id, {filled(b.SCHOOL_TOPS, 'doc_id')} || body || {filled(b.SCHOOL_TAILS, 'doc_id // 9')} AS text FROM named)"
 
 
+def has(c: str, pattern: str) -> str:
+    """Whether a text matches, with Latin letters beyond ASCII as letters, where DuckDB's word ends know ASCII alone."""
+    return has_ascii(sub(c, "[À-ÖØ-öø-ɏ]", "q"), pattern)
+
+
 def one_line(c: str) -> str:
     return f"trim(regexp_replace({c}, '\\s+', ' ', 'g'))"
 
