@@ -1,4 +1,4 @@
-"""Lexical and vector retrieval."""
+"""Vector retrieval, vocabularies and n-grams."""
 
 from __future__ import annotations
 
@@ -8,48 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from crestline.sources.scratch import stored
-
-#: Words that never count as terms.
-STOP_WORDS = "a an and are as at be by for from has he in is it its of on or that the this to was were will with".split()
-
-
-def words(text: Column) -> Column:
-    """Words of at least two characters that are no stop words."""
-    return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), lambda w: ~w.isin(STOP_WORDS))
-
-
-def with_pairs(w: Column) -> Column:
-    """Words and the pairs of neighbours among them. w has to be a column, as each pair looks it up."""
-    pairs = F.zip_with(w, F.slice(w, F.lit(2), F.size(w)), lambda a, b: F.when(b.isNotNull(), F.concat_ws(" ", a, b)))
-    return F.concat(w, F.filter(pairs, lambda p: p.isNotNull()))
-
-
-def tfidf_top_k(queries: DataFrame, docs: DataFrame, k: int, min_df: int = 2, max_share: float = 0.95) -> DataFrame:
-    """query_id, rank, doc_id, score: cosine of smoothed TF-IDF vectors over both sides.
-
-    queries and docs have id and text. Terms in under min_df texts or over
-    max_share of them are left out before the terms meet. Documents that share
-    no term have no row. Ties go to the smaller id. Texts are taken apart and
-    weighed once, into written tables, and of the documents only the queries'
-    terms meet; a term that nearly all texts hold still brings each query and document together.
-    """
-    sides = queries.select(F.lit(0).alias("side"), "id", "text").unionByName(docs.select(F.lit(1).alias("side"), "id", "text"))
-    counts = sides.select("side", "id", words(F.col("text")).alias("w")).select("side", "id", F.explode(with_pairs(F.col("w"))).alias("term")).groupBy("side", "id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    counts = stored(counts, "terms")
-    n = sides.agg(F.count(F.lit(1)).alias("n"))
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(n).where((F.col("df") >= min_df) & (F.col("df") <= max_share * F.col("n")))  # n is one row
-    idf = df.select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1).alias("idf"))
-    weights = stored(counts.join(idf, "term").select("side", "id", "term", (F.col("tf") * F.col("idf")).alias("w")), "weights")
-    norms = weights.groupBy("side", "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    q = weights.where("side = 0").select(F.col("id").alias("query_id"), "term", F.col("w").alias("qw"))
-    d = weights.where("side = 1").select(F.col("id").alias("doc_id"), "term", "w")
-    norm = lambda side, name: norms.where(F.col("side") == side).select(F.col("id").alias(name), F.col("norm").alias(f"{name}_norm"))
-    dots = d.join(q, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("dot"))
-    scores = dots.join(norm(0, "query_id"), "query_id").join(norm(1, "doc_id"), "doc_id").select("query_id", "doc_id", F.bround(F.col("dot") / (F.col("query_id_norm") * F.col("doc_id_norm")), 4).alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return scores.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
-
 
 def cosine_top_k(vectors: DataFrame, query_every: int, k: int, block: int = 8_192, at_once: int = 1_024) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of all other vectors for each whose id query_every divides.

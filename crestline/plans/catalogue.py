@@ -12,7 +12,7 @@ from crestline.functions import matching as names
 from crestline.functions import names as nm
 from crestline.functions import resume as cv
 from crestline.functions import scoring, text
-from crestline.operators import all_pairs, backfill, feeds, funnel, inbox, insight, listing, matching, profile_rows, ranking, refresh, reports, resume, retrieval, shortlisting, skill_mining, visibility
+from crestline.operators import all_pairs, backfill, feeds, funnel, inbox, insight, lexical, listing, matching, profile_rows, ranking, refresh, reports, resume, retrieval, shortlisting, skill_mining, visibility
 from crestline.operators import names as naming
 from crestline.plans import bindings as b
 from crestline.sources.scratch import scratch_path
@@ -23,6 +23,8 @@ from crestline.streaming.versions import Versions
 Query = Callable[[SparkSession, str], DataFrame]
 #: The workspace and the candidate that single-tenant queries ask about, and the page they show.
 WORKSPACE, CANDIDATE, PAGE = 7, 11, 25
+#: The job that a pool is ranked for.
+RANKED_JOB = 2
 
 
 def _relations(*names: str):
@@ -385,7 +387,21 @@ def split_stratified(documents):
 
 @_relations("benchmark", "documents")
 def tfidf_top_k(benchmark, documents):
-    return retrieval.tfidf_top_k(benchmark.select(F.col("item_id").alias("id"), "text"), documents.select(F.col("doc_id").alias("id"), "text"), 5)
+    return lexical.tfidf_top_k(benchmark.select(F.col("item_id").alias("id"), "text"), documents.select(F.col("doc_id").alias("id"), "text"), 5)
+
+
+@_relations("benchmark", "documents")
+def tfidf_common_terms(benchmark, documents):
+    """The same by the prefilter's weights: the commonest terms, however many texts hold them."""
+    return lexical.tfidf_top_k(benchmark.select(F.col("item_id").alias("id"), "text"), documents.select(F.col("doc_id").alias("id"), "text"), 10, 1, 1.0, lexical.PREFILTER_TERMS)
+
+
+@_relations("jobs", "candidates", "documents")
+def ranked_pool(jobs, candidates, documents):
+    """The first 50 of all candidates for a job: the 200 nearest by text, scored."""
+    described = jobs.withColumn("text", F.concat_ws(" ", "title", "skills", "description"))
+    written = candidates.join(documents.select(F.col("doc_id").alias("candidate_id"), F.col("text").alias("resume")), "candidate_id", "left")
+    return lexical.rank_pool(described, RANKED_JOB, written.withColumn("text", F.concat_ws(" ", "full_name", "title", "skills", "resume")), 200, 50)
 
 
 @_relations("embeddings")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from crestline.functions import dates as dt
 from crestline.functions import skills as sk
 from crestline.functions import text as tx
+from crestline.operators import lexical
 from crestline.operators import ranking as rk
 from crestline.plans import bindings as b
 from crestline.plans import education_oracles, inbox_oracles, name_oracles, resume_oracles
@@ -126,7 +127,25 @@ _DEGREE_TEXT = "trim(regexp_replace(lower(coalesce(degree, '')), '\\s+', ' ', 'g
 EDUCATION = f"CASE WHEN {_DEGREE_TEXT} = '' THEN 0.0 " + " ".join(f"WHEN regexp_matches({_DEGREE_TEXT}, {_q(p)}) THEN {level}" for level, p in rk.EDUCATION) + " ELSE 0.5 END"
 PROFILE = f"""base AS (SELECT candidate_id, greatest(coalesce(years, 0.0), 0.0) AS y, len(list_filter(string_split_regex(skills, '[,;|]'), lambda x: trim(x) <> ''))::DOUBLE AS s, {EDUCATION} AS e, CASE WHEN trim(certifications) <> '' THEN 1.0 ELSE 0.0 END AS c FROM candidates),
     profile AS (SELECT candidate_id, round_even(({PCT('y')}) * 0.32 + ({PCT('s')}) * 0.32 + ({PCT('e')}) * 0.24 + ({PCT('c')}) * 0.12, 2) AS profile_score FROM base)"""
-STOP = _list(__import__("crestline.operators.retrieval", fromlist=["x"]).STOP_WORDS)
+STOP = _list(lexical.STOP_WORDS)
+
+
+def _tfidf(sides: str, k: int, least: int, share: float, terms: int | None) -> str:
+    """Relations from sides (side, id, text) to nearest (query_id, rank, doc_id, score), to be followed by a SELECT."""
+    most = "" if terms is None else f" ORDER BY sum(tf) DESC, encode(term) LIMIT {terms}"
+    return f"""sides AS ({sides}), w AS (SELECT side, id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{Nd}}_]{{2,}}'), lambda x: NOT list_contains({STOP}, x)) AS w FROM sides),
+    t AS (SELECT side, id, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END)) AS term FROM w),
+    c AS (SELECT side, id, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(*) AS n FROM sides),
+    idf AS (SELECT term, ln((1.0 + n) / (1.0 + count(*))) + 1 AS idf FROM c, n GROUP BY term, n HAVING count(*) >= {least} AND count(*) <= {share} * n{most}),
+    x AS (SELECT side, id, term, tf * idf AS x FROM c JOIN idf USING (term)), u AS (SELECT side, id, term, x / sqrt(sum(x * x) OVER (PARTITION BY side, id)) AS x FROM x),
+    s AS (SELECT q.id AS query_id, d.id AS doc_id, round_even(sum(q.x * d.x), 4) AS score FROM u q JOIN u d ON q.term = d.term AND q.side = 0 AND d.side = 1 GROUP BY ALL),
+    nearest AS (SELECT query_id, row_number() OVER v::INT AS rank, doc_id, score FROM s WINDOW v AS (PARTITION BY query_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER v <= {k})"""
+
+
+ITEMS_AND_TEXTS = "SELECT 0 AS side, item_id AS id, text FROM benchmark UNION ALL SELECT 1, doc_id, text FROM documents"
+#: The job's text and those of all candidates, whose 200 nearest are scored.
+JOB_AND_POOL = "SELECT 0 AS side, job_id AS id, concat_ws(' ', title, skills, description) AS text FROM jobs WHERE job_id = 2 UNION ALL SELECT 1, candidate_id, concat_ws(' ', full_name, title, skills, text) FROM candidates LEFT JOIN documents ON doc_id = candidate_id"
+NEAR = "near AS (SELECT 2::BIGINT AS job_id, candidate_id, coalesce(score, 0) AS cosine FROM candidates LEFT JOIN nearest ON doc_id = candidate_id ORDER BY cosine DESC, candidate_id LIMIT 200)"
 
 
 BOOSTED = CLAMP("1 - pow(1 - " + CLAMP("greatest(score, 0.4 * score + 0.3 * similarity + 0.2 * skill + 0.1 * band)") + ", 2)")
@@ -281,7 +300,9 @@ def oracle_sql() -> dict[str, str]:
         "resume_text": f"WITH m AS (SELECT doc_id, {_mended('text')} AS t FROM documents), a AS (SELECT doc_id, {_spaced('t')} AS t FROM m), j AS (SELECT doc_id, {_joined(_joined('t'))} AS t FROM a) SELECT doc_id, md5({_spaced('t')}) AS clean_md5 FROM j",
         "pool_rank": _with("candidates", "+p AS (SELECT years / 50 AS score, length(trim(concat_ws(' ', full_name, title, skills))) >= 30 AS enough FROM candidates WHERE workspace_id = 7 ORDER BY created_at DESC, candidate_id LIMIT 60) SELECT count(*) FILTER (enough AND score > 0.75) + 1 AS position, count(*) FILTER (enough) AS ranked, count(*) >= 60 AS capped, count(*) AS considered FROM p"),
         "cosine_top_k": "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, d.vec_id, round_even(list_inner_product(d.v, q.v) / (sqrt(list_inner_product(d.v, d.v)) * sqrt(list_inner_product(q.v, q.v)) + 1e-12), 4) AS score FROM v d, v q WHERE q.vec_id % 100 = 0 AND d.vec_id <> q.vec_id) SELECT query_id, row_number() OVER w::INT AS rank, vec_id, score FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5",
-        "tfidf_top_k": f"WITH sides AS (SELECT 0 AS side, item_id AS id, text FROM benchmark UNION ALL SELECT 1, doc_id, text FROM documents), w AS (SELECT side, id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}\\p{{Nd}}_]{{2,}}'), lambda x: NOT list_contains({STOP}, x)) AS w FROM sides), t AS (SELECT side, id, unnest(list_concat(w, CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE [] END)) AS term FROM w), c AS (SELECT side, id, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT count(*) AS n FROM sides), idf AS (SELECT term, ln((1.0 + n) / (1.0 + count(*))) + 1 AS idf FROM c, n GROUP BY term, n HAVING count(*) >= 2 AND count(*) <= 0.95 * n), x AS (SELECT side, id, term, tf * idf AS x FROM c JOIN idf USING (term)), u AS (SELECT side, id, term, x / sqrt(sum(x * x) OVER (PARTITION BY side, id)) AS x FROM x), s AS (SELECT q.id AS query_id, d.id AS doc_id, round_even(sum(q.x * d.x), 4) AS score FROM u q JOIN u d ON q.term = d.term AND q.side = 0 AND d.side = 1 GROUP BY ALL) SELECT query_id, row_number() OVER v::INT AS rank, doc_id, score FROM s WINDOW v AS (PARTITION BY query_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER v <= 5",
+        "tfidf_top_k": f"WITH {_tfidf(ITEMS_AND_TEXTS, 5, 2, 0.95, None)} SELECT * FROM nearest",
+        "tfidf_common_terms": f"WITH {_tfidf(ITEMS_AND_TEXTS, 10, 1, 1.0, lexical.PREFILTER_TERMS)} SELECT * FROM nearest",
+        "ranked_pool": _with("jobs candidates", f"+{_tfidf(JOB_AND_POOL, 200, 1, 1.0, lexical.PREFILTER_TERMS)}, {NEAR}, {_scored('near')}, r AS (SELECT candidate_id, cosine, (cosine + 1) / 2 AS raw, skill, band FROM scored JOIN near USING (job_id, candidate_id)), f AS (SELECT candidate_id, cosine, {CLAMP('greatest(raw, 0.4 * raw + 0.2 * skill + 0.1 * band)')} AS x FROM r), g AS (SELECT candidate_id, cosine, {R4(CLAMP('1 - pow(1 - x, 2)'))} AS score FROM f) SELECT row_number() OVER (ORDER BY score DESC, candidate_id)::INT AS place, candidate_id, cosine, score FROM g QUALIFY place <= 50"),
         "skill_vocab": "WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS word FROM documents) SELECT word, count(*) AS doc_freq FROM w GROUP BY word HAVING count(*) >= 12 ORDER BY doc_freq DESC, word LIMIT 4000",
         "document_skills": "WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{3,}')) AS word FROM documents), v AS (SELECT word FROM w GROUP BY word HAVING count(*) >= 12 ORDER BY count(*) DESC, word LIMIT 4000), f AS (SELECT doc_id, array_to_string(list_sort(list(word))[1:80], '|') AS skills FROM w SEMI JOIN v USING (word) GROUP BY doc_id) SELECT doc_id, coalesce(skills, '') AS skills FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN f USING (doc_id)",
         "ngram_discovery": "WITH w AS (SELECT regexp_extract_all(lower(text), '[a-z]+') AS w FROM documents), g AS (SELECT 2 AS n, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS ngram FROM w UNION ALL SELECT 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w), c AS (SELECT n, ngram, count(*) AS freq FROM g GROUP BY ALL) SELECT n, ngram, freq FROM c QUALIFY row_number() OVER (PARTITION BY n ORDER BY freq DESC, ngram) <= CASE n WHEN 2 THEN 600 ELSE 400 END",

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crestline.functions import scoring, skills, status, text
-from crestline.operators import feeds, listing, ranking, retrieval
+from crestline.operators import feeds, lexical, listing, ranking, retrieval
 from crestline.sources import tables
 from crestline.streaming import activity
 
@@ -65,7 +65,7 @@ def test_interval_years(spark):
 def test_tfidf_leaves_out_what_shares_nothing(spark):
     queries = spark.createDataFrame([(1, "blue whale song")], "id long, text string")
     docs = spark.createDataFrame([(7, "blue whale song"), (8, "whale watching"), (9, "green tea"), (10, None)], "id long, text string")
-    got = [(r["rank"], r["doc_id"]) for r in retrieval.tfidf_top_k(queries, docs, 5).orderBy("rank").collect()]
+    got = [(r["rank"], r["doc_id"]) for r in lexical.tfidf_top_k(queries, docs, 5).orderBy("rank").collect()]
     assert got == [(1, 7), (2, 8)]
 
 
