@@ -23,6 +23,8 @@ STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "h
 MARGIN = 0.0002
 #: Fixed value: how many terms the prefilter of a pool knows.
 PREFILTER_TERMS = 20_000
+#: A vocabulary of at most so many rows goes to every task.
+BROADCAST_TERMS = 200_000
 
 
 def words(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
@@ -37,16 +39,17 @@ def with_pairs(w: Column) -> Column:
 
 
 def term_counts(sides: DataFrame, stop_words: Sequence[str]) -> DataFrame:
-    """side, id, terms: each text's distinct terms with their counts, by sorting a text's terms, without a shuffle."""
+    """side, id, terms: each text's distinct terms with their counts, null if it has none, by sorting a text's terms, without a shuffle."""
     w = sides.select("side", "id", words(F.col("text"), stop_words).alias("w"))
-    t = w.select("side", "id", F.sort_array(with_pairs(F.col("w"))).alias("t")).where(F.size("t") > 0)
-    at = t.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1))))
+    t = w.select("side", "id", F.sort_array(with_pairs(F.col("w"))).alias("t"))
+    # A filter on the size would be pushed under the sort and take each text apart again.
+    at = t.withColumn("at", F.when(F.size("t") > 0, F.filter(F.sequence(F.lit(0), F.size("t") - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))))
     count = lambda i, j: F.coalesce(F.get("at", j + 1), F.size("t")) - i
     return at.select("side", "id", F.transform("at", lambda i, j: F.struct(F.get("t", i).alias("term"), count(i, j).alias("tf"))).alias("terms"))
 
 
-def vectors(sides: DataFrame, min_df: int, max_share: float, most_terms: int | None, stop_words: Sequence[str]) -> DataFrame:
-    """side, id, norm, vec: the length of each text's weights, and those of them that side 0 asks for."""
+def postings(sides: DataFrame, min_df: int, max_share: float, most_terms: int | None, stop_words: Sequence[str]) -> DataFrame:
+    """side, id, size, term, w: the terms that side 0 asks for with their weights in vectors of length one; size grows with the vector's length before."""
     texts = stored(term_counts(sides, stop_words), "terms")
     counts = texts.select("side", "id", F.inline("terms"))
     n = sides.agg(F.count(F.lit(1)).alias("n"))
@@ -55,9 +58,13 @@ def vectors(sides: DataFrame, min_df: int, max_share: float, most_terms: int | N
     if most_terms is not None:
         known = known.orderBy(F.desc("total"), "term").limit(most_terms)
     idf = known.select("term", "asked", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1).alias("idf"))
-    weights = counts.join(idf, "term").select("side", "id", "term", "asked", (F.col("tf") * F.col("idf")).alias("w"))
-    vec = F.collect_list(F.when(F.col("asked"), F.struct("term", "w")))  # no longer than the text
-    return weights.groupBy("side", "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), vec.alias("vec"))
+    if most_terms is not None and most_terms <= BROADCAST_TERMS:
+        idf = F.broadcast(idf)
+    weights = counts.join(idf, "term").select("side", "id", F.when(F.col("asked"), F.col("term")).alias("term"), (F.col("tf") * F.col("idf")).alias("w"))
+    weights = stored(weights, "weights")
+    norms = weights.groupBy("side", "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    size = F.floor(F.log2("norm")).cast("int")
+    return weights.where(F.col("term").isNotNull()).join(norms, ["side", "id"]).select("side", "id", size.alias("size"), "term", (F.col("w") / F.col("norm")).alias("w"))
 
 
 def best_by_terms(weighed: DataFrame, k: int, first: int) -> DataFrame:
@@ -65,12 +72,12 @@ def best_by_terms(weighed: DataFrame, k: int, first: int) -> DataFrame:
 
     A term's weights are bounded for each size of document, as a word counts
     more in a short text. The k-th best by a query's rarest terms (those whose
-    documents are first together) is a bound from below; terms that can't reach
-    it even together bring no document up.
+    documents are at most first together) is a bound from below; terms that can't reach
+    it even together bring no document up. What the others give to those that
+    came up is a better bound, by which most are left before the rest is added.
     """
-    terms = lambda side, name, *more: weighed.where(F.col("side") == side).select(F.col("id").alias(name), "norm", *more, F.inline("vec")).withColumn("w", F.col("w") / F.col("norm")).drop("norm")
-    q = terms(0, "query_id").withColumnRenamed("w", "qw")
-    d = terms(1, "doc_id", F.floor(F.log2("norm")).cast("int").alias("size"))
+    q = weighed.where("side = 0").select(F.col("id").alias("query_id"), "term", F.col("w").alias("qw"))
+    d = weighed.where("side = 1").select(F.col("id").alias("doc_id"), "size", "term", "w")
     tops = d.groupBy("term", "size").agg(F.max("w").alias("top"), F.count(F.lit(1)).alias("n"))
     asked = stored(q.join(tops, "term").select("query_id", "size", "term", "qw", "n", (F.col("qw") * F.col("top")).alias("most")), "asked")
 
@@ -86,14 +93,17 @@ def best_by_terms(weighed: DataFrame, k: int, first: int) -> DataFrame:
     rest = split.where(~F.col("brings")).groupBy("query_id", "size").agg(F.max("together").alias("rest"))
     found = d.join(split.where("brings"), ["term", "size"]).groupBy("query_id", "size", "doc_id").agg(F.sum(F.col("qw") * F.col("w")).alias("part"), F.first("least").alias("least"))
     found = found.join(rest, ["query_id", "size"], "left").where(F.col("part") + F.coalesce("rest", F.lit(0.0)) >= F.col("least"))
-    found = stored(found.select("query_id", "size", "doc_id", "part"), "found")
+    found = stored(found.select("query_id", "size", "doc_id", "part", F.coalesce("rest", F.lit(0.0)).alias("rest")), "found")
+    surer = found.withColumn("place", place).where(F.col("place") == k).select("query_id", (F.col("part") - MARGIN).alias("surer"))
+    found = found.join(surer, "query_id", "left").where(F.col("surer").isNull() | (F.col("part") + F.col("rest") >= F.col("surer")))
+    found = stored(found.select("query_id", "size", "doc_id", "part"), "nearer")
     others = split.where(~F.col("brings")).select("query_id", "size", "term", "qw")
     more = found.select("query_id", "size", "doc_id").join(others, ["query_id", "size"]).join(d.select("doc_id", "term", "w"), ["doc_id", "term"])
     parts = found.select("query_id", "doc_id", "part").unionByName(more.select("query_id", "doc_id", (F.col("qw") * F.col("w")).alias("part")))
     return parts.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score"))
 
 
-def tfidf_top_k(queries: DataFrame, docs: DataFrame, k: int, min_df: int = 2, max_share: float = 0.95, most_terms: int | None = None, stop_words: Sequence[str] = STOP_WORDS, first: int = 10_000) -> DataFrame:
+def tfidf_top_k(queries: DataFrame, docs: DataFrame, k: int, min_df: int = 2, max_share: float = 0.95, most_terms: int | None = None, stop_words: Sequence[str] = STOP_WORDS, first: int = 2_000) -> DataFrame:
     """query_id, rank, doc_id, score: cosine of smoothed TF-IDF vectors over both sides.
 
     queries and docs have id, unique on each side, and text. Terms in under
@@ -102,7 +112,7 @@ def tfidf_top_k(queries: DataFrame, docs: DataFrame, k: int, min_df: int = 2, ma
     no term have no row; a null or empty text shares none. Ties go to the smaller id.
     """
     sides = queries.select(F.lit(0).alias("side"), "id", "text").unionByName(docs.select(F.lit(1).alias("side"), "id", "text"))
-    weighed = stored(vectors(sides, min_df, max_share, most_terms, stop_words), "vectors")
+    weighed = stored(postings(sides, min_df, max_share, most_terms, stop_words), "postings")
     scores = best_by_terms(weighed, k, first).withColumn("score", F.bround("score", 4))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
