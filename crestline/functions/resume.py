@@ -57,6 +57,12 @@ MAILTO = r"(?i)mailto:(" + ADDRESS + ")"
 TOKEN = r"\b([A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9][A-Za-z0-9.-]{0,120}\.[A-Za-z]{2,24})\b"
 NOBODY = r"(?i)noreply|no[-_]?reply|donotreply|mailer-daemon|notifications?@|bounce|@example\.(com|org)\b"
 PUBLIC_HOSTS = ["gmail.com", "yahoo.com", "hotmail.com", "outlook.com", "protonmail.com", "icloud.com"]
+#: Hosts that scanned texts give without an at sign, their letters as they may stand apart, in the order of their repair.
+SPACED_HOSTS = {"gmail.com": "g mail", "outlook.com": "o u t l o o k", "hotmail.com": "h o t m a i l", "yahoo.com": "y a h o o", "protonmail.com": "p r o t o n m a i l", "icloud.com": "i c l o u d"}
+#: What ends the head of a text, and what tells that a line holds an address or its host.
+HEAD_END = r"(skills|technical\s+skills|experience|work\s+experience|education|projects|summary|objective)\b"
+HOST_LINE = r"(?i)@|\b(gmail|yahoo|hotmail|outlook|protonmail|icloud|edu\.pk|ac\.uk|com\.pk)\b|\b[A-Za-z0-9][A-Za-z0-9._-]{0,48}\.(?:com|net|org|io|co|edu|pk|uk|jobs|dev)\b"
+MAILBOX, HEAD_LINES, ADDRESS_LINES, LONGEST_MAILBOX = r"^[\w.%+-]+$", 40, 6, 72
 HEAD, LONGEST_ADDRESS, ROUNDS = 12_000, 320, 8
 
 
@@ -146,6 +152,36 @@ def chunk_role(chunk: Column) -> Column:
     return F.when((F.length(chunk) < 12) | (best["score"] < LEAST_SCORE), "other").otherwise(settled.otherwise("about"))
 
 
+def spaced_host(host: str) -> str:
+    """A mailbox, possibly in pieces, and a host whose at sign is lost, on one line."""
+    gap = r"[^\S\n]"
+    letters = f"{gap}*".join(SPACED_HOSTS[host].split())
+    return rf"(?i)([a-z0-9](?:[a-z0-9._%+-]|{gap}+[a-z0-9._%+-]){{0,52}}){gap}+{letters}(?:\.|{gap})+c{gap}*o{gap}*m\b"
+
+
+def broken_address(scanned: Column) -> Column:
+    """The lines of a text's head from its first address or host on, joined, or null; the mailbox may stand alone on the line before."""
+    head = F.regexp_replace(scanned, rf"(?is)\n\s*{HEAD_END}.*", "")
+    own = F.slice(F.filter(F.transform(F.split(head, "\n"), trimmed), lambda x: x != ""), 1, HEAD_LINES)
+
+    def joined(rows: Column) -> Column:
+        at = first_where(rows, lambda x: x.rlike(HOST_LINE)).cast("int")
+        before = F.coalesce(F.get(rows, at - 2), F.lit(""))
+        mailbox = ~F.contains(F.get(rows, at - 1), F.lit("@")) & before.rlike(MAILBOX) & (F.length(before) <= LONGEST_MAILBOX) & (before.rlike(r"[\d.]") | (F.length(before) >= 4))
+        part = F.slice(rows, F.when(mailbox, at - 1).otherwise(at), ADDRESS_LINES)
+        end = first_where(part, lambda x: x.rlike(rf"(?i)^{HEAD_END}")).cast("int")
+        return F.when(at > 0, F.array_join(F.when(end > 0, F.slice(part, 1, end - 1)).otherwise(part), " "))
+
+    return F.get(F.transform(F.array(own), joined), F.lit(0))
+
+
+def whole_addresses(flat: Column) -> Column:
+    """All persons' addresses of a text without spaces."""
+    every = lambda pattern, group: F.regexp_extract_all(flat, F.lit(pattern), F.lit(group))
+    found = F.transform(F.concat(every(EMAIL, 0), every(TOKEN, 1)), lambda x: F.lower(x))
+    return F.filter(found, lambda a: F.length(a).between(5, LONGEST_ADDRESS) & ~a.rlike(NOBODY))
+
+
 def scannable(c: Column) -> Column:
     """Addresses put right that a text spells out, parts by spaces, or runs together with a public host."""
     t = F.regexp_replace(unix_lines(c), "[​‌﻿]", "")
@@ -157,6 +193,11 @@ def scannable(c: Column) -> Column:
         t = F.regexp_replace(t, r"@\s*([\w.-])\s+([\w.-])", "@$1$2")
         t = F.regexp_replace(t, r"([\w.%+-])\s+\.\s+([\w.%+-])", "$1.$2")
         t = F.regexp_replace(t, r"(?i)(\.[a-z]{2,})\s+\.", "$1.")
+    for host in SPACED_HOSTS:
+        pattern = spaced_host(host)
+        mailbox = lambda m: F.regexp_replace(F.regexp_replace(m, pattern, "$1"), r"\s+", "")  # noqa: B023, E731
+        repaired = lambda x: F.aggregate(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), x, lambda acc, m: F.replace(acc, m, F.concat(mailbox(m), F.lit(f"@{host}"))))  # noqa: B023, E731
+        t = F.get(F.transform(F.array(t), repaired), F.lit(0))  # as a lambda's variable the text is computed once
     for host in PUBLIC_HOSTS:
         t = F.regexp_replace(t, r"(?i)(^|[^@\w.])([a-z0-9][a-z0-9._%+-]{3,40}\d)" + host.replace(".", r"\.") + r"\b", f"$1$2@{host}")
     return t

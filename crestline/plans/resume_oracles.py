@@ -118,6 +118,9 @@ def scannable(c: str) -> str:
     for _ in range(rs.ROUNDS):
         for pattern, by in ((r"([\w.%+-])\s+([\w.%+-])\s*@", r"\1\2@"), (r"@\s*([\w.-])\s+([\w.-])", r"@\1\2"), (r"([\w.%+-])\s+\.\s+([\w.%+-])", r"\1.\2"), (r"(?i)(\.[a-z]{2,})\s+\.", r"\1.")):
             c = sub(c, pattern, by)
+    for host in rs.SPACED_HOSTS:
+        p = rs.spaced_host(host)
+        c = f"list_transform([{c}], lambda t: list_reduce(regexp_extract_all(t, {q(p)}), lambda acc, m: replace(acc, m, {sub(f'regexp_replace(m, {q(p)}, {q(chr(92) + '1')})', chr(92) + 's+', '')} || {q('@' + host)}), t))[1]"
     for host in rs.PUBLIC_HOSTS:
         c = sub(c, r"(?i)(^|[^@\w.])([a-z0-9][a-z0-9._%+-]{3,40}\d)" + host.replace(".", r"\.") + r"\b", rf"\1\2@{host}")
     return c

@@ -53,6 +53,12 @@ EMAILS = [
     ("zed99gmail.com", "zed99@gmail.com"),
     ("mailto:a.b@c.co and d@example.com", "a.b@c.co"),
     ("x" * 13_000 + " late@page.org", "late@page.org"),
+    ("Ann Lee\nann lee 22 g mail c o m\nsql", "annlee22@gmail.com"),
+    ("me h o t m a i l . c o m", "me@hotmail.com"),
+    ("Bo Chan\nbo77@web\n.net\nSkills\nsql", "bo77@web.net"),
+    ("Cy Ray\ncyray5\ngmail.com\nEducation\nMSc", "cyray5@gmail.com"),
+    ("Cy Ray\nSkills\ncyray5\ngmail.com", ""),
+    ("I read mail com ads\ngmail is a host", ""),
 ]
 
 
