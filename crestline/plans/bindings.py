@@ -50,6 +50,11 @@ NAME_TAILS = ["", "", "\nThis resume belongs to: \u2014 {second} {first} \u2014"
 NAME_MAILS = ["{first}.{second}@mail.org", "support@site.org", "{second}7+jobs@web.net", "", "{first}_{second}9@corp.co.uk", "{first}-data-analyst@x.org"]
 NAME_FILES = ["{first}_{second}", "up/{first}_{second}_Resume.pdf", "{FIRST}-{SECOND}-final2.docx", "My_Resume", "{second} Finance.txt", "12_{first}_{second}"]
 NAME_SLUGS = ["{first}-{second}-1a2b3c4d", "{first}-{second}", "{first}+{second}-abcdef12", "%C3%89lo-{second}-b12345"]
+ADDRESS_TOPS = [
+    "{first} {second}\n{first} {second} 22 g mail c o m\n", "{first} . {second} @ web . net\n", "", "{first} {second}\n{first}77@web\n.net\nSkills\nsql\n", "{first}\n{second}55\ngmail.com\nEducation\n", "{first} y a h o o . c o m | {SECOND}\n",
+    "E-mail: {f} @ {second}.org\n", "{first} [at] {second} [dot] io\n", "no-reply@{first}.com\n", "Skills\n{first}7 outlook com {second}\n", "{first}{second}9gmail.com\n",
+]
+ADDRESS_TAILS = ["", "\nmailto:{second}@{first}.co.uk", "", "\n{first} i c l o u d . com", "\n{second}@\n  host.net"]
 SCHOOL_TOPS = [
     "Education\nBachelor of {second}\n{first} University\n", "EDUCATION\n{first} University \u2014 BS {second} | 2022 \u2013 2026 |\u200b Technical Skills | \u25cf JavaScript\n", "",
     "Education\n{first} College, MSc\nGrade: pass\nJun 2010 - Nov 2012\nsports\nSkills\npython\n", "Engineer\n{first} School 2010\nx of {second} Institute, Projects: many\nMIT graduate\n",
@@ -148,6 +153,12 @@ def named_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", text.alias("text"), F.lower(_filled(NAME_MAILS, F.floor(key / 5))).alias("email"), _filled(NAME_FILES, key).alias("file_name"), _filled(NAME_SLUGS, key).alias("slug"))
 
 
+def addressed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a scanned résumé with addresses made with words of its own."""
+    key = F.col("doc_id")
+    return documents(spark, sf_dir).select(key.alias("id"), F.concat(_filled(ADDRESS_TOPS, key), F.coalesce("text", F.lit("")), _filled(ADDRESS_TAILS, F.floor(key / 11))).alias("text"))
+
+
 def schooled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as a résumé with lines of education, made with words of its own."""
     key = F.col("doc_id")

@@ -347,6 +347,11 @@ def email_extract(resumes):
     return resume.primary_email(resumes.withColumnRenamed("candidate_id", "id"))
 
 
+@_relations("addressed_texts")
+def scanned_addresses(texts):
+    return resume.primary_email(texts).select(F.col("id").alias("doc_id"), "email")
+
+
 @_relations("resumes")
 def years_experience(resumes):
     return resume.years_experience(resumes.withColumnRenamed("candidate_id", "id"), b.NOW.year + 20)

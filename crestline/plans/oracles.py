@@ -8,7 +8,7 @@ from crestline.functions import text as tx
 from crestline.operators import lexical
 from crestline.operators import ranking as rk
 from crestline.plans import bindings as b
-from crestline.plans import education_oracles, inbox_oracles, name_oracles, resume_oracles
+from crestline.plans import address_oracles, education_oracles, inbox_oracles, name_oracles, resume_oracles
 from crestline.streaming import ingestion
 
 NOW = f"TIMESTAMP '{b.NOW.isoformat(' ')}'"
@@ -313,6 +313,7 @@ def oracle_sql() -> dict[str, str]:
         "ingestion_rollup": _with("activity", "+q AS (SELECT created_at::DATE::VARCHAR AS batch_id, CASE WHEN kind IN ('signup','click') THEN 'queued' WHEN kind = 'view' THEN CASE WHEN created_at <= TIMESTAMP '2024-01-30 11:40:00' THEN 'failed' ELSE 'processing' END WHEN kind = 'purchase' THEN 'done' ELSE 'failed' END AS s FROM activity) SELECT batch_id, count(*) AS total, count(*) FILTER (s = 'queued') AS queued, count(*) FILTER (s = 'processing') AS processing, count(*) FILTER (s = 'done') AS done, count(*) FILTER (s = 'failed') AS failed FROM q GROUP BY batch_id"),
         **inbox_oracles.oracle_sql(VIEWS),
         **name_oracles.oracle_sql(),
+        **address_oracles.oracle_sql(),
         **education_oracles.oracle_sql(),
         **ingestion_sql(),
         **shortlist_sql(resume_oracles.smart(_bucket("lower(jt)"), _matches("bucket", "hay"))),
