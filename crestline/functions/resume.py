@@ -152,11 +152,18 @@ def chunk_role(chunk: Column) -> Column:
     return F.when((F.length(chunk) < 12) | (best["score"] < LEAST_SCORE), "other").otherwise(settled.otherwise("about"))
 
 
+GAP = r"[^\S\n]"
+
+
+def host_alone(host: str) -> str:
+    """A host by letters that may stand apart, behind a space."""
+    letters = f"{GAP}*".join(SPACED_HOSTS[host].split())
+    return rf"(?i){GAP}{letters}(?:\.|{GAP})+c{GAP}*o{GAP}*m\b"
+
+
 def spaced_host(host: str) -> str:
     """A mailbox, possibly in pieces, and a host whose at sign is lost, on one line."""
-    gap = r"[^\S\n]"
-    letters = f"{gap}*".join(SPACED_HOSTS[host].split())
-    return rf"(?i)([a-z0-9](?:[a-z0-9._%+-]|{gap}+[a-z0-9._%+-]){{0,52}}){gap}+{letters}(?:\.|{gap})+c{gap}*o{gap}*m\b"
+    return rf"(?i)([a-z0-9](?:[a-z0-9._%+-]|{GAP}+[a-z0-9._%+-]){{0,52}}){GAP}*" + host_alone(host).removeprefix("(?i)")
 
 
 def broken_address(scanned: Column) -> Column:
@@ -196,7 +203,8 @@ def scannable(c: Column) -> Column:
     for host in SPACED_HOSTS:
         pattern = spaced_host(host)
         mailbox = lambda m: F.regexp_replace(F.regexp_replace(m, pattern, "$1"), r"\s+", "")  # noqa: B023, E731
-        repaired = lambda x: F.aggregate(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), x, lambda acc, m: F.replace(acc, m, F.concat(mailbox(m), F.lit(f"@{host}"))))  # noqa: B023, E731
+        joined = lambda x: F.aggregate(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), x, lambda acc, m: F.replace(acc, m, F.concat(mailbox(m), F.lit(f"@{host}"))))  # noqa: B023, E731
+        repaired = lambda x: F.when(x.rlike(host_alone(host)), joined(x)).otherwise(x)  # noqa: B023, E731
         t = F.get(F.transform(F.array(t), repaired), F.lit(0))  # as a lambda's variable the text is computed once
     for host in PUBLIC_HOSTS:
         t = F.regexp_replace(t, r"(?i)(^|[^@\w.])([a-z0-9][a-z0-9._%+-]{3,40}\d)" + host.replace(".", r"\.") + r"\b", f"$1$2@{host}")
