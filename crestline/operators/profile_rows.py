@@ -17,6 +17,7 @@ def jobs_alone(jobs: DataFrame, schools: DataFrame, now: Column) -> DataFrame:
     """
     key, span = d.dates_key(F.col("dates")), d.month_range(F.col("dates"), now)
     marked = jobs.withColumns({"_key": key, "_span": span})
-    keys = schools.select("person", key.alias("_key")).where("_key <> ''").distinct()
-    spans = schools.select("person", span.alias("_span")).where("_span is not null").distinct()
+    # As rows of an array, what is missing goes without a filter, for which Spark would work out the dates a second time.
+    keys = schools.select("person", F.explode(F.filter(F.array(key), lambda x: x != "")).alias("_key")).distinct()
+    spans = schools.select("person", F.explode(F.array_compact(F.array(span))).alias("_span")).distinct()
     return marked.join(keys, ["person", "_key"], "left_anti").join(spans, ["person", "_span"], "left_anti").select(*jobs.columns)

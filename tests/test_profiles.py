@@ -98,3 +98,11 @@ def test_the_own_workspace_comes_before_a_better_score(spark):
     ranked = spark.createDataFrame([(1, 5, 7, 0.4), (1, 5, 8, 0.9), (1, 5, 7, 0.41), (2, 5, None, 0.2), (2, 5, 8, 0.3), (3, 6, 7, 0.5)], "job_id long, candidate_id long, workspace_id int, score double")
     got = {r["job_id"]: tuple(r)[2:] for r in listing.application_scores(applied, jobs, clients, ranked).collect()}
     assert got == {1: ("A", "ann", "new", 41.0, True), 2: ("B", "", "new", 30.0, False), 3: ("C", "Firm", "hired", None, None)}
+
+
+def test_a_date_is_cut_and_searched_once(spark):
+    df = spark.createDataFrame([("Jan 2015 - 2018", "PhD student", "Ulm College")], "t string, role string, company string")
+    plan = df.select(dates.month_range(F.col("t"), F.lit(NOW)), dates.months(F.col("t"), F.lit(NOW)))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2 and plan.count("regexp_extract(") <= 14
+    plan = df.select(dates.is_study(F.col("role"), F.col("company"), F.lit("")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat_ws(") == 1
