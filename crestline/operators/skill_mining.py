@@ -74,7 +74,8 @@ SELF_PRAISE = ["results-driven", "detail-oriented", "user-friendly", "hands-on",
 MISREAD = r"o[a-z]{5,}|.*\d{3,}.*"
 
 _URL, _SPACES, _SECTION, _SPLIT = re.compile(URL, re.I), re.compile(r"\s+"), re.compile(SECTION), re.compile(LIST_SPLIT.replace(r"\x{2022}", "•"))
-_HEAVY = re.compile(rf"\b({'|'.join(map(re.escape, HEAVY))})\b", re.I)
+# The edge of a heavy word is one of ASCII letters, as in the SQL: an accented letter ends it, as it ends a HEAVY_TOKEN.
+_HEAVY = re.compile(rf"\b({'|'.join(map(re.escape, HEAVY))})\b", re.I | re.A)
 _HEAVY_TOKEN, _TECH, _DOMAIN, _MISREAD = re.compile(HEAVY_TOKEN), re.compile(TECH), re.compile(DOMAIN_NAME), re.compile(MISREAD, re.S)
 _NO_SKILLS, _IN_NONE = frozenset([*STOP, *COMMON, *BRANDS]), [*SELF_PRAISE, *ADVERT]
 _PLAIN = str.maketrans(QUOTES, PLAIN_QUOTES)

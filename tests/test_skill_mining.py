@@ -33,6 +33,10 @@ def test_full_lines_need_six_known_skills(spark):
     assert of(spark, "figs vba accessibility g#x d#x e#x i#x h#x")[0] == [[]]
 
 
+def test_an_accented_letter_ends_a_word_of_a_full_line(spark):
+    assert of(spark, "échré c++ g#x d#x e#x i#x h#x", "xchrx c++ g#x d#x e#x i#x h#x")[0] == [["c++", "g#x", "d#x", "e#x", "i#x", "h#x"], []]
+
+
 def test_phrases_end_at_words_and_do_not_overlap(spark):
     texts = ["Of machine learning engineering.", "machine learning path", "Xmachine learning", "machine learnings", "a Machine  Learning b", "power bi, power bi", "émachine learning"]
     assert of(spark, *texts)[0] == [["machine learning"], ["machine learning"], [], [], [], ["power bi"], []]
