@@ -102,7 +102,7 @@ def test_the_own_workspace_comes_before_a_better_score(spark):
 
 def test_a_date_is_cut_and_searched_once(spark):
     df = spark.createDataFrame([("Jan 2015 - 2018", "PhD student", "Ulm College")], "t string, role string, company string")
-    plan = df.select(dates.month_range(F.col("t"), F.lit(NOW)), dates.months(F.col("t"), F.lit(NOW)))._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("split(") == 2 and plan.count("regexp_extract(") <= 14
-    plan = df.select(dates.is_study(F.col("role"), F.col("company"), F.lit("")))._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("concat_ws(") == 1
+    plan = lambda c: df.select(c.alias("x"))._jdf.queryExecution().analyzed().toString().lower()
+    for c in (dates.month_range(F.col("t"), F.lit(NOW)), dates.months(F.col("t"), F.lit(NOW))):
+        assert plan(c).count("split(") == 1, plan(c)
+    assert plan(dates.is_study(F.col("role"), F.col("company"), F.lit(""))).count("concat_ws(") == 1
