@@ -149,9 +149,10 @@ def shortlist(rankings: DataFrame, applicants: DataFrame, least: float, k: int)
 
 
 def hypothetical_rank(rankings: DataFrame, scores: list[float]) -> DataFrame:
-    """Where a new score would stand in each job."""
-    wanted = F.explode(F.array(*map(F.lit, scores)))
-    return rankings.select("job_id", "score", wanted.alias("x")).groupBy("job_id", "x").agg((F.count_if(F.col("score") > F.col("x")) + 1).alias("place"), F.count(F.lit(1)).alias("pool"))
+    """Where a new score would stand in each job. A job's scores are counted for all new scores at once, before these become rows."""
+    above = F.array(*[F.struct(F.lit(x).alias("x"), (F.count_if(F.col("score") > x) + 1).alias("place")) for x in scores])
+    by_job = rankings.groupBy("job_id").agg(above.alias("above"), F.count(F.lit(1)).alias("pool"))
+    return by_job.select("job_id", F.explode("above").alias("a"), "pool").select("job_id", "a.x", "a.place", "pool")
 
 
 def title_boost(title: Column) -> Column:

@@ -47,3 +47,11 @@ def test_stratified_split(spark):
     assert counts == {("hot", "train"): 560, ("hot", "val"): 70, ("hot", "test"): 70, (None, "train"): 5, (None, "val"): 1, (None, "test"): 1, ("rest", "train"): 234, ("rest", "val"): 29, ("rest", "test"): 30}
     again = ranking.split_stratified(df.repartition(7), "id", "kind")
     assert sorted(map(tuple, split.collect()), key=repr) == sorted(map(tuple, again.collect()), key=repr)
+
+
+def test_new_scores_become_rows_behind_the_counts(spark):
+    df = spark.createDataFrame([(1, 0.2), (1, 0.5), (1, None), (2, 0.9)], "job_id long, score double")
+    found = ranking.hypothetical_rank(df, [0.1, 0.5])
+    assert sorted(map(tuple, found.collect())) == [(1, 0.1, 3, 3), (1, 0.5, 1, 3), (2, 0.1, 2, 1), (2, 0.5, 2, 1)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert -1 < plan.find("Generate") < plan.find("Aggregate")
