@@ -41,6 +41,11 @@ def test_states_by_hand(spark):
     assert told(ingestion.states(spark.createDataFrame([], EVENTS), F.lit(START))) == {}
 
 
+def test_an_ingestion_that_was_never_asked_for_is_as_its_worker_says(spark):
+    rows = [(1, 1, "start", "", START), (2, 2, "error", "e", START), (3, 3, "finish", "", START)]
+    assert told(ingestion.states(spark.createDataFrame(rows, EVENTS), F.lit(START))) == {1: ("processing", "", START), 2: ("failed", "e", START), 3: ("done", "", START)}
+
+
 def test_stream_ends_as_the_table_after_a_restart(spark, tmp_path):
     rows = some_events()
     files, table = tmp_path / "in", Versions(spark, f"file://{tmp_path}/states", ingestion.STATES, "ingestion_id", lambda old, new: old.join(new, "ingestion_id", "left_anti").unionByName(new), buckets=4)
