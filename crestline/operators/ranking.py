@@ -189,12 +189,16 @@ def ranking_metrics(df: DataFrame, k: int = 10, relevant: float = 0.5) -> DataFr
     df has query, item, truth and predicted. Items with equal predictions come by item.
     """
     by_query = W.partitionBy("query")
-    ranked = df.withColumn("place", F.row_number().over(by_query.orderBy(F.desc("predicted"), "item")))
-    mean_rank = lambda c: F.rank().over(by_query.orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy("query", c)) - 1) / 2.0
-    ranked = ranked.withColumns({"rt": mean_rank("truth"), "rp": mean_rank("predicted"), "hit": (F.col("truth") >= relevant).cast("int"), "top": F.col("place") <= k})
-    ideal = F.row_number().over(W.partitionBy("query", "top").orderBy(F.desc("truth"), "item"))
-    hits = F.sum("hit").over(by_query.orderBy("place").rowsBetween(W.unboundedPreceding, 0))
-    ranked = ranked.withColumns({"ideal": ideal, "precision_here": hits / F.col("place")})
+    # Mean ranks share a sort with what is numbered in the same order: three sorts in all, each of a query's rows.
+    mean_rank = lambda order: F.rank().over(by_query.orderBy(order)) + (F.count(F.lit(1)).over(by_query.orderBy(order).rangeBetween(W.currentRow, W.currentRow)) - 1) / 2.0
+    said = by_query.orderBy(F.desc("predicted"), "item")
+    ranked = df.withColumn("hit", (F.col("truth") >= relevant).cast("int"))
+    ranked = ranked.withColumns({"place": F.row_number().over(said), "hits": F.sum("hit").over(said.rowsBetween(W.unboundedPreceding, 0))})
+    # From the largest prediction down, so with the other sign.
+    ranked = ranked.withColumn("rp", -mean_rank(F.desc("predicted")))
+    ranked = ranked.withColumns({"top": F.col("place") <= k, "precision_here": F.col("hits") / F.col("place")})
+    ranked = ranked.withColumn("ideal", F.row_number().over(by_query.orderBy(F.desc("top"), F.desc("truth"), "item")))
+    ranked = ranked.withColumn("rt", mean_rank(F.asc("truth")))
     gain = lambda place: F.sum(F.when(F.col("top"), F.col("truth") / F.log2(F.col(place) + 1.0)))
     each = ranked.groupBy("query").agg(
         F.corr("rt", "rp").alias("spearman"), F.try_divide(gain("place"), gain("ideal")).alias("ndcg"), (F.sum(F.when(F.col("top"), F.col("hit")).otherwise(0)) / F.least(F.lit(k), F.count(F.lit(1)))).alias("precision"),

@@ -55,3 +55,12 @@ def test_new_scores_become_rows_behind_the_counts(spark):
     assert sorted(map(tuple, found.collect())) == [(1, 0.1, 3, 3), (1, 0.5, 1, 3), (2, 0.1, 2, 1), (2, 0.5, 2, 1)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert -1 < plan.find("Generate") < plan.find("Aggregate")
+
+
+def test_ranking_metrics_sort_a_querys_rows_three_times(spark):
+    rows = [(1, 1, 0.9, 0.1), (1, 2, 0.4, 0.7), (1, 3, 0.6, 0.7), (2, 1, 0.5, 0.5), (2, 2, None, None), (3, 1, 0.2, 0.3)]
+    df = spark.createDataFrame(rows, "query long, item long, truth double, predicted double")
+    found = ranking.ranking_metrics(df)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("- Sort [") + plan.count(") Sort") == 3, plan
