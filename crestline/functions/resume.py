@@ -64,6 +64,13 @@ HEAD_END = r"(skills|technical\s+skills|experience|work\s+experience|education|p
 HOST_LINE = r"(?i)@|\b(gmail|yahoo|hotmail|outlook|protonmail|icloud|edu\.pk|ac\.uk|com\.pk)\b|\b[A-Za-z0-9][A-Za-z0-9._-]{0,48}\.(?:com|net|org|io|co|edu|pk|uk|jobs|dev)\b"
 MAILBOX, HEAD_LINES, ADDRESS_LINES, LONGEST_MAILBOX = r"^[\w.%+-]+$", 40, 6, 72
 HEAD, LONGEST_ADDRESS, ROUNDS = 12_000, 320, 8
+#: What no repair removes or reaches across, and no address or its label holds: a text falls apart at these for the search.
+STOPS = "[,;!?\"'<>{}/\\\\$&*~^`]"
+#: The repairs that are done again and again, and what matches if one of them does.
+REJOINED = [(r"([\w.%+-])\s+([\w.%+-])\s*@", "$1$2@"), (r"@\s*([\w.-])\s+([\w.-])", "@$1$2"), (r"([\w.%+-])\s+\.\s+([\w.%+-])", "$1.$2"), (r"(?i)(\.[a-z]{2,})\s+\.", "$1.")]
+BROKEN = r"(?<=[\w.%+-])\s+(?:[\w.%+-]\s*@|\.)|@\s*[\w.-]\s+[\w.-]"
+#: Without one of these in a text, repairs bring no at sign into it: repairs take out spaces, never letters.
+ANCHOR = r"(?i)@|[\[(]\s*at\s*[\])]|" + "|".join(r"\s*".join(host.removesuffix(".com")) for host in PUBLIC_HOSTS)
 
 
 def trimmed(c: Column) -> Column:
@@ -171,15 +178,18 @@ def broken_address(scanned: Column) -> Column:
     head = F.regexp_replace(scanned, rf"(?is)\n\s*{HEAD_END}.*", "")
     own = F.slice(F.filter(F.transform(F.split(head, "\n"), trimmed), lambda x: x != ""), 1, HEAD_LINES)
 
-    def joined(rows: Column) -> Column:
-        at = first_where(rows, lambda x: x.rlike(HOST_LINE)).cast("int")
+    def from_line(rows: Column, at: Column) -> Column:
         before = F.coalesce(F.get(rows, at - 2), F.lit(""))
         mailbox = ~F.contains(F.get(rows, at - 1), F.lit("@")) & before.rlike(MAILBOX) & (F.length(before) <= LONGEST_MAILBOX) & (before.rlike(r"[\d.]") | (F.length(before) >= 4))
-        part = F.slice(rows, F.when(mailbox, at - 1).otherwise(at), ADDRESS_LINES)
+        return F.slice(rows, F.when(mailbox, at - 1).otherwise(at), ADDRESS_LINES)
+
+    def up_to_heading(part: Column) -> Column:
         end = first_where(part, lambda x: x.rlike(rf"(?i)^{HEAD_END}")).cast("int")
-        return F.when(at > 0, F.array_join(F.when(end > 0, F.slice(part, 1, end - 1)).otherwise(part), " "))
+        return F.array_join(F.when(end > 0, F.slice(part, 1, end - 1)).otherwise(part), " ")
 
-    return F.get(F.transform(F.array(own), joined), F.lit(0))
+    # The first line is searched for once, as all that follows takes it as a lambda's variable.
+    place = lambda rows: first_where(rows, lambda x: x.rlike(HOST_LINE)).cast("int")
+    return once(own, lambda rows: once(place(rows), lambda at: F.when(at > 0, once(from_line(rows, at), up_to_heading))))
 
 
 def whole_addresses(flat: Column) -> Column:
@@ -189,26 +199,67 @@ def whole_addresses(flat: Column) -> Column:
     return F.filter(found, lambda a: F.length(a).between(5, LONGEST_ADDRESS) & ~a.rlike(NOBODY))
 
 
+def once(value: Column, f) -> Column:
+    """f of a value that is computed once, as it is a lambda's variable."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def single_lines(c: Column) -> Column:
+    """Unix lines without characters of no width; most texts have neither and stay as they are."""
+    clean = lambda t: F.regexp_replace(unix_lines(t), "[​‌﻿]", "")
+    return once(F.coalesce(c, F.lit("")), lambda t: F.when(t.rlike("[\r​‌﻿]"), clean(t)).otherwise(t))
+
+
+def near_anchors(c: Column) -> Column:
+    """The parts of a text, each with the stop ahead of it, in which an address can be: what scannable and addresses make of them is what they make of the text.
+
+    Of other parts a line's end is left, behind a sign that no repair takes away with it.
+    """
+    end = lambda x: F.when(F.contains(x, F.lit("\n")), F.concat(F.substring(x, 1, 1), F.lit("\n"))).otherwise("")
+    cut = lambda t: F.array_join(F.transform(F.split(t, f"(?={STOPS})"), lambda x: F.when(x.rlike(ANCHOR), x).otherwise(end(x))), "")
+    return once(single_lines(c), lambda t: F.when(t.rlike(ANCHOR), cut(t)).otherwise(""))
+
+
+def rejoined(t: Column) -> Column:
+    """Addresses in pieces put together, round by round; a round that would find nothing is left out."""
+
+    def step(x: Column) -> Column:
+        for pattern, by in REJOINED:
+            x = F.regexp_replace(x, pattern, by)
+        return x
+
+    rounds = lambda y: F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), y, lambda x, _: F.when(x.rlike(BROKEN), step(x)).otherwise(x))
+    return once(t, lambda y: F.when(y.rlike(BROKEN), rounds(y)).otherwise(y))
+
+
 def scannable(c: Column) -> Column:
-    """Addresses put right that a text spells out, parts by spaces, or runs together with a public host."""
-    t = F.regexp_replace(unix_lines(c), "[​‌﻿]", "")
-    t = F.regexp_replace(t, r"(?i)\[\s*at\s*\]|\(\s*at\s*\)", "@")
+    """Addresses put right that a text spells out, parts by spaces, or runs together with a public host.
+
+    A glance ahead of each kind of repair tells whether it finds anything.
+    """
+    t = F.regexp_replace(single_lines(c), r"(?i)\[\s*at\s*\]|\(\s*at\s*\)", "@")
     t = F.regexp_replace(t, r"(?i)\(?\s*\[?\s*dot\s*\]?\s*\)?", ".")
-    t = F.regexp_replace(t, r"([A-Za-z0-9._%+-])\s+@\s+([A-Za-z0-9._%+-])", "$1@$2")
-    for _ in range(ROUNDS):
-        t = F.regexp_replace(t, r"([\w.%+-])\s+([\w.%+-])\s*@", "$1$2@")
-        t = F.regexp_replace(t, r"@\s*([\w.-])\s+([\w.-])", "@$1$2")
-        t = F.regexp_replace(t, r"([\w.%+-])\s+\.\s+([\w.%+-])", "$1.$2")
-        t = F.regexp_replace(t, r"(?i)(\.[a-z]{2,})\s+\.", "$1.")
-    for host in SPACED_HOSTS:
-        pattern = spaced_host(host)
-        mailbox = lambda m: F.regexp_replace(F.regexp_replace(m, pattern, "$1"), r"\s+", "")  # noqa: B023, E731
-        joined = lambda x: F.aggregate(F.regexp_extract_all(x, F.lit(pattern), F.lit(0)), x, lambda acc, m: F.replace(acc, m, F.concat(mailbox(m), F.lit(f"@{host}"))))  # noqa: B023, E731
-        repaired = lambda x: F.when(x.rlike(host_alone(host)), joined(x)).otherwise(x)  # noqa: B023, E731
-        t = F.get(F.transform(F.array(t), repaired), F.lit(0))  # as a lambda's variable the text is computed once
-    for host in PUBLIC_HOSTS:
-        t = F.regexp_replace(t, r"(?i)(^|[^@\w.])([a-z0-9][a-z0-9._%+-]{3,40}\d)" + host.replace(".", r"\.") + r"\b", f"$1$2@{host}")
-    return t
+    t = rejoined(F.regexp_replace(t, r"([A-Za-z0-9._%+-])\s+@\s+([A-Za-z0-9._%+-])", "$1@$2"))
+
+    def with_at_signs(x: Column) -> Column:
+        for host in SPACED_HOSTS:
+            pattern = spaced_host(host)
+            mailbox = lambda m: F.regexp_replace(F.regexp_replace(m, pattern, "$1"), r"\s+", "")  # noqa: B023, E731
+            # Such an address reaches across no stop and no line, so only the parts with a host are searched.
+            parts = lambda y: F.filter(F.split(y, f"(?=\n|{STOPS})"), lambda part: part.rlike(host_alone(host)))  # noqa: B023, E731
+            hits = lambda y: F.flatten(F.transform(parts(y), lambda part: F.regexp_extract_all(part, F.lit(pattern), F.lit(0))))  # noqa: B023, E731
+            joined = lambda y: F.aggregate(hits(y), y, lambda acc, m: F.replace(acc, m, F.concat(mailbox(m), F.lit(f"@{host}"))))  # noqa: B023, E731
+            x = once(x, lambda y: F.when(y.rlike(host_alone(host)), joined(y)).otherwise(y))  # noqa: B023
+        return x
+
+    def parted(x: Column) -> Column:
+        for host in PUBLIC_HOSTS:
+            x = F.regexp_replace(x, r"(?i)(^|[^@\w.])([a-z0-9][a-z0-9._%+-]{3,40}\d)" + host.replace(".", r"\.") + r"\b", f"$1$2@{host}")
+        return x
+
+    any_host = "|".join(host_alone(host).removeprefix(f"(?i){GAP}") for host in SPACED_HOSTS)
+    t = once(t, lambda x: F.when(x.rlike(rf"(?i){GAP}(?:{any_host})"), with_at_signs(x)).otherwise(x))
+    return once(t, lambda x: F.when(x.rlike(r"(?i)\d(?:" + "|".join(PUBLIC_HOSTS).replace(".", r"\.") + r")\b"), parted(x)).otherwise(x))
 
 
 def addresses(scanned: Column) -> Column:

@@ -1,5 +1,7 @@
 """Résumé texts, skill phrases and titles: hand-worked cases."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -165,3 +167,20 @@ def test_small_tables_are_spread(spark, tmp_path):
     assert spread(df).count() == 100
     assert spread(df, most_bytes=1) is df
     assert spread(spark.range(3)).count() == 3
+
+
+#: Pieces of texts that repairs join in all kinds of ways.
+SCRAPS = ["ann", "b", ".", " . ", "@", " @ ", "[at]", "( at )", " dot ", "[dot]", "com", "c o m", "g mail", "gmail.com", "y a h o o", "55", ",", "; ", "\n", "\r\n", " ", "  ", "e-mail:", "mailto:", "web.net", "no-reply", "\u200b", "\u00e9", "x|y", "host.io", "Skills", "'"]
+
+
+def test_addresses_near_anchors(spark):
+    """What is far from an at sign or a public host is not repaired: the rest gives the same addresses."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(SCRAPS) for _ in range(rng.randint(1, 60))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    both = df.select("text", cv.addresses(cv.scannable(F.col("text"))).alias("whole"), cv.addresses(cv.scannable(cv.near_anchors(F.col("text")))).alias("near")).collect()
+    assert sum(len(x["whole"]) > 0 for x in both) > 100
+    assert not [x for x in both if x["whole"] != x["near"]][:3]
+    prose = "No one writes to the commander, said the old man. " * 40
+    kept = spark.createDataFrame([(prose + "Ask ann [at] web.net, he said. " + prose,), (prose,), (None,)], "text string").select(cv.near_anchors(F.col("text")).alias("near")).collect()
+    assert [x["near"] for x in kept] == [", said the old man. Ask ann [at] web.net", "", ""]
