@@ -61,17 +61,15 @@ def known_words(docs: DataFrame, known: DataFrame, most: int) -> DataFrame:
     return docs.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
 
 
-def _windows(words: Column, n: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-
-
 def common_ngrams(docs: DataFrame, tops: dict[int, int]) -> DataFrame:
     """The most frequent n-grams of each length n."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z]+"), F.lit(0))
     out = None
     for n, top in tops.items():
-        grams = _windows(F.col("words"), n)
-        counts = docs.select(words.alias("words")).where(F.size("words") >= n).select(F.explode(grams).alias("ngram")).groupBy("ngram").agg(F.count(F.lit(1)).alias("freq"))
+        # Places become rows and then words: a list is cut once, and no list of its n-grams is made. Neither is it filtered, which would cut it again.
+        places = F.when(F.size("words") >= n, F.sequence(F.lit(0), F.size("words") - n))
+        gram = F.concat_ws(" ", *[F.get("words", F.col("i") + j) for j in range(n)])
+        counts = docs.select(words.alias("words")).select("words", F.explode(places).alias("i")).groupBy(gram.alias("ngram")).agg(F.count(F.lit(1)).alias("freq"))
         part = counts.orderBy(F.desc("freq"), "ngram").limit(top).select(F.lit(n).alias("n"), "ngram", "freq")
         out = part if out is None else out.unionByName(part)
     return out

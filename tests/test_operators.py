@@ -178,3 +178,12 @@ def test_pool_rank(spark):
     df = spark.createDataFrame(rows, "candidate_id int, created_at int, score double, text string")
     assert tuple(ranking.pool_rank(df, F.col("score"), 70.0, 60).first()) == (6, 30, True, 60)
     assert tuple(ranking.pool_rank(df.where("false"), F.col("score"), 70.0).first()) == (1, 0, False, 0)
+
+
+def test_common_ngrams_cut_each_text_once(spark):
+    docs = spark.createDataFrame([("B a-b a",), ("one",), ("",), (None,), ("a b",)], "text string")
+    found = retrieval.common_ngrams(docs, {2: 2, 3: 9})
+    assert sorted(map(tuple, found.collect())) == [(2, "a b", 2), (2, "b a", 2), (3, "a b a", 1), (3, "b a b", 1)]
+    # The text is cut by one expression for each length, not once more for a filter or for a list of n-grams.
+    plan = retrieval.common_ngrams(docs, {2: 2})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and "transform(" not in plan
