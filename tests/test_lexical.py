@@ -88,3 +88,17 @@ def test_ranked_pool(spark):
     assert every[0]["cosine"] == every[0]["score"] == 1.0 and every[3]["cosine"] == 0.0
     assert [r["candidate_id"] for r in lexical.rank_pool(jobs, 1, candidates, 2, 10, pool=3).collect()] == [1, 3]
     assert [r["candidate_id"] for r in lexical.rank_pool(jobs, 1, candidates, 10, 1).collect()] == [1]
+
+
+def test_texts_meet_their_weights_without_a_sort(spark, corpus, monkeypatch):
+    """The first join of all, of each text's terms with what is known of them, hashes the terms' weights."""
+    plans, write = {}, lexical.stored
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().sparkPlan().toString()
+        return write(df, name)
+
+    monkeypatch.setattr(lexical, "stored", noted)
+    queries, docs = corpus
+    lexical.tfidf_top_k(spark.createDataFrame(queries, IDS), spark.createDataFrame(docs, IDS), 5)
+    assert "ShuffledHashJoin" in plans["weights"] and "SortMergeJoin" not in plans["weights"]
