@@ -107,12 +107,32 @@ def skill_scores(strings: DataFrame) -> DataFrame:
     )
 
 
-def pair_scores(pairs: DataFrame, jobs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """job_id, candidate_id and all parts of the weak score, for given pairs. Skill strings that meet more than once are compared once."""
-    j = jobs.select("job_id", "min_experience", "education_required", F.coalesce("skills", F.lit("")).alias("wanted"))
+#: A table of at most so many pairs of skill lists is made of all lists, whether they meet or not, and goes to every task.
+MOST_LISTS = 50_000
+
+
+def _scored_lists(jobs: DataFrame, candidates: DataFrame) -> DataFrame | None:
+    """skill_scores of all jobs' lists with all candidates', or None if these are too many."""
+    wanted, had = stored(jobs.select("wanted").distinct(), "wanted"), stored(candidates.select("had").distinct(), "had")
+    if wanted.count() * had.count() > MOST_LISTS:
+        return None
+    return F.broadcast(skill_scores(wanted.crossJoin(had)))  # at most MOST_LISTS rows
+
+
+def pair_scores(pairs: DataFrame, jobs: DataFrame, candidates: DataFrame, carry: list[str] | None = None, of_job: list[str] | None = None) -> DataFrame:
+    """job_id, candidate_id and all parts of the weak score, for given pairs. Skill strings that meet more than once are compared once.
+
+    Pairs count once; with carry, columns of pairs to keep, each of their rows
+    does. of_job names columns of jobs to keep.
+    """
+    j = jobs.select("job_id", "min_experience", "education_required", F.coalesce("skills", F.lit("")).alias("wanted"), *(of_job or []))
     c = candidates.select("candidate_id", "years", "degree", F.coalesce("skills", F.lit("")).alias("had"))
-    both = pairs.select("job_id", "candidate_id").distinct().join(j, "job_id").join(c, "candidate_id")
-    scored = both.join(skill_scores(both.select("wanted", "had").distinct()), ["wanted", "had"]).withColumns({
+    given = pairs.select("job_id", "candidate_id", *carry) if carry else pairs.select("job_id", "candidate_id").distinct()
+    both = given.join(j, "job_id").join(c, "candidate_id")
+    lists = _scored_lists(j, c) if carry else None
+    if lists is None:
+        lists = skill_scores(both.select("wanted", "had").distinct())
+    scored = both.join(lists, ["wanted", "had"]).withColumns({
         "exp": scoring.exp_score(F.col("years"), F.col("min_experience")),
         "band": scoring.experience_band(F.col("years"), F.col("min_experience"), F.lit(None).cast("double")),
         "edu": scoring.edu_score(F.col("degree"), F.col("education_required")),

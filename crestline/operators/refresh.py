@@ -14,16 +14,19 @@ PARTITION = ["workspace_id", "job_bucket"]
 SAVED = "job_id long, place int, candidate_id long, score double, similarity double"
 
 
-def ranked(rankings: DataFrame, jobs: DataFrame, candidates: DataFrame) -> DataFrame:
+def ranked(rankings: DataFrame, jobs: DataFrame, candidates: DataFrame, by: list[str] | None = None) -> DataFrame:
     """job_id, place, candidate_id, score, similarity: each job's pairs by adjusted score, then similarity, then id.
 
     Scores are compared by nine digits. A pair whose job or candidate is not there has no place.
+    by names columns of jobs that follow; rows that share them lie in one partition, sorted by them.
     """
-    parts = ranking.pair_scores(rankings, jobs, candidates).select("job_id", "candidate_id", "skill", "band")
-    both = parts.join(rankings.select("job_id", "candidate_id", F.col("score").alias("raw"), "similarity"), ["job_id", "candidate_id"])
+    by = by or []
+    both = ranking.pair_scores(rankings.select("job_id", "candidate_id", F.col("score").alias("raw"), "similarity"), jobs, candidates, ["raw", "similarity"], by)
     final = F.bround(scoring.adjusted_match(F.col("raw"), F.col("similarity"), F.col("skill"), F.col("band")), 9)
-    order = W.partitionBy("job_id").orderBy(F.desc("score"), F.desc("similarity"), "candidate_id")
-    return both.select("job_id", "candidate_id", final.alias("score"), "similarity").select("job_id", F.row_number().over(order).alias("place"), "candidate_id", "score", "similarity")
+    rows = both.select("job_id", "candidate_id", final.alias("score"), "similarity", *by)
+    rows = rows.repartition(*by) if by else rows
+    order = W.partitionBy(*by, "job_id").orderBy(F.desc("score"), F.desc("similarity"), "candidate_id")
+    return rows.select("job_id", F.row_number().over(order).alias("place"), "candidate_id", "score", "similarity", *by)
 
 
 def changed(before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
@@ -59,14 +62,12 @@ class SavedRankings:
     def _all(self) -> DataFrame:
         return self.spark.read.schema(f"{SAVED}, workspace_id int, job_bucket int").parquet(self.path)
 
-    def _placed(self, rows: DataFrame, jobs: DataFrame) -> DataFrame:
-        of_job = jobs.select("job_id", F.col("workspace_id").cast("int").alias("workspace_id"), F.pmod(F.xxhash64("job_id"), F.lit(self.buckets)).cast("int").alias("job_bucket"))
-        return rows.join(of_job, "job_id")
+    def _placed(self, jobs: DataFrame) -> DataFrame:
+        return jobs.withColumns({"workspace_id": F.col("workspace_id").cast("int"), "job_bucket": F.pmod(F.xxhash64("job_id"), F.lit(self.buckets)).cast("int")})
 
     def write(self, rankings: DataFrame, jobs: DataFrame, candidates: DataFrame) -> None:
         """All jobs."""
-        placed = self._placed(ranked(rankings, jobs, candidates), jobs)
-        placed.repartition(*PARTITION).write.mode("overwrite").partitionBy(*PARTITION).parquet(self.path)
+        ranked(rankings, self._placed(jobs), candidates, PARTITION).write.mode("overwrite").partitionBy(*PARTITION).parquet(self.path)
 
     def refresh(self, affected: DataFrame, rankings: DataFrame, jobs: DataFrame, candidates: DataFrame) -> None:
         """Ranks the affected jobs anew and overwrites only the partitions that they are or were in.
@@ -77,13 +78,13 @@ class SavedRankings:
         """
         affected = stored(affected.select("job_id"), "affected")
         some = lambda df: df.join(affected, "job_id", "left_semi")
-        new = stored(self._placed(ranked(some(rankings), some(jobs), candidates), jobs), "ranked")
-        old = self._all()
-        touched = some(old).select(*PARTITION).unionByName(new.select(*PARTITION)).distinct()
-        touched = stored(touched, "touched")
+        here, old = some(self._placed(jobs)), self._all()
+        touched = stored(some(old).select(*PARTITION).unionByName(here.select(*PARTITION)).distinct(), "touched")
         same = lambda c: old[c].eqNullSafe(touched[c])
         kept = old.join(touched, same("workspace_id") & same("job_bucket"), "left_semi").where("job_id is not null").join(affected, "job_id", "left_anti")
         marks = touched.select(*[F.lit(None).cast(kind).alias(c) for c, kind in (x.split() for x in SAVED.split(", "))], *PARTITION)
-        # Written once aside, as the partitions that it is read from are those that go.
-        out = stored(kept.unionByName(new.select(*kept.columns)).unionByName(marks.select(*kept.columns)), "refreshed")
-        out.repartition(*PARTITION).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION).parquet(self.path)
+        # What stays is written aside, as the partitions that it is read from are those that go.
+        aside = stored(kept.unionByName(marks.select(*kept.columns)).repartition(*PARTITION), "kept")
+        new = ranked(some(rankings), here, candidates, PARTITION)
+        # Each side lies together by partitions already.
+        aside.unionByName(new.select(*aside.columns)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION).parquet(self.path)

@@ -1,6 +1,7 @@
 """Ingestions as a stream that is stopped and restarted, batches that come twice, and partitions that stay as they are."""
 
 import random
+import re
 import time
 from datetime import datetime, timedelta
 from pathlib import Path
@@ -8,7 +9,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from crestline.operators import positions, refresh
+from crestline.operators import positions, ranking, refresh
 from crestline.streaming import ingestion, uploads
 from crestline.streaming.versions import Versions
 
@@ -157,6 +158,20 @@ def test_a_refresh_leaves_other_partitions(spark, tmp_path):
     assert rows(saved) == rows(whole)
 
 
+def test_ranking_reads_its_pairs_once(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(1, 1, 0.5, 0.5), (1, 1, 0.5, 0.5), (1, 2, 0.5, 0.9), (2, 2, 0.1, 0.1), (3, 1, 0.9, 0.9), (None, 1, 0.9, 0.9)], PAIRS).write.parquet(f"file://{tmp_path}/pairs")
+    pairs = spark.read.parquet(f"file://{tmp_path}/pairs")
+    jobs = spark.createDataFrame([(1, 7, "python, sql", 2.0, "any"), (2, None, None, 2.0, "any")], JOBS)
+    people = spark.createDataFrame([(1, "sql", 3.0, "phd"), (2, None, None, "")], PEOPLE)
+    once = refresh.ranked(pairs, jobs, people, ["workspace_id"])
+    assert len(re.findall(r"Relation \[job_id#", once._jdf.queryExecution().optimizedPlan().toString())) == 1
+    rows = sorted(map(repr, once.collect()))
+    assert [(r["job_id"], r["place"], r["candidate_id"], r["workspace_id"]) for r in once.orderBy("job_id", "place").collect()] == [(1, 1, 1, 7), (1, 2, 1, 7), (1, 3, 2, 7), (2, 1, 2, None)]
+    # Lists that are too many for a table of all are compared where they meet.
+    monkeypatch.setattr(ranking, "MOST_LISTS", 0)
+    assert sorted(map(repr, refresh.ranked(pairs, jobs, people, ["workspace_id"]).collect())) == rows
+
+
 def test_changed_rows(spark):
     frame = lambda rows: spark.createDataFrame(rows, "k long, a string, b string")
     before, after = frame([(1, "x", None), (2, "y", "z"), (3, "s", "t"), (None, "n", "n"), (5, "d", "d"), (5, "d", "d")]), frame([(1, None, "x"), (2, "y", "z"), (4, "s", "t"), (None, "n", "n"), (5, "d", "d")])
