@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from crestline.functions.text import WHITE
+
 # How many of the first lines each kind of guess looks at, and its score.
 MOST_LINES, SPACED_LINES, LABEL_LINES, PART_LINES, LETTER_LINES, CONTACT_LINES = 40, 8, 35, 28, 15, 10
 LABEL_SCORE, OWNER_SCORE, PART_SCORE, PREFIX_BONUS, CONTACT_BONUS, PLACE_BONUS, LETTER_SCORE, CONTACT_SCORE = 100, 95, 80, 10, 12, 6, 40, 42
@@ -21,7 +23,8 @@ MOST_SPLITS, LONGEST_PART, LONGEST_CONTACT_PART = 24, 88, 220
 
 # How lines end and header lines are parted.
 LINE_END = "[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-INVISIBLE = "[\u200b\u200c\u200d\ufeff\u00ad]+"
+INVISIBLE_SIGNS = ["\u200b", "\u200c", "\u200d", "\ufeff", "\u00ad"]
+INVISIBLE = f"[{''.join(INVISIBLE_SIGNS)}]+"
 PART_END = "[|•·\u200b\u200c\u200d\ufeff\u00ad]+|\t+| {3,}"
 # How a name is labelled, at the start of a line and within it, and how a text names its owner.
 LABEL = r"(?i)^\s*(?:full\s*name|name|candidate(?:\s+name)?)\s*[:;]\s*(.+?)\s*$"
@@ -29,6 +32,8 @@ LABEL_WITHIN = r"(?i)(?:full\s*name|name|candidate(?:\s+name)?)\s*[:;]\s*([A-Za-
 OWNER = r"(?:this\s+resume\s+(?:belongs\s+to|is\s+of)|resume\s+of|prepared\s+by)\s*[:\-–—]*\s*[—–\-]*\s*([A-Za-z][A-Za-z .'-]{3,50}?)\s*[—–\-]*\s*$"
 # Signs of an address or a telephone in a line. One character before the @ is as good as all.
 CONTACT = r"(?i)[\w.+-]@[\w.-]+\.\w|linkedin\.com|github\.com|http|\[e-?mail\]|\[email\s*address\]"
+#: A telephone has so many digits and signs in a row, or stands in brackets.
+PHONE_GLANCE = r"\[|\d[\d\s().-]{7,}\d"
 PHONE = r"(?i)\b\+?\d[\d\s().-]{7,}\d\b|\[phone\]|\[tel\]|\[mobile\]|\[contact\]|\[cell\]|\[number\]"
 MAILBOX = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,63}"
 MAIL_LABEL = r"(?i:E-?\s*mails?\s*:\s*)"
@@ -103,8 +108,9 @@ def _u(pattern: str) -> str:
     return "(?U)" + pattern
 
 
-def _strip(c: Column, chars: str = r"\s") -> Column:
-    return F.regexp_replace(c, _u(rf"^[{chars}]+|[{chars}]+$"), "")
+def _strip(c: Column, signs: str = "") -> Column:
+    """Without white space of all scripts, and these signs, at both ends. Only the ends are looked at."""
+    return F.btrim(c, F.lit(WHITE + signs))
 
 
 def _through(items: Column, *steps: Callable[[Column], Column]) -> Column:
@@ -123,6 +129,10 @@ def normalised(raws: Column) -> Column:
     around, places and titles cut from the end, capitals made small.
     """
 
+    def may_be(raw: Column) -> Column:
+        # A title and a sign at the end may go, so eight words can become six; other signs go in brackets alone.
+        return F.contains(raw, F.lit("(")) | raw.rlike(_u(r"^(?!\s*+(?:\S++\s++){8}\S)[\p{L}\s'’.,•|·-]*+$"))
+
     def with_raw(x: Column, raw: Column) -> Column:
         return F.struct(x["score"].alias("score"), raw.alias("raw"))
 
@@ -148,7 +158,7 @@ def normalised(raws: Column) -> Column:
         small = F.array_join(F.transform(F.split(x["name"], " "), lambda w: F.when((F.length(w) <= 2) & w.endswith("."), w).otherwise(_capital(w))), " ")
         return F.struct(x["score"].cast("int").alias("score"), F.when(x["name"].rlike(NOT_CAPITAL), x["name"]).otherwise(small).alias("name"))
 
-    clean = _through(raws, lambda x: with_raw(x, F.regexp_replace(_strip(x["raw"]), HONORIFIC, "")), turned, parted)
+    clean = _through(F.filter(raws, lambda x: may_be(x["raw"])), lambda x: with_raw(x, F.regexp_replace(_strip(x["raw"]), HONORIFIC, "")), turned, parted)
     written = F.filter(clean, lambda x: F.size(x["parts"]).between(2, 6) & F.forall(x["parts"], is_word))
     return F.transform(F.filter(F.transform(written, cut), no_acronym), shown)
 
@@ -200,13 +210,14 @@ def _unspaced(line: Column) -> Column:
         return F.when((F.length(p) < 5) | (F.size(pieces) < 2), p).otherwise(F.array_join(F.transform(pieces, joined), " "))
 
     parts = F.filter(F.split(line, _u(r"\s*\|\s*")), lambda p: p != "")
-    return F.when(F.length(line) < 5, line).otherwise(F.array_join(F.transform(parts, part), " | "))
+    plain = (F.length(line) < 5) | ~line.rlike(_u(r"\||\s\s"))
+    return F.when(plain, line).otherwise(F.array_join(F.transform(parts, part), " | "))
 
 
 def laid_out(text: Column) -> Column:
     """The text with its fields as lines: invisible characters part fields, and where lines were lost, bars do."""
     t = _strip(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")))
-    return F.regexp_replace(t, INVISIBLE, " | ")
+    return F.when(reduce(lambda a, sign: a | F.contains(t, F.lit(sign)), INVISIBLE_SIGNS, F.lit(False)), F.regexp_replace(t, INVISIBLE, " | ")).otherwise(t)
 
 
 def unfolded(t: Column) -> Column:
@@ -223,16 +234,17 @@ def mended_lines(lines: Column) -> Column:
 
 
 def has_contact(c: Column) -> Column:
-    """Whether there is an address or a telephone; lines without any character of one are told by a glance."""
-    return (c.rlike("@|\\[|(?i:http|\\.com)") & c.rlike(_u(CONTACT))) | (c.rlike(r"\[|\p{Nd}") & c.rlike(_u(PHONE)))
+    """Whether there is an address or a telephone; lines without the signs of one are told by a glance."""
+    signs = F.contains(c, F.lit("@")) | F.contains(c, F.lit("[")) | F.contains(F.lower(c), F.lit("http")) | F.contains(F.lower(c), F.lit(".com"))
+    return (signs & c.rlike(_u(CONTACT))) | (c.rlike(_u(PHONE_GLANCE)) & c.rlike(_u(PHONE)))
 
 
 def before_contact(c: Column) -> Column:
     """What stands before an address, its label, a profile link or a telephone: the first of these that leaves 3 to 120 characters."""
-    edge = r"\s,|•–-"
+    edge = ",|•–-"
     mailbox = _strip(F.regexp_replace(_strip(F.regexp_extract(c, rf"^(.*?)(?<![A-Za-z0-9._%+-]){MAILBOX.replace('+@', '++@')}", 1), edge), CONTACT_LABEL_END, ""), edge)
-    label = _strip(F.regexp_extract(c, rf"^(.*?){MAIL_LABEL}", 1), r"\s|·•,;–-")
-    link = _strip(F.regexp_extract(c, r"(?i)^(.*?)linkedin\.com/", 1), r"\s,|·•–-")
+    label = _strip(F.regexp_extract(c, rf"^(.*?){MAIL_LABEL}", 1), "|·•,;–-")
+    link = _strip(F.regexp_extract(c, r"(?i)^(.*?)linkedin\.com/", 1), ",|·•–-")
     phone = F.when(c.rlike(_u(LONG_PHONE)), F.regexp_extract(c, _u(rf"^(.*?){LONG_PHONE}"), 1)).otherwise(F.regexp_extract(c, _u(rf"^(.*?)(?:{PHONE.removeprefix('(?i)')})").replace("(?U)", "(?iU)"), 1))
     phone = F.regexp_replace(phone, r"[\s,;:|·•–-]+$", "")
     return F.element_at(F.concat(F.filter(F.array(mailbox, label, link, phone), lambda x: F.length(x).between(3, 120)), F.array(F.lit(""))), 1)
@@ -247,7 +259,8 @@ def labelled(lines: Column) -> Column:
 
     def value(x: Column) -> Column:
         whole = F.regexp_extract(x, _u(LABEL), 1)
-        return F.split(F.when(whole != "", whole).otherwise(F.regexp_extract(x, _u(LABEL_WITHIN), 1)), r"\|")[0]
+        said = F.split(F.when(whole != "", whole).otherwise(F.regexp_extract(x, _u(LABEL_WITHIN), 1)), r"\|")[0]
+        return F.when(F.contains(x, F.lit(":")) | F.contains(x, F.lit(";")), said).otherwise("")
 
     return F.transform(F.slice(lines, 1, LABEL_LINES), lambda x, i: _guess(LABEL_SCORE - i, value(x)))
 
@@ -286,7 +299,9 @@ def of_letters(lines: Column) -> Column:
 
 def owner(t: Column) -> Column:
     """The guess by a text that says whose it is, wherever that stands."""
-    return F.array(_guess(F.lit(OWNER_SCORE), F.regexp_extract(t, _u(OWNER).replace("(?U)", "(?imdU)"), 1)))
+    # A long s counts as an s where case does not matter.
+    signs = reduce(lambda a, w: a | F.contains(F.lower(t), F.lit(w)), ["resume", "re\u017fume", "prepared"], F.lit(False))
+    return F.array(_guess(F.lit(OWNER_SCORE), F.when(signs, F.regexp_extract(t, _u(OWNER).replace("(?U)", "(?imdU)"), 1)).otherwise("")))
 
 
 def beside_contact(lines: Column) -> Column:

@@ -104,3 +104,17 @@ def test_names_of_addresses_and_files(spark, function):
     df = spark.createDataFrame([(a, b) for a, b in CASES[function]], "value string, want string")
     wrong = df.withColumn("got", function(F.col("value"))).where("got is distinct from want").collect()
     assert not wrong
+
+
+def test_ends_and_glances_change_nothing(spark):
+    """Ends are cut by a list of white space, as the pattern says; what is passed over by a glance has no name."""
+    signs = [chr(c) for c in [*range(0x250), *range(0x1600, 0x1900), *range(0x2000, 0x2100), 0x3000, 0xFEFF]]
+    df = spark.createDataFrame([(f"{c}a{c} b{c}\n{c}",) for c in signs] + [("",), (" \n",)], "t string")
+    cut = n._strip(F.col("t"))
+    assert "regexp_replace" not in df.select(cut)._jdf.queryExecution().optimizedPlan().toString()
+    assert df.where(cut != F.regexp_replace("t", r"(?U)^[\s]+|[\s]+$", "")).count() == 0
+    raws = ["Dr. Ann Maria Jo Lee Von Ray •", " Mr. Ann Maria Jo Lee Von Ray •", "Ray, Ann", "Ann Ray (the 2nd of 3 and more words than a name has)", "one two three four five six seven eight nine", "Ann Ray 7", "A.B. Ray"]
+    got = spark.range(1).select(n.normalised(F.array(*[F.struct(F.lit(i).alias("score"), F.lit(r).alias("raw")) for i, r in enumerate(raws)])).alias("x")).first()["x"]
+    assert [(x["score"], x["name"]) for x in got] == [(0, "Ann Maria Jo Lee Von Ray"), (1, "Ann Maria Jo Lee Von Ray"), (2, "Ann Ray"), (3, "Ann Ray")]
+    said = ["prepared by Ann Ray", "Reſume of Ann Ray", "THIS RESUME BELONGS TO - Ann Ray", "presented by Ann Ray"]
+    assert [r["o"][0]["raw"] for r in spark.createDataFrame([(x,) for x in said], "t string").coalesce(1).select(n.owner(F.col("t")).alias("o")).collect()] == ["Ann Ray", "Ann Ray", "Ann Ray", ""]
