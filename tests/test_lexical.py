@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -102,3 +103,22 @@ def test_texts_meet_their_weights_without_a_sort(spark, corpus, monkeypatch):
     queries, docs = corpus
     lexical.tfidf_top_k(spark.createDataFrame(queries, IDS), spark.createDataFrame(docs, IDS), 5)
     assert "ShuffledHashJoin" in plans["weights"] and "SortMergeJoin" not in plans["weights"]
+
+
+def test_terms_are_dealt_out_once_and_pairs_by_document(spark, corpus, monkeypatch):
+    """Counting and weighing share a shuffle of hashes, no copy of all terms is written, and no pair is shuffled once for each of its terms."""
+    plans, write = {}, lexical.stored
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(lexical, "stored", lambda df, name: plans.update({name: plan(df)}) or write(df, name))
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        queries, docs = corpus
+        last = plan(lexical.tfidf_top_k(spark.createDataFrame(queries, IDS), spark.createDataFrame(docs, IDS), 5))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "terms" not in plans and "ReusedExchange" in plans["weights"]
+    assert "hashpartitioning(doc_id" in last and not re.search(r"hashpartitioning\(doc_id#\d+L, term#", last)
